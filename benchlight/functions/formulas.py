@@ -23,26 +23,44 @@ class FormulaError(ValueError):
 # --- fixed values: names a formula may use ----------------------------------
 _CONSTANTS = {"pi": math.pi, "e": math.e}
 _UNARY = {
-    "sqrt": F.sqrt, "log": F.ln, "log10": F.log10, "log2": F.log2, "log1p": F.log1p,
+    "sqrt": F.sqrt, "log1p": F.log1p,
     "exp": F.exp, "expm1": F.expm1, "sin": F.sin, "cos": F.cos, "tan": F.tan,
     "arcsin": F.asin, "asin": F.asin, "arccos": F.acos, "acos": F.acos,
     "arctan": F.atan, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
     "abs": F.abs, "fabs": F.abs,
     "radians": F.radians, "degrees": F.degrees,
 }
-_BINARY = {"arctan2": F.atan2, "atan2": F.atan2, "pow": F.pow, "hypot": F.hypot}
+_BINARY = {"arctan2": F.atan2, "atan2": F.atan2, "hypot": F.hypot}
+
+
+def _logarithm(function):
+    """Logarithms give -inf at zero and NaN below it, as array libraries do."""
+
+    def guarded(x: Column) -> Column:
+        return F.when(x > 0, function(x)).when(x == 0, -math.inf).otherwise(math.nan)
+
+    return guarded
+
+
+def _power(a: Column, b: Column) -> Column:
+    """A power that is not a finite number - a pole, an overflow - is undefined."""
+    result = F.pow(a, b)
+    return F.when(~F.isnan(result) & (F.abs(result) != math.inf), result)
 
 
 def _floor(x: Column) -> Column:
     return F.floor(x).cast("double")
 
 
+_UNARY |= {"log": _logarithm(F.ln), "log10": _logarithm(F.log10), "log2": _logarithm(F.log2)}
+_BINARY |= {"pow": _power}
+
 _OPERATORS = {
     ast.Add: lambda a, b: a + b,
     ast.Sub: lambda a, b: a - b,
     ast.Mult: lambda a, b: a * b,
     ast.Div: F.try_divide,
-    ast.Pow: F.pow,
+    ast.Pow: _power,
     ast.FloorDiv: lambda a, b: _floor(F.try_divide(a, b)),
     ast.Mod: lambda a, b: a - b * _floor(F.try_divide(a, b)),
 }
@@ -138,12 +156,14 @@ def formula_error(text: str | None) -> str | None:
 def apply_formulas(formula: Column, v: Column, texts: Iterable[str]) -> Column:
     """Evaluate, per row, the formula named by ``formula`` among ``texts``.
 
-    One CASE branch per distinct text; an unusable formula yields NULL.
+    One CASE branch per distinct text, in blocks; an unusable formula yields NULL.
     """
-    result = None
-    for text in sorted(set(texts)):
-        if formula_error(text) is not None:
-            continue
-        match, value = formula == F.lit(text), formula_column(text, v)
-        result = F.when(match, value) if result is None else result.when(match, value)
-    return F.lit(None).cast("double") if result is None else result
+    usable = [text for text in sorted(set(texts)) if formula_error(text) is None]
+    blocks = []
+    for start in range(0, len(usable), 100):
+        case = None
+        for text in usable[start : start + 100]:
+            match, value = formula == F.lit(text), formula_column(text, v)
+            case = F.when(match, value) if case is None else case.when(match, value)
+        blocks.append(case)
+    return F.coalesce(*blocks) if blocks else F.lit(None).cast("double")

@@ -1,0 +1,47 @@
+"""The acquisition chain in one plan: lines to gated points and their summary."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from benchlight.operators.calibrate import LABELS, calibrate, conversions
+from benchlight.operators.gate import recording_gate
+from benchlight.operators.health import sensor_summary
+from benchlight.operators.ordered import SPLIT_ROWS
+from benchlight.sources.wire import parse_wire, readings
+
+
+def gated_readings(
+    lines: DataFrame, calibrations: DataFrame, split_rows: int = SPLIT_ROWS
+) -> DataFrame:
+    """Finite readings of calibrated channels with the gate's verdict."""
+    valued = calibrate(
+        readings(parse_wire(lines)), calibrations, carry=["revision", *LABELS, "gate"]
+    )
+    return recording_gate(valued.filter("finite").drop("finite"), split_rows=split_rows)
+
+
+def outcomes(
+    lines: DataFrame, calibrations: DataFrame, split_rows: int = SPLIT_ROWS
+) -> DataFrame:
+    """What the summary counts: readings written, and readings skipped."""
+    valued = calibrate(
+        readings(parse_wire(lines)), calibrations, carry=["sensor_id", "gate"]
+    )
+    admitted = recording_gate(valued.filter("finite"), split_rows=split_rows).filter("admitted")
+    return admitted.select("time", "sensor_id", F.lit(True).alias("written")).unionByName(
+        valued.filter(~F.col("finite")).select("time", "sensor_id", F.lit(False).alias("written"))
+    )
+
+
+def summarise(
+    lines: DataFrame, calibrations: DataFrame, every: str, split_rows: int = SPLIT_ROWS
+) -> DataFrame:
+    """Readings and skips per declared sensor and window, from raw lines."""
+    return sensor_summary(
+        outcomes(lines, calibrations, split_rows),
+        calibrations.select("sensor_id"),
+        lines.select("time"),
+        every,
+    )
