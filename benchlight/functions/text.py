@@ -6,42 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def significant(x: Column, digits: int = 4) -> Column:
-    """``x`` at a number of significant digits, as C's ``%.<digits>g`` prints it.
+def significant(x: str, digits: int = 4) -> str:
+    """SQL for ``x`` at a number of significant digits, as C's ``%.<digits>g`` prints it.
 
-    The JVM's own ``%g`` keeps trailing zeros and switches to an exponent
-    elsewhere, so the two spellings are put together here.
+    The JVM's own ``%g`` keeps trailing zeros and switches to an exponent elsewhere,
+    so the two spellings are put together here.
     """
-    scientific = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.split(scientific, "e").getItem(1).cast("int")
-    fixed = F.lit(None).cast("string")
-    for power in range(-4, digits):
-        fixed = F.when(
-            exponent == power, F.format_string(f"%.{digits - 1 - power}f", x)
-        ).otherwise(fixed)
-    mantissa = F.split(scientific, "e").getItem(0)
-    short = F.when(
-        exponent.between(-4, digits - 1), _without_zeros(fixed)
-    ).otherwise(
-        F.concat(_without_zeros(mantissa), F.lit("e"), F.split(scientific, "e").getItem(1))
-    )
-    return (
-        F.when(F.isnan(x), "nan")
-        .when(x == float("inf"), "inf")
-        .when(x == float("-inf"), "-inf")
-        .otherwise(short)
+    scientific = f"format_string('%.{digits - 1}e', {x})"
+    exponent = f"CAST(split_part({scientific}, 'e', 2) AS INT)"
+    spelled = " ".join(
+        f"WHEN {power} THEN format_string('%.{digits - 1 - power}f', {x})"
+        for power in range(-4, digits)
     )
+    fixed = _without_zeros(f"CASE {exponent} {spelled} END")
+    mantissa = _without_zeros(f"split_part({scientific}, 'e', 1)")
+    return f"""(CASE
+        WHEN isnan({x}) THEN 'nan'
+        WHEN {x} = double('inf') THEN 'inf'
+        WHEN {x} = double('-inf') THEN '-inf'
+        WHEN {exponent} BETWEEN -4 AND {digits - 1} THEN {fixed}
+        ELSE concat({mantissa}, 'e', split_part({scientific}, 'e', 2)) END)"""
 
 
-def _without_zeros(text: Column) -> Column:
-    return F.when(
-        text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    ).otherwise(text)
+def _without_zeros(text: str) -> str:
+    return f"regexp_replace({text}, '(?<=\\\\.[0-9]{{0,20}})0+$|\\\\.0*$', '')"
 
 
-def quantity_text(magnitude: Column, unit: Column) -> Column:
-    """``1 mW``, ``2.5 V``: a bound as it is read in a log line."""
-    return F.rtrim(F.concat_ws(" ", significant(magnitude, 12), unit))
+def quantity_text(magnitude: str, unit: str, digits: int = 12) -> str:
+    """SQL for ``1 mW``, ``2.5 V``: a quantity as it is read in a log line."""
+    return f"rtrim(concat_ws(' ', {significant(magnitude, digits)}, {unit}))"
 
 
 # --- logfmt -----------------------------------------------------------------

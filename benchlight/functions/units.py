@@ -104,19 +104,25 @@ def _units_json() -> str:
     )
 
 
-def lookup(spelling: Column) -> Column:
-    """The unit a spelling names, or NULL. For small config tables."""
+def lookup(spellings: dict[str, Column | str]) -> Column:
+    """The units several spellings name, as an array in that order.
+
+    For small config tables: the units are one constant map. A spelling that names
+    no unit gives NULL, a NULL spelling the dimensionless unit.
+    """
     units = F.from_json(F.lit(_units_json()), f"map<string,{UNIT_TYPE}>")
-    return F.try_element_at(units, F.trim(spelling))
+    texts = F.array(*[F.expr(c) if isinstance(c, str) else c for c in spellings.values()])
+    return F.transform(
+        texts, lambda t: F.try_element_at(units, F.coalesce(F.trim(t), F.lit("")))
+    )
 
 
-def dims_add(left: Column, right: Column, sign: int = 1) -> Column:
-    """Exponents of a product (or, with ``sign=-1``, of a quotient)."""
-    return F.zip_with(left, right, lambda a, b: a + sign * b)
+def dims_lit(dims: list[int]) -> Column:
+    return F.expr(dims_sql(dims))
 
 
-def dims_lit(dims: list[int]) -> Column:
-    return F.array(*[F.lit(d) for d in dims])
+def dims_sql(dims: list[int]) -> str:
+    return f"array({','.join(map(str, dims))})"
 
 
 def convert_units(

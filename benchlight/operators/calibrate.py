@@ -16,9 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from benchlight.functions import units
 from benchlight.functions.formulas import apply_formulas
+from benchlight.functions.staged import staged
 from benchlight.functions.text import quantity_text
 from benchlight.schema import (
     ADC_BITS,
@@ -26,14 +28,10 @@ from benchlight.schema import (
     CALIBRATION_ID_LENGTH,
     MAX_NAMED_CHANNELS,
 )
+from benchlight.session import settle
 from benchlight.sources.physical import is_finite
 
-SEGMENTS = (
-    "array<struct<v_lo:double,v_hi:double,v0:double,"
-    "c0:double,c1:double,c2:double,c3:double>>"
-)
-INF = float("inf")
-FIRST_TIME, LAST_TIME = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
+BOUNDS = ("below", "above", "resume_above", "resume_below")
 
 
 def raw_to_voltage(count: Column, bits: int = ADC_BITS, vref: float = ADC_VREF) -> Column:
@@ -51,189 +49,148 @@ def resolve(calibrations: DataFrame) -> DataFrame:
     with ``unit_scale`` and ``unit_dims``, ``n_points``, and the looked-up units
     the checks need. Nothing is dropped, so bad rows can still be reported.
     """
-    parts = F.split("factor_unit", "/")
-    rows = calibrations.withColumns(
+    spellings = {
+        "num": "get(split(factor_unit, '/'), 0)",
+        "den": "get(split(factor_unit, '/'), 1)",
+        "offset": "offset_unit",
+        "value": "value_unit",
+        **{name: f"gate.{name}_unit" for name in BOUNDS},
+        "dwell": "coalesce(gate.dwell_unit, 's')",
+    }
+    rows = staged(
+        calibrations,
         {
-            "mode": F.coalesce("mode", F.lit("linear")),
-            "u_num": units.lookup(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))),
-            "u_den": units.lookup(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))),
-            "u_offset": units.lookup(F.coalesce("offset_unit", F.lit(""))),
-            "u_value": units.lookup(F.coalesce("value_unit", F.lit(""))),
-            "n_points": _ascending(F.col("points")),
-        }
-    )
-    scaled = F.col("mode").isin("linear", "affine")
-    volt = units.dims_lit(units.VOLT_DIMS)
-    per_volt = F.col("u_den.dims") == volt
-    plain_den = F.col("u_den.symbol") == ""
-    plain_num = F.col("u_num.symbol") == ""
-    product = F.when(per_volt, F.col("u_num.dims")).otherwise(
-        units.dims_add(
-            units.dims_add(F.col("u_num.dims"), volt), F.col("u_den.dims"), sign=-1
-        )
-    )
-    symbol = (
-        F.when(per_volt, F.col("u_num.symbol"))
-        .when(plain_num & plain_den, "V")
-        .when(plain_den, F.concat_ws(" * ", "u_num.symbol", F.lit("V")))
-        .when(plain_num, F.concat_ws(" / ", F.lit("V"), "u_den.symbol"))
-        .otherwise(
-            F.concat_ws(
-                " / ", F.concat_ws(" * ", "u_num.symbol", F.lit("V")), F.col("u_den.symbol")
-            )
-        )
-    )
-    # A factor per millivolt acts on volts; the other denominators stay in the unit.
-    scale = F.when(per_volt, F.col("u_num.scale")).otherwise(
-        F.col("u_num.scale") / F.col("u_den.scale")
+            "mode": "coalesce(mode, 'linear')",
+            "_units": units.lookup(spellings),
+            # By rising voltage; a falling series is turned around.
+            "n_points": "CASE WHEN get(points, 0).volts > try_element_at(points, -1).volts"
+            " THEN reverse(points) ELSE points END",
+        },
     )
-    factor = F.when(per_volt, F.col("factor") / F.col("u_den.scale")).otherwise(F.col("factor"))
-    return rows.withColumns(
+    rows = rows.select(
+        "*", *[F.expr(f"_units[{i}]").alias(f"u_{name}") for i, name in enumerate(spellings)]
+    ).drop("_units")
+    volt = units.dims_sql(units.VOLT_DIMS)
+    # A factor per volt (or millivolt) leaves its numerator; any other denominator
+    # stays in the unit, beside the volts.
+    per_volt = f"(u_den.dims = {volt})"
+    scale = f"IF({per_volt}, u_num.scale, u_num.scale / u_den.scale)"
+    factor_dims = "zip_with(u_num.dims, u_den.dims, (a, b) -> a - b)"
+    product = f"zip_with({factor_dims}, {volt}, (a, b) -> a + b)"
+    above = "IF(u_num.symbol = '', 'V', concat(u_num.symbol, ' * V'))"
+    symbol = f"""CASE WHEN {per_volt} THEN u_num.symbol
+        WHEN u_den.symbol = '' THEN {above} ELSE concat({above}, ' / ', u_den.symbol) END"""
+    scaled = "mode IN ('linear', 'affine')"
+    return staged(
+        rows,
         {
-            "unit": F.when(scaled, F.nullif(symbol, F.lit(""))).otherwise(
-                F.nullif("u_value.symbol", F.lit(""))
-            ),
-            "unit_scale": F.when(scaled, scale).otherwise(F.col("u_value.scale")),
-            "unit_dims": F.when(scaled, product).otherwise(F.col("u_value.dims")),
-            "n_factor": F.when(scaled, factor),
-            "n_offset": F.when(
-                F.col("mode") == "affine",
-                F.col("offset") * (F.col("u_offset.scale") / scale),
-            ),
-            "factor_base": F.col("factor") * F.col("u_num.scale") / F.col("u_den.scale"),
-            "factor_dims": units.dims_add(F.col("u_num.dims"), F.col("u_den.dims"), sign=-1),
-            "offset_fits": F.col("u_offset.dims") == product,
-            "offset_unit_used": F.col("u_num.offset_unit")
-            | F.col("u_den.offset_unit")
-            | (F.col("mode").isin("affine") & F.col("u_offset.offset_unit")),
-        }
+            "unit": f"nullif(IF({scaled}, {symbol}, u_value.symbol), '')",
+            "unit_scale": f"IF({scaled}, {scale}, u_value.scale)",
+            "unit_dims": f"IF({scaled}, {product}, u_value.dims)",
+            "n_factor": f"IF({scaled}, IF({per_volt}, factor / u_den.scale, factor), NULL)",
+            "n_offset": f"IF(mode = 'affine', offset * (u_offset.scale / ({scale})), NULL)",
+            "factor_base": "factor * u_num.scale / u_den.scale",
+            "factor_dims": factor_dims,
+            "offset_fits": f"u_offset.dims = {product}",
+            "offset_unit_used": "u_num.offset_unit OR u_den.offset_unit"
+            " OR (mode = 'affine' AND u_offset.offset_unit)",
+        },
     )
 
 
-def _ascending(points: Column) -> Column:
-    """Measured points by rising voltage; a falling series is turned around."""
-    falling = F.get(points, F.lit(0))["volts"] > F.element_at(points, -1)["volts"]
-    return F.when(F.size(points) < 2, points).when(falling, F.reverse(points)).otherwise(points)
-
-
-def fingerprint() -> Column:
+def fingerprint() -> str:
     """Canonical text of a resolved conversion: magnitudes in base units, 12 digits.
 
     Spelling, gate and provenance are not part of it; the mode is.
     """
 
-    def number(x: Column) -> Column:
-        return F.format_string("%.11e", x)
-
-    def quantity(magnitude: Column, dims: Column) -> Column:
-        return F.concat(
-            number(magnitude), F.lit(" "), F.array_join(dims.cast("array<string>"), ",")
-        )
+    def quantity(magnitude: str, dims: str) -> str:
+        text = f"array_join(CAST({dims} AS ARRAY<STRING>), ',')"
+        return f"concat(format_string('%.11e', {magnitude}), ' ', {text})"
 
-    value_unit = quantity(F.col("u_value.scale"), F.col("u_value.dims"))
-    points = F.array_join(
-        F.transform(
-            "n_points", lambda p: F.concat(number(p["volts"]), F.lit(":"), number(p["value"]))
-        ),
-        ",",
-    )
-    offset = quantity(F.col("offset") * F.col("u_offset.scale"), F.col("u_offset.dims"))
-    factor = quantity(F.col("factor_base"), F.col("factor_dims"))
-    mode = F.col("mode")
-    return (
-        F.when(mode == "linear", F.concat_ws("|", mode, factor))
-        .when(mode == "affine", F.concat_ws("|", mode, factor, offset))
-        .when(mode == "expression", F.concat_ws("|", mode, value_unit, "formula"))
-        .otherwise(F.concat_ws("|", mode, value_unit, points))
+    factor = quantity("factor_base", "factor_dims")
+    offset = quantity("offset * u_offset.scale", "u_offset.dims")
+    value_unit = quantity("u_value.scale", "u_value.dims")
+    points = (
+        "array_join(transform(n_points, p ->"
+        " format_string('%.11e:%.11e', p.volts, p.value)), ',')"
     )
+    return f"""CASE mode
+        WHEN 'linear' THEN concat_ws('|', mode, {factor})
+        WHEN 'affine' THEN concat_ws('|', mode, {factor}, {offset})
+        WHEN 'expression' THEN concat_ws('|', mode, {value_unit}, formula)
+        ELSE concat_ws('|', mode, {value_unit}, {points}) END"""
 
 
-def calibration_id() -> Column:
-    return F.substring(F.sha2(fingerprint(), 256), 1, CALIBRATION_ID_LENGTH)
+def calibration_id() -> str:
+    """Short hash of the fingerprint: equal conversions share it."""
+    return f"substring(sha2({fingerprint()}, 256), 1, {CALIBRATION_ID_LENGTH})"
 
 
 def conversions(calibrations: DataFrame) -> DataFrame:
     """One row per channel revision, ready to meet readings.
 
-    ``effective_from``/``effective_to`` bound the time a revision is in force;
-    of two rows for one channel and time the higher revision stands.
+    A revision is in force from ``effective_from`` (NULL: always was) until before
+    ``effective_to`` (NULL: still is). Of two rows for one channel and time the
+    higher revision stands. Written once, as every reading of every pass meets it.
     """
-    in_order = Window.partitionBy("channel").orderBy("effective_from", "revision")
-    resolved = resolve(calibrations).withColumn(
-        "effective_from",
-        F.coalesce("effective_from", F.lit(FIRST_TIME).cast("timestamp")),
+    in_order = Window.partitionBy("channel").orderBy(
+        F.col("effective_from").asc_nulls_first(), "revision"
     )
-    return fit_segments(resolved).select(
-        "channel",
-        "revision",
-        "effective_from",
-        F.coalesce(
-            F.lead("effective_from").over(in_order), F.lit(LAST_TIME).cast("timestamp")
-        ).alias("effective_to"),
-        "sensor_id",
-        "measurement",
-        "mode",
-        "unit",
-        calibration_id().alias("calibration_id"),
-        F.coalesce("store_input", F.lit(True)).alias("store_input"),
-        "provenance",
-        F.when(F.col("mode") == "expression", F.col("formula")).alias("formula"),
-        _gate_rule().alias("gate"),
-        "segments",
+    ready = staged(
+        fit_segments(resolve(calibrations)),
+        {
+            "calibration_id": calibration_id(),
+            "gate": _gate_rule(),
+            "store_input": "coalesce(store_input, true)",
+            "formula": "IF(mode = 'expression', formula, NULL)",
+        },
+    )
+    return settle(
+        ready.withColumn("effective_to", F.lead("effective_from").over(in_order)).select(
+            *["channel", "revision", "effective_from", "effective_to", "sensor_id"],
+            *["measurement", "mode", "unit", "calibration_id", "store_input"],
+            *["provenance", "formula", "gate", "segments"],
+        )
     )
 
 
 def fit_segments(resolved: DataFrame) -> DataFrame:
     """Adds ``segments`` to resolved calibrations, fitting the splines among them."""
-    to_fit = F.when(F.col("mode") == "spline", F.col("n_points"))
-    return (
-        resolved.withColumn(
-            "_slopes",
-            spline_slopes(
-                F.transform(to_fit, lambda p: p["volts"]),
-                F.transform(to_fit, lambda p: p["value"]),
-            ),
-        )
-        .withColumn("segments", _segments())
-        .drop("_slopes")
-    )
+
+    def to_fit(part: str) -> Column:
+        return F.expr(f"IF(mode = 'spline', transform(n_points, p -> p.{part}), NULL)")
+
+    slopes = spline_slopes(to_fit("volts"), to_fit("value"))
+    return staged(
+        resolved.withColumn("_slopes", slopes), {"segments": _segments()}
+    ).drop("_slopes")
 
 
-def _gate_rule() -> Column:
+def _gate_rule() -> str:
     """The gate with its bounds in the unit they are compared in.
 
     Each bound keeps the text it was written as, for the transition report.
     """
-    on_volts = F.coalesce("gate.raw_voltage", F.lit(False))
-    subject_scale = F.when(on_volts, F.lit(1.0)).otherwise(F.col("unit_scale"))
-
-    def bound(name: str) -> tuple[Column, Column]:
-        unit = units.lookup(F.coalesce(f"gate.{name}_unit", F.lit("")))
-        value = F.col(f"gate.{name}") * (unit["scale"] / subject_scale)
-        text = F.when(
-            F.col(f"gate.{name}").isNotNull(),
-            quantity_text(F.col(f"gate.{name}"), F.coalesce(unit["symbol"], F.lit(""))),
-        )
-        return value, text
-
+    on_volts = "coalesce(gate.raw_voltage, false)"
+    subject_scale = f"IF({on_volts}, 1D, unit_scale)"
     fields = []
-    for name in ("below", "above", "resume_above", "resume_below"):
-        value, text = bound(name)
-        fields += [value.alias(name), text.alias(f"{name}_text")]
-    dwell = units.lookup(F.coalesce("gate.dwell_unit", F.lit("s")))["scale"]
-    fields += [
-        F.coalesce(F.col("gate.dwell") * dwell, F.lit(0.0)).alias("dwell_s"),
-        on_volts.alias("raw_voltage"),
-        F.when(on_volts, "V").otherwise(F.col("unit")).alias("unit"),
-    ]
-    has_rule = F.col("gate.below").isNotNull() | F.col("gate.above").isNotNull()
-    return F.when(has_rule, F.struct(*fields))
+    for name in BOUNDS:
+        text = quantity_text(f"gate.{name}", f"coalesce(u_{name}.symbol, '')")
+        fields += [
+            f"'{name}', gate.{name} * (u_{name}.scale / {subject_scale})",
+            f"'{name}_text', IF(gate.{name} IS NULL, NULL, {text})",
+        ]
+    return f"""CASE WHEN gate.below IS NOT NULL OR gate.above IS NOT NULL
+        THEN named_struct({", ".join(fields)},
+            'dwell_s', coalesce(gate.dwell * u_dwell.scale, 0D),
+            'raw_voltage', {on_volts}, 'unit', IF({on_volts}, 'V', unit)) END"""
 
 
 # --- segments -----------------------------------------------------------------
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def spline_slopes(volts: pd.Series, values: pd.Series) -> pd.Series:
     """Slopes at the points of the interpolating cubic spline of each series.
 
@@ -272,66 +229,46 @@ def spline_slopes(volts: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([slopes(x, y) for x, y in zip(volts, values)])
 
 
-def _segment(v_lo, v_hi, v0, c0, c1=0.0, c2=0.0, c3=0.0) -> Column:
-    names = ("v_lo", "v_hi", "v0", "c0", "c1", "c2", "c3")
-    return F.struct(
-        *[
-            (x if isinstance(x, Column) else F.lit(x)).cast("double").alias(name)
-            for name, x in zip(names, (v_lo, v_hi, v0, c0, c1, c2, c3))
-        ]
-    )
-
-
-def _segments() -> Column:
+def _segments() -> str:
     """What turns volts into a value, as polynomials over voltage intervals.
 
     A formula keeps one segment for the whole axis; its value replaces the
     polynomial's.
     """
-    mode = F.col("mode")
-    points = F.when(F.size("n_points") >= 2, F.col("n_points"))
-    last = F.size(points) - 1
-
-    def at(i: Column) -> Column:
-        return F.get(points, i)
-
-    def straight(i: Column) -> Column:
-        a, b = at(i), at(i + 1)
-        slope = F.try_divide(b["value"] - a["value"], b["volts"] - a["volts"])
-        return _segment(a["volts"], b["volts"], a["volts"], a["value"], slope)
-
-    # Index of each interval's lower point.
-    knots = F.sequence(F.lit(0), last - 1)
-    clamped = F.concat(
-        F.array(_segment(-INF, at(F.lit(0))["volts"], 0.0, at(F.lit(0))["value"])),
-        F.transform(knots, straight),
-        F.array(_segment(at(last)["volts"], INF, 0.0, at(last)["value"])),
-    )
-    def cubic(i: Column) -> Column:
-        a, b = at(i), at(i + 1)
-        h = b["volts"] - a["volts"]
-        chord = F.try_divide(b["value"] - a["value"], h)
-        s, t = F.get(F.col("_slopes"), i), F.get(F.col("_slopes"), i + 1)
-        return _segment(
-            F.when(i == 0, -INF).otherwise(a["volts"]),
-            F.when(i == last - 1, INF).otherwise(b["volts"]),
-            a["volts"],
-            a["value"],
-            s,
-            F.try_divide(3 * chord - 2 * s - t, h),
-            F.try_divide(s + t - 2 * chord, h * h),
-        )
 
-    return (
-        F.when(mode == "linear", F.array(_segment(-INF, INF, 0.0, 0.0, F.col("n_factor"))))
-        .when(
-            mode == "affine",
-            F.array(_segment(-INF, INF, 0.0, F.col("n_offset"), F.col("n_factor"))),
-        )
-        .when(mode == "piecewise_linear", clamped)
-        .when((mode == "spline") & F.col("_slopes").isNotNull(), F.transform(knots, cubic))
-        .when(mode == "expression", F.array(_segment(-INF, INF, 0.0, None)))
+    def segment(v_lo, v_hi, v0="0D", c0="0D", c1="0D", c2="0D", c3="0D") -> str:
+        terms = zip(("v_lo", "v_hi", "v0", "c0", "c1", "c2", "c3"), (v_lo, v_hi, v0, c0, c1, c2, c3))
+        return "named_struct(" + ", ".join(f"'{n}', CAST({t} AS DOUBLE)" for n, t in terms) + ")"
+
+    low, high = "double('-inf')", "double('inf')"
+    first, last = "get(n_points, 0)", "try_element_at(n_points, -1)"
+    # Index of each interval's lower point, and what belongs to interval i.
+    knots = "sequence(0, size(n_points) - 2)"
+    a, b = "get(n_points, i)", "get(n_points, i + 1)"
+    h = f"({b}.volts - {a}.volts)"
+    chord = f"try_divide({b}.value - {a}.value, {h})"
+    s, t = "get(_slopes, i)", "get(_slopes, i + 1)"
+    straight = segment(f"{a}.volts", f"{b}.volts", f"{a}.volts", f"{a}.value", chord)
+    cubic = segment(
+        f"IF(i = 0, {low}, {a}.volts)",
+        f"IF(i = size(n_points) - 2, {high}, {b}.volts)",
+        f"{a}.volts",
+        f"{a}.value",
+        s,
+        f"try_divide(3 * {chord} - 2 * {s} - {t}, {h})",
+        f"try_divide({s} + {t} - 2 * {chord}, {h} * {h})",
     )
+    enough = "size(n_points) >= 2"
+    return f"""CASE
+        WHEN mode = 'linear' THEN array({segment(low, high, c1="n_factor")})
+        WHEN mode = 'affine' THEN array({segment(low, high, c0="n_offset", c1="n_factor")})
+        WHEN mode = 'expression' THEN array({segment(low, high, c0="NULL")})
+        WHEN mode = 'piecewise_linear' AND {enough} THEN concat(
+            array({segment(low, f"{first}.volts", c0=f"{first}.value")}),
+            transform({knots}, i -> {straight}),
+            array({segment(f"{last}.volts", high, c0=f"{last}.value")}))
+        WHEN mode = 'spline' AND {enough} AND _slopes IS NOT NULL
+            THEN transform({knots}, i -> {cubic}) END"""
 
 
 # --- readings meet conversions --------------------------------------------------
@@ -348,6 +285,11 @@ def formula_texts(calibrations: DataFrame) -> list[str]:
     return [row[0] for row in rows]
 
 
+def _in_force() -> Column:
+    began = F.col("_from").isNull() | (F.col("time") >= F.col("_from"))
+    return began & (F.col("_to").isNull() | (F.col("time") < F.col("_to")))
+
+
 def _evaluate(
     df: DataFrame,
     conv: DataFrame,
@@ -357,7 +299,6 @@ def _evaluate(
     volts: str = "input_volts",
     output: str = "value",
     how: str = "inner",
-    by_time: bool = True,
 ) -> DataFrame:
     """Join rows holding a voltage to the segment of their conversion, and apply it."""
     pieces = conv.select(
@@ -369,8 +310,7 @@ def _evaluate(
         F.inline("segments"),
     )
     match = (F.col(volts) >= F.col("v_lo")) & (F.col(volts) < F.col("v_hi"))
-    if by_time:
-        match = match & (F.col("time") >= F.col("_from")) & (F.col("time") < F.col("_to"))
+    match = match & _in_force()
     for c in on:
         match = match & (F.col(c) == F.col(f"_on_{c}"))
     d = F.col(volts) - F.col("v0")
@@ -542,8 +482,7 @@ def calibration_in_force(points: DataFrame, calibrations: DataFrame) -> DataFram
     match = (
         (F.col("sensor_id") == F.col("_sensor"))
         & (F.col("measurement") == F.col("_measurement"))
-        & (F.col("time") >= F.col("_from"))
-        & (F.col("time") < F.col("_to"))
+        & _in_force()
     )
     return (
         points.join(conv, match, "left")
@@ -576,7 +515,7 @@ def calibrations_report(calibrations: DataFrame) -> DataFrame:
             "channel",
             "revision",
             "sensor_id",
-            calibration_id().alias("calibration_id"),
+            F.expr(calibration_id()).alias("calibration_id"),
             F.coalesce(F.nullif(details, F.lit("")), F.lit("-")).alias("provenance"),
         )
         .orderBy("channel", "revision")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from benchlight.functions import units
 from benchlight.functions.formulas import apply_formulas, formula_error
-from benchlight.operators.calibrate import fit_segments, formula_texts, resolve
+from benchlight.operators.calibrate import BOUNDS, fit_segments, formula_texts, resolve
 from benchlight.schema import MODES, PROBE_VOLTS
 
 # --- fixed values -----------------------------------------------------------
@@ -167,15 +167,14 @@ def _gate_keys() -> list[Column]:
     ]
 
 
-def _bound(name: str) -> tuple[Column, Column]:
-    """A bound in base units, and the unit it is written in."""
-    unit = units.lookup(F.coalesce(f"gate.{name}_unit", F.lit("")))
-    return F.col(f"gate.{name}") * unit["scale"], unit
+def _bound(name: str) -> Column:
+    """A bound in base units."""
+    return F.col(f"gate.{name}") * F.col(f"u_{name}.scale")
 
 
 def _gate_order() -> list[Column]:
-    below, above = _bound("below")[0], _bound("above")[0]
-    resume_above, resume_below = _bound("resume_above")[0], _bound("resume_below")[0]
+    below, above = _bound("below"), _bound("above")
+    resume_above, resume_below = _bound("resume_above"), _bound("resume_below")
     floor, ceiling = F.coalesce(resume_above, below), F.coalesce(resume_below, above)
     detail = f"the bounds must read {BAND_ORDER}"
     crossed = (
@@ -191,8 +190,8 @@ def _gate_units() -> list[Column]:
         F.coalesce("gate.raw_voltage", F.lit(False)), units.dims_lit(units.VOLT_DIMS)
     ).otherwise(F.col("unit_dims"))
     found = []
-    for name in ("below", "above", "resume_above", "resume_below"):
-        _, unit = _bound(name)
+    for name in BOUNDS:
+        unit = F.col(f"u_{name}")
         fits = F.coalesce((unit["dims"] == wanted) & ~unit["offset_unit"], F.lit(False))
         found.append(
             _violation(
@@ -201,8 +200,7 @@ def _gate_units() -> list[Column]:
                 f"'{name}' cannot be compared with what is gated",
             )
         )
-    dwell = units.lookup(F.coalesce("gate.dwell_unit", F.lit("s")))
-    is_time = F.coalesce(dwell["dims"] == units.dims_lit(units.TIME_DIMS), F.lit(False))
+    is_time = F.coalesce(F.col("u_dwell.dims") == units.dims_lit(units.TIME_DIMS), F.lit(False))
     found.append(
         _violation(
             F.col("gate.dwell").isNotNull() & ~is_time,

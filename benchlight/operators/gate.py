@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchlight.functions.text import significant
+from benchlight.functions.text import quantity_text
 from benchlight.operators.ordered import (
     CHUNK,
     SPLIT_ROWS,
@@ -32,6 +32,7 @@ from benchlight.operators.ordered import (
     with_chunks,
     with_previous,
 )
+from benchlight.session import settle
 
 
 
@@ -179,17 +180,19 @@ def gate_transitions(gated: DataFrame) -> DataFrame:
         "seq",
         F.when(stopped, "recording stopped").otherwise("recording resumed").alias("message"),
         value.alias("value"),
-        F.rtrim(F.concat_ws(" ", significant(value, 4), F.col("gate.unit"))).alias("value_text"),
         F.when(stopped, crossed).otherwise(band).alias("limit"),
-    )
+        F.col("gate.unit").alias("unit"),
+    ).withColumn("value_text", F.expr(quantity_text("value", "unit", 4)))
 
 
 def recording_gaps(transitions: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Intervals without recording; an open one has no end and no duration.
 
     A channel's transitions alternate and begin with a stop, so a resume closes
-    the gap of the transition before it.
+    the gap of the transition before it. They are few, and written before they are
+    paired, as pairing reads them more than once.
     """
+    transitions = settle(transitions)
     stop = ["time", "limit", "sensor_id"]
     paired = with_previous(transitions, ["channel"], stop, "stop", split_rows)
     closed = paired.filter(F.col("message") == "recording resumed").select(

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from benchlight.session import settle
+
 # Rows one chunk may hold before it is split. Each hot hour or second holds more
 # than this, so their tables, which are broadcast, have at most rows/SPLIT_ROWS
 # entries: half a million for 10^12 rows.
@@ -27,34 +29,43 @@ ORDER = ["time", "seq"]
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Adds the two chunk columns; within a key they ascend with (time, seq)."""
+    """Adds the two chunk columns; within a key they ascend with (time, seq).
+
+    Counts rows per key and hour first, combined before the shuffle; only where some
+    hour is too full are its seconds counted too.
+    """
     hour, second = F.date_trunc("hour", "time"), F.date_trunc("second", "time")
+    chunk_time, chunk_seq = hour, F.lit(0).cast("bigint")
+    rows, full = _flagged(df, keys, hour, "_full_hour", split_rows)
+    if full:
+        chunk_time = F.when(F.col("_full_hour"), second).otherwise(hour)
+        rows, full = _flagged(rows, keys, second, "_full_second", split_rows, "_full_hour")
+    if full:
+        chunk_time = F.when(F.col("_full_second"), F.col("time")).otherwise(chunk_time)
+        chunk_seq = F.when(
+            F.col("_full_second"), F.floor(F.col("seq") / F.lit(split_rows))
+        ).otherwise(chunk_seq)
+    return rows.withColumns({CHUNK[0]: chunk_time, CHUNK[1]: chunk_seq}).drop(
+        "_full_hour", "_full_second"
+    )
 
-    def crowded(rows: DataFrame, slot: Column, flag: str) -> DataFrame:
-        counts = rows.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
-        return counts.filter(F.col("_n") > split_rows).select(
-            *keys, "_slot", F.lit(True).alias(flag)
-        )
-
-    def flagged(rows: DataFrame, slot: Column, flag: str, source: DataFrame) -> DataFrame:
-        return (
-            rows.withColumn("_slot", slot)
-            .join(F.broadcast(crowded(source, slot, flag)), [*keys, "_slot"], "left")
-            .drop("_slot")
-        )
-
-    rows = flagged(df, hour, "_full_hour", df)
-    rows = flagged(rows, second, "_full_second", rows.filter("_full_hour"))
-    return rows.withColumns(
-        {
-            CHUNK[0]: F.when(F.col("_full_second"), F.col("time"))
-            .when(F.col("_full_hour"), second)
-            .otherwise(hour),
-            CHUNK[1]: F.when(
-                F.col("_full_second"), F.floor(F.col("seq") / F.lit(split_rows))
-            ).otherwise(F.lit(0).cast("bigint")),
-        }
-    ).drop("_full_hour", "_full_second")
+
+def _flagged(
+    df: DataFrame,
+    keys: Sequence[str],
+    slot: Column,
+    flag: str,
+    split_rows: int,
+    among: str | None = None,
+) -> tuple[DataFrame, bool]:
+    """Marks the rows of slots holding more than ``split_rows``, if there are any."""
+    source = df if among is None else df.filter(F.col(among))
+    counts = source.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    full = settle(counts.filter(F.col("_n") > split_rows).select(*keys, "_slot"))
+    if full.isEmpty():
+        return df, False
+    marks = F.broadcast(full.withColumn(flag, F.lit(True)))
+    return df.withColumn("_slot", slot).join(marks, [*keys, "_slot"], "left").drop("_slot"), True
 
 
 def in_chunk(keys: Sequence[str]):

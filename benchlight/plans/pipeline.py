@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchlight.operators.calibrate import LABELS, calibrate, conversions
+from benchlight.operators.calibrate import LABELS, calibrate, drop_non_finite
 from benchlight.operators.gate import recording_gate
 from benchlight.operators.health import sensor_summary
 from benchlight.operators.ordered import SPLIT_ROWS
+from benchlight.session import settle
 from benchlight.sources.wire import parse_wire, readings
 
 
@@ -16,23 +17,33 @@ def gated_readings(
     lines: DataFrame, calibrations: DataFrame, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """Finite readings of calibrated channels with the gate's verdict."""
-    valued = calibrate(
-        readings(parse_wire(lines)), calibrations, carry=["revision", *LABELS, "gate"]
+    return _gated(_valued(lines, calibrations), split_rows)
+
+
+def _valued(lines: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Calibrated readings, written once: the gate reads them more than once."""
+    return settle(
+        calibrate(
+            readings(parse_wire(lines)).drop("line"),
+            calibrations,
+            carry=["revision", *LABELS, "gate"],
+        )
     )
-    return recording_gate(valued.filter("finite").drop("finite"), split_rows=split_rows)
 
 
-def outcomes(
-    lines: DataFrame, calibrations: DataFrame, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
+def _gated(valued: DataFrame, split_rows: int) -> DataFrame:
+    return recording_gate(drop_non_finite(valued), split_rows=split_rows)
+
+
+def outcomes(valued: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """What the summary counts: readings written, and readings skipped."""
-    valued = calibrate(
-        readings(parse_wire(lines)), calibrations, carry=["sensor_id", "gate"]
-    )
-    admitted = recording_gate(valued.filter("finite"), split_rows=split_rows).filter("admitted")
-    return admitted.select("time", "sensor_id", F.lit(True).alias("written")).unionByName(
-        valued.filter(~F.col("finite")).select("time", "sensor_id", F.lit(False).alias("written"))
+    needed = valued.select(
+        "channel", "time", "seq", "sensor_id", "value", "input_volts", "gate", "finite"
     )
+    written = _gated(needed, split_rows).filter("admitted").withColumn("written", F.lit(True))
+    skipped = needed.filter(~F.col("finite")).withColumn("written", F.lit(False))
+    columns = ["time", "sensor_id", "written"]
+    return written.select(columns).unionByName(skipped.select(columns))
 
 
 def summarise(
@@ -40,7 +51,7 @@ def summarise(
 ) -> DataFrame:
     """Readings and skips per declared sensor and window, from raw lines."""
     return sensor_summary(
-        outcomes(lines, calibrations, split_rows),
+        outcomes(_valued(lines, calibrations), split_rows),
         calibrations.select("sensor_id"),
         lines.select("time"),
         every,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "benchlight") -> SparkSession:
@@ -39,3 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="benchlight-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The frame as a written table: computed once, read by column from then on.
+
+    For a result several later passes read. It lives in the shared folder, so a lost
+    executor costs a re-read and no recomputation, and its size is known to the
+    planner, which decides by it what to broadcast.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchlight.functions.staged import staged
 from benchlight.schema import REASONS
 
 # --- fixed values -----------------------------------------------------------
@@ -47,39 +48,45 @@ def parse_wire(lines: DataFrame, line: str = "line") -> DataFrame:
     ``reason`` is NULL for a good reading. A blank line is no reading and not an
     error either: all three are NULL.
     """
-    raw = F.col(line).cast("binary")
-    text = F.btrim(F.col(line).cast("string"), F.lit(WHITE_SPACE))
-    staged = lines.withColumn("_text", F.when(F.is_valid_utf8(raw.cast("string")), text))
-    fields = F.split("_text", ",")
-    staged = staged.withColumn("_fields", fields)
-    channel = F.btrim(F.get("_fields", F.lit(0)), F.lit(WHITE_SPACE))
-    count = F.btrim(F.get("_fields", F.lit(1)), F.lit(WHITE_SPACE))
+    raw = F.col(line).cast("string")
+    decoded = F.when(F.is_valid_utf8(raw), F.btrim(raw, F.lit(WHITE_SPACE)))
+    rows = staged(lines.withColumn("_decoded", decoded), _split(F.col("_decoded")))
     number = F.when(
-        count.rlike(NUMBER_PATTERN), F.translate(count, "_", "").try_cast("double")
+        F.col("_count").rlike(NUMBER_PATTERN),
+        F.translate("_count", "_", "").try_cast("double"),
     )
-    reason = _first_reason(F.col("_text"), F.col("_fields"), channel, count, number)
-    staged = staged.withColumn("reason", reason)
+    rows = staged(rows, {"_number": number})
+    rows = rows.withColumn("reason", _reason(F.col("_number")))
     good = F.col("reason").isNull() & (F.col("_text") != "")
-    return staged.select(
-        *[c for c in lines.columns],
-        F.when(good, channel).alias("channel"),
-        F.when(good, number).alias("raw_count"),
+    return rows.select(
+        *lines.columns,
+        F.when(good, F.col("_channel")).alias("channel"),
+        F.when(good, F.col("_number")).alias("raw_count"),
         "reason",
     )
 
 
-def _first_reason(
-    text: Column, fields: Column, channel: Column, count: Column, number: Column
-) -> Column:
+def _split(text: Column) -> dict[str, Column]:
+    """The text, how many fields it has, and the two that a reading needs."""
+    fields = F.split(text, ",")
+    return {
+        "_text": text,
+        "_fields": F.size(fields),
+        "_channel": F.btrim(F.get(fields, F.lit(0)), F.lit(WHITE_SPACE)),
+        "_count": F.btrim(F.get(fields, F.lit(1)), F.lit(WHITE_SPACE)),
+    }
+
+
+def _reason(number: Column) -> Column:
     undecodable, shape, empty, name, not_number, not_finite = map(F.lit, REASONS)
-    infinite = F.abs(number) == float("inf")
+    text, count = F.col("_text"), F.col("_count")
     return (
         F.when(text.isNull(), undecodable)
         .when(text == "", F.lit(None))
-        .when(F.size(fields) != 2, shape)
-        .when(channel == "", empty)
-        .when(~channel.rlike(CHANNEL_PATTERN), name)
-        .when(count.rlike(NON_FINITE_PATTERN) | infinite, not_finite)
+        .when(F.col("_fields") != 2, shape)
+        .when(F.col("_channel") == "", empty)
+        .when(~F.col("_channel").rlike(CHANNEL_PATTERN), name)
+        .when(count.rlike(NON_FINITE_PATTERN) | (F.abs(number) == float("inf")), not_finite)
         .when(number.isNull(), not_number)
     )
 
