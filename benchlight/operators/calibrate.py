@@ -330,26 +330,22 @@ LABELS = ["sensor_id", "measurement", "unit", "calibration_id", "store_input"]
 
 def calibrate(
     readings: DataFrame,
-    calibrations: DataFrame,
+    conv: DataFrame,
+    formulas: list[str],
     bits: int = ADC_BITS,
     vref: float = ADC_VREF,
     carry: list[str] | None = None,
-    conv: DataFrame | None = None,
 ) -> DataFrame:
     """Readings of calibrated channels with ``input_volts`` and ``value``.
 
+    ``conv`` and ``formulas`` come from :func:`conversions` and :func:`formula_texts`.
     ``finite`` is false where the value is NULL, NaN or infinite: such a reading
     counts as skipped and goes no further. Uncalibrated channels have no rows.
     ``carry`` names the conversion columns to attach.
     """
     volts = readings.withColumn("input_volts", raw_to_voltage(F.col("raw_count"), bits, vref))
-    valued = _evaluate(
-        volts.drop("raw_count"),
-        conversions(calibrations) if conv is None else conv,
-        ["channel"],
-        ["revision", *LABELS] if carry is None else carry,
-        formula_texts(calibrations),
-    )
+    columns = ["revision", *LABELS] if carry is None else carry
+    valued = _evaluate(volts.drop("raw_count"), conv, ["channel"], columns, formulas)
     return valued.withColumn("finite", is_finite(F.col("value")))
 
 

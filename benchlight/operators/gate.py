@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from benchlight.functions.text import quantity_text
 from benchlight.operators.ordered import (
-    CHUNK,
     SPLIT_ROWS,
     before,
     in_chunk,
@@ -56,42 +55,60 @@ def resumes(value: Column) -> Column:
     return (floor.isNull() | (value > floor)) & (ceiling.isNull() | (value < ceiling))
 
 
+EVENT_COLUMNS = ["gate_out", "gate_back", "gate_dwell_us"]
+
+
+def gate_events(valued: DataFrame) -> DataFrame:
+    """Replaces ``gate`` by what it says of each reading on its own.
+
+    ``gate_out``: outside the band; ``gate_back``: inside the resume band;
+    ``gate_dwell_us``: the dwell, NULL for a channel without a gate. All the state
+    machine needs, and much narrower than the rule.
+    """
+    gated = F.col("gate").isNotNull()
+    return valued.withColumns(
+        {
+            "gate_out": F.when(gated, breach_side(subject()).isNotNull()),
+            "gate_back": F.when(gated, resumes(subject())),
+            "gate_dwell_us": F.when(gated, F.round(F.col("gate.dwell_s") * 1e6).cast("bigint")),
+        }
+    ).drop("gate")
+
+
 def recording_gate(
     valued: DataFrame, keys: tuple[str, ...] = ("channel",), split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """Adds ``was_recording`` (state before) and ``admitted`` (state after) to readings.
 
-    Needs ``time``, ``seq``, ``value``, ``input_volts`` and ``gate``, all values
-    finite. Channels without a gate pass through without a shuffle.
+    Needs ``time``, ``seq`` and either ``gate`` with ``value`` and ``input_volts``, or
+    the columns of :func:`gate_events`; all values finite. What was needed of the gate
+    is dropped. Channels without one pass through without a shuffle. The input is read
+    several times, so settle it if it is costly.
     """
-    free = valued.filter(F.col("gate").isNull()).withColumns(
-        {"was_recording": F.lit(True), "admitted": F.lit(True)}
+    events = gate_events(valued) if "gate" in valued.columns else valued
+    kept = [c for c in events.columns if c not in EVENT_COLUMNS]
+    free = events.filter(F.col("gate_dwell_us").isNull()).select(
+        *kept, F.lit(True).alias("was_recording"), F.lit(True).alias("admitted")
     )
-    return _gated(valued.filter(F.col("gate").isNotNull()), keys, split_rows).unionByName(free)
+    gated = _gated(events.filter(F.col("gate_dwell_us").isNotNull()), keys, split_rows)
+    return gated.select(*kept, "was_recording", "admitted").unionByName(free)
 
 
 def _gated(df: DataFrame, keys: tuple[str, ...], split_rows: int) -> DataFrame:
-    window = in_chunk(keys)
-    micros = F.unix_micros("time")
-    rows = with_chunks(df, keys, split_rows).withColumns(
-        {
-            "_t": micros,
-            "_out": breach_side(subject()).isNotNull(),
-            "_in": resumes(subject()),
-            "_dwell": F.round(F.col("gate.dwell_s") * 1e6).cast("bigint"),
-        }
+    rows, chunk = with_chunks(df, keys, split_rows)
+    window, chunks_window = in_chunk(keys, chunk), over_chunks(keys, chunk)
+    out, t = F.col("gate_out"), F.col("_t")
+    rows = rows.withColumn("_t", F.unix_micros("time")).withColumn(
+        "_after_out", F.lag("gate_out").over(window)
     )
-    after = F.lag("_out").over(window)
-    rows = rows.withColumn("_after", after)
     # Where the run a breaching reading belongs to started; NULL for a run that may
     # have started before the chunk.
-    starts = F.when(F.col("_out") & ~F.col("_after"), F.col("_t"))
+    starts = F.when(out & ~F.col("_after_out"), t)
     rows = rows.withColumn("_start", F.last(starts, ignorenulls=True).over(so_far(window)))
-    head = F.col("_out") & F.col("_start").isNull()
-    event = F.when(
-        F.col("_out") & (F.col("_t") - F.col("_start") >= F.col("_dwell")), False
-    ).when(F.col("_in"), True)
-    rows = rows.withColumns({"_head": head, "_event": event})
+    event = F.when(out & (t - F.col("_start") >= F.col("gate_dwell_us")), False).when(
+        F.col("gate_back"), True
+    )
+    rows = rows.withColumns({"_head": out & F.col("_start").isNull(), "_event": event})
     last_event = F.last("_event", ignorenulls=True)
     rows = rows.withColumns(
         {
@@ -100,64 +117,67 @@ def _gated(df: DataFrame, keys: tuple[str, ...], split_rows: int) -> DataFrame:
             "_t_before": F.lag("_t").over(window),
         }
     )
+    carried = _carried(rows, keys, chunk, chunks_window)
+
+    def state(known: str, head_t: Column) -> Column:
+        timed_out = head_t - F.col("_clock") >= F.col("gate_dwell_us")
+        return F.coalesce(F.col(known), F.when(timed_out, False), F.col("_came"))
+
+    head_now = F.when(F.col("_head"), t).otherwise(F.col("_head_t"))
+    head_then = F.when(F.col("_head"), F.col("_t_before")).when(
+        F.col("_t_before").isNotNull(), F.col("_head_t")
+    )
+    return rows.join(carried, [*keys, *chunk]).withColumns(
+        {
+            "was_recording": state("_state_before", head_then),
+            "admitted": state("_state", head_now),
+        }
+    )
+
 
+def _carried(rows: DataFrame, keys, chunk, chunks_window) -> DataFrame:
+    """Per chunk: when the clock of its head run started, and the state it begins in."""
     chunks = (
-        rows.groupBy(*keys, *CHUNK)
+        rows.groupBy(*keys, *chunk)
         .agg(
-            F.max_by("_out", order_key()).alias("_ends_out"),
-            F.bool_and("_out").alias("_all_out"),
+            F.max_by("gate_out", order_key()).alias("_ends_out"),
+            F.bool_and("gate_out").alias("_all_out"),
             F.max_by("_start", order_key()).alias("_end_start"),
             F.min("_t").alias("_first_t"),
             F.max(F.when(F.col("_head"), F.col("_t"))).alias("_head_t"),
             F.max_by("_state", order_key()).alias("_end_state"),
-            F.max("_dwell").alias("_chunk_dwell"),
-        )
-        .withColumn(
-            "_open", F.coalesce(F.lag("_ends_out").over(over_chunks(keys)), F.lit(False))
+            F.max("gate_dwell_us").alias("_dwell"),
         )
+        .withColumn("_open", F.coalesce(F.lag("_ends_out").over(chunks_window), F.lit(False)))
     )
     run_start = F.when(F.col("_all_out") & ~F.col("_open"), F.col("_first_t")).when(
         ~F.col("_all_out") & F.col("_ends_out"), F.col("_end_start")
     )
-    earlier = before(over_chunks(keys))
+    earlier = before(chunks_window)
+    open_since = F.last("_run_start", ignorenulls=True).over(earlier)
     chunks = chunks.withColumn("_run_start", run_start).withColumn(
-        "_clock",
-        F.coalesce(
-            F.when(F.col("_open"), F.last("_run_start", ignorenulls=True).over(earlier)),
-            F.col("_first_t"),
-        ),
+        "_clock", F.coalesce(F.when(F.col("_open"), open_since), F.col("_first_t"))
     )
-    stopped_at_head = F.when(F.col("_head_t") - F.col("_clock") >= F.col("_chunk_dwell"), False)
-    carried = chunks.withColumn("_left", F.coalesce("_end_state", stopped_at_head)).select(
+    stopped_at_head = F.when(F.col("_head_t") - F.col("_clock") >= F.col("_dwell"), False)
+    left = F.coalesce("_end_state", stopped_at_head)
+    return chunks.withColumn("_left", left).select(
         *keys,
-        *CHUNK,
+        *chunk,
         "_clock",
         "_head_t",
         F.coalesce(F.last("_left", ignorenulls=True).over(earlier), F.lit(True)).alias("_came"),
     )
 
-    def state(known: str, head_t: Column) -> Column:
-        timed_out = head_t - F.col("_clock") >= F.col("_dwell")
-        return F.coalesce(F.col(known), F.when(timed_out, False), F.col("_came"))
-
-    head_now = F.when(F.col("_head"), F.col("_t")).otherwise(F.col("_head_t"))
-    head_then = F.when(F.col("_head"), F.col("_t_before")).when(
-        F.col("_t_before").isNotNull(), F.col("_head_t")
-    )
-    return (
-        rows.join(carried, [*keys, *CHUNK])
-        .withColumns(
-            {
-                "was_recording": state("_state_before", head_then),
-                "admitted": state("_state", head_now),
-            }
-        )
-        .select(*df.columns, "was_recording", "admitted")
-    )
 
+def gate_transitions(gated: DataFrame, conversions: DataFrame) -> DataFrame:
+    """One row per change of state, with the bound crossed or the band re-entered.
 
-def gate_transitions(gated: DataFrame) -> DataFrame:
-    """One row per change of state, with the bound crossed or the band re-entered."""
+    The rules come from ``conversions`` and meet only the readings that changed state.
+    """
+    rules = conversions.select("channel", "revision", "sensor_id", "gate")
+    changed = gated.filter(F.col("admitted") != F.col("was_recording")).select(
+        "channel", "revision", "time", "seq", "value", "input_volts", "was_recording"
+    )
     value = subject()
     side = breach_side(value)
     crossed = F.concat_ws(
@@ -168,21 +188,23 @@ def gate_transitions(gated: DataFrame) -> DataFrame:
     floor = F.coalesce("gate.resume_above_text", "gate.below_text")
     ceiling = F.coalesce("gate.resume_below_text", "gate.above_text")
     band = F.concat_ws(
-        " and ",
-        F.concat(F.lit("above "), floor),
-        F.concat(F.lit("below "), ceiling),
+        " and ", F.concat(F.lit("above "), floor), F.concat(F.lit("below "), ceiling)
     )
     stopped = F.col("was_recording")
-    return gated.filter(F.col("admitted") != F.col("was_recording")).select(
-        "channel",
-        "sensor_id",
-        "time",
-        "seq",
-        F.when(stopped, "recording stopped").otherwise("recording resumed").alias("message"),
-        value.alias("value"),
-        F.when(stopped, crossed).otherwise(band).alias("limit"),
-        F.col("gate.unit").alias("unit"),
-    ).withColumn("value_text", F.expr(quantity_text("value", "unit", 4)))
+    return (
+        changed.join(rules, ["channel", "revision"])
+        .select(
+            "channel",
+            "sensor_id",
+            "time",
+            "seq",
+            F.when(stopped, "recording stopped").otherwise("recording resumed").alias("message"),
+            value.alias("value"),
+            F.when(stopped, crossed).otherwise(band).alias("limit"),
+            F.col("gate.unit").alias("unit"),
+        )
+        .withColumn("value_text", F.expr(quantity_text("value", "unit", 4)))
+    )
 
 
 def recording_gaps(transitions: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:

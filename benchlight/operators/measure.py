@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from benchlight.functions.text import format_reading, panel_unit
 from benchlight.operators.health import window_start
 from benchlight.operators.ordered import (
-    CHUNK,
     SPLIT_ROWS,
     before,
+    chunked_previous,
     in_chunk,
     order_key,
     over_chunks,
     so_far,
+    with_chunks,
     with_previous,
 )
 from benchlight.schema import CARRIER_HZ
@@ -232,20 +233,21 @@ def burst_average(
     out. A burst longer than the window gives one mean per window.
     """
     keys = [source]
-    rows = with_previous(samples, keys, ["channel"], "_before", split_rows, keep_chunks=True)
+    chunked, chunk = with_chunks(samples, keys, split_rows)
+    rows = chunked_previous(chunked, keys, chunk, ["channel"], "_before")
     switched = F.col("_before").isNull() | (F.col("_before.channel") != F.col("channel"))
     rows = rows.withColumn("_switch", F.when(switched, order_key()))
     latest = F.last("_switch", ignorenulls=True)
     carried = (
-        rows.groupBy(*keys, *CHUNK)
+        rows.groupBy(*keys, *chunk)
         .agg(F.max("_switch").alias("_last"))
-        .withColumn("_open", F.last("_last", ignorenulls=True).over(before(over_chunks(keys))))
+        .withColumn("_open", F.last("_last", ignorenulls=True).over(before(over_chunks(keys, chunk))))
         .drop("_last")
     )
-    began = F.coalesce(latest.over(so_far(in_chunk(keys))), F.col("_open"))
+    began = F.coalesce(latest.over(so_far(in_chunk(keys, chunk))), F.col("_open"))
     elapsed = F.unix_micros("time") - F.unix_micros("_began.time")
     return (
-        rows.join(carried, [*keys, *CHUNK])
+        rows.join(carried, [*keys, *chunk])
         .withColumn("_began", began)
         .filter(F.col("_switch").isNull())
         .groupBy(

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from benchlight.session import settle
@@ -24,30 +24,35 @@ from benchlight.session import settle
 # entries: half a million for 10^12 rows.
 SPLIT_ROWS = 2_000_000
 
-CHUNK = ["_chunk_time", "_chunk_seq"]
 ORDER = ["time", "seq"]
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Adds the two chunk columns; within a key they ascend with (time, seq).
+def with_chunks(
+    df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS
+) -> tuple[DataFrame, list[str]]:
+    """Adds chunk columns and names them; within a key they ascend with (time, seq).
 
     Counts rows per key and hour first, combined before the shuffle; only where some
-    hour is too full are its seconds counted too.
+    hour is too full are its seconds counted too, and only where some second is too
+    full is there a second chunk column.
     """
     hour, second = F.date_trunc("hour", "time"), F.date_trunc("second", "time")
-    chunk_time, chunk_seq = hour, F.lit(0).cast("bigint")
-    rows, full = _flagged(df, keys, hour, "_full_hour", split_rows)
-    if full:
-        chunk_time = F.when(F.col("_full_hour"), second).otherwise(hour)
-        rows, full = _flagged(rows, keys, second, "_full_second", split_rows, "_full_hour")
-    if full:
-        chunk_time = F.when(F.col("_full_second"), F.col("time")).otherwise(chunk_time)
-        chunk_seq = F.when(
-            F.col("_full_second"), F.floor(F.col("seq") / F.lit(split_rows))
-        ).otherwise(chunk_seq)
-    return rows.withColumns({CHUNK[0]: chunk_time, CHUNK[1]: chunk_seq}).drop(
-        "_full_hour", "_full_second"
+    rows, full_hours = _flagged(df, keys, hour, "_full_hour", split_rows)
+    if not full_hours:
+        return rows.withColumn("_chunk_time", hour), ["_chunk_time"]
+    chunk_time = F.when(F.col("_full_hour"), second).otherwise(hour)
+    rows, full_seconds = _flagged(rows, keys, second, "_full_second", split_rows, "_full_hour")
+    if not full_seconds:
+        return rows.withColumn("_chunk_time", chunk_time).drop("_full_hour"), ["_chunk_time"]
+    full = F.col("_full_second")
+    part = F.floor(F.col("seq") / F.lit(split_rows))
+    rows = rows.withColumns(
+        {
+            "_chunk_time": F.when(full, F.col("time")).otherwise(chunk_time),
+            "_chunk_seq": F.when(full, part).otherwise(F.lit(0).cast("bigint")),
+        }
     )
+    return rows.drop("_full_hour", "_full_second"), ["_chunk_time", "_chunk_seq"]
 
 
 def _flagged(
@@ -68,21 +73,21 @@ def _flagged(
     return df.withColumn("_slot", slot).join(marks, [*keys, "_slot"], "left").drop("_slot"), True
 
 
-def in_chunk(keys: Sequence[str]):
+def in_chunk(keys: Sequence[str], chunk: Sequence[str]) -> WindowSpec:
     """The window over one chunk, in order."""
-    return Window.partitionBy(*keys, *CHUNK).orderBy(*ORDER)
+    return Window.partitionBy(*keys, *chunk).orderBy(*ORDER)
 
 
-def over_chunks(keys: Sequence[str]):
+def over_chunks(keys: Sequence[str], chunk: Sequence[str]) -> WindowSpec:
     """The window over a key's chunks, in order; its input has a row per chunk."""
-    return Window.partitionBy(*keys).orderBy(*CHUNK)
+    return Window.partitionBy(*keys).orderBy(*chunk)
 
 
-def so_far(window):
+def so_far(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def before(window):
+def before(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -96,21 +101,26 @@ def with_previous(
     columns: Sequence[str],
     name: str = "previous",
     split_rows: int = SPLIT_ROWS,
-    keep_chunks: bool = False,
 ) -> DataFrame:
     """Adds the struct of ``columns`` of the row before, NULL on a key's first row."""
+    chunked, chunk = with_chunks(df, keys, split_rows)
+    return chunked_previous(chunked, keys, chunk, columns, name).drop(*chunk)
+
+
+def chunked_previous(
+    chunked: DataFrame, keys: Sequence[str], chunk: Sequence[str], columns: Sequence[str], name: str
+) -> DataFrame:
+    """``with_previous`` for rows that have their chunk columns already."""
     packed = F.struct(*columns)
-    chunked = with_chunks(df, keys, split_rows)
     carried = (
-        chunked.groupBy(*keys, *CHUNK)
+        chunked.groupBy(*keys, *chunk)
         .agg(F.max_by(packed, order_key()).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(over_chunks(keys)))
+        .withColumn("_carried", F.lag("_last").over(over_chunks(keys, chunk)))
         .drop("_last")
     )
-    result = (
-        chunked.withColumn("_previous", F.lag(packed).over(in_chunk(keys)))
-        .join(carried, [*keys, *CHUNK])
+    return (
+        chunked.withColumn("_previous", F.lag(packed).over(in_chunk(keys, chunk)))
+        .join(carried, [*keys, *chunk])
         .withColumn(name, F.coalesce("_previous", "_carried"))
         .drop("_previous", "_carried")
     )
-    return result if keep_chunks else result.drop(*CHUNK)

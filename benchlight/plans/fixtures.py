@@ -11,7 +11,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlight.operators.calibrate import as_points, calibrate, drop_non_finite
+from benchlight.operators.calibrate import (
+    as_points,
+    calibrate,
+    conversions,
+    drop_non_finite,
+    formula_texts,
+)
 from benchlight.schema import CALIBRATIONS
 from benchlight.sources.logs import labelled_logs
 
@@ -173,7 +179,10 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the demo channels, as a store would hand them out."""
-    valued = calibrate(event_readings(spark, sf_dir), demo_calibrations(spark))
+    calibrations = demo_calibrations(spark)
+    valued = calibrate(
+        event_readings(spark, sf_dir), conversions(calibrations), formula_texts(calibrations)
+    )
     return as_points(drop_non_finite(valued))
 
 

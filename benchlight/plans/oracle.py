@@ -85,7 +85,7 @@ gated AS (
     CASE channel WHEN 'A1' THEN v ELSE value END AS x,
     CASE channel WHEN 'A1' THEN (v < 0.1 OR v > 3.0) ELSE value < 30 END AS out,
     CASE channel WHEN 'A1' THEN (v > 0.1 AND v < 2.9) ELSE value > 60 END AS back,
-    CASE channel WHEN 'A1' THEN 7200 ELSE 3600 END AS dwell
+    CASE channel WHEN 'A1' THEN 7200 ELSE 3600 END::BIGINT AS dwell
   FROM points WHERE channel IN ('A1', 'A3')),
 walk(channel, rn, since, state, before) AS (
   SELECT channel, CAST(0 AS BIGINT), NULL::TIMESTAMP, true, true
@@ -286,6 +286,11 @@ FROM r WHERE value IS NOT NULL AND NOT isnan(value)""",
 ORACLES |= {
     "recording_gate": f"""{WALK} SELECT channel, seq, was_recording, admitted FROM verdict
 UNION ALL SELECT channel, seq, true, true FROM points WHERE channel NOT IN ('A1', 'A3')""",
+    "gated_points": f"""{WALK}, stored AS (
+  SELECT p.* FROM points p WHERE channel NOT IN ('A1', 'A2', 'A3')
+  UNION ALL SELECT p.* FROM points p JOIN verdict w ON w.seq = p.seq WHERE w.admitted)
+SELECT measurement, time, sensor_id, unit, round(value, 6) AS value,
+ CASE WHEN channel <> 'A4' THEN round(v, 6) END AS input_volts, seq FROM stored""",
     "gate_transitions": f"""{WALK} SELECT channel, sensor_id, time, seq, message,
  round(x, 6) AS value, "limit" FROM changes""",
     "transition_lines": f"""{WALK} SELECT seq, concat('level=info logger=gate msg="', message,

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchlight.operators.calibrate import LABELS, calibrate, drop_non_finite
-from benchlight.operators.gate import recording_gate
+from benchlight.operators.calibrate import (
+    LABELS,
+    as_points,
+    calibrate,
+    conversions,
+    drop_non_finite,
+    formula_texts,
+)
+from benchlight.operators.gate import EVENT_COLUMNS, gate_events, recording_gate
 from benchlight.operators.health import sensor_summary
 from benchlight.operators.ordered import SPLIT_ROWS
 from benchlight.session import settle
@@ -14,45 +21,46 @@ from benchlight.sources.wire import parse_wire, readings
 
 
 def gated_readings(
-    lines: DataFrame, calibrations: DataFrame, split_rows: int = SPLIT_ROWS
+    lines: DataFrame, conv: DataFrame, formulas: list[str], split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """Finite readings of calibrated channels with the gate's verdict."""
-    return _gated(_valued(lines, calibrations), split_rows)
+    return _gated(_valued(lines, conv, formulas), split_rows)
 
 
-def _valued(lines: DataFrame, calibrations: DataFrame) -> DataFrame:
-    """Calibrated readings, written once: the gate reads them more than once."""
-    return settle(
-        calibrate(
-            readings(parse_wire(lines)).drop("line"),
-            calibrations,
-            carry=["revision", *LABELS, "gate"],
-        )
+def _valued(lines: DataFrame, conv: DataFrame, formulas: list[str]) -> DataFrame:
+    """Calibrated readings with their gate events, written once for the passes to come."""
+    valued = calibrate(
+        readings(parse_wire(lines)).drop("line"), conv, formulas, carry=["revision", "gate"]
     )
+    return settle(gate_events(valued))
 
 
 def _gated(valued: DataFrame, split_rows: int) -> DataFrame:
     return recording_gate(drop_non_finite(valued), split_rows=split_rows)
 
 
-def outcomes(valued: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """What the summary counts: readings written, and readings skipped."""
-    needed = valued.select(
-        "channel", "time", "seq", "sensor_id", "value", "input_volts", "gate", "finite"
-    )
-    written = _gated(needed, split_rows).filter("admitted").withColumn("written", F.lit(True))
-    skipped = needed.filter(~F.col("finite")).withColumn("written", F.lit(False))
-    columns = ["time", "sensor_id", "written"]
-    return written.select(columns).unionByName(skipped.select(columns))
+def gated_points(
+    lines: DataFrame, calibrations: DataFrame, split_rows: int = SPLIT_ROWS
+) -> DataFrame:
+    """Raw lines to the points a store keeps: parsed, calibrated, finite, admitted."""
+    conv = conversions(calibrations)
+    gated = gated_readings(lines, conv, formula_texts(calibrations), split_rows)
+    labels = conv.select("channel", "revision", *LABELS)
+    return as_points(gated.filter("admitted").join(labels, ["channel", "revision"]))
 
 
 def summarise(
     lines: DataFrame, calibrations: DataFrame, every: str, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """Readings and skips per declared sensor and window, from raw lines."""
+    conv = conversions(calibrations)
+    valued = _valued(lines, conv, formula_texts(calibrations))
+    needed = valued.select("channel", "revision", "time", "seq", "finite", *EVENT_COLUMNS)
+    columns = ["channel", "revision", "time", "written"]
+    written = _gated(needed, split_rows).filter("admitted").withColumn("written", F.lit(True))
+    skipped = needed.filter(~F.col("finite")).withColumn("written", F.lit(False))
+    outcomes = written.select(columns).unionByName(skipped.select(columns))
+    sensors = conv.select("channel", "revision", "sensor_id")
     return sensor_summary(
-        outcomes(_valued(lines, calibrations), split_rows),
-        calibrations.select("sensor_id"),
-        lines.select("time"),
-        every,
+        outcomes.join(sensors, ["channel", "revision"]), sensors, lines.select("time"), every
     )

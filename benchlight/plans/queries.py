@@ -33,6 +33,12 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+def _calibrate(readings: DataFrame, calibrations: DataFrame) -> DataFrame:
+    return cal.calibrate(
+        readings, cal.conversions(calibrations), cal.formula_texts(calibrations)
+    )
+
+
 # --- wire lines -------------------------------------------------------------------
 
 
@@ -64,7 +70,7 @@ def raw_to_voltage(spark, sf):
 def _channel_values(spark, sf, *channels: str) -> DataFrame:
     readings = wire.readings(wire.parse_wire(fx.wire_lines(spark, sf)))
     chosen = readings.filter(F.col("channel").isin(*channels))
-    valued = cal.calibrate(chosen, fx.demo_calibrations(spark))
+    valued = _calibrate(chosen, fx.demo_calibrations(spark))
     return valued.select("channel", "seq", "unit", F.round("value", 6).alias("value"))
 
 
@@ -91,7 +97,7 @@ def calibrate_spline(spark, sf):
 @query
 def calibrate_expression(spark, sf):
     readings = wire.readings(wire.parse_wire(fx.wire_lines(spark, sf)))
-    valued = cal.calibrate(
+    valued = _calibrate(
         readings.filter(F.col("channel") == "A2"), fx.demo_calibrations(spark)
     )
     return valued.select("seq", "unit", F.round(F.log10("value"), 6).alias("log_value"))
@@ -110,7 +116,7 @@ def uncalibrated_channels(spark, sf):
 @query
 def calibrated_points(spark, sf):
     readings = wire.readings(wire.parse_wire(fx.wire_lines(spark, sf)))
-    valued = cal.drop_non_finite(cal.calibrate(readings, fx.demo_calibrations(spark)))
+    valued = cal.drop_non_finite(_calibrate(readings, fx.demo_calibrations(spark)))
     points = cal.as_points(valued).filter("measurement <> 'pressure'")
     return _rounded(points.drop("tags", "calibration_id"), value=6, input_volts=6)
 
@@ -133,7 +139,7 @@ def _awkward_values(spark, sf) -> DataFrame:
         }
         for i, text in enumerate(["log(v - 1.0)", "1/(v - v)", "sqrt(v - 2)", "10**(900*v)", "v"])
     ]
-    return cal.calibrate(fx.event_readings(spark, sf), fx.calibrations(spark, rows))
+    return _calibrate(fx.event_readings(spark, sf), fx.calibrations(spark, rows))
 
 
 @query
@@ -188,7 +194,7 @@ def validate_calibration_table(spark, sf):
 
 
 def _revised_points(spark, sf) -> DataFrame:
-    valued = cal.calibrate(fx.event_readings(spark, sf), fx.revised_calibrations(spark))
+    valued = _calibrate(fx.event_readings(spark, sf), fx.revised_calibrations(spark))
     return cal.as_points(cal.drop_non_finite(valued))
 
 
@@ -239,25 +245,41 @@ def convert_to_watts(spark, sf):
 # --- gate and health --------------------------------------------------------------
 
 
-def _gated(spark, sf) -> DataFrame:
-    return pipeline.gated_readings(fx.wire_lines(spark, sf), fx.demo_calibrations(spark))
+def _gated(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The demo chain up to the gate, and the conversions it used."""
+    calibrations = fx.demo_calibrations(spark)
+    conv = cal.conversions(calibrations)
+    lines = fx.wire_lines(spark, sf)
+    return pipeline.gated_readings(lines, conv, cal.formula_texts(calibrations)), conv
 
 
 @query
 def recording_gate(spark, sf):
-    return _gated(spark, sf).select("channel", "seq", "was_recording", "admitted")
+    gated, _ = _gated(spark, sf)
+    return gated.select("channel", "seq", "was_recording", "admitted")
+
+
+@query
+def gated_points(spark, sf):
+    """The whole chain, from lines to what a store keeps."""
+    points = pipeline.gated_points(fx.wire_lines(spark, sf), fx.demo_calibrations(spark))
+    return _rounded(
+        points.filter("measurement <> 'pressure'").drop("tags", "calibration_id"),
+        value=6,
+        input_volts=6,
+    )
 
 
 @query
 def gate_transitions(spark, sf):
-    found = gate.gate_transitions(_gated(spark, sf))
+    found = gate.gate_transitions(*_gated(spark, sf))
     return _rounded(found.drop("unit", "value_text"), value=6)
 
 
 @query
 def transition_lines(spark, sf):
     """Transitions as the log lines that report them."""
-    found = gate.gate_transitions(_gated(spark, sf))
+    found = gate.gate_transitions(*_gated(spark, sf))
     line = to_logfmt(
         {"level": F.lit("info"), "logger": F.lit("gate"), "msg": F.col("message")},
         {"sensor_id": F.col("sensor_id"), "limit": F.col("limit"), "value": F.col("value_text")},
@@ -267,7 +289,7 @@ def transition_lines(spark, sf):
 
 @query
 def recording_gaps(spark, sf):
-    return _rounded(gate.recording_gaps(gate.gate_transitions(_gated(spark, sf))), duration_s=3)
+    return _rounded(gate.recording_gaps(gate.gate_transitions(*_gated(spark, sf))), duration_s=3)
 
 
 SUMMARY = "6 hours"
@@ -382,7 +404,7 @@ def downsample(spark, sf):
 @query
 def downsample_scale(spark, sf):
     """The larger table by month of shipping."""
-    valued = cal.calibrate(
+    valued = _calibrate(
         fx.scale_readings(spark, sf).filter("channel IN ('A1', 'A3', 'A4')"),
         fx.demo_calibrations(spark),
     )
@@ -480,7 +502,7 @@ def series_wide(spark, sf):
 
 @query
 def last_write_wins(spark, sf):
-    valued = cal.calibrate(
+    valued = _calibrate(
         fx.derive(spark, sf, fx.REWRITTEN_SQL).filter("channel IN ('A1', 'A3', 'A4', 'A5')"),
         fx.demo_calibrations(spark),
     )
