@@ -13,6 +13,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchlight.session import literal_rows
+
 # --- fixed values: exponents of (metre, kilogram, second, ampere, kelvin) ----
 _PREFIXABLE = {
     # symbol: (name, scale to SI, exponents)
@@ -88,8 +90,10 @@ def _scaled(scale: float, power: float) -> float:
 
 def units_table(spark: SparkSession) -> DataFrame:
     """The units as rows, for joins against large tables."""
-    return spark.createDataFrame(
-        [(a, b, c, list(d), e) for a, b, c, d, e in unit_rows()],
+    names = ("spelling", "symbol", "scale", "dims", "offset_unit")
+    return literal_rows(
+        spark,
+        [dict(zip(names, row)) for row in unit_rows()],
         "spelling string, symbol string, scale double, dims array<int>, offset_unit boolean",
     )
 

@@ -85,18 +85,36 @@ def recording_gate(
     is dropped. Channels without one pass through without a shuffle. The input is read
     several times, so settle it if it is costly.
     """
+    return gate_step(valued, None, keys, split_rows)[0]
+
+
+def gate_step(
+    valued: DataFrame,
+    state: DataFrame | None,
+    keys: tuple[str, ...] = ("channel",),
+    split_rows: int = SPLIT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """The gate from a given state: the verdicts, and the state they leave behind.
+
+    A state has one row per gated channel: ``recording`` and, while a run of breaching
+    readings is open, its start in microseconds as ``clock``.
+    """
     events = gate_events(valued) if "gate" in valued.columns else valued
     kept = [c for c in events.columns if c not in EVENT_COLUMNS]
     free = events.filter(F.col("gate_dwell_us").isNull()).select(
         *kept, F.lit(True).alias("was_recording"), F.lit(True).alias("admitted")
     )
-    gated = _gated(events.filter(F.col("gate_dwell_us").isNotNull()), keys, split_rows)
-    return gated.select(*kept, "was_recording", "admitted").unionByName(free)
+    gated, left = _gated(
+        events.filter(F.col("gate_dwell_us").isNotNull()), state, list(keys), split_rows
+    )
+    return gated.select(*kept, "was_recording", "admitted").unionByName(free), left
 
 
-def _gated(df: DataFrame, keys: tuple[str, ...], split_rows: int) -> DataFrame:
+def _gated(
+    df: DataFrame, state: DataFrame | None, keys: list[str], split_rows: int
+) -> tuple[DataFrame, DataFrame]:
     rows, chunk = with_chunks(df, keys, split_rows)
-    window, chunks_window = in_chunk(keys, chunk), over_chunks(keys, chunk)
+    window = in_chunk(keys, chunk)
     out, t = F.col("gate_out"), F.col("_t")
     rows = rows.withColumn("_t", F.unix_micros("time")).withColumn(
         "_after_out", F.lag("gate_out").over(window)
@@ -117,9 +135,9 @@ def _gated(df: DataFrame, keys: tuple[str, ...], split_rows: int) -> DataFrame:
             "_t_before": F.lag("_t").over(window),
         }
     )
-    carried = _carried(rows, keys, chunk, chunks_window)
+    chunks = _chunk_table(rows, state, keys, chunk)
 
-    def state(known: str, head_t: Column) -> Column:
+    def verdict(known: str, head_t: Column) -> Column:
         timed_out = head_t - F.col("_clock") >= F.col("gate_dwell_us")
         return F.coalesce(F.col(known), F.when(timed_out, False), F.col("_came"))
 
@@ -127,46 +145,69 @@ def _gated(df: DataFrame, keys: tuple[str, ...], split_rows: int) -> DataFrame:
     head_then = F.when(F.col("_head"), F.col("_t_before")).when(
         F.col("_t_before").isNotNull(), F.col("_head_t")
     )
-    return rows.join(carried, [*keys, *chunk]).withColumns(
+    carried = chunks.select(*keys, *chunk, "_clock", "_head_t", "_came")
+    gated = rows.join(carried, [*keys, *chunk]).withColumns(
         {
-            "was_recording": state("_state_before", head_then),
-            "admitted": state("_state", head_now),
+            "was_recording": verdict("_state_before", head_then),
+            "admitted": verdict("_state", head_now),
         }
     )
+    return gated, _state_left(chunks, state, keys, chunk)
 
 
-def _carried(rows: DataFrame, keys, chunk, chunks_window) -> DataFrame:
+def _chunk_table(
+    rows: DataFrame, state: DataFrame | None, keys: list[str], chunk: list[str]
+) -> DataFrame:
     """Per chunk: when the clock of its head run started, and the state it begins in."""
-    chunks = (
-        rows.groupBy(*keys, *chunk)
-        .agg(
-            F.max_by("gate_out", order_key()).alias("_ends_out"),
-            F.bool_and("gate_out").alias("_all_out"),
-            F.max_by("_start", order_key()).alias("_end_start"),
-            F.min("_t").alias("_first_t"),
-            F.max(F.when(F.col("_head"), F.col("_t"))).alias("_head_t"),
-            F.max_by("_state", order_key()).alias("_end_state"),
-            F.max("gate_dwell_us").alias("_dwell"),
-        )
-        .withColumn("_open", F.coalesce(F.lag("_ends_out").over(chunks_window), F.lit(False)))
+    window = over_chunks(keys, chunk)
+    earlier = before(window)
+    chunks = rows.groupBy(*keys, *chunk).agg(
+        F.max_by("gate_out", order_key()).alias("_ends_out"),
+        F.bool_and("gate_out").alias("_all_out"),
+        F.max_by("_start", order_key()).alias("_end_start"),
+        F.min("_t").alias("_first_t"),
+        F.max(F.when(F.col("_head"), F.col("_t"))).alias("_head_t"),
+        F.max_by("_state", order_key()).alias("_end_state"),
+        F.max("gate_dwell_us").alias("_dwell"),
     )
+    if state is None:
+        chunks = chunks.withColumns(
+            {"recording": F.lit(True), "clock": F.lit(None).cast("bigint")}
+        )
+    else:
+        chunks = chunks.join(state, keys, "left")
+    open_before = F.coalesce(F.lag("_ends_out").over(window), F.col("clock").isNotNull())
+    chunks = chunks.withColumn("_open", open_before)
     run_start = F.when(F.col("_all_out") & ~F.col("_open"), F.col("_first_t")).when(
         ~F.col("_all_out") & F.col("_ends_out"), F.col("_end_start")
     )
-    earlier = before(chunks_window)
-    open_since = F.last("_run_start", ignorenulls=True).over(earlier)
-    chunks = chunks.withColumn("_run_start", run_start).withColumn(
+    chunks = chunks.withColumn("_run_start", run_start)
+    open_since = F.coalesce(F.last("_run_start", ignorenulls=True).over(earlier), F.col("clock"))
+    chunks = chunks.withColumn(
         "_clock", F.coalesce(F.when(F.col("_open"), open_since), F.col("_first_t"))
     )
     stopped_at_head = F.when(F.col("_head_t") - F.col("_clock") >= F.col("_dwell"), False)
-    left = F.coalesce("_end_state", stopped_at_head)
-    return chunks.withColumn("_left", left).select(
-        *keys,
-        *chunk,
-        "_clock",
-        "_head_t",
-        F.coalesce(F.last("_left", ignorenulls=True).over(earlier), F.lit(True)).alias("_came"),
+    chunks = chunks.withColumn("_left", F.coalesce("_end_state", stopped_at_head))
+    came = F.coalesce(
+        F.last("_left", ignorenulls=True).over(earlier), F.col("recording"), F.lit(True)
+    )
+    return chunks.withColumn("_came", came)
+
+
+def _state_left(
+    chunks: DataFrame, state: DataFrame | None, keys: list[str], chunk: list[str]
+) -> DataFrame:
+    """The state after the last chunk of each key; keys without rows keep theirs."""
+    clock = F.when(
+        F.col("_ends_out"), F.when(F.col("_all_out"), F.col("_clock")).otherwise(F.col("_end_start"))
+    )
+    end = F.struct(F.coalesce("_left", "_came").alias("recording"), clock.alias("clock"))
+    now = (
+        chunks.groupBy(*keys)
+        .agg(F.max_by(end, F.struct(*chunk)).alias("_end"))
+        .select(*keys, "_end.recording", "_end.clock")
     )
+    return now if state is None else now.unionByName(state.join(now, keys, "left_anti"))
 
 
 def gate_transitions(gated: DataFrame, conversions: DataFrame) -> DataFrame:

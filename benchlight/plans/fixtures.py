@@ -18,7 +18,8 @@ from benchlight.operators.calibrate import (
     drop_non_finite,
     formula_texts,
 )
-from benchlight.schema import CALIBRATIONS
+from benchlight.schema import CALIBRATIONS, GATE_TYPE
+from benchlight.session import literal_rows
 from benchlight.sources.logs import labelled_logs
 
 # Wire lines out of `events`: mostly good, some malformed in every way text can be.
@@ -157,11 +158,7 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register the named tables as temporary views, times read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in names:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        naive = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
-        df.withColumns({c: F.col(c).cast("timestamp") for c in naive}).createOrReplaceTempView(
-            name
-        )
+        _in_utc(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(name)
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -169,6 +166,22 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace('"offset"', "`offset`"))
 
 
+def derive_stream(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The same derivation over the table as a stream of its files."""
+    table = sql.rsplit("FROM", 1)[1].split()[0]
+    load(spark, sf_dir, table)
+    still = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    files = spark.readStream.schema(still.schema).parquet(f"{sf_dir}/{table}.parquet*")
+    view = f"{table}_stream"
+    _in_utc(files).createOrReplaceTempView(view)
+    return spark.sql(sql.replace(f"FROM {table}", f"FROM {view}"))
+
+
+def _in_utc(df: DataFrame) -> DataFrame:
+    naive = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
+
+
 def wire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, LINES_SQL)
 
@@ -213,6 +226,10 @@ GATE_RAIL = {
 }
 
 
+def points(*pairs: tuple[float, float]) -> list[dict]:
+    return [{"volts": volts, "value": value} for volts, value in pairs]
+
+
 def demo_rows() -> list[dict]:
     """Seven calibrated channels, one or more per mode; A7 has none."""
     base = {"revision": 1, "effective_from": None}
@@ -221,7 +238,7 @@ def demo_rows() -> list[dict]:
         base | {
             "channel": "A0", "sensor_id": "cryo-diode", "measurement": "temperature",
             "mode": "piecewise_linear", "value_unit": "kelvin", "provenance": by,
-            "points": [(0.5, 300.0), (1.0, 100.0), (1.15, 40.0), (1.3, 2.0)],
+            "points": points((0.5, 300.0), (1.0, 100.0), (1.15, 40.0), (1.3, 2.0)),
         },
         base | {
             "channel": "A1", "sensor_id": "bias-monitor", "measurement": "voltage",
@@ -249,35 +266,17 @@ def demo_rows() -> list[dict]:
         base | {
             "channel": "A6", "sensor_id": "ntc-1", "measurement": "temperature",
             "mode": "spline", "value_unit": "K",
-            "points": [
+            "points": points(
                 (3.3, 273.15), (2.78, 283.15), (2.12, 293.15),
                 (1.4, 308.15), (0.72, 328.15), (0.18, 353.15),
-            ],
+            ),
         },
     ]
 
 
 def calibrations(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Calibration rows as a table; keys left out are NULL."""
-    names = [part.name for part in _calibration_fields()]
-    gate_names = _calibration_fields()["gate"].dataType.names
-
-    def gate(rule: dict | None):
-        return None if rule is None else tuple(rule.get(name) for name in gate_names)
-
-    return spark.createDataFrame(
-        [
-            tuple(gate(row.get(n)) if n == "gate" else row.get(n) for n in names)
-            for row in rows
-        ],
-        CALIBRATIONS,
-    ).coalesce(1)
-
-
-def _calibration_fields():
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(CALIBRATIONS)
+    return literal_rows(spark, rows, CALIBRATIONS)
 
 
 def demo_calibrations(spark: SparkSession) -> DataFrame:
@@ -312,10 +311,9 @@ def part_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
                i -> cast(struct(3D - 0.5D * i, top + i * i) as {point})) END
         """
     )
-    gate_type = _calibration_fields()["gate"].dataType.simpleString()
     gate = F.expr(
         f"""
-        CASE WHEN defect NOT BETWEEN 12 AND 20 THEN CAST(NULL AS {gate_type}) ELSE
+        CASE WHEN defect NOT BETWEEN 12 AND 20 THEN CAST(NULL AS {GATE_TYPE}) ELSE
         CAST(named_struct(
           'below', IF(defect IN (12, 13), NULL, 1D), 'below_unit', 'V',
           'above', IF(defect = 12, NULL, 3D),
@@ -326,7 +324,7 @@ def part_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
           'resume_below', CASE WHEN defect = 17 THEN 3.2D WHEN defect = 18 THEN 2900D END,
           'resume_below_unit', IF(defect = 18, 'mV', 'V'),
           'dwell', 1D, 'dwell_unit', IF(defect = 19, 'm', 'min'),
-          'raw_voltage', true) AS {gate_type}) END
+          'raw_voltage', true) AS {GATE_TYPE}) END
         """
     )
     return derived.select(

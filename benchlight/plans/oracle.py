@@ -467,3 +467,21 @@ WHERE epoch_us(gap_end) - epoch_us(gap_start) > 7200000000 AND ({_WARN} OR {_ERR
     "logfmt_tokens": r"""SELECT doc_id, 2 AS pairs, true AS same,
  text = '' OR regexp_matches(text, '[ "=]|[\p{C}\p{Z}]') AS quoted, false AS broken FROM documents""",
 }
+
+# --- streams ---------------------------------------------------------------------------
+
+ORACLES |= {
+    "calibrated_points_stream": ORACLES["calibrated_points"],
+    "recording_gate_stream": ORACLES["recording_gate"],
+    "readings_summary_stream": f"""{FROM_LINES},
+ticks AS (SELECT DISTINCT {_slot("time", 21600)} AS window_start FROM lines),
+n AS (SELECT sensor_id, {_slot("time", 21600)} AS window_start, count(*) AS readings FROM points GROUP BY ALL)
+SELECT t.window_start, d.sensor_id, coalesce(n.readings, 0) AS readings, 0 AS skipped, 21600 AS window_s
+FROM ticks t CROSS JOIN (VALUES ('cryo-diode'), ('bias-monitor'), ('pirani-1'), ('laser-1'),
+                          ('beam-x'), ('beam-y'), ('ntc-1')) d(sensor_id)
+LEFT JOIN n ON n.window_start = t.window_start AND n.sensor_id = d.sensor_id""",
+    "uncalibrated_channels_stream": f"""WITH {PARSED} SELECT channel, min(time) AS first_time,
+ arg_min(seq, (time, seq)) AS first_seq FROM good WHERE channel > 'A6' GROUP BY channel""",
+    "log_volume_stream": ORACLES["log_volume"],
+    "skipped_by_sensor_stream": ORACLES["skipped_by_sensor"],
+}

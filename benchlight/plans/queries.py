@@ -18,7 +18,9 @@ from benchlight.operators import gate, health, loglines, measure
 from benchlight.operators.checks import validate_calibrations
 from benchlight.plans import fixtures as fx
 from benchlight.plans import pipeline
+from benchlight.session import literal_rows, shared_folder
 from benchlight.sources import logs, physical, store, wire
+from benchlight.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -312,7 +314,7 @@ def silent_sensors(spark, sf):
 
 
 def _names(spark, *names: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    return literal_rows(spark, [{"name": n} for n in names], "name string")
 
 
 @query
@@ -678,3 +680,83 @@ def logfmt_tokens(spark, sf):
         F.substring("token", 1, 1).eqNullSafe('"').alias("quoted"),
         F.col("token").contains("\n").alias("broken"),
     )
+
+
+# --- streams: the same answers over micro-batches ---------------------------------
+
+
+def _stream_lines(spark, sf) -> DataFrame:
+    return fx.derive_stream(spark, sf, fx.LINES_SQL)
+
+
+def _stream_valued(spark, sf, *carry: str) -> DataFrame:
+    calibrations = fx.demo_calibrations(spark)
+    return stream.stream_calibrate(
+        _stream_lines(spark, sf),
+        cal.conversions(calibrations),
+        cal.formula_texts(calibrations),
+        carry=list(carry),
+    )
+
+
+@query
+def calibrated_points_stream(spark, sf):
+    """Lines through a streaming sink into the store, and back."""
+    folder = shared_folder(spark)
+    valued = _stream_valued(spark, sf, "revision", *cal.LABELS)
+    points = cal.as_points(cal.drop_non_finite(valued))
+    stream.stream_points_sink(points, f"{folder}/points", f"{folder}/log").awaitTermination()
+    stored = store.scan_points(spark, f"{folder}/points").filter("measurement <> 'pressure'")
+    return _rounded(stored.drop("tags", "calibration_id", "date"), value=6, input_volts=6)
+
+
+@query
+def recording_gate_stream(spark, sf):
+    folder = shared_folder(spark)
+    valued = _stream_valued(spark, sf, "gate")
+    stream.stream_gate(valued, f"{folder}/gated", f"{folder}/log").awaitTermination()
+    gated = spark.read.parquet(f"{folder}/gated")
+    return gated.select("channel", "seq", "was_recording", "admitted")
+
+
+@query
+def readings_summary_stream(spark, sf):
+    """Readings per sensor and window as they come, without the gate."""
+    folder = shared_folder(spark)
+    valued = _stream_valued(spark, sf, "sensor_id")
+    outcomes = valued.select("time", "sensor_id", F.col("finite").alias("written"))
+    counts = stream.stream_summary(
+        outcomes,
+        _stream_lines(spark, sf).select("time"),
+        [row["sensor_id"] for row in fx.demo_rows()],
+        SUMMARY,
+    )
+    stream.stream_updates(counts, f"{folder}/counts", f"{folder}/log").awaitTermination()
+    return stream.current_counts(spark, f"{folder}/counts", ["window_start", "sensor_id"])
+
+
+@query
+def uncalibrated_channels_stream(spark, sf):
+    folder = shared_folder(spark)
+    readings = wire.readings(wire.parse_wire(_stream_lines(spark, sf)))
+    strangers = readings.filter(~F.col("channel").isin([r["channel"] for r in fx.demo_rows()]))
+    stream.stream_warn_once(strangers, f"{folder}/warned", f"{folder}/log").awaitTermination()
+    return stream.latest_version(spark, f"{folder}/warned")
+
+
+@query
+def log_volume_stream(spark, sf):
+    folder = shared_folder(spark)
+    found = logs.labelled_logs(fx.derive_stream(spark, sf, fx.LOGS_SQL))
+    counts = stream.stream_log_volume(found, SUMMARY)
+    stream.stream_updates(counts, f"{folder}/counts", f"{folder}/log").awaitTermination()
+    return stream.current_counts(spark, f"{folder}/counts", ["step", "level"])
+
+
+@query
+def skipped_by_sensor_stream(spark, sf):
+    folder = shared_folder(spark)
+    found = logs.labelled_logs(fx.derive_stream(spark, sf, fx.LOGS_SQL))
+    counts = stream.stream_skipped(found, SUMMARY)
+    stream.stream_updates(counts, f"{folder}/counts", f"{folder}/log").awaitTermination()
+    return stream.current_counts(spark, f"{folder}/counts", ["step", "sensor_id"])

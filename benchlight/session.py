@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "benchlight") -> SparkSession:
@@ -52,3 +54,17 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A handful of configuration rows as a constant of the plan; keys left out are NULL."""
+    text = json.dumps(rows, default=str)
+    parsed = F.from_json(F.lit(text), f"array<struct<{_as_struct(schema)}>>")
+    return spark.range(1).select(F.inline(parsed))
+
+
+def _as_struct(schema: str) -> str:
+    """``name type, …`` spelled as the fields of a struct type."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
