@@ -10,7 +10,7 @@ def significant(x: str, digits: int = 4) -> str:
     """SQL for ``x`` at a number of significant digits, as C's ``%.<digits>g`` prints it.
 
     The JVM's own ``%g`` keeps trailing zeros and switches to an exponent elsewhere,
-    so the two spellings are put together here.
+    so the two spellings are put together here. A decimal tie is rounded up.
     """
     scientific = f"format_string('%.{digits - 1}e', {x})"
     exponent = f"CAST(split_part({scientific}, 'e', 2) AS INT)"
