@@ -41,10 +41,9 @@ def quantity_text(magnitude: str, unit: str, digits: int = 12) -> str:
 
 # One pair: a key, then either a quoted value or a bare one. The quantifiers are
 # possessive, so a long quoted value costs no stack. A key starts the line or
-# follows white space.
+# follows white space; matching goes on after a value, so a pair inside one is not
+# taken for a pair of the line.
 _PAIR = r'(?<![^\s])([^\s="]+)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s"]*+)(?!\S)'
-# Lexed together with quoted text standing on its own, so that pairs inside a
-# value are never taken for pairs of the line.
 _HEX = r"x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}"
 _PIECE = r"(?s)(\\(?:" + _HEX + r"|.)|[^\\]++)"
 
@@ -54,21 +53,35 @@ def logfmt_fields(line: Column) -> Column:
 
     Plain text without pairs gives an empty map.
     """
-    keys = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1))
-    values = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2))
-    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(
-        F.transform(first, lambda p: F.struct(p["key"], unquote(p["value"])))
-    )
+    keys = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1)).alias("keys")
+    values = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)).alias("values")
+
+    def as_map(found: Column) -> Column:
+        keys, values = found["keys"], found["values"]
+        pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
+        first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+        return F.when(
+            F.size(F.array_distinct(keys)) == F.size(keys),
+            F.map_from_arrays(keys, F.transform(values, unquote)),
+        ).otherwise(
+            F.map_from_entries(
+                F.transform(first, lambda p: F.struct(p["key"], unquote(p["value"])))
+            )
+        )
+
+    # Through a list of one, so that the matches are found once and then named.
+    return F.get(F.transform(F.array(F.struct(keys, values)), as_map), F.lit(0))
 
 
 def unquote(token: Column) -> Column:
     """The value a logfmt token stands for."""
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    # Most escapes are of quotes alone; taking those out is one pass.
+    simple = F.replace(inner, F.lit('\\"'), F.lit('"'))
     return (
         F.when(~token.startswith('"'), token)
         .when(~inner.contains("\\"), inner)
+        .when(~inner.contains("\\\\") & ~simple.contains("\\"), simple)
         .otherwise(_unescape(inner))
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchlight.functions.staged import staged
 from benchlight.functions.text import logfmt_fields
 from benchlight.schema import ERROR_LEVELS, LOG_RECORDS, WARN_LEVELS
 
@@ -43,8 +44,8 @@ def relabel(records: DataFrame, unit_prefix: str = "telemetry-") -> DataFrame:
 
 
 def parse_logfmt(logs: DataFrame) -> DataFrame:
-    """Adds the ``fields`` map of each line."""
-    return logs.withColumn("fields", logfmt_fields(F.col("line")))
+    """Adds the ``fields`` map of each line, parsed once however often it is used."""
+    return staged(logs, {"fields": logfmt_fields(F.col("line"))})
 
 
 def promote_labels(logs: DataFrame) -> DataFrame:
