@@ -14,6 +14,7 @@ from benchlight.operators.ordered import (
     before,
     chunked_previous,
     in_chunk,
+    last_key,
     order_key,
     over_chunks,
     so_far,
@@ -88,9 +89,11 @@ def last_write_wins(points: DataFrame) -> DataFrame:
     if "tags" in points.columns:
         rows = rows.withColumn("_tags", F.array_sort(F.map_entries("tags")))
         keys.append("_tags")
-    kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("seq")).alias("_last"))
-    tags = [F.map_from_entries("_tags").alias("tags")] if "tags" in points.columns else []
-    return kept.select(*named, "_last.*", *tags).select(*points.columns)
+    # Column by column: numbers stay in fixed buffers and the groups are hashed.
+    kept = rows.groupBy(*keys).agg(*[F.max_by(c, "seq").alias(c) for c in rest])
+    if "tags" in points.columns:
+        kept = kept.withColumn("tags", F.map_from_entries("_tags"))
+    return kept.select(*points.columns)
 
 
 # --- series ---------------------------------------------------------------------
@@ -105,7 +108,7 @@ def downsample(points: DataFrame, step: str) -> DataFrame:
             F.min("value").alias("min_value"),
             F.max("value").alias("max_value"),
             F.count("value").alias("readings"),
-            F.max_by("value", order_key()).alias("last_value"),
+            F.max_by("value", last_key()).alias("last_value"),
         )
     )
 
@@ -150,7 +153,7 @@ def xy_pairs(points: DataFrame, x: str, y: str, step: str = "1 second") -> DataF
 
 def _last_of(sensor: str) -> Column:
     mine = F.col("sensor_id") == sensor
-    return F.max_by(F.when(mine, F.col("value")), F.when(mine, order_key()))
+    return F.max_by(F.when(mine, F.col("value")), F.when(mine, last_key()))
 
 
 def latest_pair(pairs: DataFrame) -> DataFrame:

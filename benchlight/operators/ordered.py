@@ -95,6 +95,18 @@ def order_key() -> Column:
     return F.struct(*ORDER)
 
 
+def last_key() -> Column:
+    """(time, seq) as one number, for the last value of a group.
+
+    Its buffer is of fixed size, so the groups are hashed; a struct would make every
+    task sort its rows first.
+    """
+    return F.expr(
+        "CAST(unix_micros(time) AS DECIMAL(19, 0))"
+        " * CAST(10000000000000000000 AS DECIMAL(20, 0)) + CAST(seq AS DECIMAL(19, 0))"
+    )
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -114,9 +126,10 @@ def chunked_previous(
     packed = F.struct(*columns)
     carried = (
         chunked.groupBy(*keys, *chunk)
-        .agg(F.max_by(packed, order_key()).alias("_last"))
+        .agg(*[F.max_by(c, last_key()).alias(f"_last_{c}") for c in columns])
+        .withColumn("_last", F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns]))
         .withColumn("_carried", F.lag("_last").over(over_chunks(keys, chunk)))
-        .drop("_last")
+        .select(*keys, *chunk, "_carried")
     )
     return (
         chunked.withColumn("_previous", F.lag(packed).over(in_chunk(keys, chunk)))
