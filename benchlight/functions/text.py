@@ -32,9 +32,17 @@ def _without_zeros(text: str) -> str:
     return f"regexp_replace({text}, '(?<=\\\\.[0-9]{{0,20}})0+$|\\\\.0*$', '')"
 
 
-def quantity_text(magnitude: str, unit: str, digits: int = 12) -> str:
-    """SQL for ``1 mW``, ``2.5 V``: a quantity as it is read in a log line."""
-    return f"rtrim(concat_ws(' ', {significant(magnitude, digits)}, {unit}))"
+def quantity_text(magnitude: str, unit: str, digits: int | None = None) -> str:
+    """SQL for ``1 mW``, ``2.5 V``: a quantity as it is read in a log line.
+
+    Without ``digits`` the number is spelled as it was written, less a bare ``.0``.
+    """
+    number = (
+        f"regexp_replace(lower(CAST({magnitude} AS STRING)), '[.]0(?=e|$)', '')"
+        if digits is None
+        else significant(magnitude, digits)
+    )
+    return f"rtrim(concat_ws(' ', {number}, {unit}))"
 
 
 # --- logfmt -----------------------------------------------------------------
