@@ -18,7 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from benchlight.operators import calibrate as cal  # noqa: E402
 from benchlight.operators import gate, loglines, measure  # noqa: E402
 from benchlight.plans import fixtures as fx  # noqa: E402
-from benchlight.plans import pipeline  # noqa: E402
+from benchlight.plans import chain  # noqa: E402
 from benchlight.session import local_session  # noqa: E402
 from benchlight.sources import wire  # noqa: E402
 
@@ -37,20 +37,20 @@ def parse(spark, sf):
     return wire.readings(wire.parse_wire(fx.scale_lines(spark, sf)))
 
 
-def chain(spark, sf):
+def summary(spark, sf):
     """Lines to the per-sensor summary: parse, calibrate, gate, count."""
-    return pipeline.summarise(fx.scale_lines(spark, sf), fx.demo_calibrations(spark), "30 days")
+    return chain.summarise(fx.scale_lines(spark, sf), fx.demo_calibrations(spark), "30 days")
 
 
 def chain_points(spark, sf):
     """Lines to the points a store keeps."""
-    return pipeline.gated_points(fx.scale_lines(spark, sf), fx.demo_calibrations(spark))
+    return chain.gated_points(fx.scale_lines(spark, sf), fx.demo_calibrations(spark))
 
 
 def recording_gaps(spark, sf):
     table = fx.demo_calibrations(spark)
     conv = cal.conversions(table)
-    gated = pipeline.gated_readings(fx.scale_lines(spark, sf), conv, cal.formula_texts(table))
+    gated = chain.gated_readings(fx.scale_lines(spark, sf), conv, cal.formula_texts(table))
     return gate.recording_gaps(gate.gate_transitions(gated, conv))
 
 
@@ -81,7 +81,7 @@ def skipped_by_sensor(spark, sf):
 BENCH = {
     "parse": parse,
     "calibrate": _calibrated,
-    "chain": chain,
+    "chain": summary,
     "chain_points": chain_points,
     "recording_gaps": recording_gaps,
     "last_write_wins": last_write_wins,

@@ -233,7 +233,7 @@ def points(*pairs: tuple[float, float]) -> list[dict]:
 def demo_rows() -> list[dict]:
     """Seven calibrated channels, one or more per mode; A7 has none."""
     base = {"revision": 1, "effective_from": None}
-    by = {"operator": "QM", "date": "2026-07-14"}
+    by = {"operator": "lab", "date": "2026-07-14"}
     return [
         base | {
             "channel": "A0", "sensor_id": "cryo-diode", "measurement": "temperature",
@@ -344,7 +344,7 @@ def part_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("boolean").alias("store_input"),
         F.when(
             F.col("steps") % 4 != 0,
-            F.create_map(F.lit("operator"), F.lit("QM"), F.lit("reference"), F.col("brand")),
+            F.create_map(F.lit("operator"), F.lit("lab"), F.lit("reference"), F.col("brand")),
         ).alias("provenance"),
         gate.alias("gate"),
     )

@@ -213,7 +213,7 @@ SELECT channel, revision, sensor_id,
     CASE WHEN factor_unit IN ('W/V', 'degC / V') THEN 1 ELSE 0.001 END * factor),
     CASE WHEN factor_unit = 'degC / V' THEN ' -2,-1,3,1,1' ELSE ' 0,0,0,1,0' END)), 1, 8) AS calibration_id,
   CASE WHEN steps % 4 = 0 THEN '-'
-    ELSE concat('operator=''QM'', reference=''', brand, '''') END AS provenance
+    ELSE concat('operator=''lab'', reference=''', brand, '''') END AS provenance
 FROM c WHERE mode IS NULL AND factor IS NOT NULL""",
     # The points lie on value = top + (2 v)^2 or top + (6 - 2 v)^2, which a cubic
     # spline through five of them reproduces; straight pieces have constant slopes.

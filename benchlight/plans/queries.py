@@ -17,7 +17,7 @@ from benchlight.operators import calibrate as cal
 from benchlight.operators import gate, health, loglines, measure
 from benchlight.operators.checks import validate_calibrations
 from benchlight.plans import fixtures as fx
-from benchlight.plans import pipeline
+from benchlight.plans import chain
 from benchlight.session import literal_rows, shared_folder
 from benchlight.sources import logs, physical, store, wire
 from benchlight.streaming import stream
@@ -252,7 +252,7 @@ def _gated(spark, sf) -> tuple[DataFrame, DataFrame]:
     calibrations = fx.demo_calibrations(spark)
     conv = cal.conversions(calibrations)
     lines = fx.wire_lines(spark, sf)
-    return pipeline.gated_readings(lines, conv, cal.formula_texts(calibrations)), conv
+    return chain.gated_readings(lines, conv, cal.formula_texts(calibrations)), conv
 
 
 @query
@@ -264,7 +264,7 @@ def recording_gate(spark, sf):
 @query
 def gated_points(spark, sf):
     """The whole chain, from lines to what a store keeps."""
-    points = pipeline.gated_points(fx.wire_lines(spark, sf), fx.demo_calibrations(spark))
+    points = chain.gated_points(fx.wire_lines(spark, sf), fx.demo_calibrations(spark))
     return _rounded(
         points.filter("measurement <> 'pressure'").drop("tags", "calibration_id"),
         value=6,
@@ -298,7 +298,7 @@ SUMMARY = "6 hours"
 
 
 def _summary(spark, sf) -> DataFrame:
-    return pipeline.summarise(
+    return chain.summarise(
         fx.wire_lines(spark, sf), fx.demo_calibrations(spark), SUMMARY
     )
 

@@ -86,7 +86,7 @@ def stream_gate(
         state = _previous(spark, states, batch, STATE)
         gated, left = gate_step(rows, state, split_rows=split_rows)
         gated.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        left.coalesce(1).write.mode("overwrite").parquet(_version(states, batch))
+        left.write.mode("overwrite").parquet(_version(states, batch))
 
     events = gate_events(valued.filter("finite").drop("finite"))
     return _writer(events, checkpoint).foreachBatch(step).start()
@@ -216,6 +216,22 @@ def stream_skipped(logs: DataFrame, step: str, delay: str = "1 minute") -> DataF
     )
 
 
+def stream_gap_context(gaps: DataFrame, logs: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Closed gaps of a sensor with the lines about it, both arriving as streams.
+
+    ``gaps`` has ``sensor_id``, ``gap_start`` and ``gap_end``, ``logs`` ``sensor_id``
+    and ``ts``. Either side may be ``delay`` late; past that its rows are let go.
+    """
+    silences = gaps.withWatermark("gap_end", delay).withColumnRenamed("sensor_id", "_about")
+    lines = logs.filter(F.col("sensor_id").isNotNull()).withWatermark("ts", delay)
+    during = (
+        (F.col("sensor_id") == F.col("_about"))
+        & (F.col("ts") >= F.col("gap_start"))
+        & (F.col("ts") <= F.col("gap_end"))
+    )
+    return lines.join(silences, during).drop("_about")
+
+
 def stream_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write each batch's changed groups under ``path/batch=…``.
 

@@ -271,8 +271,8 @@ def test_report(spark):
         {"channel": "B", "revision": 1, "sensor_id": "b", "measurement": "m", **LINEAR},
         {
             "channel": "A", "revision": 1, "sensor_id": "a", "measurement": "m", **LINEAR,
-            "provenance": {"by": "QM", "note": "it's"},
+            "provenance": {"by": "lab", "note": "it's"},
         },
     ]
     got = cal.calibrations_report(fx.calibrations(spark, rows)).collect()
-    assert [(r["channel"], r["provenance"]) for r in got] == [("A", "by='QM', note=\"it's\""), ("B", "-")]
+    assert [(r["channel"], r["provenance"]) for r in got] == [("A", "by='lab', note=\"it's\""), ("B", "-")]

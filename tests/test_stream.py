@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from benchlight.operators import calibrate as cal
 from benchlight.operators.health import sensor_summary
 from benchlight.plans import fixtures as fx
-from benchlight.plans import pipeline
+from benchlight.plans import chain
 from benchlight.sources import store, wire
 from benchlight.streaming import stream
 
@@ -46,7 +46,7 @@ def test_gate(spark, small, pieces, tmp_path):
     columns = ["channel", "seq", "was_recording", "admitted"]
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.select("batch").distinct().count() == 4
-    whole = pipeline.gated_readings(fx.wire_lines(spark, small), conv, formulas)
+    whole = chain.gated_readings(fx.wire_lines(spark, small), conv, formulas)
     assert _key(got.select(columns).collect()) == _key(whole.select(columns).collect())
 
 
@@ -103,3 +103,30 @@ def test_warnings_are_given_once(spark, tmp_path, named, expected):
     got = stream.latest_version(spark, f"{tmp_path}/out")
     rows = got.orderBy(F.col("first_seq").asc_nulls_last()).collect()
     assert [r["channel"] for r in rows] == expected
+
+
+def test_gaps_meet_the_lines_about_them(spark, tmp_path):
+    logs = [(at(t), f"s{t % 2}", t) for t in range(0, 60, 5)]
+    gaps = [("s1", at(10), at(30)), ("s0", at(40), at(45)), ("s2", at(0), at(99))]
+    streams = []
+    for name, rows, schema in (
+        ("logs", logs, "ts timestamp, sensor_id string, seq int"),
+        ("gaps", gaps, "sensor_id string, gap_start timestamp, gap_end timestamp"),
+    ):
+        for i in range(0, len(rows), 2):
+            spark.createDataFrame(rows[i : i + 2], schema).coalesce(1).write.mode("append").parquet(
+                f"{tmp_path}/{name}"
+            )
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+        streams.append(source.parquet(f"{tmp_path}/{name}"))
+    found = stream.stream_gap_context(streams[1], streams[0])
+    query = (
+        found.writeStream.format("parquet")
+        .option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/log")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = spark.read.schema("sensor_id string, seq int").parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["sensor_id"], r["seq"]) for r in got) == [("s0", 40), ("s1", 15), ("s1", 25)]
