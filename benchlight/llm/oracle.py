@@ -85,7 +85,20 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM rated
 """
 
+EXACT = r"""
+WITH docs AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+  FROM documents),
+ranked AS (
+  SELECT doc_id, body, count(*) OVER (PARTITION BY body) AS group_size,
+    first_value(doc_id) OVER best AS keep_id, row_number() OVER best = 1 AS kept
+  FROM docs WINDOW best AS (PARTITION BY body ORDER BY n_chars DESC, doc_id))
+SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM ranked
+"""
+
 ORACLES = {
     "op5_line_first_rules": RULES,
     "op7_source_mix": MIX,
+    "op10_exact_index": EXACT,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchlight.llm import mixing, rules
+from benchlight.llm import exact, mixing, rules, simhash
 from benchlight.llm.texts import documents
 
 
@@ -31,7 +31,19 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", "fingerprint", "component_id"
+    )
+
+
+def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(documents(spark, sf_dir)).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_first_rules": op5_line_first_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_simhash_groups": op8_simhash_groups,
+    "op10_exact_index": op10_exact_index,
 }
