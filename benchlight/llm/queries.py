@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchlight.llm import exact, mixing, rules, simhash
+from benchlight.llm import exact, mixing, packing, rules, sequences, simhash
 from benchlight.llm.texts import documents
 
 
@@ -25,6 +25,13 @@ def op5_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return sequences.round_trip(documents(spark, sf_dir), tokenizer, end=1)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -37,13 +44,19 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(documents(spark, sf_dir)).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_first_rules": op5_line_first_rules,
+    "op6_arrow_sequences": op6_arrow_sequences,
     "op7_source_mix": op7_source_mix,
     "op8_simhash_groups": op8_simhash_groups,
+    "op9_variable_packing": op9_variable_packing,
     "op10_exact_index": op10_exact_index,
 }
