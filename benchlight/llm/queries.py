@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from benchlight.llm import exact, mixing, packing, rules, sequences, simhash
+from benchlight.llm import exact, mixing, packing, quality, rules, sequences, simhash
 from benchlight.llm.texts import documents
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(documents(spark, sf_dir), labels)
+
+
 def op5_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir)).select(
         "doc.doc_id",
@@ -53,6 +59,7 @@ def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op5_line_first_rules": op5_line_first_rules,
     "op6_arrow_sequences": op6_arrow_sequences,
     "op7_source_mix": op7_source_mix,
