@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from benchlight.llm import rules
+from benchlight.llm import rules, spread
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _PHRASES = ", ".join(f"'{p}'" for p in rules.BOILERPLATE)
@@ -54,6 +54,27 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM based
 """
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SPREAD = rf"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, source, text FROM documents),
+cut AS (
+  SELECT id, source, unnest(lines) AS line, unnest(range(len(lines))) AS place
+  FROM (SELECT id, source, string_split(text, chr(10)) AS lines FROM docs)),
+lines AS (
+  SELECT id, place, line, regexp_matches(line, '{_WORD}') AS counts, trim(line, {_BLANKS}) AS body,
+    coalesce('s' || source, '') AS site
+  FROM cut),
+wide AS (
+  SELECT body FROM lines WHERE counts GROUP BY body HAVING count(DISTINCT site) >= {spread.MIN_SITES}),
+marked AS (SELECT lines.*, counts AND body IN (SELECT body FROM wide) AS goes FROM lines)
+SELECT doc_id, CAST(count(*) FILTER (counts) AS BIGINT) AS n_lines,
+  CAST(count(*) FILTER (goes) AS BIGINT) AS n_removed,
+  CASE WHEN any_value(text) IS NOT NULL
+    THEN coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT goes), '') END AS text
+FROM docs LEFT JOIN marked USING (id) GROUP BY id, doc_id
+"""
+
 # Sources fill up in the order of cap / weight; the level is the first that closes none.
 MIX = rf"""
 WITH sized AS (
@@ -98,6 +119,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM ranke
 """
 
 ORACLES = {
+    "op4_site_spread": SPREAD,
     "op5_line_first_rules": RULES,
     "op7_source_mix": MIX,
     "op10_exact_index": EXACT,

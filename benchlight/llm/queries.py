@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlight.llm import exact, mixing, packing, quality, rules, sequences, simhash
+from benchlight.llm import exact, mixing, packing, quality, rules, sequences, simhash, spread
 from benchlight.llm.texts import documents
 
 
@@ -16,6 +16,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels)
 
 
+def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread.without_boilerplate(documents(spark, sf_dir))
+    return rows.select("doc.doc_id", "n_lines", "n_removed", F.col("cleaned").alias("text"))
+
+
 def op5_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir)).select(
         "doc.doc_id",
@@ -60,6 +65,7 @@ def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_site_spread": op4_site_spread,
     "op5_line_first_rules": op5_line_first_rules,
     "op6_arrow_sequences": op6_arrow_sequences,
     "op7_source_mix": op7_source_mix,
