@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlight.llm import exact, mixing, packing, quality, rules, sequences, simhash, spread, surrogates
+from benchlight.llm import exact, mixing, packing, passages, quality, rules, sequences, simhash, spread, surrogates
 from benchlight.llm.texts import documents
 
 
@@ -21,6 +21,10 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", F.size("kinds").alias("n_replaced"), "kinds", F.col("replaced").alias("text"))
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(documents(spark, sf_dir))
+
+
 def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread.without_boilerplate(documents(spark, sf_dir))
     return rows.select("doc.doc_id", "n_lines", "n_removed", F.col("cleaned").alias("text"))
@@ -71,6 +75,7 @@ def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_compact_windows": op3_compact_windows,
     "op4_site_spread": op4_site_spread,
     "op5_line_first_rules": op5_line_first_rules,
     "op6_arrow_sequences": op6_arrow_sequences,
