@@ -5,6 +5,10 @@ starts a clock; once the clock reaches the dwell the channel stops, with that
 reading. While it is stopped, the first reading strictly inside the resume band
 starts it again, at once. A reading on a bound is on neither side of it.
 
+Every reading is judged by the rule of the revision in force at its time. A revision
+doesn't start the gate anew: the state and a running clock stay, and from its first
+reading on its band and its dwell apply to them.
+
 Without a loop: the clock starts where the current unbroken run of breaching
 readings starts, since a reading that resumes never breaches. Each reading is
 then an event - stop, resume or nothing - and the state is the last event so far.
@@ -128,28 +132,28 @@ def _gated(
     )
     rows = rows.withColumns({"_head": out & F.col("_start").isNull(), "_event": event})
     last_event = F.last("_event", ignorenulls=True)
+    due = F.when(F.col("_head"), t - F.col("gate_dwell_us"))
     rows = rows.withColumns(
         {
             "_state": last_event.over(so_far(window)),
             "_state_before": last_event.over(before(window)),
-            "_t_before": F.lag("_t").over(window),
+            # A head run has timed out if its clock started no later than this: every
+            # reading is judged by its own dwell, and the latest so far decides.
+            "_due": F.max(due).over(so_far(window)),
+            "_due_before": F.max(due).over(before(window)),
         }
     )
     chunks = _chunk_table(rows, state, keys, chunk)
 
-    def verdict(known: str, head_t: Column) -> Column:
-        timed_out = head_t - F.col("_clock") >= F.col("gate_dwell_us")
+    def verdict(known: str, due: str) -> Column:
+        timed_out = F.col(due) >= F.col("_clock")
         return F.coalesce(F.col(known), F.when(timed_out, False), F.col("_came"))
 
-    head_now = F.when(F.col("_head"), t).otherwise(F.col("_head_t"))
-    head_then = F.when(F.col("_head"), F.col("_t_before")).when(
-        F.col("_t_before").isNotNull(), F.col("_head_t")
-    )
-    carried = chunks.select(*keys, *chunk, "_clock", "_head_t", "_came")
+    carried = chunks.select(*keys, *chunk, "_clock", "_came")
     gated = rows.join(carried, [*keys, *chunk]).withColumns(
         {
-            "was_recording": verdict("_state_before", head_then),
-            "admitted": verdict("_state", head_now),
+            "was_recording": verdict("_state_before", "_due_before"),
+            "admitted": verdict("_state", "_due"),
         }
     )
     return gated, _state_left(chunks, state, keys, chunk)
@@ -166,9 +170,8 @@ def _chunk_table(
         F.bool_and("gate_out").alias("_all_out"),
         F.max_by("_start", order_key()).alias("_end_start"),
         F.min("_t").alias("_first_t"),
-        F.max(F.when(F.col("_head"), F.col("_t"))).alias("_head_t"),
+        F.max("_due").alias("_head_due"),
         F.max_by("_state", order_key()).alias("_end_state"),
-        F.max("gate_dwell_us").alias("_dwell"),
     )
     if state is None:
         chunks = chunks.withColumns(
@@ -186,7 +189,7 @@ def _chunk_table(
     chunks = chunks.withColumn(
         "_clock", F.coalesce(F.when(F.col("_open"), open_since), F.col("_first_t"))
     )
-    stopped_at_head = F.when(F.col("_head_t") - F.col("_clock") >= F.col("_dwell"), False)
+    stopped_at_head = F.when(F.col("_head_due") >= F.col("_clock"), False)
     chunks = chunks.withColumn("_left", F.coalesce("_end_state", stopped_at_head))
     came = F.coalesce(
         F.last("_left", ignorenulls=True).over(earlier), F.col("recording"), F.lit(True)

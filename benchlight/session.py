@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -33,12 +34,15 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "benchlight"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests, is a local folder made.
+    Only a session with a local master, as in tests, may do without that setting: it
+    gets a local folder. Elsewhere the executors could not see one, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="benchlight-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -198,6 +198,39 @@ def test_random_series_match_the_loop(spark, seed, split_rows):
         before[r["channel"]] = r["admitted"]
 
 
+def walk_changing(steps, gate_of):
+    """The loop again, each reading judged by the gate in force."""
+    recording, since, result = True, None, []
+    for t, i, x in sorted(steps):
+        below, above, floor, ceiling, dwell = GATES[gate_of[i]]
+        out = (below is not None and x < below) or (above is not None and x > above)
+        lo, hi = below if floor is None else floor, above if ceiling is None else ceiling
+        since = (t if since is None else since) if out else None
+        if recording and out and t - since >= dwell:
+            recording = False
+        elif not out and (lo is None or x > lo) and (hi is None or x < hi):
+            recording = True
+        result.append(recording)
+    return result
+
+
+@pytest.mark.parametrize("split_rows", [1, 4, 12, 10**6])
+def test_revisions_change_the_dwell_inside_a_run(spark, split_rows):
+    rng, rows, expected = random.Random(split_rows + 8), [], {}
+    for c in range(40):
+        steps, t, gate_of, gate = [], 0, {}, 0
+        for i in range(120):
+            t += rng.choice([0, 0, 0.001, 1, 3, 5, 700, 3000, 4000])
+            gate = rng.randrange(len(GATES)) if rng.random() < 0.2 else gate
+            gate_of[i] = gate
+            steps.append((round(t, 3), i, float(rng.choice([0, 0, 0, 1, 2, 3, 9]))))
+        for (when, i, x), admitted in zip(sorted(steps), walk_changing(steps, gate_of)):
+            rows.append((f"c{c}", i, at(when), x, x, gate_of[i]))
+            expected[f"c{c}", i] = admitted
+    gated = recording_gate(_with_events(_readings(spark, rows)), split_rows=split_rows)
+    assert {(r["channel"], r["seq"]): r["admitted"] for r in gated.collect()} == expected
+
+
 @pytest.mark.parametrize("split_rows", [10**6, 4])
 def test_a_state_carries_the_gate_over_pieces(spark, split_rows):
     """A series gated piece by piece gives the verdicts of the whole."""
