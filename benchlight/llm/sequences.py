@@ -20,6 +20,7 @@ the table's order. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -38,9 +39,11 @@ from benchlight.session import settle, shared_folder
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
-# Words whose ids a worker remembers.
+# Words whose ids a worker remembers, twice; words encoded as one text.
 REMEMBERED = 400_000
+JOINED = 256
 
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MANIFEST = "part int, file string, n_docs bigint, n_tokens bigint, n_sequences bigint"
 _DOCS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -62,6 +65,11 @@ class Encoder:
         self.lowers = lowers
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
         """The ids of each text with the end id, as bytes of ``kind``."""
@@ -70,7 +78,7 @@ class Encoder:
         for words in split:
             new.update(words)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+            self.known, self.older = {}, self.known  # what is used goes on being known
         new.difference_update(self.known)
         self._learn(new)
         find, last = self.known.__getitem__, self.kind.type(end).tobytes()
@@ -80,16 +88,29 @@ class Encoder:
         return text.lower() if self.lowers and b"<|" not in text else text
 
     def _learn(self, words: set[bytes]) -> None:
-        cut = {w: (w[:-1], w[-1:]) for w in words if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()}
-        single = {p for pair in cut.values() for p in pair} | (words - cut.keys())
+        again = self.older.keys() & words
+        self.known.update((w, self.older[w]) for w in again)
+        words = words - again
+        stems = {w: w.rstrip(_MARKS) for w in words}
+        cut = {w: (s, w[len(s) :]) for w, s in stems.items() if len(s) < len(w) and s.decode().isalpha()}
+        single = (words - cut.keys()).union(*cut.values())
         single.difference_update(self.known)
-        listed = list(single)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False)
-        for word, found in zip(listed, encoded, strict=True):
-            self.known[word] = np.array(found.ids, self.kind).tobytes()
+        plain = [w for w in single if w.decode().isalpha()] if self.ends.any() else []
+        lines = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for line, ids in zip(lines, self._ids([b" ".join(x) for x in lines]), strict=True):
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) == len(line):
+                single.difference_update(line)
+                self.known.update(zip(line, (x.tobytes() for x in np.split(ids, edges[:-1])), strict=True))
+        rest = list(single)
+        self.known.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
         for word, (stem, mark) in cut.items():
             self.known[word] = self.known[stem] + self.known[mark]
 
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, self.kind) for x in found]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, lowers: bool) -> Encoder:
