@@ -1,6 +1,6 @@
 """A channel's closed-form response, written in ``v``, as a Spark column.
 
-Formulas keep the spelling used in calibration files (``10**(1.667*v - 11.33)``).
+Formulas keep the spelling used in calibration files (``10**(1.25*v - 8.5)``).
 The arithmetic becomes built-in column functions, so it runs inside codegen. A
 reading on which the formula is undefined gives NULL or a non-finite number and
 is counted as skipped; it never fails the job.

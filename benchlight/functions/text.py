@@ -97,7 +97,10 @@ def unquote(token: Column) -> Column:
 def _unescape(text: Column) -> Column:
     def piece(p: Column) -> Column:
         kind = F.substring(p, 2, 1)
-        code = F.lpad(F.substring(p, F.lit(3), F.length(p)), 8, "0")
+        # Behind a byte order mark, as decoding swallows one at the beginning.
+        code = F.concat(
+            F.lit("0000FEFF"), F.lpad(F.substring(p, F.lit(3), F.length(p)), 8, "0")
+        )
         return (
             F.when(~p.startswith("\\"), p)
             .when(p.rlike(r"^\\(?:" + _HEX + ")$"), F.decode(F.unhex(code), "UTF-32"))

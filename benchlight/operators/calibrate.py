@@ -22,11 +22,11 @@ from benchlight.functions import units
 from benchlight.functions.formulas import apply_formulas
 from benchlight.functions.staged import staged
 from benchlight.functions.text import quantity_text
+from benchlight.operators.ordered import key_seq, key_time, last_key
 from benchlight.schema import (
     ADC_BITS,
     ADC_VREF,
     CALIBRATION_ID_LENGTH,
-    MAX_NAMED_CHANNELS,
 )
 from benchlight.session import settle
 from benchlight.sources.physical import is_finite
@@ -124,32 +124,46 @@ def fingerprint() -> str:
 
 def calibration_id() -> str:
     """Short hash of the fingerprint: equal conversions share it."""
-    return f"substring(sha2({fingerprint()}, 256), 1, {CALIBRATION_ID_LENGTH})"
+    return f"substring({whole_id()}, 1, {CALIBRATION_ID_LENGTH})"
+
+
+def whole_id() -> str:
+    """The hash the short one is the beginning of, for comparing conversions."""
+    return f"sha2({fingerprint()}, 256)"
 
 
 def conversions(calibrations: DataFrame) -> DataFrame:
     """One row per channel revision, ready to meet readings.
 
     A revision is in force from ``effective_from`` (NULL: always was) until before
-    ``effective_to`` (NULL: still is). Of two rows for one channel and time the
-    higher revision stands. Written once, as every reading of every pass meets it.
+    ``effective_to`` (NULL: still is). Of rows for one channel and time the highest
+    revision stands, and of those one; the others are never in force, so a reading
+    meets one conversion at most. ``conversion`` numbers the rows, as revisions may
+    repeat. A conversion that can't be applied (too few points, an unknown mode, no
+    factor) has one segment without a value: its readings count as skipped. Written
+    once, as every reading of every pass meets it.
     """
-    in_order = Window.partitionBy("channel").orderBy(
-        F.col("effective_from").asc_nulls_first(), "revision"
+    in_order = Window.partitionBy("channel").orderBy(F.col("effective_from").asc_nulls_first())
+    rivals = Window.partitionBy("channel", "effective_from").orderBy(
+        F.col("revision").desc_nulls_last(), "sensor_id", "measurement", "calibration_id"
     )
     ready = staged(
         fit_segments(resolve(calibrations)),
         {
             "calibration_id": calibration_id(),
+            "whole_id": whole_id(),
+            "segments": f"coalesce(segments, array({_nowhere()}))",
             "gate": _gate_rule(),
             "store_input": "coalesce(store_input, true)",
             "formula": "IF(mode = 'expression', formula, NULL)",
         },
     )
+    standing = ready.withColumn("_place", F.row_number().over(rivals)).filter("_place = 1")
     return settle(
-        ready.withColumn("effective_to", F.lead("effective_from").over(in_order)).select(
+        standing.withColumn("effective_to", F.lead("effective_from").over(in_order)).select(
+            F.monotonically_increasing_id().alias("conversion"),
             *["channel", "revision", "effective_from", "effective_to", "sensor_id"],
-            *["measurement", "mode", "unit", "calibration_id", "store_input"],
+            *["measurement", "mode", "unit", "calibration_id", "whole_id", "store_input"],
             *["provenance", "formula", "gate", "segments"],
         )
     )
@@ -229,17 +243,23 @@ def spline_slopes(volts: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([slopes(x, y) for x, y in zip(volts, values)])
 
 
+def _segment(v_lo, v_hi, v0="0D", c0="0D", c1="0D", c2="0D", c3="0D") -> str:
+    terms = zip(("v_lo", "v_hi", "v0", "c0", "c1", "c2", "c3"), (v_lo, v_hi, v0, c0, c1, c2, c3))
+    return "named_struct(" + ", ".join(f"'{n}', CAST({t} AS DOUBLE)" for n, t in terms) + ")"
+
+
+def _nowhere() -> str:
+    """The segment of a conversion that has no value at any voltage."""
+    return _segment("double('-inf')", "double('inf')", c0="NULL")
+
+
 def _segments() -> str:
     """What turns volts into a value, as polynomials over voltage intervals.
 
     A formula keeps one segment for the whole axis; its value replaces the
     polynomial's.
     """
-
-    def segment(v_lo, v_hi, v0="0D", c0="0D", c1="0D", c2="0D", c3="0D") -> str:
-        terms = zip(("v_lo", "v_hi", "v0", "c0", "c1", "c2", "c3"), (v_lo, v_hi, v0, c0, c1, c2, c3))
-        return "named_struct(" + ", ".join(f"'{n}', CAST({t} AS DOUBLE)" for n, t in terms) + ")"
-
+    segment = _segment
     low, high = "double('-inf')", "double('inf')"
     first, last = "get(n_points, 0)", "try_element_at(n_points, -1)"
     # Index of each interval's lower point, and what belongs to interval i.
@@ -340,11 +360,12 @@ def calibrate(
 
     ``conv`` and ``formulas`` come from :func:`conversions` and :func:`formula_texts`.
     ``finite`` is false where the value is NULL, NaN or infinite: such a reading
-    counts as skipped and goes no further. Uncalibrated channels have no rows.
+    counts as skipped and goes no further. Readings without a conversion in force have
+    no rows; ``uncalibrated_readings`` has them.
     ``carry`` names the conversion columns to attach.
     """
     volts = readings.withColumn("input_volts", raw_to_voltage(F.col("raw_count"), bits, vref))
-    columns = ["revision", *LABELS] if carry is None else carry
+    columns = ["conversion", "revision", *LABELS] if carry is None else carry
     valued = _evaluate(volts.drop("raw_count"), conv, ["channel"], columns, formulas)
     return valued.withColumn("finite", is_finite(F.col("value")))
 
@@ -356,16 +377,14 @@ def drop_non_finite(valued: DataFrame) -> DataFrame:
 
 def first_non_finite(valued: DataFrame) -> DataFrame:
     """Per sensor, the first refused reading and how many there were."""
+    first = last_key()
     return (
         valued.filter(~F.col("finite"))
         .groupBy("sensor_id")
         .agg(
             F.count(F.lit(1)).alias("skipped"),
-            F.min_by(
-                F.struct("time", "seq", "input_volts", "value"), F.struct("time", "seq")
-            ).alias("first"),
+            *[F.min_by(c, first).alias(c) for c in ("time", "seq", "input_volts", "value")],
         )
-        .select("sensor_id", "skipped", "first.*")
     )
 
 
@@ -384,62 +403,109 @@ def as_points(valued: DataFrame) -> DataFrame:
     )
 
 
+def uncalibrated_readings(readings: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Readings no conversion is in force for: of unknown channels, and too early ones.
+
+    A channel's first revision is followed without a gap, so its beginning decides.
+    """
+    starts = calibrations.groupBy(F.col("channel").alias("_channel")).agg(
+        F.min("effective_from").alias("_from"), F.bool_or(F.col("effective_from").isNull()).alias("_always")
+    )
+    covered = (F.col("channel") == F.col("_channel")) & (
+        F.col("_always") | (F.col("time") >= F.col("_from"))
+    )
+    return readings.join(starts, covered, "left_anti")
+
+
 def uncalibrated_channels(
-    readings: DataFrame, calibrations: DataFrame, named: int = MAX_NAMED_CHANNELS
+    readings: DataFrame, calibrations: DataFrame, named: int | None = None
 ) -> DataFrame:
-    """Channels without a calibration, once each, in the order first seen.
+    """Channels with readings no calibration is in force for, once each.
 
-    At most ``named`` of them are listed; ``unnamed`` counts the others.
+    ``place`` counts them in the order first seen; ``named`` limits the list. The first
+    reading's key is combined by hash, so only one row per channel is ordered.
     """
     strangers = (
-        readings.join(calibrations.select("channel").distinct(), "channel", "left_anti")
+        uncalibrated_readings(readings, calibrations)
         .groupBy("channel")
-        .agg(
-            F.min(F.struct("time", "seq")).alias("first"),
-            F.count(F.lit(1)).alias("readings"),
-        )
+        .agg(F.min(last_key()).alias("_first"), F.count(F.lit(1)).alias("readings"))
     )
-    total = strangers.agg(F.count(F.lit(1))).scalar()
-    return (
-        strangers.orderBy("first", "channel")
-        .limit(named)
-        .select(
-            "channel",
-            F.col("first.time").alias("first_time"),
-            F.col("first.seq").alias("first_seq"),
-            "readings",
-            F.greatest(total - F.lit(named), F.lit(0).cast("bigint")).alias("unnamed"),
-        )
+    listed = strangers.select(
+        "channel",
+        key_time("_first").alias("first_time"),
+        key_seq("_first").alias("first_seq"),
+        "readings",
+    ).withColumn(
+        "place",
+        F.row_number().over(Window.orderBy("first_time", "first_seq", "channel")).cast("bigint"),
     )
+    return listed if named is None else listed.filter(F.col("place") <= named)
 
 
 # --- stored points and calibrations ---------------------------------------------
 
 
+def _origins(conv: DataFrame) -> DataFrame:
+    """Per sensor, measurement and calibration id the one channel that wrote such points.
+
+    ``channels`` counts the candidates; where it is not one, which channel a point came
+    from can't be told.
+    """
+    return conv.groupBy("sensor_id", "measurement", "calibration_id").agg(
+        F.min("channel").alias("_channel"), F.count_distinct("channel").alias("_channels")
+    )
+
+
+def _with_channel(points: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Each point with the channel it came from: ``_channel``, and ``ambiguous``.
+
+    The id a point was written under leads to its channel. An id that no conversion has
+    (they were replaced in place) leaves the sensor: its only channel, if it has one.
+    """
+    named = _origins(before)
+    only = after.unionByName(before).groupBy("sensor_id", "measurement").agg(
+        F.min("channel").alias("_only"), F.count_distinct("channel").alias("_of")
+    )
+    found = points.join(named, ["sensor_id", "measurement", "calibration_id"], "left").join(
+        only, ["sensor_id", "measurement"], "left"
+    )
+    channel = F.when(F.col("_channels") == 1, F.col("_channel")).when(F.col("_of") == 1, F.col("_only"))
+    unclear = channel.isNull() & (F.coalesce("_channels", "_of") > 1)
+    kept = [F.col(c) for c in points.columns]
+    return found.select(
+        *kept, channel.alias("_channel"), F.coalesce(unclear, F.lit(False)).alias("ambiguous")
+    )
+
+
 def recalibrate(
     points: DataFrame,
     calibrations: DataFrame,
     old_id: str | None = None,
     volts_scale: float = 1.0,
+    written_under: DataFrame | None = None,
 ) -> DataFrame:
-    """Recompute stored values from their input under new calibrations.
-
-    A sensor and measurement find their new calibration; with ``old_id`` only the
-    points written under that id change. Points without an input, or without a new
-    calibration, keep their value and have ``correctable`` false. ``volts_scale``
-    corrects a wrong reference voltage or resolution, which act linearly.
+    """Recompute stored values from their input under new calibrations: one row each.
+
+    A point finds its channel by the id it was written under, looked up in
+    ``written_under``, the calibrations of that time (the new ones by default), or else
+    by its sensor, and the channel its new conversion. Where two channels are possible
+    the point is ``ambiguous`` and keeps its value. With ``old_id`` only the points
+    written under that id change. Points without an input, or without a new calibration,
+    keep their value and have ``correctable`` false. ``volts_scale`` corrects a wrong
+    reference voltage or resolution, which act linearly.
     """
     conv = conversions(calibrations)
+    before = conv if written_under is None else conversions(written_under)
     due = F.lit(True) if old_id is None else F.col("calibration_id") == F.lit(old_id)
-    scaled = points.withColumn(
+    scaled = _with_channel(points, before, conv).withColumn(
         "_volts", F.when(due, F.col("input_volts") * F.lit(volts_scale))
     )
     joined = _evaluate(
         scaled.withColumnsRenamed(
             {"unit": "_old_unit", "calibration_id": "_old_id", "value": "_old_value"}
-        ),
+        ).withColumnRenamed("_channel", "channel"),
         conv,
-        ["sensor_id", "measurement"],
+        ["channel", "sensor_id", "measurement"],
         ["unit", "calibration_id"],
         formula_texts(calibrations),
         volts="_volts",
@@ -462,12 +528,18 @@ def recalibrate(
         F.col("_old_value").alias("old_value"),
         F.col("_old_id").alias("old_id"),
         correctable.alias("correctable"),
+        "ambiguous",
     )
 
 
 def calibration_in_force(points: DataFrame, calibrations: DataFrame) -> DataFrame:
-    """Each point with the revision in force at its time, and whether it used it."""
-    conv = conversions(calibrations).select(
+    """Each point once, with the revision in force at its time, and whether it used it.
+
+    A point finds its channel as in :func:`recalibrate`.
+    """
+    found = conversions(calibrations)
+    conv = found.select(
+        F.col("channel").alias("_on"),
         F.col("sensor_id").alias("_sensor"),
         F.col("measurement").alias("_measurement"),
         F.col("effective_from").alias("_from"),
@@ -476,14 +548,16 @@ def calibration_in_force(points: DataFrame, calibrations: DataFrame) -> DataFram
         F.col("calibration_id").alias("id_in_force"),
     )
     match = (
-        (F.col("sensor_id") == F.col("_sensor"))
+        (F.col("_channel") == F.col("_on"))
+        & (F.col("sensor_id") == F.col("_sensor"))
         & (F.col("measurement") == F.col("_measurement"))
         & _in_force()
     )
     return (
-        points.join(conv, match, "left")
+        _with_channel(points, found, found)
+        .join(conv, match, "left")
         .withColumn("current", F.col("calibration_id").eqNullSafe(F.col("id_in_force")))
-        .drop("_sensor", "_measurement", "_from", "_to")
+        .drop("_channel", "_on", "_sensor", "_measurement", "_from", "_to")
     )
 
 

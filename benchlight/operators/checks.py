@@ -212,16 +212,19 @@ def _gate_units() -> list[Column]:
 
 
 def _repeated(calibrations: DataFrame) -> DataFrame:
-    repeats = (
-        calibrations.groupBy("channel", "effective_from")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("revision").alias("revision"))
-        .filter("n > 1")
-    )
-    return repeats.select(
-        "channel",
-        "revision",
-        F.lit("V9").alias("rule"),
-        F.concat(F.lit("appears "), F.col("n").cast("string"), F.lit(" times for one time")).alias(
-            "detail"
-        ),
+    """A channel's rows for one time, and its rows with one revision number."""
+
+    def more_than_one(keys: list[str], what: str) -> DataFrame:
+        repeats = calibrations.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.max("revision").alias("_revision")
+        )
+        return repeats.filter("n > 1").select(
+            "channel",
+            F.col("_revision").alias("revision"),
+            F.lit("V9").alias("rule"),
+            F.concat(F.lit("appears "), F.col("n").cast("string"), F.lit(f" times {what}")).alias("detail"),
+        )
+
+    return more_than_one(["channel", "effective_from"], "for one time").unionByName(
+        more_than_one(["channel", "revision"], "as one revision")
     )

@@ -218,9 +218,10 @@ def gate_transitions(gated: DataFrame, conversions: DataFrame) -> DataFrame:
 
     The rules come from ``conversions`` and meet only the readings that changed state.
     """
-    rules = conversions.select("channel", "revision", "sensor_id", "gate")
+    on = ["conversion"] if "conversion" in gated.columns else ["channel", "revision"]
+    rules = conversions.select(*on, "sensor_id", "gate")
     changed = gated.filter(F.col("admitted") != F.col("was_recording")).select(
-        "channel", "revision", "time", "seq", "value", "input_volts", "was_recording"
+        *dict.fromkeys(["channel", *on]), "time", "seq", "value", "input_volts", "was_recording"
     )
     value = subject()
     side = breach_side(value)
@@ -236,7 +237,7 @@ def gate_transitions(gated: DataFrame, conversions: DataFrame) -> DataFrame:
     )
     stopped = F.col("was_recording")
     return (
-        changed.join(rules, ["channel", "revision"])
+        changed.join(rules, on)
         .select(
             "channel",
             "sensor_id",

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from benchlight.schema import SUMMARY_WINDOW
 
 
+WINDOWS_PER_ROW = 2880
+
+
 def window_start(time: Column | str, every: str) -> Column:
     """Start of the epoch-aligned window a time falls in."""
     return F.window(time, every)["start"]
@@ -27,20 +30,8 @@ def sensor_summary(
     ``clock`` the ``time`` of everything that shows the process was running: each
     declared sensor has a row for every window between its first and last.
     """
-    span = clock.agg(
-        F.struct(F.min("time").alias("first"), F.max("time").alias("last"))
-    ).scalar()
-    ticks = declared.select("sensor_id").distinct().select(
-        "sensor_id",
-        F.explode(
-            F.sequence(
-                F.timestamp_seconds(_floor_s(span["first"], every)),
-                span["last"],
-                F.expr(f"INTERVAL {every}"),
-            )
-        ).alias("window_start"),
-        F.lit(0).alias("_written"),
-        F.lit(0).alias("_skipped"),
+    ticks = windows(declared, clock, every).select(
+        "sensor_id", "window_start", F.lit(0).alias("_written"), F.lit(0).alias("_skipped")
     )
     counted = outcomes.select(
         "sensor_id",
@@ -56,17 +47,42 @@ def sensor_summary(
     )
 
 
+def windows(declared: DataFrame, clock: DataFrame, every: str) -> DataFrame:
+    """Every window from the first to the last ``time`` of ``clock``, per declared sensor.
+
+    Spread in two steps, so that no row holds an array as long as the history.
+    """
+    width = seconds(every)
+    span = clock.agg(
+        F.struct(
+            F.floor(F.unix_seconds(F.min("time")) / width).alias("first"),
+            F.floor(F.unix_seconds(F.max("time")) / width).alias("last"),
+        )
+    ).scalar()
+    part = F.explode(F.sequence(F.col("_first"), F.col("_last"), F.lit(WINDOWS_PER_ROW).cast("bigint")))
+    until = F.least(F.col("_part") + (WINDOWS_PER_ROW - 1), F.col("_last"))
+    return (
+        declared.select("sensor_id")
+        .distinct()
+        .select("sensor_id", span["first"].alias("_first"), span["last"].alias("_last"))
+        .filter("_first IS NOT NULL")
+        .select("sensor_id", "_last", part.alias("_part"))
+        .select("sensor_id", F.explode(F.sequence(F.col("_part"), until)).alias("_n"))
+        .select("sensor_id", F.timestamp_seconds(F.col("_n") * width).alias("window_start"))
+    )
+
+
+def in_order(summary: DataFrame) -> DataFrame:
+    """A summary as it is reported: window by window, sorted by sensor."""
+    return summary.orderBy("window_start", "sensor_id")
+
+
 def seconds(every: str) -> int:
     """Length of a window such as ``30 seconds`` or ``6 hours``."""
     count, name = every.split()
     return int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[name.rstrip("s")]
 
 
-def _floor_s(time: Column, every: str) -> Column:
-    width = seconds(every)
-    return F.floor(F.unix_seconds(time) / F.lit(width)) * F.lit(width)
-
-
 def silent_sensors(summary: DataFrame) -> DataFrame:
     """Windows without a reading: ``unwritable`` when some were skipped, else ``silent``."""
     return summary.filter("readings = 0").withColumn(

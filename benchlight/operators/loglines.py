@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchlight.operators.health import window_start
-from benchlight.schema import ERROR_LEVELS, MAX_LOG_LINES, WARN_LEVELS
+from benchlight.schema import ERROR_LEVELS, WARN_LEVELS
+from benchlight.sources.wire import NUMBER
 
 # --- fixed values -----------------------------------------------------------
 LEVEL_ORDER = {"debug": 10, "info": 20, "warning": 30, "error": 40}
@@ -25,13 +26,14 @@ def label_equals(label: str, value: str) -> Column:
 def label_matches(label: str, pattern: str) -> Column:
     """An anchored pattern; ``.+`` is "all" and leaves out lines without the label."""
     present = F.coalesce(F.col(label), F.lit(""))
-    return present.rlike(f"^(?:{pattern})$")
+    return present.rlike(rf"\A(?:{pattern})\z")
 
 
 def field_number(field: str) -> Column:
     """A field as a number, NULL where it is none."""
     text = F.col("fields")[field]
-    return F.when(text.rlike(r"^[+-]?[0-9]+(?:\.[0-9]*)?$"), text.try_cast("double"))
+    number = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    return F.when(text.rlike(rf"\A{NUMBER}\z"), number)
 
 
 def warnings() -> Column:
@@ -132,12 +134,13 @@ def label_values(logs: DataFrame, label: str) -> DataFrame:
 # --- lines ----------------------------------------------------------------------
 
 
-def newest_lines(logs: DataFrame, count: int = MAX_LOG_LINES) -> DataFrame:
-    """Newest lines first, as many as a panel shows."""
-    return logs.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(count)
+def newest_lines(logs: DataFrame, count: int | None = None) -> DataFrame:
+    """Newest lines first; ``count`` limits them to what a panel shows."""
+    ordered = logs.orderBy(F.col("ts").desc(), F.col("seq").desc())
+    return ordered if count is None else ordered.limit(count)
 
 
-def warn_and_error_lines(logs: DataFrame, count: int = MAX_LOG_LINES) -> DataFrame:
+def warn_and_error_lines(logs: DataFrame, count: int | None = None) -> DataFrame:
     return newest_lines(logs.filter(warnings() | errors()), count)
 
 

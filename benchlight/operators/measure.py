@@ -60,27 +60,32 @@ def latest_value(points: DataFrame, sensor: str) -> DataFrame:
     return newest_rows(sensors_in(points, sensor), 1)
 
 
-def newest_rows(points: DataFrame, count: int = 20) -> DataFrame:
-    return points.orderBy(F.col("time").desc(), F.col("seq").desc()).limit(count)
+def newest_rows(points: DataFrame, count: int | None = None) -> DataFrame:
+    """Newest points first; ``count`` limits them."""
+    ordered = points.orderBy(F.col("time").desc(), F.col("seq").desc())
+    return ordered if count is None else ordered.limit(count)
 
 
 def latest_per_sensor(
     points: DataFrame, columns: Sequence[str] = ("time", "value", "unit"), by=("sensor_id",)
 ) -> DataFrame:
-    """The newest row per sensor that has a value, combined before the shuffle."""
-    return (
-        points.filter(F.col("value").isNotNull())
-        .groupBy(*by)
-        .agg(F.max_by(F.struct(*columns), order_key()).alias("latest"))
-        .select(*by, "latest.*")
-    )
+    """The newest row per sensor that has a value.
+
+    Its key is found first, a number that is combined by hash before the shuffle; the
+    other columns come from the one row that bears it.
+    """
+    keyed = points.filter(F.col("value").isNotNull()).withColumn("_key", last_key())
+    newest = keyed.groupBy(*by).agg(F.max("_key").alias("_key"))
+    rows = keyed.join(newest, [*by, "_key"], "left_semi").dropDuplicates([*by])
+    return rows.select(*by, *columns)
 
 
 def last_write_wins(points: DataFrame) -> DataFrame:
     """One row per measurement, tag set and millisecond: the one written last.
 
-    Copies are combined before the shuffle, so a point written millions of times
-    reaches it once per task.
+    Rows are in one total order: by ``seq``, NULL first, and of equal ``seq`` by a hash
+    of the row, so that all columns come from one row. Copies are combined before the
+    shuffle, so a point written millions of times reaches it once per task.
     """
     named = ["measurement", "time", "sensor_id", "unit", "calibration_id"]
     rest = [c for c in points.columns if c not in (*named, "tags")]
@@ -89,13 +94,29 @@ def last_write_wins(points: DataFrame) -> DataFrame:
     if "tags" in points.columns:
         rows = rows.withColumn("_tags", F.array_sort(F.map_entries("tags")))
         keys.append("_tags")
+    if "date" in points.columns:  # it follows from the time; as a key it still prunes
+        rest.remove("date")
+        keys.append("date")
     # Column by column: numbers stay in fixed buffers and the groups are hashed.
-    kept = rows.groupBy(*keys).agg(*[F.max_by(c, "seq").alias(c) for c in rest])
+    kept = (
+        rows.withColumn("_order", _write_order(rows.select(*rest)))
+        .groupBy(*keys)
+        .agg(*[F.max_by(c, "_order").alias(c) for c in rest])
+    )
     if "tags" in points.columns:
         kept = kept.withColumn("tags", F.map_from_entries("_tags"))
     return kept.select(*points.columns)
 
 
+def _write_order(rows: DataFrame) -> Column:
+    """``seq`` before a hash of the row, as one number."""
+    mark = F.xxhash64(F.lit(0), *[c for c, kind in rows.dtypes if c != "seq" and "map<" not in kind])
+    mark = mark.bitwiseAND(F.lit(2**63 - 1)).cast("decimal(19,0)")
+    step = F.lit(str(2**63)).cast("decimal(19,0)")
+    seq = F.coalesce(F.col("seq"), F.lit(-(2**62))).cast("decimal(19,0)")
+    return (seq * step + mark).cast("decimal(38,0)")
+
+
 # --- series ---------------------------------------------------------------------
 
 

@@ -107,6 +107,19 @@ def last_key() -> Column:
     )
 
 
+_STEP = "CAST(10000000000000000000 AS DECIMAL(20, 0))"
+
+
+def key_time(key: str) -> Column:
+    """The time in a number made by :func:`last_key`."""
+    return F.expr(f"timestamp_micros(CAST(floor({key} / {_STEP}) AS BIGINT))")
+
+
+def key_seq(key: str) -> Column:
+    """The ``seq`` in a number made by :func:`last_key`."""
+    return F.expr(f"CAST(pmod({key}, {_STEP}) AS BIGINT)")
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],

@@ -19,7 +19,7 @@ from benchlight.operators.calibrate import (
     formula_texts,
 )
 from benchlight.schema import CALIBRATIONS, GATE_TYPE
-from benchlight.session import literal_rows
+from benchlight.session import literal_rows, settle, shared_folder
 from benchlight.sources.logs import labelled_logs
 
 # Wire lines out of `events`: mostly good, some malformed in every way text can be.
@@ -148,7 +148,7 @@ SELECT concat('P', CAST(p_partkey AS STRING)) AS channel, p_size AS revision,
        CASE WHEN p_partkey % 31 = 7 THEN 1 WHEN p_partkey % 31 = 8 THEN 2 ELSE 0 END AS bad_points,
        CASE WHEN p_partkey % 31 = 9 THEN NULL ELSE 'kelvin' END AS value_unit,
        CASE WHEN p_partkey % 31 = 10 THEN '1/(v-v)' WHEN p_partkey % 31 = 11 THEN 'w + 1'
-            ELSE '10**(1.667*v - 11.33)' END AS formula,
+            ELSE '10**(1.25*v - 8.5)' END AS formula,
        p_brand AS brand, p_partkey % 31 AS defect
 FROM part
 """
@@ -166,15 +166,22 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace('"offset"', "`offset`"))
 
 
-def derive_stream(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The same derivation over the table as a stream of its files."""
-    table = sql.rsplit("FROM", 1)[1].split()[0]
-    load(spark, sf_dir, table)
-    still = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    files = spark.readStream.schema(still.schema).parquet(f"{sf_dir}/{table}.parquet*")
-    view = f"{table}_stream"
-    _in_utc(files).createOrReplaceTempView(view)
-    return spark.sql(sql.replace(f"FROM {table}", f"FROM {view}"))
+def derive_stream(
+    spark: SparkSession, sf_dir: str, sql: str, time: str = "time", ordered: bool = False
+) -> DataFrame:
+    """The same derivation as a stream of files, one file a batch.
+
+    The files are thirds of the rows by ``seq``, none in order of time, or with
+    ``ordered`` thirds of the time one after the other.
+    """
+    rows = settle(derive(spark, sf_dir, sql))
+    folder = shared_folder(spark)
+    at = F.unix_micros(time)
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    third = F.floor((at - F.lit(first)) * 3 / F.lit(last - first + 1)) if ordered else F.col("seq") % 3
+    for i in range(3):
+        rows.filter(third == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _in_utc(df: DataFrame) -> DataFrame:
@@ -233,42 +240,42 @@ def points(*pairs: tuple[float, float]) -> list[dict]:
 def demo_rows() -> list[dict]:
     """Seven calibrated channels, one or more per mode; A7 has none."""
     base = {"revision": 1, "effective_from": None}
-    by = {"operator": "lab", "date": "2026-07-14"}
+    by = {"operator": "bench", "date": "2025-03-02"}
     return [
         base | {
-            "channel": "A0", "sensor_id": "cryo-diode", "measurement": "temperature",
+            "channel": "A0", "sensor_id": "stage-thermometer", "measurement": "temperature",
             "mode": "piecewise_linear", "value_unit": "kelvin", "provenance": by,
-            "points": points((0.5, 300.0), (1.0, 100.0), (1.15, 40.0), (1.3, 2.0)),
+            "points": points((0.4, 310.0), (0.9, 120.0), (1.2, 45.0), (1.6, 4.0)),
         },
         base | {
-            "channel": "A1", "sensor_id": "bias-monitor", "measurement": "voltage",
-            "mode": "affine", "factor": 9.0909091, "offset": -15.0, "offset_unit": "V",
+            "channel": "A1", "sensor_id": "rail-monitor", "measurement": "voltage",
+            "mode": "affine", "factor": 8.25, "offset": -12.0, "offset_unit": "V",
             "provenance": by, "gate": GATE_RAIL,
         },
         base | {
-            "channel": "A2", "sensor_id": "pirani-1", "measurement": "pressure",
-            "mode": "expression", "formula": "10**(1.667*v - 11.33)", "value_unit": "mbar",
+            "channel": "A2", "sensor_id": "ion-gauge", "measurement": "pressure",
+            "mode": "expression", "formula": "10**(1.25*v - 8.5)", "value_unit": "mbar",
             "provenance": by,
         },
         base | {
-            "channel": "A3", "sensor_id": "laser-1", "measurement": "power",
-            "factor": 50.0, "factor_unit": "mW / volt", "gate": GATE_POWER, "provenance": by,
+            "channel": "A3", "sensor_id": "diode-power", "measurement": "power",
+            "factor": 40.0, "factor_unit": "mW / volt", "gate": GATE_POWER, "provenance": by,
         },
         base | {
-            "channel": "A4", "sensor_id": "beam-x", "measurement": "position", "mode": "affine",
-            "factor": 60.0, "factor_unit": "micrometer / volt",
-            "offset": -99.0, "offset_unit": "micrometer", "store_input": False,
+            "channel": "A4", "sensor_id": "stage-x", "measurement": "position", "mode": "affine",
+            "factor": 80.0, "factor_unit": "micrometer / volt",
+            "offset": -130.0, "offset_unit": "micrometer", "store_input": False,
         },
         base | {
-            "channel": "A5", "sensor_id": "beam-y", "measurement": "position", "mode": "affine",
-            "factor": 60.0, "factor_unit": "µm/V", "offset": -99.0, "offset_unit": "um",
+            "channel": "A5", "sensor_id": "stage-y", "measurement": "position", "mode": "affine",
+            "factor": 80.0, "factor_unit": "µm/V", "offset": -130.0, "offset_unit": "um",
         },
         base | {
-            "channel": "A6", "sensor_id": "ntc-1", "measurement": "temperature",
+            "channel": "A6", "sensor_id": "thermistor", "measurement": "temperature",
             "mode": "spline", "value_unit": "K",
             "points": points(
-                (3.3, 273.15), (2.78, 283.15), (2.12, 293.15),
-                (1.4, 308.15), (0.72, 328.15), (0.18, 353.15),
+                (3.1, 268.15), (2.6, 280.15), (1.9, 294.15),
+                (1.3, 309.15), (0.8, 325.15), (0.25, 349.15),
             ),
         },
     ]

@@ -47,11 +47,11 @@ PARSED = f"{LINES}, {_parsed('lines')}"
 READINGS = f"good AS ({_text(fx.READINGS_SQL)})"
 
 _SPLINE = """CASE
-  WHEN v < 0.72 THEN 353.15 + (v-0.18)*(-57.15244972717663::DOUBLE + (v-0.18)*(22.87666999490079::DOUBLE + (v-0.18)*(-5.134596592476263::DOUBLE)))
-  WHEN v < 1.4 THEN 328.15 + (v-0.72)*(-36.937391231782016::DOUBLE + (v-0.72)*(14.558623515089245::DOUBLE + (v-0.72)*(-5.134596592476263::DOUBLE)))
-  WHEN v < 2.12 THEN 308.15 + (v-1.4)*(-24.260375644343718::DOUBLE + (v-1.4)*(4.084046466437668::DOUBLE + (v-1.4)*0.9385201681621702::DOUBLE))
-  WHEN v < 2.78 THEN 293.15 + (v-2.12)*(-16.919762167147667::DOUBLE + (v-2.12)*(6.111250029667956::DOUBLE + (v-2.12)*(-5.200133158742752::DOUBLE)))
-  ELSE 283.15 + (v-2.78)*(-15.648446139830991::DOUBLE + (v-2.78)*(-4.185013624642688::DOUBLE + (v-2.78)*(-5.200133158742752::DOUBLE))) END"""
+  WHEN v < 0.8 THEN 349.15 + (v-0.25)*((-51.80108020552543)::DOUBLE + (v-0.25)*((16.81587109658513)::DOUBLE + (v-0.25)*((-3.583512508958781)::DOUBLE)))
+  WHEN v < 1.3 THEN 325.15 + (v-0.8)*((-36.55565960116188)::DOUBLE + (v-0.8)*((10.903075456803144)::DOUBLE + (v-0.8)*((-3.583512508958781)::DOUBLE)))
+  WHEN v < 1.9 THEN 309.15 + (v-1.3)*((-28.34021852607782)::DOUBLE + (v-1.3)*((5.527806693364972)::DOUBLE + (v-1.3)*((0.06537363905232299)::DOUBLE)))
+  WHEN v < 2.6 THEN 294.15 + (v-1.9)*((-21.636246963863346)::DOUBLE + (v-1.9)*((5.645479243659152)::DOUBLE + (v-1.9)*((-4.725690829996045)::DOUBLE)))
+  ELSE 280.15 + (v-2.6)*((-20.679341542834717)::DOUBLE + (v-2.6)*((-4.278471499332542)::DOUBLE + (v-2.6)*((-4.725690829996045)::DOUBLE))) END"""
 
 # Points of the demo channels out of `good`, with the voltage as `v`.
 POINTS = f"""volts AS (
@@ -59,24 +59,30 @@ POINTS = f"""volts AS (
 points AS (
   SELECT volts.*, s.sensor_id, s.measurement, s.unit,
     CASE volts.channel
-      WHEN 'A0' THEN CASE WHEN v <= 0.5 THEN 300 WHEN v >= 1.3 THEN 2
-        WHEN v < 1.0 THEN 300 - 400 * (v - 0.5)
-        WHEN v < 1.15 THEN 100 - 60 * ((v - 1.0) / 0.15)
-        ELSE 40 - 38 * ((v - 1.15) / 0.15) END
-      WHEN 'A1' THEN v * 9.0909091 - 15
-      WHEN 'A2' THEN power(10::DOUBLE, 1.667 * v - 11.33)
-      WHEN 'A3' THEN v * 50
+      WHEN 'A0' THEN CASE WHEN v <= 0.4 THEN 310 WHEN v >= 1.6 THEN 4
+        WHEN v < 0.9 THEN 310 - 380 * (v - 0.4)
+        WHEN v < 1.2 THEN 120 - 75 * ((v - 0.9) / 0.3)
+        ELSE 45 - 41 * ((v - 1.2) / 0.4) END
+      WHEN 'A1' THEN v * 8.25 - 12
+      WHEN 'A2' THEN power(10::DOUBLE, 1.25 * v - 8.5)
+      WHEN 'A3' THEN v * 40
       WHEN 'A6' THEN {_SPLINE}
-      ELSE v * 60 - 99 END AS value
+      ELSE v * 80 - 130 END AS value
   FROM volts JOIN (VALUES
-    ('A0', 'cryo-diode', 'temperature', 'K'), ('A1', 'bias-monitor', 'voltage', 'V'),
-    ('A2', 'pirani-1', 'pressure', 'mbar'), ('A3', 'laser-1', 'power', 'mW'),
-    ('A4', 'beam-x', 'position', 'µm'), ('A5', 'beam-y', 'position', 'µm'),
-    ('A6', 'ntc-1', 'temperature', 'K')) s(channel, sensor_id, measurement, unit)
+    ('A0', 'stage-thermometer', 'temperature', 'K'), ('A1', 'rail-monitor', 'voltage', 'V'),
+    ('A2', 'ion-gauge', 'pressure', 'mbar'), ('A3', 'diode-power', 'power', 'mW'),
+    ('A4', 'stage-x', 'position', 'µm'), ('A5', 'stage-y', 'position', 'µm'),
+    ('A6', 'thermistor', 'temperature', 'K')) s(channel, sensor_id, measurement, unit)
     ON s.channel = volts.channel)"""
 
 FROM_LINES = f"WITH {PARSED}, {POINTS}"
-FROM_STORE = f"WITH {READINGS}, {POINTS}, demo AS (SELECT * FROM points WHERE channel <> 'A2')"
+FROM_STORE = f"WITH {READINGS}, {POINTS}, demo AS (SELECT * FROM points)"
+
+
+def _shown(column: str, digits: int = 6) -> str:
+    """A rounded value; a pressure by its decades."""
+    return f"round(CASE WHEN sensor_id = 'ion-gauge' THEN log10({column}) ELSE {column} END, {digits})"
+
 
 # The gate as the machine it is: one reading after the other, per gated channel.
 WALK = f"""WITH RECURSIVE {PARSED}, {POINTS},
@@ -110,6 +116,13 @@ changes AS (
     WHEN x < 0.1 THEN 'below 100 mV' ELSE 'above 3 V' END AS "limit"
   FROM verdict WHERE was_recording <> admitted)"""
 
+# The same walk under the revisions that change the dwells from the eleventh on.
+WALK_REVISED = WALK.replace(
+    "CASE channel WHEN 'A1' THEN 7200 ELSE 3600 END::BIGINT AS dwell",
+    "CASE WHEN time < TIMESTAMP '2024-01-11' THEN CASE channel WHEN 'A1' THEN 7200 ELSE 3600 END"
+    " ELSE CASE channel WHEN 'A1' THEN 1800 ELSE 36000 END END::BIGINT AS dwell",
+)
+
 SUMMARY = f"""{WALK},
 span AS (SELECT min(time) AS first, max(time) AS last FROM lines),
 ticks AS (
@@ -125,8 +138,8 @@ summary AS (
      WHERE w.window_start = t.window_start AND w.sensor_id = d.sensor_id) AS readings,
     CAST(0 AS BIGINT) AS skipped, 21600 AS window_s
   FROM ticks t, (SELECT DISTINCT sensor_id FROM points UNION
-                 VALUES ('cryo-diode'), ('bias-monitor'), ('pirani-1'), ('laser-1'),
-                        ('beam-x'), ('beam-y'), ('ntc-1')) d(sensor_id))"""
+                 VALUES ('stage-thermometer'), ('rail-monitor'), ('ion-gauge'), ('diode-power'),
+                        ('stage-x'), ('stage-y'), ('thermistor')) d(sensor_id))"""
 
 
 def _values(channels: str) -> str:
@@ -147,7 +160,7 @@ ORACLES |= {
     "calibrate_affine": _values("'A1', 'A4', 'A5'"),
     "calibrate_piecewise": _values("'A0'"),
     "calibrate_spline": _values("'A6'"),
-    "calibrate_expression": f"{FROM_LINES} SELECT seq, unit, round(1.667 * v - 11.33, 6) AS log_value"
+    "calibrate_expression": f"{FROM_LINES} SELECT seq, unit, round(1.25 * v - 8.5, 6) AS log_value"
     " FROM points WHERE channel = 'A2'",
     "uncalibrated_channels": """
 WITH r AS (SELECT event_id AS seq, date_trunc('millisecond', ts) AS time,
@@ -156,12 +169,11 @@ s AS (SELECT channel, min(time) AS first_time, count(*) AS readings FROM r
       WHERE channel NOT IN ('A0', 'A1', 'A2', 'A3', 'A4', 'A5', 'A6') GROUP BY channel),
 f AS (SELECT s.channel, s.first_time, min(r.seq) AS first_seq, s.readings
       FROM s JOIN r ON r.channel = s.channel AND r.time = s.first_time GROUP BY ALL)
-SELECT *, greatest((SELECT count(*) FROM f) - 64, 0) AS unnamed FROM f
-ORDER BY first_time, first_seq LIMIT 64""",
+SELECT *, row_number() OVER (ORDER BY first_time, first_seq, channel) AS place FROM f""",
     "calibrated_points": f"""{FROM_LINES} SELECT measurement, time, sensor_id, unit,
- round(value, 6) AS value,
+ {_shown("value")} AS value,
  CASE WHEN channel <> 'A4' THEN round(v, 6) END AS input_volts, seq
-FROM points WHERE channel <> 'A2'""",
+FROM points""",
     "store_input_override": f"""{FROM_STORE} SELECT sensor_id,
  count(CASE WHEN channel <> 'A4' THEN v END) AS kept, count(*) AS points FROM points GROUP BY 1""",
 }
@@ -261,10 +273,10 @@ v(channel, revision, rule, detail, broken) AS (
  UNION ALL SELECT channel, revision, 'V8',
    'dwell must be a duration; ''m'' is metres, minutes are ''min''', defect = 19 FROM k)
 SELECT channel, revision, rule, detail FROM v WHERE broken""",
-    "recalibrate": f"""{FROM_STORE} SELECT sensor_id, seq, round(value, 6) AS old_value,
+    "recalibrate": f"""{FROM_STORE} SELECT sensor_id, seq, {_shown("value")} AS old_value,
  channel = 'A3' AS correctable,
- round(CASE WHEN channel = 'A3' THEN v * 55.00000000000001::DOUBLE ELSE value END, 6) AS value, unit
-FROM points WHERE channel IN ('A1', 'A3', 'A4')""",
+ {_shown("CASE WHEN channel = 'A3' THEN v * 44::DOUBLE ELSE value END")} AS value, unit
+FROM points""",
     "calibration_in_force": f"""{FROM_STORE}, p AS (
  SELECT sensor_id, time, seq, CASE WHEN channel IN ('A3', 'A4') AND time >= TIMESTAMP '2024-01-16'
    THEN 2 ELSE 1 END AS revision_in_force FROM points)
@@ -287,9 +299,9 @@ ORACLES |= {
     "recording_gate": f"""{WALK} SELECT channel, seq, was_recording, admitted FROM verdict
 UNION ALL SELECT channel, seq, true, true FROM points WHERE channel NOT IN ('A1', 'A3')""",
     "gated_points": f"""{WALK}, stored AS (
-  SELECT p.* FROM points p WHERE channel NOT IN ('A1', 'A2', 'A3')
+  SELECT p.* FROM points p WHERE channel NOT IN ('A1', 'A3')
   UNION ALL SELECT p.* FROM points p JOIN verdict w ON w.seq = p.seq WHERE w.admitted)
-SELECT measurement, time, sensor_id, unit, round(value, 6) AS value,
+SELECT measurement, time, sensor_id, unit, {_shown("value")} AS value,
  CASE WHEN channel <> 'A4' THEN round(v, 6) END AS input_volts, seq FROM stored""",
     "gate_transitions": f"""{WALK} SELECT channel, sensor_id, time, seq, message,
  round(x, 6) AS value, "limit" FROM changes""",
@@ -299,6 +311,14 @@ SELECT measurement, time, sensor_id, unit, round(value, 6) AS value,
     "recording_gaps": f"""{WALK}, n AS (SELECT *, lead(time) OVER (PARTITION BY channel ORDER BY time, seq) AS nxt
  FROM changes) SELECT channel, sensor_id, time AS stopped_at, nxt AS resumed_at,
  round((epoch_us(nxt) - epoch_us(time)) / 1e6, 3) AS duration_s, "limit" FROM n WHERE NOT admitted""",
+    "recording_gate_revised": f"{WALK_REVISED} SELECT channel, seq, was_recording, admitted FROM verdict",
+    "reading_outcomes": f"""{WALK_REVISED}
+SELECT channel, outcome, count(*) AS readings FROM (
+  SELECT channel, CASE WHEN admitted THEN 'written' ELSE 'gated out' END AS outcome FROM verdict
+  UNION ALL SELECT channel, CASE
+    WHEN channel = 'A7' AND time < TIMESTAMP '2024-01-16' THEN 'uncalibrated'
+    WHEN channel IN ('A0', 'A6') AND time >= TIMESTAMP '2024-01-11' THEN 'skipped' ELSE 'written' END
+  FROM good WHERE channel NOT IN ('A1', 'A3')) GROUP BY ALL""",
     "sensor_summary": f"{SUMMARY} SELECT * FROM summary",
     "silent_sensors": f"{SUMMARY} SELECT *, 'silent' AS state FROM summary WHERE readings = 0",
     "failure_report": f"""WITH lines AS ({_text(fx.BOARD_LINES_SQL)}), {_parsed('lines')}
@@ -308,31 +328,31 @@ FROM parsed WHERE reason IS NOT NULL GROUP BY reason""",
 
 # --- measurements --------------------------------------------------------------------
 
-_LONG = "time, seq, sensor_id, round(value, 6) AS value"
+_LONG = f"time, seq, sensor_id, {_shown('value')} AS value"
 
 ORACLES |= {
     "time_range": f"""{FROM_STORE} SELECT {_LONG} FROM demo
 WHERE time >= TIMESTAMP '2024-01-10' AND time <= TIMESTAMP '2024-01-12'""",
-    "sensors_in": f"{FROM_STORE} SELECT {_LONG} FROM demo WHERE sensor_id IN ('beam-x', 'laser-1')",
+    "sensors_in": f"{FROM_STORE} SELECT {_LONG} FROM demo WHERE sensor_id IN ('stage-x', 'diode-power')",
     "sql_over_measurements": f"""{FROM_STORE} SELECT sensor_id, count(*) AS warm FROM demo
 WHERE measurement IN ('temperature', 'power') AND value > 100 GROUP BY 1""",
-    "latest_value": f"""{FROM_STORE} SELECT time, seq, round(1.667 * v - 11.33, 6) AS log_value
+    "latest_value": f"""{FROM_STORE} SELECT time, seq, round(1.25 * v - 8.5, 6) AS log_value
 FROM points WHERE channel = 'A2' ORDER BY time DESC, seq DESC LIMIT 1""",
     "newest_rows": f"{FROM_STORE} SELECT {_LONG} FROM demo ORDER BY time DESC, seq DESC LIMIT 20",
-    "latest_per_sensor": f"""{FROM_STORE} SELECT sensor_id, time, round(value, 6) AS value, unit FROM demo
+    "latest_per_sensor": f"""{FROM_STORE} SELECT sensor_id, time, {_shown("value")} AS value, unit FROM demo
 QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY time DESC, seq DESC) = 1""",
     "list_measurements": f"{FROM_STORE} SELECT DISTINCT measurement FROM points",
     "sparkline": f"""{FROM_STORE}, s AS (SELECT sensor_id, {_slot("time", 21600)} AS step,
    avg(value) AS a, arg_max(value, (time, seq)) AS l FROM demo
    WHERE time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' GROUP BY ALL)
 SELECT sensor_id, string_agg(CAST(CAST(round(a) AS BIGINT) AS VARCHAR), ' ' ORDER BY step) AS trace,
- round(arg_max(l, step), 6) AS last_value FROM s GROUP BY 1""",
+ {_shown("arg_max(l, step)")} AS last_value FROM s GROUP BY 1""",
     "inventory": f"""{FROM_STORE}, w AS ({_text(fx.PHYSICAL_SQL)}),
 u AS (SELECT measurement, sensor_id, time, seq, value, unit, CASE WHEN channel <> 'A4' THEN v END AS input_volts,
         true AS calibrated FROM demo
       UNION ALL SELECT 'frequency', 'mock-wavemeter', time, seq, value + 276.5613e12, 'Hz', NULL, false
       FROM w WHERE value IS NOT NULL AND NOT isnan(value))
-SELECT measurement, sensor_id, time, round(value, 6) AS value, unit, round(input_volts, 6) AS input_volts,
+SELECT measurement, sensor_id, time, {_shown("value")} AS value, unit, round(input_volts, 6) AS input_volts,
  CASE WHEN calibrated THEN 'calibrated' ELSE 'simulated' END AS origin, calibrated,
  CASE measurement WHEN 'frequency' THEN format('{{:.6f}} THz', value / 1e12)
    ELSE format('{{:.4f}}', value) END AS reading FROM u
@@ -345,12 +365,11 @@ QUALIFY row_number() OVER (PARTITION BY measurement, sensor_id ORDER BY time DES
  WHEN 'mW' THEN 'mwatt' WHEN 'mbar' THEN 'pressurembar' ELSE concat('suffix:', unit) END AS panel_unit,
  count(*) AS points FROM points GROUP BY ALL""",
     "series_wide": f"""{FROM_STORE} SELECT time,
- round(max(value) FILTER (sensor_id = 'beam-x'), 6) AS beam_x,
- round(max(value) FILTER (sensor_id = 'beam-y'), 6) AS beam_y,
- round(max(value) FILTER (sensor_id = 'laser-1'), 6) AS laser FROM demo GROUP BY time""",
+ round(max(value) FILTER (sensor_id = 'stage-x'), 6) AS beam_x,
+ round(max(value) FILTER (sensor_id = 'stage-y'), 6) AS beam_y,
+ round(max(value) FILTER (sensor_id = 'diode-power'), 6) AS laser FROM demo GROUP BY time""",
     "last_write_wins": f"""WITH good AS ({_text(fx.REWRITTEN_SQL)}), {POINTS}
-SELECT measurement, time, sensor_id, round(value, 6) AS value, seq FROM points
-WHERE channel IN ('A1', 'A3', 'A4', 'A5')
+SELECT measurement, time, sensor_id, {_shown("value")} AS value, seq FROM points
 QUALIFY row_number() OVER (PARTITION BY measurement, sensor_id, time ORDER BY seq DESC) = 1""",
     "data_gaps": f"""{FROM_STORE}, g AS (SELECT sensor_id, time AS gap_end,
    lag(time) OVER (PARTITION BY sensor_id ORDER BY time, seq) AS gap_start FROM demo)
@@ -379,17 +398,17 @@ for name, step, source in (
         "downsample_scale",
         30 * 86400,
         f"WITH good AS ({_text(fx.SCALE_SQL)}), {POINTS},"
-        " src AS (SELECT * FROM points WHERE channel IN ('A1', 'A3', 'A4'))",
+        " src AS (SELECT * FROM points)",
     ),
 ):
     ORACLES[name] = f"""{source} SELECT sensor_id, {_slot("time", step)} AS step,
- round(avg(value), 4) AS avg_value, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value,
- count(*) AS readings, round(arg_max(value, (time, seq)), 6) AS last_value FROM src GROUP BY ALL"""
+ {_shown("avg(value)", 4)} AS avg_value, {_shown("min(value)")} AS min_value, {_shown("max(value)")} AS max_value,
+ count(*) AS readings, {_shown("arg_max(value, (time, seq))")} AS last_value FROM src GROUP BY ALL"""
 
 _PAIRS = f"""{FROM_STORE}, pairs AS (SELECT {_slot("time", 7200)} AS step,
-   arg_max(value, (time, seq)) FILTER (sensor_id = 'beam-x') AS x,
-   arg_max(value, (time, seq)) FILTER (sensor_id = 'beam-y') AS y
- FROM demo WHERE sensor_id IN ('beam-x', 'beam-y') GROUP BY 1)"""
+   arg_max(value, (time, seq)) FILTER (sensor_id = 'stage-x') AS x,
+   arg_max(value, (time, seq)) FILTER (sensor_id = 'stage-y') AS y
+ FROM demo WHERE sensor_id IN ('stage-x', 'stage-y') GROUP BY 1)"""
 ORACLES |= {
     "xy_pairs": f"{_PAIRS} SELECT step, round(x, 6) AS x, round(y, 6) AS y FROM pairs"
     " WHERE x IS NOT NULL AND y IS NOT NULL",
@@ -443,8 +462,7 @@ WHERE name <> 'c12' AND name NOT IN (SELECT container FROM logs WHERE container
   WHERE {_WARN} AND container IN ('c0', 'c1', 'c2', 'c3', 'c4'))
 SELECT lines, CASE WHEN lines >= 1 THEN 'orange' ELSE 'green' END AS status FROM n
 UNION ALL SELECT 0, 'green'""",
-    "warn_and_error_lines": f"""{LOGS} SELECT ts, seq, level, line FROM sev WHERE {_WARN} OR {_ERROR}
-ORDER BY ts DESC, seq DESC LIMIT 1000""",
+    "warn_and_error_lines": f"""{LOGS} SELECT ts, seq, level, line FROM sev WHERE {_WARN} OR {_ERROR}""",
     "container_lines": f"""{LOGS} SELECT container, count(*) AS lines FROM sev
 WHERE container IS NOT NULL GROUP BY 1""",
     "skipped_by_sensor": f"""{LOGS} SELECT {_slot('ts', 21600)} AS step, sensor_id,
@@ -473,13 +491,7 @@ WHERE epoch_us(gap_end) - epoch_us(gap_start) > 7200000000 AND ({_WARN} OR {_ERR
 ORACLES |= {
     "calibrated_points_stream": ORACLES["calibrated_points"],
     "recording_gate_stream": ORACLES["recording_gate"],
-    "readings_summary_stream": f"""{FROM_LINES},
-ticks AS (SELECT DISTINCT {_slot("time", 21600)} AS window_start FROM lines),
-n AS (SELECT sensor_id, {_slot("time", 21600)} AS window_start, count(*) AS readings FROM points GROUP BY ALL)
-SELECT t.window_start, d.sensor_id, coalesce(n.readings, 0) AS readings, 0 AS skipped, 21600 AS window_s
-FROM ticks t CROSS JOIN (VALUES ('cryo-diode'), ('bias-monitor'), ('pirani-1'), ('laser-1'),
-                          ('beam-x'), ('beam-y'), ('ntc-1')) d(sensor_id)
-LEFT JOIN n ON n.window_start = t.window_start AND n.sensor_id = d.sensor_id""",
+    "sensor_summary_stream": ORACLES["sensor_summary"],
     "uncalibrated_channels_stream": f"""WITH {PARSED} SELECT channel, min(time) AS first_time,
  arg_min(seq, (time, seq)) AS first_seq FROM good WHERE channel > 'A6' GROUP BY channel""",
     "log_volume_stream": ORACLES["log_volume"],

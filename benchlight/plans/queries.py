@@ -7,6 +7,7 @@ computed doubles rounded, so that an oracle can be compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,14 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+def _shown(df: DataFrame, **digits: int) -> DataFrame:
+    """Values rounded; those of the gauge span decades and are given as such."""
+    pressure = F.col("sensor_id") == "ion-gauge"
+    return df.withColumns(
+        {c: F.round(F.when(pressure, F.log10(c)).otherwise(F.col(c)), n) for c, n in digits.items()}
+    )
+
+
 def _calibrate(readings: DataFrame, calibrations: DataFrame) -> DataFrame:
     return cal.calibrate(
         readings, cal.conversions(calibrations), cal.formula_texts(calibrations)
@@ -119,8 +128,8 @@ def uncalibrated_channels(spark, sf):
 def calibrated_points(spark, sf):
     readings = wire.readings(wire.parse_wire(fx.wire_lines(spark, sf)))
     valued = cal.drop_non_finite(_calibrate(readings, fx.demo_calibrations(spark)))
-    points = cal.as_points(valued).filter("measurement <> 'pressure'")
-    return _rounded(points.drop("tags", "calibration_id"), value=6, input_volts=6)
+    points = cal.as_points(valued).drop("tags", "calibration_id")
+    return _rounded(_shown(points, value=6), input_volts=6)
 
 
 @query
@@ -209,8 +218,8 @@ def recalibrate(spark, sf):
         if row["channel"] in ("A3", "A4")
     ]
     points = cal.recalibrate(fx.event_points(spark, sf), fx.calibrations(spark, rows))
-    return _rounded(
-        points.filter("sensor_id IN ('laser-1', 'beam-x', 'bias-monitor')").select(
+    return _shown(
+        points.select(
             "sensor_id", "seq", "value", "old_value", "correctable", "unit"
         ),
         value=6,
@@ -265,11 +274,7 @@ def recording_gate(spark, sf):
 def gated_points(spark, sf):
     """The whole chain, from lines to what a store keeps."""
     points = chain.gated_points(fx.wire_lines(spark, sf), fx.demo_calibrations(spark))
-    return _rounded(
-        points.filter("measurement <> 'pressure'").drop("tags", "calibration_id"),
-        value=6,
-        input_volts=6,
-    )
+    return _rounded(_shown(points.drop("tags", "calibration_id"), value=6), input_volts=6)
 
 
 @query
@@ -303,6 +308,42 @@ def _summary(spark, sf) -> DataFrame:
     )
 
 
+def _rowdy_calibrations(spark) -> DataFrame:
+    """The demo channels with broken, rival and late revisions, and dwells that change."""
+    rows = fx.demo_rows()
+    late = {"effective_from": datetime(2024, 1, 11)}
+    power = next(r for r in rows if r["channel"] == "A3")
+    rail = next(r for r in rows if r["channel"] == "A1")
+    extra = [
+        # Two rows for one time: the higher revision stands. One number twice.
+        power | {"revision": 0, "factor": 1.0},
+        power | late | {"gate": fx.GATE_POWER | {"dwell": 10.0, "dwell_unit": "h"}},
+        rail | late | {"revision": 2, "gate": fx.GATE_RAIL | {"dwell": 30.0, "dwell_unit": "min"}},
+        # A spline through one point, and a mode nobody knows.
+        next(r for r in rows if r["channel"] == "A6") | late | {"points": fx.points((1.0, 300.0))},
+        next(r for r in rows if r["channel"] == "A0") | late | {"mode": "cubic"},
+        # In force from mid-month on only.
+        {"channel": "A7", "revision": 1, "sensor_id": "late", "measurement": "level", "factor": 1.0,
+         "factor_unit": "K/V", "effective_from": datetime(2024, 1, 16)},
+    ]
+    return fx.calibrations(spark, rows + extra)
+
+
+@query
+def reading_outcomes(spark, sf):
+    """What became of every reading under a table with broken and rival revisions."""
+    return chain.reading_outcomes(fx.wire_lines(spark, sf), _rowdy_calibrations(spark))
+
+
+@query
+def recording_gate_revised(spark, sf):
+    """The gate where revisions change the dwell in the middle of a run."""
+    calibrations = _rowdy_calibrations(spark)
+    conv = cal.conversions(calibrations)
+    gated = chain.gated_readings(fx.wire_lines(spark, sf), conv, cal.formula_texts(calibrations))
+    return gated.filter("channel IN ('A1', 'A3')").select("channel", "seq", "was_recording", "admitted")
+
+
 @query
 def sensor_summary(spark, sf):
     return _summary(spark, sf)
@@ -336,8 +377,7 @@ def failure_report(spark, sf):
 
 
 def _demo_points(spark, sf) -> DataFrame:
-    points = fx.event_points(spark, sf).filter("measurement <> 'pressure'")
-    return points.drop("tags", "calibration_id")
+    return fx.event_points(spark, sf).drop("tags", "calibration_id")
 
 
 @query
@@ -348,12 +388,12 @@ def time_range(spark, sf):
         F.lit(start).cast("timestamp"),
         F.lit(end).cast("timestamp"),
     )
-    return _rounded(chosen.select("time", "seq", "sensor_id", "value"), value=6)
+    return _shown(chosen.select("time", "seq", "sensor_id", "value"), value=6)
 
 
 @query
 def sensors_in(spark, sf):
-    chosen = measure.sensors_in(_demo_points(spark, sf), ["beam-x", "laser-1"])
+    chosen = measure.sensors_in(_demo_points(spark, sf), ["stage-x", "diode-power"])
     return _rounded(chosen.select("time", "seq", "sensor_id", "value"), value=6)
 
 
@@ -373,13 +413,13 @@ def sql_over_measurements(spark, sf):
 
 @query
 def latest_value(spark, sf):
-    newest = measure.latest_value(fx.event_points(spark, sf), "pirani-1")
+    newest = measure.latest_value(fx.event_points(spark, sf), "ion-gauge")
     return newest.select("time", "seq", F.round(F.log10("value"), 6).alias("log_value"))
 
 
 @query
 def newest_rows(spark, sf):
-    return _rounded(
+    return _shown(
         measure.newest_rows(_demo_points(spark, sf), 20).select(
             "time", "seq", "sensor_id", "value"
         ),
@@ -389,12 +429,12 @@ def newest_rows(spark, sf):
 
 @query
 def latest_per_sensor(spark, sf):
-    return _rounded(measure.latest_per_sensor(_demo_points(spark, sf)), value=6)
+    return _shown(measure.latest_per_sensor(_demo_points(spark, sf)), value=6)
 
 
 @query
 def downsample(spark, sf):
-    return _rounded(
+    return _shown(
         measure.downsample(_demo_points(spark, sf), "1 hour"),
         avg_value=4,
         min_value=6,
@@ -406,11 +446,8 @@ def downsample(spark, sf):
 @query
 def downsample_scale(spark, sf):
     """The larger table by month of shipping."""
-    valued = _calibrate(
-        fx.scale_readings(spark, sf).filter("channel IN ('A1', 'A3', 'A4')"),
-        fx.demo_calibrations(spark),
-    )
-    return _rounded(
+    valued = _calibrate(fx.scale_readings(spark, sf), fx.demo_calibrations(spark))
+    return _shown(
         measure.downsample(valued, "30 days"),
         avg_value=4,
         min_value=6,
@@ -430,7 +467,7 @@ def sparkline(spark, sf):
     text = F.array_join(
         F.transform("trace", lambda v: F.round(v).cast("bigint").cast("string")), " "
     )
-    return _rounded(traces.withColumn("trace", text), last_value=6)
+    return _shown(traces.withColumn("trace", text), last_value=6)
 
 
 @query
@@ -444,9 +481,9 @@ def inventory(spark, sf):
     points = measure.union_measurements(
         [fx.event_points(spark, sf), wavemeter.drop("input_volts", "calibration_id")]
     )
-    listed = measure.inventory(points).filter("measurement <> 'pressure'")
+    listed = measure.inventory(points)
     listed = listed.withColumn("calibrated", F.col("calibration_id").isNotNull())
-    return _rounded(listed.drop("calibration_id"), value=6, input_volts=6)
+    return _rounded(_shown(listed.drop("calibration_id"), value=6), input_volts=6)
 
 
 @query
@@ -457,13 +494,13 @@ def list_measurements(spark, sf):
 @query
 def xy_pairs(spark, sf):
     return _rounded(
-        measure.xy_pairs(_demo_points(spark, sf), "beam-x", "beam-y", "2 hours"), x=6, y=6
+        measure.xy_pairs(_demo_points(spark, sf), "stage-x", "stage-y", "2 hours"), x=6, y=6
     )
 
 
 @query
 def latest_pair(spark, sf):
-    pairs = measure.xy_pairs(_demo_points(spark, sf), "beam-x", "beam-y", "2 hours")
+    pairs = measure.xy_pairs(_demo_points(spark, sf), "stage-x", "stage-y", "2 hours")
     return _rounded(measure.latest_pair(pairs), now_x=6, now_y=6)
 
 
@@ -478,7 +515,7 @@ def detuning(spark, sf):
 
 @query
 def calibration_layer(spark, sf):
-    layer = measure.calibration_layer(fx.event_points(spark, sf), "cryo-diode")
+    layer = measure.calibration_layer(fx.event_points(spark, sf), "stage-thermometer")
     return _rounded(layer, value=6, input_volts=6)
 
 
@@ -492,12 +529,12 @@ def panel_units(spark, sf):
 
 @query
 def series_wide(spark, sf):
-    wide = measure.series_wide(_demo_points(spark, sf), ["beam-x", "beam-y", "laser-1"])
+    wide = measure.series_wide(_demo_points(spark, sf), ["stage-x", "stage-y", "diode-power"])
     named = wide.select(
         "time",
-        F.col("beam-x").alias("beam_x"),
-        F.col("beam-y").alias("beam_y"),
-        F.col("laser-1").alias("laser"),
+        F.col("stage-x").alias("beam_x"),
+        F.col("stage-y").alias("beam_y"),
+        F.col("diode-power").alias("laser"),
     )
     return _rounded(named, beam_x=6, beam_y=6, laser=6)
 
@@ -505,11 +542,10 @@ def series_wide(spark, sf):
 @query
 def last_write_wins(spark, sf):
     valued = _calibrate(
-        fx.derive(spark, sf, fx.REWRITTEN_SQL).filter("channel IN ('A1', 'A3', 'A4', 'A5')"),
-        fx.demo_calibrations(spark),
+        fx.derive(spark, sf, fx.REWRITTEN_SQL), fx.demo_calibrations(spark)
     )
     points = measure.last_write_wins(cal.as_points(cal.drop_non_finite(valued)))
-    return _rounded(points.select("measurement", "time", "sensor_id", "value", "seq"), value=6)
+    return _shown(points.select("measurement", "time", "sensor_id", "value", "seq"), value=6)
 
 
 @query
@@ -685,14 +721,14 @@ def logfmt_tokens(spark, sf):
 # --- streams: the same answers over micro-batches ---------------------------------
 
 
-def _stream_lines(spark, sf) -> DataFrame:
-    return fx.derive_stream(spark, sf, fx.LINES_SQL)
+def _stream_lines(spark, sf, ordered: bool = False) -> DataFrame:
+    return fx.derive_stream(spark, sf, fx.LINES_SQL, ordered=ordered)
 
 
-def _stream_valued(spark, sf, *carry: str) -> DataFrame:
+def _stream_valued(spark, sf, *carry: str, ordered: bool = False) -> DataFrame:
     calibrations = fx.demo_calibrations(spark)
     return stream.stream_calibrate(
-        _stream_lines(spark, sf),
+        _stream_lines(spark, sf, ordered),
         cal.conversions(calibrations),
         cal.formula_texts(calibrations),
         carry=list(carry),
@@ -703,60 +739,74 @@ def _stream_valued(spark, sf, *carry: str) -> DataFrame:
 def calibrated_points_stream(spark, sf):
     """Lines through a streaming sink into the store, and back."""
     folder = shared_folder(spark)
-    valued = _stream_valued(spark, sf, "revision", *cal.LABELS)
+    valued = _stream_valued(spark, sf, *cal.LABELS)
     points = cal.as_points(cal.drop_non_finite(valued))
     stream.stream_points_sink(points, f"{folder}/points", f"{folder}/log").awaitTermination()
-    stored = store.scan_points(spark, f"{folder}/points").filter("measurement <> 'pressure'")
-    return _rounded(stored.drop("tags", "calibration_id", "date"), value=6, input_volts=6)
+    stored = store.scan_points(spark, f"{folder}/points").drop("tags", "calibration_id", "date")
+    return _rounded(_shown(stored, value=6), input_volts=6)
 
 
 @query
 def recording_gate_stream(spark, sf):
+    """A gate judges readings as they arrive, so its batches follow the time."""
     folder = shared_folder(spark)
-    valued = _stream_valued(spark, sf, "gate")
+    valued = _stream_valued(spark, sf, "gate", ordered=True)
     stream.stream_gate(valued, f"{folder}/gated", f"{folder}/log").awaitTermination()
     gated = spark.read.parquet(f"{folder}/gated")
     return gated.select("channel", "seq", "was_recording", "admitted")
 
 
 @query
-def readings_summary_stream(spark, sf):
-    """Readings per sensor and window as they come, without the gate."""
+def sensor_summary_stream(spark, sf):
+    """Readings written and skipped per sensor and window, after the gate."""
     folder = shared_folder(spark)
-    valued = _stream_valued(spark, sf, "sensor_id")
-    outcomes = valued.select("time", "sensor_id", F.col("finite").alias("written"))
-    counts = stream.stream_summary(
-        outcomes,
-        _stream_lines(spark, sf).select("time"),
-        [row["sensor_id"] for row in fx.demo_rows()],
+    calibrations = fx.demo_calibrations(spark)
+    conv = cal.conversions(calibrations)
+    stream.stream_summary(
+        _stream_lines(spark, sf, ordered=True),
+        conv,
+        cal.formula_texts(calibrations),
+        f"{folder}/counts",
+        f"{folder}/log",
         SUMMARY,
-    )
-    stream.stream_updates(counts, f"{folder}/counts", f"{folder}/log").awaitTermination()
-    return stream.current_counts(spark, f"{folder}/counts", ["window_start", "sensor_id"])
+    ).awaitTermination()
+    return stream.current_summary(spark, f"{folder}/counts", conv, SUMMARY)
 
 
 @query
 def uncalibrated_channels_stream(spark, sf):
     folder = shared_folder(spark)
     readings = wire.readings(wire.parse_wire(_stream_lines(spark, sf)))
-    strangers = readings.filter(~F.col("channel").isin([r["channel"] for r in fx.demo_rows()]))
+    strangers = cal.uncalibrated_readings(readings, fx.demo_calibrations(spark))
     stream.stream_warn_once(strangers, f"{folder}/warned", f"{folder}/log").awaitTermination()
     return stream.latest_version(spark, f"{folder}/warned")
 
 
+def _stream_logs(spark, sf) -> DataFrame:
+    return logs.labelled_logs(fx.derive_stream(spark, sf, fx.LOGS_SQL, time="ts"))
+
+
 @query
 def log_volume_stream(spark, sf):
-    folder = shared_folder(spark)
-    found = logs.labelled_logs(fx.derive_stream(spark, sf, fx.LOGS_SQL))
-    counts = stream.stream_log_volume(found, SUMMARY)
-    stream.stream_updates(counts, f"{folder}/counts", f"{folder}/log").awaitTermination()
-    return stream.current_counts(spark, f"{folder}/counts", ["step", "level"])
+    folder, keys = shared_folder(spark), ["step", "level"]
+    stream.stream_counts(
+        _stream_logs(spark, sf),
+        lambda rows: loglines.log_volume(rows, SUMMARY),
+        keys,
+        f"{folder}/counts",
+        f"{folder}/log",
+    ).awaitTermination()
+    return stream.current_counts(spark, f"{folder}/counts", keys)
 
 
 @query
 def skipped_by_sensor_stream(spark, sf):
-    folder = shared_folder(spark)
-    found = logs.labelled_logs(fx.derive_stream(spark, sf, fx.LOGS_SQL))
-    counts = stream.stream_skipped(found, SUMMARY)
-    stream.stream_updates(counts, f"{folder}/counts", f"{folder}/log").awaitTermination()
-    return stream.current_counts(spark, f"{folder}/counts", ["step", "sensor_id"])
+    folder, keys = shared_folder(spark), ["step", "sensor_id"]
+    stream.stream_counts(
+        _stream_logs(spark, sf),
+        lambda rows: loglines.skipped_by_sensor(rows, SUMMARY),
+        keys,
+        f"{folder}/counts",
+        f"{folder}/log",
+    ).awaitTermination()
+    return stream.current_counts(spark, f"{folder}/counts", keys)

@@ -16,8 +16,6 @@ ADC_BITS = 12
 ADC_VREF = 3.3
 PROBE_VOLTS = (1.0, 0.5, 2.0)
 CALIBRATION_ID_LENGTH = 8
-MAX_NAMED_CHANNELS = 64
-MAX_LOG_LINES = 1000
 RETENTION_HOURS = 720
 SUMMARY_WINDOW = "30 seconds"
 CARRIER_HZ = 276.5613e12

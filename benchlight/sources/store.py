@@ -22,10 +22,12 @@ PARTITIONS = ["measurement", "date"]
 def write_points(points: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Append points under ``measurement=…/date=…``.
 
-    Rows are not shuffled for it: a hot measurement stays spread over its tasks.
+    Rows of a folder come together first, so that it gets few files; a folder with more
+    rows than a task should take is split again.
     """
     (
         points.withColumn("date", F.to_date("time"))
+        .hint("rebalance", *PARTITIONS)
         .write.mode("append")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*PARTITIONS)

@@ -14,7 +14,7 @@ from benchlight.schema import REASONS
 # --- fixed values -----------------------------------------------------------
 _NAME = r"[A-Za-z0-9_.-]{1,32}"
 _DIGITS = r"[0-9](?:_?[0-9])*+"
-_NUMBER = rf"[+-]?(?:{_DIGITS}(?:[.](?:{_DIGITS})?)?|[.]{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+NUMBER = rf"[+-]?(?:{_DIGITS}(?:[.](?:{_DIGITS})?)?|[.]{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
 _NON_FINITE = r"(?i)^[+-]?(?:nan|inf|infinity)\z"
 # Everything Unicode counts as white space, plus the four ASCII separators.
 WHITE_SPACE = (
@@ -25,7 +25,7 @@ _SPACE = f"[{WHITE_SPACE}]*+"
 # A whole line holding a reading, as boards write it and in general; the group is
 # the count.
 _PLAIN = rf"^{_NAME},([0-9]++(?:[.][0-9]++)?+)\r?\z"
-_READING = rf"^{_SPACE}{_NAME}{_SPACE},{_SPACE}({_NUMBER}){_SPACE}\z"
+_READING = rf"^{_SPACE}{_NAME}{_SPACE},{_SPACE}({NUMBER}){_SPACE}\z"
 
 
 def read_wire(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -86,7 +86,7 @@ def _reason(line: Column) -> Column:
         .when(channel == "", empty)
         .when(~channel.rlike(rf"^{_NAME}\z"), name)
         # A number that still is no reading has overflowed.
-        .when(count.rlike(_NON_FINITE) | count.rlike(rf"^{_NUMBER}\z"), not_finite)
+        .when(count.rlike(_NON_FINITE) | count.rlike(rf"^{NUMBER}\z"), not_finite)
         .otherwise(not_number)
     )
 

@@ -1,32 +1,37 @@
 """The acquisition chain over micro-batches.
 
 Parsing, conversion and the finite check are projections and a stream-static join,
-so they take a stream as they are. What has state keeps it in one of two ways:
-windowed counts in Spark's own state store under a watermark; the gate and the
-warn-once lists in small tables, one version per batch, read by the next batch. A
+so they take a stream as they are. The gate and the warn-once lists keep their state in
+small tables, one version per batch, read by the next batch; a few versions are kept. A
 repeated batch reads the same version and writes the same result again.
 
-Stored points have no watermark: a reading is kept however late it comes.
+Windowed counts need no state: every batch writes what it adds, and readers sum it up.
+So there is no watermark, and nothing is lost however late it comes; what earlier
+batches added is folded into one table now and then. Stored points are only appended.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from benchlight.operators.calibrate import calibrate
 from benchlight.operators.gate import gate_events, gate_step
-from benchlight.operators.health import seconds
-from benchlight.operators.loglines import SUMMARY_MESSAGE, field_number
-from benchlight.operators.ordered import SPLIT_ROWS
-from benchlight.schema import MAX_NAMED_CHANNELS, SUMMARY_WINDOW
+from benchlight.operators.health import seconds, window_start, windows
+from benchlight.operators.ordered import SPLIT_ROWS, key_seq, key_time, last_key
+from benchlight.schema import SUMMARY_WINDOW
 from benchlight.session import settle
 from benchlight.sources.store import write_points
 from benchlight.sources.wire import parse_wire, readings
 
 STATE = "channel string, recording boolean, clock bigint"
-WARNED = "channel string, first_time timestamp, first_seq bigint"
+SUMMARY_KEYS = ["window_start", "sensor_id"]
+# Versions of a state that are kept, and batches after which counts are folded.
+KEPT_VERSIONS = 5
+FOLD = 50
 
 
 # --- stateless ------------------------------------------------------------------
@@ -53,6 +58,22 @@ def _previous(spark: SparkSession, path: str, batch: int, schema: str) -> DataFr
     return spark.read.schema(schema).parquet(_version(path, batch - 1))
 
 
+def _forget(spark: SparkSession, path: str, batch: int) -> None:
+    """Removes the version that no repeated batch can ask for any more."""
+    _remove(spark, [_version(path, batch - KEPT_VERSIONS)])
+
+
+def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _fields(schema: str) -> list[list[str]]:
     return [part.split() for part in schema.split(", ")]
 
@@ -87,6 +108,7 @@ def stream_gate(
         gated, left = gate_step(rows, state, split_rows=split_rows)
         gated.write.mode("overwrite").parquet(f"{path}/batch={batch}")
         left.write.mode("overwrite").parquet(_version(states, batch))
+        _forget(spark, states, batch)
 
     events = gate_events(valued.filter("finite").drop("finite"))
     return _writer(events, checkpoint).foreachBatch(step).start()
@@ -105,39 +127,26 @@ def stream_points_sink(points: DataFrame, path: str, checkpoint: str) -> Streami
 
 
 def stream_warn_once(
-    strangers: DataFrame, path: str, checkpoint: str, named: int = MAX_NAMED_CHANNELS
+    strangers: DataFrame, path: str, checkpoint: str, key: str = "channel"
 ) -> StreamingQuery:
-    """Name each channel of ``strangers`` once, in the order seen, up to ``named``.
+    """Name each ``key`` of ``strangers`` once, with when it was first seen.
 
-    Past that one row without a name says so. The list is all the state there is.
+    For channels without a calibration, or sensors (``key="sensor_id"``) whose values
+    are not finite. The list, one row per name, is all the state there is.
     """
     spark = strangers.sparkSession
+    schema = f"{key} string, first_time timestamp, first_seq bigint"
 
     def step(rows: DataFrame, batch: int) -> None:
-        warned = _previous(spark, path, batch, WARNED)
+        warned = _previous(spark, path, batch, schema)
         fresh = (
-            rows.groupBy("channel")
-            .agg(F.min(F.struct("time", "seq")).alias("first"))
-            .join(warned, "channel", "left_anti")
-            .select(
-                "channel",
-                F.col("first.time").alias("first_time"),
-                F.col("first.seq").alias("first_seq"),
-            )
+            rows.groupBy(key)
+            .agg(F.min(last_key()).alias("_first"))
+            .join(warned, key, "left_anti")
+            .select(key, key_time("_first").alias("first_time"), key_seq("_first").alias("first_seq"))
         )
-        # At most ``named`` + 1 rows, whatever the batch holds.
-        known = warned.filter("channel IS NOT NULL").count()
-        full = known < warned.count()
-        room = named - known
-        news = settle(fresh.orderBy("first_time", "first_seq").limit(room + 1))
-        table = warned.unionByName(news.orderBy("first_time", "first_seq").limit(room))
-        if not full and news.count() > room:
-            table = table.unionByName(
-                spark.range(1).select(
-                    *[F.lit(None).cast(kind).alias(name) for name, kind in _fields(WARNED)]
-                )
-            )
-        table.coalesce(1).write.mode("overwrite").parquet(_version(path, batch))
+        warned.unionByName(fresh).write.mode("overwrite").parquet(_version(path, batch))
+        _forget(spark, path, batch)
 
     return _writer(strangers, checkpoint).foreachBatch(step).start()
 
@@ -152,75 +161,136 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
 # --- windowed counts ------------------------------------------------------------
 
 
+def stream_counts(
+    rows: DataFrame,
+    count: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str],
+    path: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Windowed counts of a stream, without a state: each batch writes what it adds.
+
+    ``count`` makes counts or sums per ``keys`` out of a table, such as
+    :func:`log_volume` of :mod:`loglines`; ``current_counts`` sums the batches up.
+    """
+
+    def step(batch_rows: DataFrame, batch: int) -> None:
+        _add(count(batch_rows), keys, path, batch)
+
+    return _writer(rows, checkpoint).foreachBatch(step).start()
+
+
+def _add(counts: DataFrame, keys: Sequence[str], path: str, batch: int) -> None:
+    """Writes a batch's counts; every ``FOLD`` batches one row per key is left of them all.
+
+    The fold of a batch has a name of its own, and what it sums up is removed one fold
+    later, so a repeated batch finds what it found before.
+    """
+    spark = counts.sparkSession
+    counts.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    if batch % FOLD == FOLD - 1:
+        folded = _summed(_parts(spark, path, batch), keys)
+        folded.write.mode("overwrite").parquet(f"{path}/fold={batch}")
+        _remove(spark, [f"{path}/fold={batch - 2 * FOLD}"])
+        _remove(spark, [f"{path}/batch={b}" for b in range(batch - 2 * FOLD + 1, batch - FOLD + 1)])
+
+
+def _parts(spark: SparkSession, path: str, last: int) -> DataFrame:
+    """The newest complete fold before batch ``last``, and the batches after it."""
+    folds = [f for f in range(FOLD - 1, last, FOLD) if _exists(spark, f"{path}/fold={f}/_SUCCESS")]
+    after = max(folds, default=-1)
+    names = [f"{path}/fold={after}"] * (after >= 0) + [
+        f"{path}/batch={b}" for b in range(after + 1, last + 1) if _exists(spark, f"{path}/batch={b}")
+    ]
+    return spark.read.parquet(*names)
+
+
+def _summed(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    values = [c for c in parts.columns if c not in keys]
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
+
+
+def current_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The counts of all batches so far."""
+    return _summed(_parts(spark, path, _last_batch(spark, path)), list(keys))
+
+
+def _last_batch(spark: SparkSession, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    names = [item.getPath().getName() for item in listed]
+    return max(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
+
 def stream_summary(
-    outcomes: DataFrame,
-    ticks: DataFrame,
-    sensors: list[str],
+    lines: DataFrame,
+    conv: DataFrame,
+    formulas: list[str],
+    path: str,
+    checkpoint: str,
     every: str | None = SUMMARY_WINDOW,
-    delay: str = "1 minute",
-) -> DataFrame | None:
-    """Readings and skips per sensor and window, silent sensors included.
+    split_rows: int = SPLIT_ROWS,
+) -> StreamingQuery | None:
+    """Readings written and skipped per sensor and window, after the gate.
 
-    ``ticks`` is a stream of ``time`` (a ``rate`` source when live): each tick counts
-    zero for every declared sensor, which keeps a window open for the silent ones. The
-    watermark follows the slower of the two streams. No window turns the summary off.
+    Each batch of ``lines`` is calibrated and gated from the state the batch before left,
+    and adds its counts; a row without a sensor marks each window that had a line.
+    ``current_summary`` fills in the silent sensors. No window turns the summary off.
     """
     if not every or every.startswith("0 "):
         return None
-    zeros = ticks.withWatermark("time", delay).select(
-        "time",
-        F.explode(F.array(*[F.lit(s) for s in sorted(set(sensors))])).alias("sensor_id"),
-        F.lit(0).alias("_written"),
-        F.lit(0).alias("_skipped"),
-    )
-    counted = outcomes.withWatermark("time", delay).select(
-        "time",
-        "sensor_id",
-        F.col("written").cast("int").alias("_written"),
-        (~F.col("written")).cast("int").alias("_skipped"),
-    )
-    return (
-        counted.union(zeros)
-        .groupBy(F.window("time", every).alias("_window"), "sensor_id")
-        .agg(F.sum("_written").alias("readings"), F.sum("_skipped").alias("skipped"))
-        .select(
-            F.col("_window.start").alias("window_start"),
-            "sensor_id",
-            "readings",
-            "skipped",
-            F.lit(seconds(every)).alias("window_s"),
-        )
-    )
+    spark = lines.sparkSession
+    states = f"{checkpoint}-state"
 
+    def step(rows: DataFrame, batch: int) -> None:
+        rows = settle(rows)
+        valued = settle(gate_events(stream_calibrate(rows, conv, formulas, carry=["sensor_id", "gate"])))
+        state = _previous(spark, states, batch, STATE)
+        gated, left = gate_step(valued.filter("finite").drop("finite"), state, split_rows=split_rows)
+        outcomes = (
+            gated.filter("admitted")
+            .select("time", "sensor_id", F.lit(1).alias("readings"), F.lit(0).alias("skipped"))
+            .unionByName(
+                valued.filter("NOT finite").select(
+                    "time", "sensor_id", F.lit(0).alias("readings"), F.lit(1).alias("skipped")
+                )
+            )
+            .unionByName(
+                rows.select(
+                    "time",
+                    F.lit(None).cast("string").alias("sensor_id"),
+                    F.lit(0).alias("readings"),
+                    F.lit(0).alias("skipped"),
+                )
+            )
+        )
+        counts = outcomes.groupBy(window_start("time", every).alias("window_start"), "sensor_id").agg(
+            F.sum("readings").alias("readings"), F.sum("skipped").alias("skipped")
+        )
+        _add(counts, SUMMARY_KEYS, path, batch)
+        left.write.mode("overwrite").parquet(_version(states, batch))
+        _forget(spark, states, batch)
 
-def stream_log_volume(logs: DataFrame, step: str, delay: str = "1 minute") -> DataFrame:
-    """Lines per step and level, updated as they come."""
-    return (
-        logs.withWatermark("ts", delay)
-        .groupBy(F.window("ts", step).alias("_window"), "level")
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .select(F.col("_window.start").alias("step"), "level", "lines")
-    )
+    return _writer(lines, checkpoint).foreachBatch(step).start()
 
 
-def stream_skipped(logs: DataFrame, step: str, delay: str = "1 minute") -> DataFrame:
-    """Skipped readings per step and sensor out of the summary lines."""
-    return (
-        logs.withWatermark("ts", delay)
-        .filter(F.col("msg") == SUMMARY_MESSAGE)
-        .withColumn("_skipped", field_number("skipped"))
-        .filter(F.col("_skipped").isNotNull())
-        .groupBy(F.window("ts", step).alias("_window"), "sensor_id")
-        .agg(F.sum("_skipped").alias("skipped"))
-        .select(F.col("_window.start").alias("step"), "sensor_id", "skipped")
-    )
+def current_summary(
+    spark: SparkSession, path: str, declared: DataFrame, every: str = SUMMARY_WINDOW
+) -> DataFrame:
+    """The summary of all batches so far, with a row for every window of every sensor."""
+    counts = current_counts(spark, path, SUMMARY_KEYS)
+    zeros = windows(declared, counts.select(F.col("window_start").alias("time")), every)
+    zeros = zeros.withColumns({"readings": F.lit(0).cast("bigint"), "skipped": F.lit(0).cast("bigint")})
+    every_row = counts.filter("sensor_id IS NOT NULL").unionByName(zeros)
+    return _summed(every_row, SUMMARY_KEYS).withColumn("window_s", F.lit(seconds(every)))
 
 
-def stream_gap_context(gaps: DataFrame, logs: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_gap_context(gaps: DataFrame, logs: DataFrame, delay: str) -> DataFrame:
     """Closed gaps of a sensor with the lines about it, both arriving as streams.
 
     ``gaps`` has ``sensor_id``, ``gap_start`` and ``gap_end``, ``logs`` ``sensor_id``
-    and ``ts``. Either side may be ``delay`` late; past that its rows are let go.
+    and ``ts``. Either side may be ``delay`` late; past that its rows are let go, as a join
+    of two streams can't wait for ever. ``gap_context`` over the stored tables has them all.
     """
     silences = gaps.withWatermark("gap_end", delay).withColumnRenamed("sensor_id", "_about")
     lines = logs.filter(F.col("sensor_id").isNotNull()).withWatermark("ts", delay)
@@ -230,27 +300,3 @@ def stream_gap_context(gaps: DataFrame, logs: DataFrame, delay: str = "1 hour")
         & (F.col("ts") <= F.col("gap_end"))
     )
     return lines.join(silences, during).drop("_about")
-
-
-def stream_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's changed groups under ``path/batch=…``.
-
-    Windows still open are there too, so a panel need not wait for the watermark.
-    """
-
-    def step(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    return _writer(counts, checkpoint, "update").foreachBatch(step).start()
-
-
-def current_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest value of every group that ``stream_updates`` wrote."""
-    updates = spark.read.parquet(path)
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
-    return (
-        updates.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), F.col("batch")).alias("_now"))
-        .select(*keys, "_now.*")
-    )
-

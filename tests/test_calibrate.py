@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from benchlight.functions.formulas import FormulaError, formula_column, formula_error
 from benchlight.operators import calibrate as cal
 from benchlight.operators.checks import validate_calibrations
+from benchlight.plans import chain
 from benchlight.plans import fixtures as fx
 
 
@@ -25,21 +26,21 @@ def test_volts(spark, count, bits, vref, volts):
     assert row["v"] == pytest.approx(volts)
 
 
-NTC = fx.points((3.3, 273.15), (2.78, 283.15), (2.12, 293.15), (1.4, 308.15))
+FALLING = fx.points((3.1, 268.15), (2.6, 280.15), (1.9, 294.15), (1.3, 309.15))
 CURVES = [
-    ({"factor": 42.5, "factor_unit": "K/V"}, {1.5: 63.75}, "K"),
-    ({"factor": 42.5, "factor_unit": "kelvin / millivolt"}, {0.0015: 0.0015 * 42500}, "K"),
+    ({"factor": 17.25, "factor_unit": "K/V"}, {1.5: 25.875}, "K"),
+    ({"factor": 17.25, "factor_unit": "kelvin / millivolt"}, {0.0015: 0.0015 * 17250}, "K"),
     (
-        {"mode": "affine", "factor": 100.0, "factor_unit": "K/V", "offset": 273.15, "offset_unit": "K"},
-        {0.5: 323.15},
+        {"mode": "affine", "factor": 80.0, "factor_unit": "K/V", "offset": 250.0, "offset_unit": "K"},
+        {0.5: 290.0},
         "K",
     ),
-    ({"mode": "affine", "factor": 9.0, "offset": -15.0, "offset_unit": "V"}, {2.0: 3.0}, "V"),
-    ({"mode": "affine", "factor": 9.0, "offset": -15000.0, "offset_unit": "mV"}, {2.0: 3.0}, "V"),
+    ({"mode": "affine", "factor": 7.0, "offset": -11.0, "offset_unit": "V"}, {2.0: 3.0}, "V"),
+    ({"mode": "affine", "factor": 7.0, "offset": -11000.0, "offset_unit": "mV"}, {2.0: 3.0}, "V"),
     ({"factor": 2.0, "factor_unit": "A"}, {1.0: 2.0}, "A * V"),
     (
-        {"mode": "piecewise_linear", "value_unit": "K", "points": fx.points((0, 0), (1, 10), (2, 30))},
-        {0.5: 5.0, 1.5: 20.0, 1.0: 10.0, 2.0: 30.0},
+        {"mode": "piecewise_linear", "value_unit": "K", "points": fx.points((0, 4), (1, 12), (2, 40))},
+        {0.5: 8.0, 1.5: 26.0, 1.0: 12.0, 2.0: 40.0},
         "K",
     ),
     (
@@ -68,8 +69,8 @@ CURVES = [
         {0.0: -1.0, 1.5: 2.0, 3.0: 5.0},
         "K",
     ),
-    ({"mode": "spline", "value_unit": "K", "points": NTC}, {3.3: 273.15, 1.4: 308.15}, "K"),
-    ({"mode": "expression", "value_unit": "mbar", "formula": "10**(2*v-9)"}, {2.0: 1e-5}, "mbar"),
+    ({"mode": "spline", "value_unit": "K", "points": FALLING}, {3.1: 268.15, 1.3: 309.15}, "K"),
+    ({"mode": "expression", "value_unit": "mbar", "formula": "10**(3*v-8)"}, {1.0: 1e-5}, "mbar"),
     (
         {"mode": "expression", "value_unit": "K", "formula": "sqrt(v) if 0 < v < 2 else log(e)"},
         {1.44: 1.2, 3.0: 1.0},
@@ -219,7 +220,54 @@ def test_uncalibrated_channels_are_named_in_order_and_counted(spark):
     )
     got = cal.uncalibrated_channels(df, fx.demo_calibrations(spark), named=5).collect()
     assert [r["channel"] for r in got] == ["X0", "X7", "X14", "X21", "X28"]
-    assert all(r["readings"] == 14 and r["unnamed"] == 5 for r in got)
+    assert [(r["readings"], r["place"]) for r in got] == [(14, i + 1) for i in range(5)]
+    assert cal.uncalibrated_channels(df, fx.demo_calibrations(spark)).count() == 10
+
+
+def test_each_reading_is_in_one_class(spark):
+    """Rival rows, repeated revision numbers, unusable rows and readings that come too early."""
+    base = {"channel": "A0", "revision": 1, "sensor_id": "s", "measurement": "m"} | LINEAR
+    rows = [
+        base,
+        base | {"revision": 2, "factor": 2.0},
+        base | {"effective_from": at(50), "factor": 5.0},  # revision 1 once more
+        {"channel": "A1", "revision": 1, "sensor_id": "t", "measurement": "m", "mode": "spline",
+         "value_unit": "K", "points": fx.points((1.0, 3.0))},
+        {"channel": "A2", "revision": 1, "sensor_id": "u", "measurement": "m", "mode": "cubic"},
+        base | {"channel": "A3", "sensor_id": "v", "effective_from": at(10)},
+    ]
+    table = fx.calibrations(spark, rows)
+    lines = spark.createDataFrame(
+        [(i, at(t), f"{c},4095") for i, (c, t) in enumerate(
+            [("A0", 0), ("A0", 60), ("A1", 0), ("A2", 0), ("A3", 0), ("A3", 20), ("A9", 0)]
+        )],
+        "seq bigint, time timestamp, line string",
+    )
+    got = {(r["channel"], r["outcome"]): r["readings"] for r in chain.reading_outcomes(lines, table).collect()}
+    assert got == {
+        ("A0", "written"): 2, ("A1", "skipped"): 1, ("A2", "skipped"): 1,
+        ("A3", "uncalibrated"): 1, ("A3", "written"): 1, ("A9", "uncalibrated"): 1,
+    }
+    points = {r["seq"]: r["value"] for r in chain.gated_points(lines, table).collect()}
+    assert points == pytest.approx({0: 6.6, 1: 16.5, 5: 3.3})
+
+
+def test_recalibration_gives_one_row_for_one(spark):
+    """Two channels feed one sensor: a point's id tells which, or it stays as it is."""
+    base = {"revision": 1, "sensor_id": "s", "measurement": "m", "factor_unit": "K/V"}
+    old = fx.calibrations(spark, [base | {"channel": "A0", "factor": 1.0}, base | {"channel": "A1", "factor": 2.0}])
+    new = fx.calibrations(spark, [base | {"channel": "A0", "factor": 10.0}, base | {"channel": "A1", "factor": 20.0}])
+    ids = {r["channel"]: r["calibration_id"] for r in cal.conversions(old).collect()}
+    points = spark.createDataFrame(
+        [("m", at(i), "s", "K", c, 1.0, 1.0, {}, i) for i, c in enumerate([ids["A0"], ids["A1"], "unknown"])],
+        "measurement string, time timestamp, sensor_id string, unit string, calibration_id string,"
+        "value double, input_volts double, tags map<string,string>, seq bigint",
+    )
+    got = cal.recalibrate(points, new, written_under=old).orderBy("seq").collect()
+    assert [(r["value"], r["correctable"], r["ambiguous"]) for r in got] == [
+        (10.0, True, False), (20.0, True, False), (1.0, False, True)
+    ]
+    assert cal.calibration_in_force(points, old).count() == 3
 
 
 GATE = {"below": 1.0, "below_unit": "K"}

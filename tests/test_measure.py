@@ -46,6 +46,34 @@ def test_the_last_write_wins(spark):
     assert got[-1]["tags"] == {"rack": "1"}
 
 
+@pytest.mark.parametrize("seqs", [(None, None), (5, 5)])
+def test_columns_of_a_point_come_from_one_row(spark, seqs):
+    """Rows whose seq says nothing about their order are still not mixed."""
+    schema = "measurement string, time timestamp, sensor_id string, unit string, calibration_id string, value double, input_volts double, seq bigint"
+    rows = [("m", at(0), "s", "K", "c", float(i), float(i), s) for i, s in enumerate(seqs)]
+    found = measure.last_write_wins(spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == 1 and found[0]["value"] == found[0]["input_volts"] in (0.0, 1.0)
+
+
+def test_dates_prune_folders(spark, tmp_path):
+    from benchlight.sources import store
+
+    rows = [("m", at(86400 * d), "s", "K", "c", 1.0, 2.0, {"a": "b"}, d) for d in range(4)]
+    points = spark.createDataFrame(rows, POINTS_ORDER)
+    store.write_points(points, f"{tmp_path}/p")
+    found = store.scan_points(spark, f"{tmp_path}/p").filter("date = DATE'2024-01-02' AND measurement = 'm'")
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    partition = next(x for x in plan.split("PartitionFilters")[1:])
+    assert "date" in partition.split("]")[0] and "measurement" in partition.split("]")[0]
+
+
+POINTS_ORDER = (
+    "measurement string, time timestamp, sensor_id string, unit string, calibration_id string,"
+    "value double, input_volts double, tags map<string,string>, seq bigint"
+)
+
+
 def test_latest_and_ranges(spark):
     points = _points(spark, [("a", 0, 1.0, 1), ("a", 5, 2.0, 2), ("a", 5, 3.0, 3), ("b", 9, None, 4), ("b", 8, 7.0, 5)])
     assert measure.latest_value(points, "a").first()["value"] == 3.0

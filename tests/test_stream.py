@@ -5,7 +5,7 @@ from helpers import at
 from pyspark.sql import functions as F
 
 from benchlight.operators import calibrate as cal
-from benchlight.operators.health import sensor_summary
+from benchlight.operators import loglines
 from benchlight.plans import fixtures as fx
 from benchlight.plans import chain
 from benchlight.sources import store, wire
@@ -63,46 +63,53 @@ def test_points(spark, small, pieces, tmp_path):
     assert _key(stored.select(columns).collect()) == _key(cal.drop_non_finite(whole).select(columns).collect())
 
 
-def test_summary_counts_the_silent(spark, tmp_path):
-    def write(name, rows, schema):
-        for i in range(0, len(rows), 3):
-            spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(
-                f"{tmp_path}/{name}"
-            )
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
-
-    ticks = [(at(t),) for t in range(0, 300, 10)]
-    seen = [(at(t), "on", t % 4 != 0) for t in range(0, 200, 7)]
-    schema = "time timestamp, sensor_id string, written boolean"
-    counts = stream.stream_summary(
-        write("seen", seen, schema), write("ticks", ticks, "time timestamp"), ["on", "off"], "30 seconds", "10 minutes"
-    )
-    stream.stream_updates(counts, f"{tmp_path}/counts", f"{tmp_path}/log").awaitTermination()
-    got = stream.current_counts(spark, f"{tmp_path}/counts", ["window_start", "sensor_id"])
-    whole = sensor_summary(
-        spark.createDataFrame(seen, schema),
-        spark.createDataFrame([("on",), ("off",)], "sensor_id string"),
-        spark.createDataFrame(ticks, "time timestamp"),
-        "30 seconds",
-    )
-    columns = ["window_start", "sensor_id", "readings", "skipped"]
+def test_summary_follows_the_gate_and_counts_the_silent(spark, small, pieces, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "FOLD", 2)
+    table = fx.demo_calibrations(spark)
+    conv, formulas = cal.conversions(table), cal.formula_texts(table)
+    stream.stream_summary(
+        _lines(spark, pieces), conv, formulas, f"{tmp_path}/counts", f"{tmp_path}/log", "6 hours", split_rows=3
+    ).awaitTermination()
+    got = stream.current_summary(spark, f"{tmp_path}/counts", conv, "6 hours")
+    whole = chain.summarise(fx.wire_lines(spark, small), table, "6 hours")
+    columns = ["window_start", "sensor_id", "readings", "skipped", "window_s"]
     assert _key(got.select(columns).collect()) == _key(whole.select(columns).collect())
-    assert got.filter("readings = 0 AND sensor_id = 'off'").count() == 10
-    assert stream.stream_summary(None, None, [], None) is None
-    assert stream.stream_summary(None, None, [], "0 seconds") is None
+    assert got.filter("readings = 0").count() > 0
+    assert stream.stream_summary(None, None, [], "", "", None) is None
+    assert stream.stream_summary(None, None, [], "", "", "0 seconds") is None
+
+
+@pytest.mark.parametrize("fold", [1, 2, 50])
+def test_late_rows_are_counted(spark, tmp_path, monkeypatch, fold):
+    """Batches in no order of time; the counts are those of the whole."""
+    monkeypatch.setattr(stream, "FOLD", fold)
+    schema = "ts timestamp, level string"
+    times = [5000, 10, 9000, 20, 4990, 30, 86400, 1, 3]
+    for t in times:
+        spark.createDataFrame([(at(t), "info"), (at(t + 1), "warn")], schema).coalesce(1).write.mode("append").parquet(
+            f"{tmp_path}/in"
+        )
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    keys = ["step", "level"]
+    count = lambda rows: loglines.log_volume(rows, "1 minute")
+    stream.stream_counts(source, count, keys, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    got = stream.current_counts(spark, f"{tmp_path}/out", keys)
+    whole = count(spark.read.schema(schema).parquet(f"{tmp_path}/in"))
+    assert _key(got.select("step", "level", "lines").collect()) == _key(whole.collect())
 
 
-@pytest.mark.parametrize(("named", "expected"), [(64, ["n0", "n1", "n2", "n3", "n4"]), (3, ["n0", "n1", "n2", None]), (5, ["n0", "n1", "n2", "n3", "n4"])])
-def test_warnings_are_given_once(spark, tmp_path, named, expected):
-    schema = "seq bigint, time timestamp, channel string"
+@pytest.mark.parametrize("key", ["channel", "sensor_id"])
+def test_warnings_are_given_once(spark, tmp_path, key):
+    schema = f"seq bigint, time timestamp, {key} string"
     for batch in ([("n0", 0), ("n1", 1), ("n0", 2)], [("n1", 3), ("n2", 4)], [("n3", 5), ("n4", 6)], [("n4", 7)]):
         rows = [(t, at(t), c) for c, t in batch]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    stream.stream_warn_once(source, f"{tmp_path}/out", f"{tmp_path}/log", named).awaitTermination()
+    stream.stream_warn_once(source, f"{tmp_path}/out", f"{tmp_path}/log", key).awaitTermination()
     got = stream.latest_version(spark, f"{tmp_path}/out")
-    rows = got.orderBy(F.col("first_seq").asc_nulls_last()).collect()
-    assert [r["channel"] for r in rows] == expected
+    assert [(r[key], r["first_seq"]) for r in got.orderBy("first_seq").collect()] == [
+        ("n0", 0), ("n1", 1), ("n2", 4), ("n3", 5), ("n4", 6)
+    ]
 
 
 def test_gaps_meet_the_lines_about_them(spark, tmp_path):
@@ -119,7 +126,7 @@ def test_gaps_meet_the_lines_about_them(spark, tmp_path):
             )
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
         streams.append(source.parquet(f"{tmp_path}/{name}"))
-    found = stream.stream_gap_context(streams[1], streams[0])
+    found = stream.stream_gap_context(streams[1], streams[0], "1 hour")
     query = (
         found.writeStream.format("parquet")
         .option("path", f"{tmp_path}/out")
