@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ast
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ def formula_column(text: str, v: Column) -> Column:
     return _number(body, v).cast("double")
 
 
-def _number(node: ast.AST, v: Column) -> Column:
+def _number(node: ast.AST, v: Column, names: Mapping[str, Column] = {}) -> Column:
     match node:
         case ast.Constant(value=bool()):
             pass
@@ -91,39 +91,41 @@ def _number(node: ast.AST, v: Column) -> Column:
             return F.lit(float(number))
         case ast.Name(id="v"):
             return v
+        case ast.Name(id=name) if name in names:
+            return names[name]
         case ast.Name(id=name) if name in _CONSTANTS:
             return F.lit(_CONSTANTS[name])
         case ast.Name(id=name):
             raise FormulaError(f"name '{name}' is not defined")
         case ast.UnaryOp(op=ast.USub(), operand=inner):
-            return -_number(inner, v)
+            return -_number(inner, v, names)
         case ast.UnaryOp(op=ast.UAdd(), operand=inner):
-            return _number(inner, v)
+            return _number(inner, v, names)
         case ast.BinOp(left=left, op=op, right=right) if type(op) in _OPERATORS:
-            return _OPERATORS[type(op)](_number(left, v), _number(right, v))
+            return _OPERATORS[type(op)](_number(left, v, names), _number(right, v, names))
         case ast.Call(func=ast.Name(id=name), args=[one], keywords=[]) if name in _UNARY:
-            return _UNARY[name](_number(one, v))
+            return _UNARY[name](_number(one, v, names))
         case ast.Call(func=ast.Name(id="floor"), args=[one], keywords=[]):
-            return _floor(_number(one, v))
+            return _floor(_number(one, v, names))
         case ast.Call(func=ast.Name(id="ceil"), args=[one], keywords=[]):
-            return F.ceil(_number(one, v)).cast("double")
+            return F.ceil(_number(one, v, names)).cast("double")
         case ast.Call(func=ast.Name(id=name), args=[a, b], keywords=[]) if name in _BINARY:
-            return _BINARY[name](_number(a, v), _number(b, v))
+            return _BINARY[name](_number(a, v, names), _number(b, v, names))
         case ast.Call(func=ast.Name(id="max"), args=[_, _, *_] as args, keywords=[]):
-            return F.greatest(*[_number(a, v) for a in args])
+            return F.greatest(*[_number(a, v, names) for a in args])
         case ast.Call(func=ast.Name(id="min"), args=[_, _, *_] as args, keywords=[]):
-            return F.least(*[_number(a, v) for a in args])
+            return F.least(*[_number(a, v, names) for a in args])
         case ast.IfExp(test=test, body=yes, orelse=no):
-            return F.when(_condition(test, v), _number(yes, v)).otherwise(_number(no, v))
+            return F.when(_condition(test, v, names), _number(yes, v, names)).otherwise(_number(no, v, names))
     raise FormulaError(f"{ast.unparse(node)!r} is not a number")
 
 
-def _condition(node: ast.AST, v: Column) -> Column:
+def _condition(node: ast.AST, v: Column, names: Mapping[str, Column] = {}) -> Column:
     match node:
         case ast.Compare(left=left, ops=ops, comparators=rights) if all(
             type(op) in _COMPARISONS for op in ops
         ):
-            sides = [_number(side, v) for side in (left, *rights)]
+            sides = [_number(side, v, names) for side in (left, *rights)]
             tests = [
                 _COMPARISONS[type(op)](a, b) for op, a, b in zip(ops, sides, sides[1:])
             ]
@@ -132,13 +134,13 @@ def _condition(node: ast.AST, v: Column) -> Column:
                 result = result & test
             return result
         case ast.BoolOp(op=op, values=parts):
-            result = _condition(parts[0], v)
+            result = _condition(parts[0], v, names)
             for part in parts[1:]:
-                other = _condition(part, v)
+                other = _condition(part, v, names)
                 result = result & other if isinstance(op, ast.And) else result | other
             return result
         case ast.UnaryOp(op=ast.Not(), operand=inner):
-            return ~_condition(inner, v)
+            return ~_condition(inner, v, names)
     raise FormulaError(f"{ast.unparse(node)!r} is not a condition")
 
 
@@ -153,17 +155,64 @@ def formula_error(text: str | None) -> str | None:
     return None
 
 
+# A number that is no part of a name, such as the 10 of log10.
+_CONSTANT = r"(?<![\w.])(?:[0-9][0-9_]*[.]?[0-9_]*|[.][0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?(?![\w.])"
+
+
+def shape_of(formula: Column) -> Column:
+    """A formula with a mark for each of its numbers: what channels of one kind share."""
+    return F.regexp_replace(formula, _CONSTANT, "#")
+
+
+def numbers_of(formula: Column) -> Column:
+    """The numbers of a formula, in order."""
+    found = F.regexp_extract_all(formula, F.lit(f"({_CONSTANT})"))
+    return F.transform(found, lambda n: F.replace(n, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def shape_column(shape: str, v: Column, numbers: Column) -> Column:
+    """A shape as a double column, its numbers taken from an array; may raise FormulaError."""
+    parts = shape.split("#")
+    text = "".join(f"{p}__n{i}__" for i, p in enumerate(parts[:-1])) + parts[-1]
+    try:
+        body = ast.parse(text.strip(), mode="eval").body
+    except SyntaxError as error:
+        raise FormulaError(f"formula {shape!r} is not an expression: {error.msg}") from None
+    names = {f"__n{i}__": F.get(numbers, F.lit(i)) for i in range(len(parts) - 1)}
+    return _number(body, v, names).cast("double")
+
+
+def apply_shapes(shape: Column, numbers: Column, v: Column, shapes: Iterable[str]) -> Column:
+    """Evaluate, per row, the formula whose shape and numbers it bears.
+
+    One CASE branch per shape, however many channels have numbers of their own; an
+    unusable shape yields NULL.
+    """
+    branches = []
+    for text in sorted(set(shapes)):
+        try:
+            branches.append((shape == F.lit(text), shape_column(text, v, numbers)))
+        except FormulaError:
+            continue
+    return _cases(branches)
+
+
 def apply_formulas(formula: Column, v: Column, texts: Iterable[str]) -> Column:
     """Evaluate, per row, the formula named by ``formula`` among ``texts``.
 
-    One CASE branch per distinct text, in blocks; an unusable formula yields NULL.
+    One CASE branch per distinct text; an unusable formula yields NULL. For tables of
+    formulas; readings are evaluated by :func:`apply_shapes`.
     """
     usable = [text for text in sorted(set(texts)) if formula_error(text) is None]
+    return _cases([(formula == F.lit(text), formula_column(text, v)) for text in usable])
+
+
+def _cases(branches: list[tuple[Column, Column]]) -> Column:
+    """CASE expressions of a hundred branches each, the first that has a value."""
     blocks = []
-    for start in range(0, len(usable), 100):
+    for start in range(0, len(branches), 100):
         case = None
-        for text in usable[start : start + 100]:
-            match, value = formula == F.lit(text), formula_column(text, v)
+        for match, value in branches[start : start + 100]:
             case = F.when(match, value) if case is None else case.when(match, value)
         blocks.append(case)
     return F.coalesce(*blocks) if blocks else F.lit(None).cast("double")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from benchlight.functions import units
-from benchlight.functions.formulas import apply_formulas
+from benchlight.functions.formulas import apply_shapes, numbers_of, shape_of
 from benchlight.functions.staged import staged
 from benchlight.functions.text import quantity_text
 from benchlight.operators.ordered import key_seq, key_time, last_key
@@ -132,9 +132,11 @@ def whole_id() -> str:
     return f"sha2({fingerprint()}, 256)"
 
 
-def conversions(calibrations: DataFrame) -> DataFrame:
+def conversions(calibrations: DataFrame, store_input: bool = True) -> DataFrame:
     """One row per channel revision, ready to meet readings.
 
+    ``store_input`` holds for the rows of the table that don't say it themselves.
+
     A revision is in force from ``effective_from`` (NULL: always was) until before
     ``effective_to`` (NULL: still is). Of rows for one channel and time the highest
     revision stands, and of those one; the others are never in force, so a reading
@@ -154,7 +156,7 @@ def conversions(calibrations: DataFrame) -> DataFrame:
             "whole_id": whole_id(),
             "segments": f"coalesce(segments, array({_nowhere()}))",
             "gate": _gate_rule(),
-            "store_input": "coalesce(store_input, true)",
+            "store_input": f"coalesce(store_input, {str(store_input).lower()})",
             "formula": "IF(mode = 'expression', formula, NULL)",
         },
     )
@@ -295,10 +297,13 @@ def _segments() -> str:
 
 
 def formula_texts(calibrations: DataFrame) -> list[str]:
-    """The distinct formulas of a calibration table: what people wrote, not data."""
+    """The distinct shapes of a table's formulas, their numbers left out.
+
+    As many as there are kinds of response, not as there are channels.
+    """
     rows = (
         calibrations.filter((F.col("mode") == "expression") & F.col("formula").isNotNull())
-        .select("formula")
+        .select(shape_of(F.col("formula")))
         .distinct()
         .collect()
     )
@@ -326,7 +331,8 @@ def _evaluate(
         *[F.col(c).alias(f"_c_{c}") for c in carry],
         F.col("effective_from").alias("_from"),
         F.col("effective_to").alias("_to"),
-        F.col("formula").alias("_formula"),
+        shape_of(F.col("formula")).alias("_shape"),
+        numbers_of(F.col("formula")).alias("_numbers"),
         F.inline("segments"),
     )
     match = (F.col(volts) >= F.col("v_lo")) & (F.col(volts) < F.col("v_hi"))
@@ -337,8 +343,8 @@ def _evaluate(
     value = F.col("c0") + d * (F.col("c1") + d * (F.col("c2") + d * F.col("c3")))
     if formulas:
         value = F.when(
-            F.col("_formula").isNotNull(),
-            apply_formulas(F.col("_formula"), F.col(volts), formulas),
+            F.col("_shape").isNotNull(),
+            apply_shapes(F.col("_shape"), F.col("_numbers"), F.col(volts), formulas),
         ).otherwise(value)
     return df.join(pieces, match, how).select(
         *df.columns, *[F.col(f"_c_{c}").alias(c) for c in carry], value.alias(output)

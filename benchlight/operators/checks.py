@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from benchlight.functions import units
 from benchlight.functions.formulas import apply_formulas, formula_error
-from benchlight.operators.calibrate import BOUNDS, fit_segments, formula_texts, resolve
+from benchlight.operators.calibrate import BOUNDS, fit_segments, resolve
 from benchlight.schema import MODES, PROBE_VOLTS
 
 # --- fixed values -----------------------------------------------------------
@@ -28,7 +28,7 @@ def validate_calibrations(calibrations: DataFrame) -> DataFrame:
     some probe voltage, V6 gate bounds present, V7 their order, V8 their units,
     V9 one row per channel and effective time.
     """
-    formulas = formula_texts(calibrations)
+    formulas = _formulas(calibrations)
     rows = fit_segments(resolve(calibrations))
     checks = (
         _required()
@@ -117,6 +117,12 @@ def _units() -> list[Column]:
     ]
 
 
+def _formulas(calibrations: DataFrame) -> list[str]:
+    """The distinct formulas of a table: what people wrote, not data."""
+    written = calibrations.filter((F.col("mode") == "expression") & F.col("formula").isNotNull())
+    return [row[0] for row in written.select("formula").distinct().collect()]
+
+
 def _usable(formulas: list[str]) -> Column:
     def at(volts: float) -> Column:
         v = F.lit(volts)

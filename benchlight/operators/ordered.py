@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from benchlight.session import settle
 
 # Rows one chunk may hold before it is split. Each hot hour or second holds more
-# than this, so their tables, which are broadcast, have at most rows/SPLIT_ROWS
-# entries: half a million for 10^12 rows.
+# than this, so their tables have at most rows/SPLIT_ROWS entries. They are written, so
+# Spark knows their size and broadcasts them while they are small.
 SPLIT_ROWS = 2_000_000
 
 ORDER = ["time", "seq"]
@@ -69,7 +69,7 @@ def _flagged(
     full = settle(counts.filter(F.col("_n") > split_rows).select(*keys, "_slot"))
     if full.isEmpty():
         return df, False
-    marks = F.broadcast(full.withColumn(flag, F.lit(True)))
+    marks = full.withColumn(flag, F.lit(True))
     return df.withColumn("_slot", slot).join(marks, [*keys, "_slot"], "left").drop("_slot"), True
 
 

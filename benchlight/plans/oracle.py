@@ -154,6 +154,11 @@ ORACLES |= {
     "quarantine": f"WITH {PARSED} SELECT seq, time, line, reason FROM parsed WHERE reason IS NOT NULL",
     "malformed_by_reason": f"WITH {PARSED} SELECT reason, count(*) AS lines FROM parsed"
     " WHERE reason IS NOT NULL GROUP BY reason",
+    "read_wire": f"""WITH {PARSED} SELECT CASE WHEN reason IS NULL THEN nullif(trim(f[1]), '') END AS channel, reason,
+ count(*) AS lines, count(*) AS places FROM parsed GROUP BY ALL""",
+    "read_wire_stamped": f"WITH {PARSED} SELECT time, channel, raw_count FROM good",
+    "scan_measurement": f"""{FROM_STORE} SELECT sensor_id, time, seq, round(value, 6) AS value, round(v, 6) AS input_volts
+FROM points WHERE measurement = 'temperature' AND time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-13'""",
     "raw_to_voltage": f"WITH r AS ({_text(fx.SCALE_SQL)}) SELECT seq, channel,"
     " round(raw_count * 3.3::DOUBLE / 4095::DOUBLE, 6) AS volts FROM r",
     "calibrate_linear": _values("'A3'"),
@@ -189,7 +194,12 @@ ORACLES |= {
  count(*) FILTER (fine) AS written, count(*) FILTER (NOT fine) AS skipped FROM k GROUP BY 1""",
     "first_non_finite": f"""{_AWKWARD} SELECT sensor_id, count(*) AS skipped,
  arg_min(time, (time, seq)) AS time, arg_min(seq, (time, seq)) AS seq,
- round(arg_min(v, (time, seq)), 6) AS input_volts FROM k WHERE NOT fine GROUP BY 1""",
+ round(arg_min(v, (time, seq)), 6) AS input_volts,
+ -- a logarithm below zero and the root of a negative number are no numbers, at zero the
+ -- logarithm is infinite; a pole and an overflow are undefined
+ CASE sensor_id WHEN 'probe-0' THEN CASE WHEN arg_min(v, (time, seq)) = 1.0 THEN 'infinite' ELSE 'nan' END
+   WHEN 'probe-2' THEN 'nan' ELSE 'undefined' END AS value
+FROM k WHERE NOT fine GROUP BY sensor_id""",
 }
 
 # --- calibration tables ------------------------------------------------------------
@@ -242,11 +252,13 @@ SELECT channel, mode,
   round(top + CASE WHEN i = 0 THEN (s - 1) * (s - 1) ELSE (s - i) * (s - i) END, 6) AS c0,
   round(CASE WHEN i IN (0, 5) THEN 0 WHEN mode = 'spline' THEN -4.0 * (s - i)
     ELSE 2.0 * ((s - i - 1) * (s - i - 1) - (s - i) * (s - i)) END, 6)::DOUBLE AS c1,
-  CASE WHEN mode = 'spline' THEN 4.0 ELSE 0.0 END::DOUBLE AS c2
+  CASE WHEN mode = 'spline' THEN 4.0 ELSE 0.0 END::DOUBLE AS c2, 0::DOUBLE AS c3,
+  CASE WHEN mode = 'spline' OR i BETWEEN 1 AND 4 THEN lo ELSE 0 END::DOUBLE AS v0
 FROM e WHERE mode = 'piecewise_linear' OR i BETWEEN 1 AND 4
 UNION ALL
-SELECT channel, mode, lo, hi, round(c0, 6), c1, 0::DOUBLE FROM flat,
-  LATERAL (VALUES (NULL::DOUBLE, 1::DOUBLE, top, 0::DOUBLE), (1, 1, top, NULL), (1, NULL, top + 1, 0)) x(lo, hi, c0, c1)""",
+SELECT channel, mode, lo, hi, round(c0, 6), c1, 0::DOUBLE, 0::DOUBLE, v0 FROM flat,
+  LATERAL (VALUES (NULL::DOUBLE, 1::DOUBLE, top, 0::DOUBLE, 0::DOUBLE), (1, 1, top, NULL, 1),
+    (1, NULL, top + 1, 0, 0)) x(lo, hi, c0, c1, v0)""",
     "validate_calibration_table": f"""WITH {CALIBRATIONS}, k AS (SELECT *, kind = 'cubic' AS odd,
   kind IN ('linear', 'affine') AS scaled, kind IN ('spline', 'piecewise_linear') AS measured FROM c),
 v(channel, revision, rule, detail, broken) AS (
@@ -355,6 +367,7 @@ u AS (SELECT measurement, sensor_id, time, seq, value, unit, CASE WHEN channel <
 SELECT measurement, sensor_id, time, {_shown("value")} AS value, unit, round(input_volts, 6) AS input_volts,
  CASE WHEN calibrated THEN 'calibrated' ELSE 'simulated' END AS origin, calibrated,
  CASE measurement WHEN 'frequency' THEN format('{{:.6f}} THz', value / 1e12)
+   WHEN 'pressure' THEN format('{{:.2e}}', value)
    ELSE format('{{:.4f}}', value) END AS reading FROM u
 QUALIFY row_number() OVER (PARTITION BY measurement, sensor_id ORDER BY time DESC, seq DESC) = 1""",
     "detuning": """SELECT o_orderkey AS seq,
@@ -403,7 +416,7 @@ for name, step, source in (
 ):
     ORACLES[name] = f"""{source} SELECT sensor_id, {_slot("time", step)} AS step,
  {_shown("avg(value)", 4)} AS avg_value, {_shown("min(value)")} AS min_value, {_shown("max(value)")} AS max_value,
- count(*) AS readings, {_shown("arg_max(value, (time, seq))")} AS last_value FROM src GROUP BY ALL"""
+ count(*) AS readings, {_shown("arg_max(value, (time, seq))")} AS last_value FROM src GROUP BY 1, 2"""
 
 _PAIRS = f"""{FROM_STORE}, pairs AS (SELECT {_slot("time", 7200)} AS step,
    arg_max(value, (time, seq)) FILTER (sensor_id = 'stage-x') AS x,
@@ -447,6 +460,7 @@ _WARN, _ERROR = "level IN ('warn', 'warning')", "level IN ('error', 'critical',
 ORACLES |= {
     "coverage_gaps": f"""{LOGS} SELECT name FROM (SELECT concat('c', unnest(range(0, 13))) AS name)
 WHERE name <> 'c12' AND name NOT IN (SELECT container FROM logs WHERE container IS NOT NULL)""",
+    "read_logs": f"WITH r AS ({_text(fx.LOGS_SQL)}) SELECT source, ts, seq, line, systemd_unit, client_name FROM r",
     "relabel": f"{LOGS} SELECT ts, seq, container, unit, stream_level, host, job FROM labelled",
     "parse_logfmt": f"""{LOGS} SELECT seq,
  CASE WHEN plain THEN 0 ELSE CASE WHEN msg = 'wrote readings' THEN 7 ELSE 5 END

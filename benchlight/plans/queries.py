@@ -33,7 +33,7 @@ def query(function: Query) -> Query:
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
-    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    return df.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in digits.items()})  # no -0.0
 
 
 def _shown(df: DataFrame, **digits: int) -> DataFrame:
@@ -75,6 +75,52 @@ def raw_to_voltage(spark, sf):
     return readings.select("seq", "channel", volts.alias("volts"))
 
 
+def _text_files(spark, sf, columns: str) -> str:
+    """The derived lines as text files of a folder, several."""
+    folder = shared_folder(spark)
+    fx.wire_lines(spark, sf).selectExpr(columns).repartition(3).write.text(folder)
+    return folder
+
+
+@query
+def read_wire(spark, sf):
+    """Lines of files by channel and reason, and whether each has a time of its own."""
+    lines = wire.read_wire(spark, _text_files(spark, sf, "line"))
+    return wire.parse_wire(lines).groupBy("channel", "reason").agg(
+        F.count("seq").alias("lines"), F.count_distinct("time", "seq").alias("places")
+    )
+
+
+@query
+def read_wire_stamped(spark, sf):
+    """Lines that bring their own time, read as a stream."""
+    stamp = "concat(date_format(time, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), chr(9), line)"
+    lines = wire.read_wire(spark, _text_files(spark, sf, stamp), streaming=True, stamped=True)
+    folder = shared_folder(spark)
+    found = wire.readings(wire.parse_wire(lines)).drop("line", "seq")
+    writer = found.writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
+    writer.format("parquet").start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query
+def read_logs(spark, sf):
+    """Log records written as JSON files and read back."""
+    folder = shared_folder(spark)
+    fx.log_records(spark, sf).repartition(3).write.json(folder)
+    return logs.read_logs(spark, folder).select("source", "ts", "seq", "line", "systemd_unit", "client_name")
+
+
+@query
+def scan_measurement(spark, sf):
+    """One measurement between two days, out of a store whose points were written twice."""
+    folder = shared_folder(spark)
+    for _ in range(2):
+        store.write_points(fx.event_points(spark, sf), folder)
+    found = store.scan_measurement(spark, folder, "temperature", "2024-01-10", "2024-01-12")
+    return _rounded(found.select("sensor_id", "time", "seq", "value", "input_volts"), value=6, input_volts=6)
+
+
 # --- calibration ------------------------------------------------------------------
 
 
@@ -163,8 +209,9 @@ def skipped_non_finite(spark, sf):
 
 @query
 def first_non_finite(spark, sf):
-    first = cal.first_non_finite(_awkward_values(spark, sf)).drop("value")
-    return _rounded(first, input_volts=6)
+    first = cal.first_non_finite(_awkward_values(spark, sf))
+    kind = F.when(F.isnan("value"), "nan").when(F.col("value").isNull(), "undefined").otherwise("infinite")
+    return _rounded(first.withColumn("value", kind), input_volts=6)
 
 
 @query
@@ -196,7 +243,7 @@ def fit_segments(spark, sf):
             "v_hi": F.when(F.col("v_hi") < float("inf"), F.col("v_hi")),
         }
     )
-    return _rounded(pieces, c0=6, c1=6, c2=6).drop("v0", "c3")
+    return _rounded(pieces, c0=6, c1=6, c2=6, c3=6)
 
 
 @query

@@ -28,21 +28,45 @@ _PLAIN = rf"^{_NAME},([0-9]++(?:[.][0-9]++)?+)\r?\z"
 _READING = rf"^{_SPACE}{_NAME}{_SPACE},{_SPACE}({NUMBER}){_SPACE}\z"
 
 
-def read_wire(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Lines of text files, stamped on arrival at millisecond precision.
-
-    Only LF ends a line: a lone CR stays inside its (malformed) line. ``seq``
-    numbers lines within the read; a stream has none and is ordered by arrival.
+def read_wire(
+    spark: SparkSession, path: str, streaming: bool = False, stamped: bool = False
+) -> DataFrame:
+    """``time``, ``seq`` and ``line`` of text files, as a table or as a stream.
+
+    A file is what arrived at once: its lines bear the time it was written, a
+    millisecond further from line to line, as one channel can't be read faster. ``seq``
+    is made of the file's name and the line's place in it. A second read gives the same.
+    With ``stamped`` every line begins with its own time, ISO 8601, and a tab; such files
+    may be as large as they like, while others are taken whole by a task.
+
+    Only LF ends a line: a lone CR stays inside its (malformed) line. Bytes that are no
+    UTF-8 stay as they are, for ``parse_wire`` to refuse.
     """
     reader = spark.readStream if streaming else spark.read
-    lines = reader.option("lineSep", "\n").text(path)
-    stamped = lines.select(
-        F.date_trunc("millisecond", F.current_timestamp()).alias("time"),
-        F.col("value").alias("line"),
+    if stamped:
+        rest = F.expr("substring(value, locate('\t', value) + 1)")
+        return reader.option("lineSep", "\n").text(path).select(
+            F.date_trunc("millisecond", F.substring_index("value", "\t", 1).try_cast("timestamp")).alias("time"),
+            F.xxhash64("value").bitwiseAND(F.lit(2**62 - 1)).alias("seq"),
+            rest.alias("line"),
+        )
+    # One character per byte while lines are cut apart, whatever the bytes are.
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    files = (
+        reader.text(path, wholetext=True)
+        .select(
+            F.col("_metadata.file_modification_time").alias("written"),
+            F.crc32(F.col("_metadata.file_path").cast("binary")).alias("file"),
+            F.split(text, "\n", -1).alias("lines"),
+        )
+    )
+    lines = files.select("written", "file", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "text"))
+    millisecond = F.floor(F.unix_micros("written") / 1000) + F.col("at")
+    return lines.filter("at < n - 1 OR text <> ''").select(
+        F.timestamp_millis(millisecond).alias("time"),
+        (F.shiftleft(F.col("file").cast("bigint"), 30) + F.col("at")).alias("seq"),
+        F.encode("text", "ISO-8859-1").cast("string").alias("line"),
     )
-    if streaming:
-        return stamped
-    return stamped.withColumn("seq", F.monotonically_increasing_id())
 
 
 def parse_wire(lines: DataFrame, line: str = "line") -> DataFrame:

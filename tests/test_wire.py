@@ -58,7 +58,11 @@ def test_lines(parsed, i):
 
 def test_files_keep_bytes_and_lone_returns(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"A0,1\r\nA1,2\n\xff\xfe,3\nA2,4\rA3,5\n\nA4,6")
-    parsed = parse_wire(read_wire(spark, str(tmp_path)))
+    lines = read_wire(spark, str(tmp_path))
+    places = [(r["time"], r["seq"]) for r in lines.collect()]
+    assert len(set(places)) == len({t for t, _ in places}) == len(places)
+    assert places == [(r["time"], r["seq"]) for r in read_wire(spark, str(tmp_path)).collect()]
+    parsed = parse_wire(lines)
     good = readings(parsed).orderBy("seq").collect()
     assert [(r["channel"], r["raw_count"]) for r in good] == [("A0", 1.0), ("A1", 2.0), ("A4", 6.0)]
     assert all(r["time"].microsecond % 1000 == 0 for r in good)
