@@ -183,7 +183,10 @@ def clean(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -
 
     ``length`` names a column that holds the text's length, if the table has one.
     """
-    rows = judge(docs, text).filter("kept")
+    # The row's number keeps the filter above the verdict, which is costly. Moved below it,
+    # as Spark would otherwise do, it would work out the verdict a second time.
+    judged = judge(docs, text).withColumn("row", F.monotonically_increasing_id())
+    rows = judged.filter("kept AND row >= 0")
     new = {text: F.col("cleaned"), length: F.char_length("cleaned").cast("long")}
     return rows.select(
         *[
