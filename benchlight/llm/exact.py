@@ -230,4 +230,4 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """The documents that stay, one of each group; the columns are those of ``docs``."""
     staying = groups(docs, text, key).filter("kept").select("row")
     numbered = packed(docs, row=F.monotonically_increasing_id())
-    return numbered.join(staying, "row", "left_semi").select("doc.*")
+    return numbered.join(staying.hint("merge"), "row", "left_semi").select("doc.*")

@@ -252,4 +252,4 @@ def representatives(
         .select("row")
     )
     numbered = packed(docs, row=F.monotonically_increasing_id())
-    return numbered.join(settle(staying), "row", "left_semi").select("doc.*")
+    return numbered.join(settle(staying).hint("merge"), "row", "left_semi").select("doc.*")
