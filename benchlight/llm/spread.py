@@ -80,7 +80,8 @@ def without_boilerplate(
     )
     numbered = packed(docs, row=F.monotonically_increasing_id())
     body = F.split(F.col(f"doc.{text}"), "\n", -1)
-    found = numbered.join(settle(hits), "row", "left")
+    # By merge at every size: what is joined grows with the documents.
+    found = numbered.join(settle(hits).hint("merge"), "row", "left")
     stays = F.filter(
         body, lambda x: ~x.rlike(WORD) | ~F.array_contains(F.col("hits"), line_hash(x))
     )
