@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchlight.llm.texts import normalised, packed, whole
+from benchlight.llm.texts import normalised, packed, row_number, whole
 from benchlight.session import settle
 
 MAX_DEPTH = 16
@@ -51,7 +51,7 @@ def members(docs: DataFrame, text: str = "text", key: str = "doc_id", key_bits:
     """Per row its number, id, length in code points, key and digest; no text."""
     body = whole(text)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row_number(docs).alias("row"),
         F.col(key).alias("doc_id"),
         F.char_length(body).cast("bigint").alias("n_chars"),
         normalised(body).alias("norm"),
@@ -229,5 +229,5 @@ def groups(
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that stay, one of each group; the columns are those of ``docs``."""
     staying = groups(docs, text, key).filter("kept").select("row")
-    numbered = packed(docs, row=F.monotonically_increasing_id())
+    numbered = packed(docs, row=row_number(docs))
     return numbered.join(staying.hint("merge"), "row", "left_semi").select("doc.*")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchlight.llm.texts import n_words, whole
+from benchlight.llm.texts import n_words, row_number, whole
 from benchlight.session import settle
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -134,7 +134,7 @@ def lengths(docs: DataFrame, length: Column, key: str = "doc_id") -> DataFrame:
     """``row``, ``doc_id`` and ``length`` of every document, written."""
     return settle(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            row_number(docs).alias("row"),
             F.col(key).cast("bigint").alias("doc_id"),
             length.cast("bigint").alias("length"),
         )

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from benchlight.llm.texts import row_number
 from benchlight.session import settle, shared_folder
 
 SEQUENCE = 2048
@@ -246,7 +247,7 @@ def write(
     rows = docs.select(
         F.col(key).cast("bigint").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
-        F.monotonically_increasing_id().alias("row"),
+        row_number(docs).alias("row"),
     )
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     return settle(ordered.drop("row").mapInArrow(_write(folder, tokenizer, end, lowers, sequence), _MANIFEST))

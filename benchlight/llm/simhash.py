@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchlight.llm.components import components
-from benchlight.llm.texts import packed
+from benchlight.llm.texts import packed, row_number
 from benchlight.session import settle
 
 SHINGLE_WORDS = 3
@@ -76,7 +76,7 @@ def fingerprints(
         return pd.Series(np.array(values, np.uint64).view(np.int64))
 
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row_number(docs).alias("row"),
         F.col(key).alias("doc_id"),
         of(F.col(text).cast("string")).alias("fp"),
     )
@@ -251,5 +251,5 @@ def representatives(
         .agg(F.min("row").alias("row"))
         .select("row")
     )
-    numbered = packed(docs, row=F.monotonically_increasing_id())
+    numbered = packed(docs, row=row_number(docs))
     return numbered.join(settle(staying).hint("merge"), "row", "left_semi").select("doc.*")

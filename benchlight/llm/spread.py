@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchlight.llm.texts import BLANKS, WORD, packed
+from benchlight.llm.texts import BLANKS, WORD, packed, row_number
 from benchlight.session import settle
 
 MIN_SITES = 10
@@ -34,7 +34,7 @@ def line_hash(line: Column) -> Column:
 def lines(docs: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
     """``row``, ``site`` and ``hash`` of every line with a word."""
     numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row_number(docs).alias("row"),
         F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit(""))).alias("site"),
         F.array_distinct(F.split(F.col(text), "\n", -1)).alias("lines"),
     )
@@ -78,7 +78,7 @@ def without_boilerplate(
         .groupBy("row")
         .agg(F.collect_set("hash").alias("hits"))
     )
-    numbered = packed(docs, row=F.monotonically_increasing_id())
+    numbered = packed(docs, row=row_number(docs))
     body = F.split(F.col(f"doc.{text}"), "\n", -1)
     # By merge at every size: what is joined grows with the documents.
     found = numbered.join(settle(hits).hint("merge"), "row", "left")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchlight.llm.texts import packed
+from benchlight.llm.texts import packed, row_number
 from benchlight.session import settle
 
 KEY = "surrogate"
@@ -257,7 +257,7 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame(found, columns=["row", "kind", "value"])
 
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text")
+        row_number(docs).alias("row"), F.col(text).cast("string").alias("text")
     )
     return rows.mapInPandas(run, "row bigint, kind string, value string")
 
@@ -320,7 +320,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
             kinds.append(k)
         return pd.DataFrame({"text": pd.Series(new, dtype=object), "kinds": pd.Series(kinds, dtype=object)})
 
-    numbered = packed(docs, row=F.monotonically_increasing_id())
+    numbered = packed(docs, row=row_number(docs))
     joined = numbered.join(settle(again), "row", "left")
     result = joined.select("doc", apply(F.col(f"doc.{text}").cast("string"), F.col("again")).alias("new"))
     return result.select("doc", F.col("new.text").alias("replaced"), F.col("new.kinds").alias("kinds"))

@@ -45,5 +45,18 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("doc"), *[c.alias(n) for n, c in columns.items()])
 
 
+def row_number(docs: DataFrame) -> Column:
+    """The number of a row by its place in the table, the same at every read.
+
+    Spark cuts files into splits by the cores it finds, which changes as executors come
+    and go. The number it finds first is held for the session, so a later read is cut,
+    and its rows are numbered, like an earlier one.
+    """
+    spark, held = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(held, None) is None:
+        spark.conf.set(held, str(spark.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
