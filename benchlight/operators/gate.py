@@ -143,6 +143,8 @@ def _gated(
             "_due_before": F.max(due).over(before(window)),
         }
     )
+    # Shuffled and windowed once; the chunk table and the verdicts both read the result.
+    rows = settle(rows)
     chunks = _chunk_table(rows, state, keys, chunk)
 
     def verdict(known: str, due: str) -> Column:

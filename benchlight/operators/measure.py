@@ -22,6 +22,7 @@ from benchlight.operators.ordered import (
     with_previous,
 )
 from benchlight.schema import CARRIER_HZ
+from benchlight.session import settle
 
 MAX_SERIES_POINTS = 1000
 
@@ -200,7 +201,8 @@ def calibration_layer(points: DataFrame, sensor: str) -> DataFrame:
 
 def data_gaps(points: DataFrame, silence_s: float, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Intervals longer than ``silence_s`` between neighbouring points of a sensor."""
-    paired = with_previous(points, ["sensor_id"], ["time"], "before", split_rows)
+    times = settle(points.select("sensor_id", "time", "seq"))  # read for counts, edges and rows
+    paired = with_previous(times, ["sensor_id"], ["time"], "before", split_rows)
     length = (F.unix_micros("time") - F.unix_micros("before.time")) / 1e6
     return paired.select(
         "sensor_id",
@@ -257,6 +259,7 @@ def burst_average(
     out. A burst longer than the window gives one mean per window.
     """
     keys = [source]
+    samples = settle(samples.select(source, "channel", "time", "seq", "raw_count"))
     chunked, chunk = with_chunks(samples, keys, split_rows)
     rows = chunked_previous(chunked, keys, chunk, ["channel"], "_before")
     switched = F.col("_before").isNull() | (F.col("_before.channel") != F.col("channel"))
