@@ -73,10 +73,15 @@ def latest_per_sensor(
     """The newest row per sensor that has a value.
 
     Its key is found first, a number that is combined by hash before the shuffle; the
-    other columns come from the one row that bears it.
+    other columns come from the one row that bears it. The columns asked for are written
+    in between, as they are read twice; the keys found are, so that Spark knows how few
+    they are.
     """
-    keyed = points.filter(F.col("value").isNotNull()).withColumn("_key", last_key())
-    newest = keyed.groupBy(*by).agg(F.max("_key").alias("_key"))
+    needed = dict.fromkeys([*by, *columns, "time", "seq", "value"])
+    keyed = settle(
+        points.select(*needed).filter(F.col("value").isNotNull()).withColumn("_key", last_key())
+    )
+    newest = settle(keyed.groupBy(*by).agg(F.max("_key").alias("_key")))
     rows = keyed.join(newest, [*by, "_key"], "left_semi").dropDuplicates([*by])
     return rows.select(*by, *columns)
 
