@@ -25,8 +25,19 @@ SYMBOLS = r"[#*$%&|<>]"
 
 # A line may lose its place for one of three reasons.
 # Punctuation: no sentence ends it although it is short, or marks crowd its words.
-SENTENCE_END = ".!?…:;\"'”»)]"
+SENTENCE_END = (
+    ".!?…:;\"'”»)]"
+    "。．｡！？：；︒‥‼⁇⁈⁉」』】〕〗〉》）］｝｣’"  # Chinese, Japanese, Korean
+    "؟؛۔։׃।॥።፧፨។៕།༎၊။᠃꓿꘎"  # Arabic, Armenian, Hebrew, Indic, Ethiopic, Khmer, Tibetan, Burmese, ...
+    "\u037e\u0387"  # Greek
+)
 SHORT_LINE_WORDS = 4
+# Scripts without blanks between words: so many of their code points are taken for a word.
+UNSPACED = (
+    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}"
+    r"\p{IsMyanmar}\p{IsTibetan}\p{IsJavanese}\p{IsBalinese}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}]"
+)
+UNSPACED_PER_WORD = 2
 CROWDING = r"[#*$%&<>!?~^_=+{}\\]"
 # Navigation: items with separators between them.
 SEPARATOR = "[|»›•·>]"
@@ -123,8 +134,12 @@ def line_fails(line: Column, suspect: Column) -> Column:
 
     Words are counted only in lines that have the marks or lack the ending, and phrases
     looked for only in the lines of a ``suspect`` text, one that holds such a phrase.
+    Where a script sets no blanks between words, code points stand in for them.
     """
-    n = F.regexp_count(line, F.lit(WORD))
+    unspaced = F.when(
+        F.octet_length(line) > F.char_length(line), F.regexp_count(line, F.lit(UNSPACED))
+    ).otherwise(F.lit(0))
+    n = F.regexp_count(line, F.lit(WORD)) + F.floor(unspaced / UNSPACED_PER_WORD)
     last = F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1)
     unended = ~last.isin(*SENTENCE_END) & (n < SHORT_LINE_WORDS)
     marks = F.regexp_count(line, F.lit(CROWDING))
@@ -140,11 +155,11 @@ def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words``
     describe the whole text; ``kept_words`` counts those of the lines that stay.
     ``kept`` is false for a text that fails the base rules or loses more than
-    ``max_lost_percent`` of its words with its lines.
+    ``max_lost_percent`` of its words with its lines. Lines without a word stay in place.
     """
     body = whole(text)
     split = packed(docs, body=body, tokens=words(body))
-    lines = F.filter(F.split(F.col("body"), "\n", -1), lambda x: x.rlike(WORD))
+    lines = F.split(F.col("body"), "\n", -1)
     counted = split.select(
         "doc",
         F.size("tokens").cast("long").alias("n_words"),
@@ -155,15 +170,15 @@ def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_
         holds_phrase(F.col("body")).alias("suspect"),
     )
     verdicts = counted.withColumn(
-        "staying", F.filter("lines", lambda x: ~line_fails(x, F.col("suspect")))
-    )
+        "staying", F.filter("lines", lambda x: ~x.rlike(WORD) | ~line_fails(x, F.col("suspect")))
+    ).withColumn("worded", F.filter("lines", lambda x: x.rlike(WORD)))
     removed = (F.size("lines") - F.size("staying")).cast("long")
     measured = verdicts.select(
         "doc",
         "n_words",
         "word_chars",
         "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         removed.alias("lines_removed"),
         F.array_join("staying", "\n").alias("cleaned"),

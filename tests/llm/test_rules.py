@@ -53,6 +53,32 @@ def test_losing_too_much(spark):
     assert row["text"] == prose
 
 
+def test_text_without_blanks_stays(spark):
+    for line in ("今天的天气非常好，我们一起去公园散步。", "彼は「もう帰ります」と言った。", "増加率は5%で、A=Bとなる。",
+                 "他问：“你去哪里？”", "วันนี้อากาศดีมากเราไปเดินเล่นกัน"):
+        body = "\n".join(f"{i}{line}" for i in range(25))
+        docs = spark.createDataFrame([(body, len(body))], "text string, n_chars bigint")
+        assert [r["text"] for r in rules.clean(docs).collect()] == [body], line
+
+
+def test_short_lines_of_other_scripts(spark):
+    prose = "This is a plain sentence that says something of use to a reader."
+    lines = {"मैं जाता हूँ।": True, "هل أنت؟": True, "首页": False, "ホーム": False, "मैं जाता हूँ": False}
+    for line, stays in lines.items():
+        row = rules.judge(spark.createDataFrame([(f"{prose}\n{line}",)], "text string")).first()
+        assert (row["lines_removed"] == 0) == stays, line
+
+
+def test_lines_without_a_word_stay(spark):
+    prose = " ".join(f"word{i}" for i in range(30)) + "."
+    other = prose.replace("word", "thing")
+    bodies = {f"{prose}\n\n \n{other}\n": None, f"\n{prose}\n\nMenu\n\n{other}": "Menu\n"}
+    for body, gone in bodies.items():
+        row = rules.clean(spark.createDataFrame([(body, 0)], "text string, n_chars bigint")).first()
+        assert row["text"] == (body.replace(gone, "") if gone else body)
+        assert row["n_chars"] == len(row["text"])
+
+
 def test_clean_keeps_columns(odd, none):
     for docs in (odd, none):
         cleaned = rules.clean(docs)
