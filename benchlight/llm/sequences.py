@@ -54,8 +54,9 @@ class Encoder:
 
     White space separates what the tokenizer's own splitting never joins again, so a
     text's ids are those of its words in a row, and words come again and again. Only
-    A-Z are lowered beforehand, which the tokenizer does too, and not where a special
-    token might stand. A full stop or comma after letters alone is a word of its own.
+    words in ASCII are lowered beforehand, which the tokenizer does too, and not where a
+    special token might stand: it composes letters with their marks before it lowers them,
+    and some compose in small letters alone. A full stop or comma after letters alone is a word of its own.
     """
 
     def __init__(self, path: str, lowers: bool):
@@ -74,7 +75,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
         """The ids of each text with the end id, as bytes of ``kind``."""
-        split = [self._lowered(t or b"").split() for t in texts]
+        split = [self._split(t or b"") for t in texts]
         new: set[bytes] = set()
         for words in split:
             new.update(words)
@@ -85,8 +86,12 @@ class Encoder:
         find, last = self.known.__getitem__, self.kind.type(end).tobytes()
         return [b"".join(map(find, words)) + last for words in split]
 
-    def _lowered(self, text: bytes) -> bytes:
-        return text.lower() if self.lowers and b"<|" not in text else text
+    def _split(self, text: bytes) -> list[bytes]:
+        if not self.lowers or b"<|" in text:
+            return text.split()
+        if text.isascii():
+            return text.lower().split()
+        return [w.lower() if w.isascii() else w for w in text.split()]
 
     def _learn(self, words: set[bytes]) -> None:
         again = self.older.keys() & words

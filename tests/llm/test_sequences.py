@@ -50,6 +50,17 @@ def test_words_make_up_texts(text):
     assert ids.tolist() == [*whole, 1]
 
 
+def test_capitals_with_marks():
+    """Letters are lowered after they are composed: of some only the small one composes."""
+    encode, tokenizer = sequences.encoder(PATH, True), Tokenizer.from_file(PATH)
+    named = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "H\u0331ASAN said Mut\u0323T\u0308a, J\u030c."]
+    marked = [a + chr(m) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in range(0x300, 0x370)]
+    texts = named + marked
+    for text, got in zip(texts, encode.encode([t.encode() for t in texts], 1), strict=True):
+        whole = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, encode.kind).tolist() == [*whole, 1], ascii(text)
+
+
 def test_files_hold_equal_sequences(spark, texts):
     folder = shared_folder(spark)
     manifest = sequences.write(texts, folder, PATH, 1, sequence=128).orderBy("part").collect()
