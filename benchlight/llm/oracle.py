@@ -118,9 +118,78 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM ranked
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS w FROM documents),
+sized AS (SELECT id, doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM sized),
+items AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS w FROM benchmark),
+asked AS (SELECT DISTINCT item, item_id, term FROM (SELECT item, item_id, unnest(w) AS term FROM items)),
+counted AS (
+  SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT id, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY id, term),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM counted, totals GROUP BY term, nd),
+scored AS (
+  SELECT item, item_id, id, doc_id,
+    CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nl)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weighed USING (term) JOIN sized USING (id), totals
+  GROUP BY item, item_id, id, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+# The checksum of an id's digits, bit by bit: DuckDB has no function for it.
+_CRC = """xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, c: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, c)),
+    4294967295::BIGINT))"""
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL),
+whole AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST,
+    substr(sha256(length(role) || ':' || role || text), 1, 32)) AS t
+  FROM turns GROUP BY conv_id),
+headed AS (SELECT conv_id, conv_id - conv_id % 100 AS base, t, {_CRC} % 6 AS h FROM whole),
+built AS (
+  SELECT headed.conv_id, coalesce(first.t, [])[1:h] || headed.t[h + 1:] AS t
+  FROM headed LEFT JOIN whole AS first ON first.conv_id = base),
+prefixes AS (
+  SELECT conv_id, d AS depth, t, length(t[d].text) AS chars, len(t) = d AS ends, sha256(CAST(t[1:d] AS VARCHAR)) AS key,
+    CASE WHEN d > 0 THEN sha256(CAST(t[1:d - 1] AS VARCHAR)) END AS parent
+  FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n,
+    (count(*) - 1) * coalesce(any_value(chars), 0) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY key, depth),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+-- Every node under every prefix of its least member.
+under AS (
+  SELECT above.key, nodes.saved, kids.key IS NULL AS leaf
+  FROM nodes JOIN prefixes AS above ON above.conv_id = nodes.conv_id AND above.depth <= nodes.depth
+  LEFT JOIN kids ON kids.key = nodes.key),
+sums AS (SELECT key, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM under GROUP BY key)
+SELECT nodes.conv_id, CAST(nodes.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id,
+  CAST(nodes.n AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums USING (key) LEFT JOIN kids ON kids.key = nodes.key LEFT JOIN nodes AS up ON up.key = nodes.parent
+"""
+
 ORACLES = {
     "op4_site_spread": SPREAD,
     "op5_line_first_rules": RULES,
     "op7_source_mix": MIX,
     "op10_exact_index": EXACT,
+    "op12_shared_search": SEARCH,
+    "op13_prefix_trie": TRIE,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlight.llm import exact, mixing, packing, passages, quality, rules, sequences, simhash, spread, surrogates
+from benchlight.llm import (
+    exact,
+    mixing,
+    packing,
+    passages,
+    polytope,
+    quality,
+    rules,
+    search,
+    sequences,
+    simhash,
+    spread,
+    surrogates,
+    trie,
+)
 from benchlight.llm.texts import documents
 
 
@@ -72,6 +86,18 @@ def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(documents(spark, sf_dir)).drop("row")
 
 
+def op11_polytope_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -83,4 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_groups": op8_simhash_groups,
     "op9_variable_packing": op9_variable_packing,
     "op10_exact_index": op10_exact_index,
+    "op11_polytope_groups": op11_polytope_groups,
+    "op12_shared_search": op12_shared_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
