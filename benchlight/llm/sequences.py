@@ -56,7 +56,9 @@ class Encoder:
     text's ids are those of its words in a row, and words come again and again. Only
     words in ASCII are lowered beforehand, which the tokenizer does too, and not where a
     special token might stand: it composes letters with their marks before it lowers them,
-    and some compose in small letters alone. A full stop or comma after letters alone is a word of its own.
+    and some compose in small letters alone. Marks in ASCII after letters alone are a word of
+    their own; what a letter is, is asked of the tokenizer, of the word as it has composed and
+    lowered it, since lowering can leave a letter with a mark that the next mark joins.
     """
 
     def __init__(self, path: str, lowers: bool):
@@ -68,6 +70,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
@@ -98,7 +101,7 @@ class Encoder:
         self.known.update((w, self.older[w]) for w in again)
         words = words - again
         stems = {w: w.rstrip(_MARKS) for w in words}
-        cut = {w: (s, w[len(s) :]) for w, s in stems.items() if len(s) < len(w) and s.decode().isalpha()}
+        cut = {w: (s, w[len(s) :]) for w, s in stems.items() if len(s) < len(w) and self._all_letters(s)}
         single = (words - cut.keys()).union(*cut.values())
         single.difference_update(self.known)
         plain = [w for w in single if w.decode().isalpha()] if self.ends.any() else []
@@ -113,6 +116,17 @@ class Encoder:
         for word, (stem, mark) in cut.items():
             self.known[word] = self.known[stem] + self.known[mark]
 
+    def _all_letters(self, stem: bytes) -> bool:
+        """Whether the tokenizer's splitting keeps a word together, and apart from a mark after it."""
+        if stem.isascii():
+            return stem.isalpha()
+        return all(map(self._is_letter, set(self.tokenizer.normalizer.normalize_str(stem.decode()))))
+
+    def _is_letter(self, c: str) -> bool:
+        if c not in self.letters:
+            self.letters[c] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}")) == 1
+        return self.letters[c]
+
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(x.ids, self.kind) for x in found]

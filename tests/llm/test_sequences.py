@@ -1,4 +1,6 @@
+import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -86,3 +88,24 @@ def test_files_hold_equal_sequences(spark, texts):
 def test_file_urls():
     for folder in ("file:///tmp/a/b", "file:/tmp/a/b", "/tmp/a/b"):
         assert re.fullmatch("/tmp/a/b", sequences._place(folder)[1])
+
+
+def test_random_words():
+    """Letters of all scripts, some that lowering takes apart, before and after marks."""
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x80, 0x2FA20) if unicodedata.category(chr(c))[0] in "LMN"]
+    cased = [c for c in letters if c.lower() != c or c.upper() != c]
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def word():
+        of = rng.choice([letters, cased, "aeiouDIİıßKÅΣς", "abcdefghIJKS's"])
+        body = "".join(rng.choice(of) for _ in range(rng.randint(1, 5)))
+        body += rng.choice(["", "", chr(rng.randint(0x300, 0x36F))])
+        return body + "".join(rng.choice(marks) for _ in range(rng.choice([0, 1, 1, 2])))
+
+    texts = ["BELKİ!", "DENİZLİ, ve", *[c + m for c in cased for m in "!'<"]]
+    texts += [rng.choice([" ", "\n", " \t"]).join(word() for _ in range(rng.randint(1, 4))) for _ in range(10_000)]
+    encode, tokenizer = sequences.Encoder(PATH, True), Tokenizer.from_file(PATH)
+    whole = tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, got, ids in zip(texts, encode.encode([t.encode() for t in texts], 1), whole, strict=True):
+        assert np.frombuffer(got, encode.kind).tolist() == [*ids.ids, 1], ascii(text)
