@@ -5,7 +5,7 @@ from __future__ import annotations
 from benchlight.llm import rules, spread
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_PHRASES = ", ".join(f"'{p}'" for p in rules.BOILERPLATE)
+_SMALL = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ENDINGS = ", ".join("'" + e.replace("'", "''") + "'" for e in rules.SENTENCE_END)
 
 RULES = rf"""
@@ -19,17 +19,21 @@ twice AS (
 steps AS (SELECT id, lead(i) OVER (PARTITION BY id ORDER BY i) - i AS step FROM twice),
 repeats AS (SELECT id, sum(least(8, coalesce(step, 8))) AS n FROM steps GROUP BY id),
 lines AS (
-  SELECT id, line, len(regexp_extract_all(line, '{_WORD}')) AS n
+  SELECT id, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
+    len(regexp_extract_all(line, '{_WORD}'))
+      + len(regexp_extract_all(line, '{rules.UNSPACED}')) // {rules.UNSPACED_PER_WORD} AS m,
+    right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ({_ENDINGS}) AS unended
   FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM docs)
   WHERE regexp_matches(line, '{_WORD}')),
 failing AS (
-  SELECT id, n,
-    (right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)
-       NOT IN ({_ENDINGS}) AND n < {rules.SHORT_LINE_WORDS})
-    OR 2 * len(regexp_extract_all(line, '[#*$%&<>!?~^_=+{{}}\\]')) > n
+  SELECT id, line, n,
+    (unended AND m < {rules.SHORT_LINE_WORDS})
+    OR 2 * len(regexp_extract_all(line, '[#*$%&<>!?~^_=+{{}}\\]')) > m
     OR (len(regexp_extract_all(line, '[|»›•·>]')) >= {rules.MIN_SEPARATORS}
-        AND 4 * len(regexp_extract_all(line, '[|»›•·>]')) > n)
-    OR len(list_filter([{_PHRASES}], lambda p: contains(lower(line), p))) > 0 AS fails
+        AND 4 * len(regexp_extract_all(line, '[|»›•·>]')) > m)
+    OR (m <= {rules.BOILERPLATE_WORDS} AND regexp_matches({_SMALL}, '{rules.phrase_pattern(rules.BOILERPLATE)}'))
+    OR (unended AND m <= {rules.PROMPT_WORDS}
+        AND regexp_matches({_SMALL}, '{rules.phrase_pattern(rules.PROMPTS)}')) AS fails
   FROM lines),
 dup AS (SELECT id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY id),
 stay AS (

@@ -4,14 +4,16 @@ Built from DataFrame functions alone. Each document is judged in its own row, so
 is no shuffle and a hot source or a pile of copies costs what its rows cost.
 
 Text NULL or without a word: zero words, ``base_failed``. Rows that repeat, ids that
-repeat or are NULL: each row gets its own verdict. Other columns pass through
-``clean`` untouched, whatever their names.
+repeat or are NULL: each row gets its own verdict. A very long text is judged whole, in its
+row's memory. An empty table gives an empty result. Other columns pass through ``clean``
+untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import or_
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +34,21 @@ SENTENCE_END = (
     "\u037e\u0387"  # Greek
 )
 SHORT_LINE_WORDS = 4
-# Scripts without blanks between words: so many of their code points are taken for a word.
+# Scripts without blanks between words, by ranges that every pattern syntax knows: Thai, Lao,
+# Tibetan, Burmese, Khmer, Tai, Balinese, Kana, Bopomofo, Chinese characters, Yi, Javanese.
+# So many of their code points are taken for a word.
 UNSPACED = (
-    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}"
-    r"\p{IsMyanmar}\p{IsTibetan}\p{IsJavanese}\p{IsBalinese}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}]"
+    r"[\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{1950}-\x{19FF}\x{1A20}-\x{1AAF}\x{1B00}-\x{1B7F}"
+    r"\x{3005}-\x{3007}\x{3040}-\x{312F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{A980}-\x{A9DF}"
+    r"\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 )
 UNSPACED_PER_WORD = 2
 CROWDING = r"[#*$%&<>!?~^_=+{}\\]"
 # Navigation: items with separators between them.
 SEPARATOR = "[|»›•·>]"
 MIN_SEPARATORS = 2
-# Boilerplate: stock phrases of pages.
+# Boilerplate: stock phrases of pages, as whole words in a short line. Prose can hold the
+# prompts too, so those count only in a line that doesn't end as a sentence does.
 BOILERPLATE = (
     "all rights reserved",
     "terms of use",
@@ -56,17 +62,14 @@ BOILERPLATE = (
     "javascript is disabled",
     "javascript is required",
     "lorem ipsum",
-    "click here",
-    "sign in",
-    "log in",
     "subscribe now",
-    "subscribe to",
-    "read more",
     "skip to content",
     "skip to main content",
     "back to top",
-    "follow us",
 )
+PROMPTS = ("click here", "sign in", "log in", "subscribe to", "read more", "follow us")
+BOILERPLATE_WORDS = 12
+PROMPT_WORDS = 6
 MAX_LOST_PERCENT = 50
 
 
@@ -122,31 +125,39 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
     )
 
 
-def holds_phrase(text: Column) -> Column:
-    """Whether a stock phrase stands in the text, in any case."""
+def phrase_pattern(phrases: tuple[str, ...]) -> str:
+    """A pattern for any of the phrases as whole words, in small letters."""
+    return r"(^|[^\p{L}\p{N}_])(" + "|".join(phrases) + r")([^\p{L}\p{N}_]|$)"
+
+
+def may_hold_phrase(text: Column) -> Column:
+    """Whether the letters of a stock phrase stand in the text: a cheap test before its lines'."""
     return let(
-        F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE])
+        F.lower(text),
+        lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE + PROMPTS]),
     )
 
 
 def line_fails(line: Column, suspect: Column) -> Column:
     """Whether a line with a word breaks a punctuation, navigation or boilerplate rule.
 
-    Words are counted only in lines that have the marks or lack the ending, and phrases
-    looked for only in the lines of a ``suspect`` text, one that holds such a phrase.
-    Where a script sets no blanks between words, code points stand in for them.
+    Phrases are looked for only in the lines of a ``suspect`` text, one that holds the letters
+    of such a phrase. Where a script sets no blanks between words, code points stand in for them.
     """
     unspaced = F.when(
         F.octet_length(line) > F.char_length(line), F.regexp_count(line, F.lit(UNSPACED))
     ).otherwise(F.lit(0))
     n = F.regexp_count(line, F.lit(WORD)) + F.floor(unspaced / UNSPACED_PER_WORD)
     last = F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1)
-    unended = ~last.isin(*SENTENCE_END) & (n < SHORT_LINE_WORDS)
+    unended = ~last.isin(*SENTENCE_END)
     marks = F.regexp_count(line, F.lit(CROWDING))
     separators = F.regexp_count(line, F.lit(SEPARATOR))
     crowded = (marks > 0) & (marks * 2 > n)
     navigation = (separators >= MIN_SEPARATORS) & (separators * 4 > n)
-    return unended | crowded | navigation | (suspect & holds_phrase(line))
+    low = F.translate(line, ascii_uppercase, ascii_lowercase)
+    stock = (n <= BOILERPLATE_WORDS) & low.rlike(phrase_pattern(BOILERPLATE))
+    prompt = unended & (n <= PROMPT_WORDS) & low.rlike(phrase_pattern(PROMPTS))
+    return (unended & (n < SHORT_LINE_WORDS)) | crowded | navigation | (suspect & (stock | prompt))
 
 
 def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -167,7 +178,7 @@ def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_
         F.regexp_count(F.col("body"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         repeated_words(F.col("tokens")).alias("n_repeat_words"),
         lines.alias("lines"),
-        holds_phrase(F.col("body")).alias("suspect"),
+        may_hold_phrase(F.col("body")).alias("suspect"),
     )
     verdicts = counted.withColumn(
         "staying", F.filter("lines", lambda x: ~x.rlike(WORD) | ~line_fails(x, F.col("suspect")))

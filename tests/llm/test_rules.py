@@ -42,6 +42,24 @@ def test_lines(spark):
         assert (line in row["cleaned"].split("\n")) == stays
 
 
+def test_prose_with_the_letters_of_phrases(spark):
+    """Phrases are whole words in short lines; prompts end no sentence."""
+    prose = [
+        "We came back to the design in question before the meeting was over.",
+        "Each dialog in the novel shows how little the two of them understand.",
+        "The bakers bread more often when the mill is busy, or so they say.",
+        "She learned to read more every day.",
+        "He asked her to log in.",
+        "The long letter, which nobody had asked him for, explained to all of us what the privacy policy of the firm was worth.",
+    ]
+    docs = spark.createDataFrame([("\n".join(prose),)], "text string")
+    row = rules.judge(docs).first()
+    assert row["kept"] and row["lines_removed"] == 0 and row["cleaned"].split("\n") == prose
+    for line in ("Log in", "Sign in to your account", "Please read more", "See our Privacy Policy.", "SKIP TO CONTENT"):
+        row = rules.judge(spark.createDataFrame([("\n".join([*prose, line]),)], "text string")).first()
+        assert row["lines_removed"] == 1, line
+
+
 def test_losing_too_much(spark):
     prose = " ".join(f"word{i}" for i in range(30)) + "."
     menu = " | ".join(f"Item{i}" for i in range(20))
