@@ -6,18 +6,19 @@ one bucket and doubles, splitting each overfull bucket by one more bit, until no
 overfull or the directory has ``2 ** MAX_DEPTH`` slots. Buckets are ranges of keys, and
 a bucket belongs to one owner task.
 
-Texts reach their owners once per map task, however many copies the task read, so a
-pile of copies doesn't pile up at its owner. Owners read their range in key order, so
-that one key's texts follow each other, compare bytes and chain the texts that differ
-under one key. What they write, one row per different text, is the index; rows find
-their group in it by key and digest.
-
-NULL counts as the empty text. A row that repeats in full is a copy like any other:
-one of them stays. A NULL id is larger than any other. An empty table gives an empty
+A map task hands each text it reads to its owner once, with how many rows have it and the
+best of them, so a pile of copies doesn't pile up at its owner. Owners read their range in
+key order, so that one key's texts follow each other, compare bytes and chain the texts
+that differ under one key; there counts are added up and the best row is chosen. What they
+write, one row per different text, is the index. Rows find their group in it.
+
+NULL counts as the empty text; a very long one is a text like any other. A row that repeats
+in full is a copy like any other: one of them stays, that of the table's order. Ids may be of
+any type that has an order; a NULL id is larger than any other. An empty table gives an empty
 index. Other columns pass through ``deduplicate`` untouched, whatever their names.
 
-The documents are read twice, and ``deduplicate`` numbers their rows by position, so
-they have to be a table's rows, not the result of an unsettled shuffle.
+The documents are read twice, and their rows are numbered by position, so they have to be
+a table's rows, not the result of an unsettled shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchlight.llm.texts import normalised, packed, row_number, whole
@@ -43,8 +44,8 @@ BATCH_BYTES = 8 << 20
 
 _SEED = 42
 _BLANKS = b" \t\n\x0b\x0c\r"
-_ENTRY = "bucket int, key bigint, body binary"
-_INDEX = "bucket int, key bigint, chain int, sha binary, n_bytes bigint"
+_ENTRY = "bucket int, key bigint, body binary, n bigint, n_chars bigint, row bigint"
+_INDEX = "bucket int, key bigint, chain int, sha binary, n_bytes bigint, group_size bigint, keep_row bigint"
 
 
 def members(docs: DataFrame, text: str = "text", key: str = "doc_id", key_bits: int = KEY_BITS) -> DataFrame:
@@ -101,72 +102,99 @@ def grow(load: np.ndarray, capacity: int) -> np.ndarray:
     return buckets.astype(np.int32)
 
 
+def _better(one: list, two: list) -> bool:
+    """Whether a row (code points, id, number) goes before another."""
+    if one[0] != two[0]:
+        return one[0] > two[0]
+    if (one[1] is None) != (two[1] is None):
+        return two[1] is None
+    return one[1] < two[1] if one[1] != two[1] else one[2] < two[2]
+
+
 def _insert(slots: np.ndarray, key_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Map task: each text it reads, once, with its bucket."""
+    """Map task: each text it reads, once, with its bucket, the rows that have it and the best."""
     depth = len(slots).bit_length() - 1
     mask = ((1 << key_bits) - 1) << (64 - key_bits)
 
-    def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        buckets, keys, bodies = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(buckets, pa.int32()),
-                pa.array(np.array(keys, np.uint64).view(np.int64)),
-                pa.array(bodies, pa.binary()),
-            ],
-            names=["bucket", "key", "body"],
-        )
+    def flushed(held: dict[bytes, list], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        bodies, size = [], 0
+        for i, body in enumerate(held):
+            bodies.append(body)
+            size += len(body) + 100
+            if size < BATCH_BYTES and i + 1 < len(held):
+                continue
+            keys = [xxhash.xxh64_intdigest(b, _SEED) & mask for b in bodies]
+            n, n_chars, ids, rows = zip(*[held[b] for b in bodies], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(slots[k >> (64 - depth)]) if depth else 0 for k in keys], pa.int32()),
+                    pa.array(np.array(keys, np.uint64).view(np.int64)),
+                    pa.array(bodies, pa.binary()),
+                    *[pa.array(c, pa.int64()) for c in (n, n_chars, rows)],
+                    pa.array(ids, kind),
+                ],
+                names=["bucket", "key", "body", "n", "n_chars", "row", "doc_id"],
+            )
+            bodies, size = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[bytes] = set()
-        rows: list[tuple[int, int, bytes]] = []
-        held_bytes = out_bytes = 0
-        for texts in batches:
-            for text in texts.column(0).cast(pa.binary()).to_pylist():
+        held: dict[bytes, list] = {}
+        held_bytes, kind = 0, pa.null()
+        for rows in batches:
+            kind = rows.schema.field("doc_id").type
+            texts = rows.column("text").cast(pa.binary()).to_pylist()
+            columns = [rows.column(c).to_pylist() for c in ("n_chars", "doc_id", "row")]
+            for text, *row in zip(texts, *columns, strict=True):
                 body = (text or b"").translate(None, _BLANKS)
-                if body in held:
-                    continue
-                held.add(body)
-                key = xxhash.xxh64_intdigest(body, _SEED) & mask
-                rows.append((int(slots[key >> (64 - depth)]) if depth else 0, key, body))
-                held_bytes += len(body) + 100
-                out_bytes += len(body) + 100
-                if out_bytes > BATCH_BYTES:
-                    yield batch(rows)
-                    rows, out_bytes = [], 0
-                if held_bytes > HELD_BYTES:
-                    held, held_bytes = set(), 0
-        if rows:
-            yield batch(rows)
+                known = held.get(body)
+                if known is None:
+                    held[body] = [1, *row]
+                    held_bytes += len(body) + 300
+                else:
+                    known[0] += 1
+                    if _better(row, known[1:]):
+                        known[1:] = row
+            if held_bytes > HELD_BYTES:
+                yield from flushed(held, kind)
+                held, held_bytes = {}, 0
+        yield from flushed(held, kind)
 
     return run
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Owner task: entries come in key order; one row per different text of a key."""
-    fields = ["bucket", "key", "chain", "sha", "n_bytes"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["bucket", "key", "chain", "sha", "n_bytes", "group_size", "keep_row", "keep_id"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     current: tuple[int, int] | None = None
-    chain: list[bytes] = []
+    chain: list[list] = []  # body, rows that have it, the best of them
     done: list[tuple] = []
+    kind = pa.null()
 
     def link() -> None:
-        for i, body in enumerate(chain):
-            done.append((*current, i, hashlib.sha256(body).digest(), len(body)))
+        for i, (body, n, (_, doc_id, row)) in enumerate(chain):
+            done.append((*current, i, hashlib.sha256(body).digest(), len(body), n, row, doc_id))
 
     def flushed() -> pa.RecordBatch:
         columns = zip(*done, strict=True)
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=fields)
+        arrays = [pa.array(c, k) for c, k in zip(columns, [*kinds, kind], strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     for entries in batches:
-        for bucket, key, body in zip(*[entries.column(i).to_pylist() for i in range(3)], strict=True):
+        kind = entries.schema.field("doc_id").type
+        columns = [entries.column(c).to_pylist() for c in ("bucket", "key", "body", "n", "n_chars", "doc_id", "row")]
+        for bucket, key, body, n, *row in zip(*columns, strict=True):
             if (bucket, key) != current:
                 if current is not None:
                     link()
                 current, chain = (bucket, key), []
-            if not any(body == other for other in chain):
-                chain.append(body)
+            known = next((other for other in chain if other[0] == body), None)
+            if known is None:
+                chain.append([body, n, row])
+            else:
+                known[1] += n
+                if _better(row, known[2]):
+                    known[2] = row
         if len(done) > 20_000:
             yield flushed()
             done = []
@@ -177,21 +205,20 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(
-    docs: DataFrame, slots: np.ndarray, text: str = "text", key_bits: int = KEY_BITS
+    docs: DataFrame, slots: np.ndarray, text: str = "text", key: str = "doc_id", key_bits: int = KEY_BITS
 ) -> DataFrame:
-    """The index on shared files: bucket, key, place in the key's chain and digest."""
-    entries = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(
-        _insert(slots, key_bits), _ENTRY
+    """The index on shared files: bucket, key, place in the key's chain, digest, how many
+    rows have the text and which of them stays."""
+    id_type = docs.schema[key].dataType.simpleString()
+    rows = docs.select(
+        F.col(text).cast("string").alias("text"),
+        F.char_length(whole(text)).cast("bigint").alias("n_chars"),
+        F.col(key).alias("doc_id"),
+        row_number(docs).alias("row"),
     )
+    entries = rows.mapInArrow(_insert(slots, key_bits), f"{_ENTRY}, doc_id {id_type}")
     owned = entries.repartition("bucket").sortWithinPartitions("bucket", "key")
-    return settle(owned.mapInArrow(_chain, _INDEX))
-
-
-def _rank() -> Column:
-    """Most code points first, then the smallest id: one number, so groups are hashed."""
-    step = F.lit(str(1 << 65)).cast("decimal(20,0)")
-    small_id = F.lit(str(1 << 63)).cast("decimal(19,0)") - F.col("doc_id").cast("decimal(19,0)")
-    return F.col("n_chars").cast("decimal(12,0)") * step + F.coalesce(small_id, F.lit(0))
+    return settle(owned.mapInArrow(_chain, f"{_INDEX}, keep_id {id_type}"))
 
 
 def groups(
@@ -207,16 +234,9 @@ def groups(
     ``key_bits`` shortens the keys, which makes chains longer and changes nothing else.
     """
     rows = settle(members(docs, text, key, key_bits))
-    index = build_index(docs, directory(rows, bucket_bytes), text, key_bits)
-    counted = rows.groupBy("key", "sha").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.max_by("row", _rank()).alias("keep_row"),
-        F.max_by("doc_id", _rank()).alias("keep_id"),
-    )
-    found = settle(
-        index.select("key", "sha").join(counted, ["key", "sha"])
-    )
-    return rows.join(found, ["key", "sha"]).select(
+    index = build_index(docs, directory(rows, bucket_bytes), text, key, key_bits)
+    # A row's digest tells it apart from the other texts chained under its key.
+    return rows.join(index.select("key", "sha", "group_size", "keep_row", "keep_id"), ["key", "sha"]).select(
         "row",
         "doc_id",
         "keep_id",
