@@ -30,7 +30,7 @@ ATTENTION = 16_384
 FIXED = 64
 SHARD_ITEMS = 50_000
 
-_PIECES = "doc_id bigint, row bigint, sequence string, capacity int, offset int, start bigint, length int"
+_PIECES = "doc_id string, row bigint, sequence string, capacity int, offset int, start bigint, length int"
 
 
 def cost(capacity: int) -> float:
@@ -104,11 +104,12 @@ def pack(
     """Where every piece of every document goes: its sequence, that one's capacity, the
     offset in it, and the piece's start and length in the document.
 
-    ``items`` has ``row``, unique, ``doc_id`` and ``length``, and is a written table.
+    ``items`` has ``row``, unique, ``doc_id`` of any type and ``length``, and is a written
+    table. Ids travel as text, which keeps their value beside NULL.
     """
-    largest = max(capacities)
+    largest, id_type = max(capacities), items.schema["doc_id"].dataType
     full = F.floor(F.col("length") / largest).cast("bigint")
-    cut = items.filter("length > 0").select("doc_id", "row", "length", full.alias("full"))
+    cut = items.filter("length > 0").select(F.col("doc_id").cast("string").alias("doc_id"), "row", "length", full.alias("full"))
     at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("at")
     whole_pieces = cut.filter("full > 0").select("doc_id", "row", at).select(
         "doc_id",
@@ -127,7 +128,8 @@ def pack(
         (F.col("full") * largest).alias("start"),
         (F.col("length") - F.col("full") * largest).cast("int").alias("length"),
     ).filter("length > 0")
-    return whole_pieces.unionByName(rest.groupBy("shard").applyInPandas(_shard(capacities), _PIECES))
+    pieces = whole_pieces.unionByName(rest.groupBy("shard").applyInPandas(_shard(capacities), _PIECES))
+    return pieces.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def lengths(docs: DataFrame, length: Column, key: str = "doc_id") -> DataFrame:
@@ -135,7 +137,7 @@ def lengths(docs: DataFrame, length: Column, key: str = "doc_id") -> DataFrame:
     return settle(
         docs.select(
             row_number(docs).alias("row"),
-            F.col(key).cast("bigint").alias("doc_id"),
+            F.col(key).alias("doc_id"),
             length.cast("bigint").alias("length"),
         )
     )

@@ -215,12 +215,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return model
 
 
-def _score(model: Trees):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                x = np.stack(rows["features"].to_list()).astype(np.float32)
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "score": model.score(x)})
+def _scored(model: Trees):
+    @F.pandas_udf("double")
+    def run(features: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype=float)
+        return pd.Series(model.score(np.stack(features.to_list()).astype(np.float32)))
 
     return run
 
@@ -232,7 +232,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """
     features = settle(described(docs, text, key))
     model = fit(*sample(features, labels))
-    scored = features.mapInPandas(_score(model), f"doc_id {docs.schema[key].dataType.simpleString()}, score double")
+    # Ids stay on Spark's side, where they keep their type and value beside NULL.
+    scored = features.select("doc_id", _scored(model)("features").alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"),
