@@ -101,12 +101,13 @@ def resolve(calibrations: DataFrame) -> DataFrame:
 def fingerprint() -> str:
     """Canonical text of a resolved conversion: magnitudes in base units, 12 digits.
 
-    Spelling, gate and provenance are not part of it; the mode is.
+    Spelling, gate and provenance are not part of it; the mode is. NULL for a row that
+    lacks what its mode needs, or whose mode is unknown.
     """
 
     def quantity(magnitude: str, dims: str) -> str:
         text = f"array_join(CAST({dims} AS ARRAY<STRING>), ',')"
-        return f"concat(format_string('%.11e', {magnitude}), ' ', {text})"
+        return f"IF({magnitude} IS NULL, NULL, concat(format_string('%.11e', {magnitude}), ' ', {text}))"
 
     factor = quantity("factor_base", "factor_dims")
     offset = quantity("offset * u_offset.scale", "u_offset.dims")
@@ -115,11 +116,11 @@ def fingerprint() -> str:
         "array_join(transform(n_points, p ->"
         " format_string('%.11e:%.11e', p.volts, p.value)), ',')"
     )
-    return f"""CASE mode
-        WHEN 'linear' THEN concat_ws('|', mode, {factor})
-        WHEN 'affine' THEN concat_ws('|', mode, {factor}, {offset})
-        WHEN 'expression' THEN concat_ws('|', mode, {value_unit}, formula)
-        ELSE concat_ws('|', mode, {value_unit}, {points}) END"""
+    return f"""CASE
+        WHEN mode = 'linear' THEN concat(mode, '|', {factor})
+        WHEN mode = 'affine' THEN concat(mode, '|', {factor}, '|', {offset})
+        WHEN mode = 'expression' THEN concat(mode, '|', {value_unit}, '|', formula)
+        WHEN mode IN ('spline', 'piecewise_linear') THEN concat(mode, '|', {value_unit}, '|', {points}) END"""
 
 
 def calibration_id() -> str:

@@ -46,11 +46,13 @@ def sensors_in(points: DataFrame, sensors: str | Sequence[str]) -> DataFrame:
 def query_measurements(
     points: DataFrame, measurements: Sequence[str], query: str, **args
 ) -> DataFrame:
-    """SQL over one view per measurement; ``:name`` markers are bound, never pasted."""
-    spark = points.sparkSession
-    for name in measurements:
-        points.filter(F.col("measurement") == name).createOrReplaceTempView(name)
-    return spark.sql(query, args=args)
+    """SQL over one table per measurement, named in braces, as ``{temperature}``.
+
+    ``:name`` markers are bound, never pasted. No view is left in the session, nor one of
+    the same name replaced.
+    """
+    tables = {name: points.filter(F.col("measurement") == name) for name in measurements}
+    return points.sparkSession.sql(query, args=args, **tables)
 
 
 # --- latest values --------------------------------------------------------------
@@ -72,18 +74,26 @@ def latest_per_sensor(
 ) -> DataFrame:
     """The newest row per sensor that has a value.
 
-    Its key is found first, a number that is combined by hash before the shuffle; the
-    other columns come from the one row that bears it. The columns asked for are written
-    in between, as they are read twice; the keys found are, so that Spark knows how few
-    they are.
+    One pass, hashed and combined before the shuffle: numbers are kept beside a key of fixed
+    size, and texts are part of the group, as a sensor has few units and ids. What is left,
+    a row per sensor and texts, is then reduced to one per sensor.
     """
     needed = dict.fromkeys([*by, *columns, "time", "seq", "value"])
-    keyed = settle(
-        points.select(*needed).filter(F.col("value").isNotNull()).withColumn("_key", last_key())
+    kinds = dict(points.select(*needed).dtypes)
+    grouped = [c for c in columns if c not in by and not _is_fixed(kinds[c])]
+    plain = [c for c in columns if c not in by and c not in grouped]
+    valued = points.filter(F.col("value").isNotNull()).withColumn("_key", last_key())
+    few = valued.groupBy(*by, *grouped).agg(
+        F.max("_key").alias("_newest"), *[F.max_by(c, "_key").alias(c) for c in plain]
     )
-    newest = settle(keyed.groupBy(*by).agg(F.max("_key").alias("_key")))
-    rows = keyed.join(newest, [*by, "_key"], "left_semi").dropDuplicates([*by])
-    return rows.select(*by, *columns)
+    rest = F.struct(*grouped, *plain)
+    rows = few.groupBy(*by).agg(F.max_by(rest, "_newest").alias("_row"))
+    return rows.select(*by, *[F.col(f"_row.{c}").alias(c) for c in columns if c not in by])
+
+
+def _is_fixed(kind: str) -> bool:
+    """Whether a value has a fixed size, so that it fits a hashed group's buffer."""
+    return kind in ("boolean", "date", "timestamp", "timestamp_ntz", "float", "double") or kind.endswith("int")
 
 
 def last_write_wins(points: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ from benchlight.sources.logs import labelled_logs
 LINES_SQL = """
 SELECT event_id AS seq, date_trunc('millisecond', ts) AS time,
  CASE event_id % 97
-  WHEN 0 THEN 'garbage'       WHEN 1 THEN 'A0,2048,extra'   WHEN 2 THEN ',2048'
-  WHEN 3 THEN 'A 0,2048'      WHEN 4 THEN 'A0,not-a-number' WHEN 5 THEN 'A0,nan'
-  WHEN 6 THEN ''              WHEN 7 THEN 'A0,1e400'        WHEN 8 THEN 'A0,1d'
-  ELSE concat('A', CAST(user_id % 8 AS STRING), ',',
+  WHEN 0 THEN 'in0;512'     WHEN 1 THEN 'in0,512,'    WHEN 2 THEN ' ,7'
+  WHEN 3 THEN 'in/0,7'      WHEN 4 THEN 'in0,0x1F'    WHEN 5 THEN 'in0,-Infinity'
+  WHEN 6 THEN '  '          WHEN 7 THEN 'in0,9e999'   WHEN 8 THEN 'in0,12e'
+  ELSE concat('in', CAST(user_id % 9 AS STRING), ',',
               CAST(CAST(floor(least(value, 100) * 40.95) AS BIGINT) AS STRING)) END AS line
 FROM events
 """
@@ -42,7 +42,7 @@ BOARD_LINES_SQL = LINES_SQL.replace(
 # The same readings already parsed, for questions asked of stored points.
 READINGS_SQL = """
 SELECT event_id AS seq, date_trunc('millisecond', ts) AS time,
-       concat('A', CAST(user_id % 8 AS STRING)) AS channel,
+       concat('in', CAST(user_id % 9 AS STRING)) AS channel,
        CAST(floor(least(value, 100) * 40.95) AS DOUBLE) AS raw_count
 FROM events
 """
@@ -50,24 +50,24 @@ FROM events
 # The same, and every fiftieth reading again in its millisecond, written later.
 REWRITTEN_SQL = """
 SELECT event_id AS seq, date_trunc('millisecond', ts) AS time,
-       concat('A', CAST(user_id % 8 AS STRING)) AS channel,
+       concat('in', CAST(user_id % 9 AS STRING)) AS channel,
        CAST(floor(least(value, 100) * 40.95) AS DOUBLE) AS raw_count FROM events
 UNION ALL
 SELECT event_id + 1000000000, date_trunc('millisecond', ts),
-       concat('A', CAST(user_id % 8 AS STRING)),
+       concat('in', CAST(user_id % 9 AS STRING)),
        CAST(floor(least(value, 100) * 40.95) AS DOUBLE) + 1 FROM events WHERE event_id % 50 = 0
 """
 
-# The larger table as readings of eight channels.
+# The larger table as readings of nine channels.
 SCALE_SQL = """
 SELECT l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS time,
-       concat('A', CAST(l_suppkey % 8 AS STRING)) AS channel,
+       concat('in', CAST(l_suppkey % 9 AS STRING)) AS channel,
        CAST(CAST(floor(l_extendedprice) AS BIGINT) % 4096 AS DOUBLE) AS raw_count
 FROM lineitem
 """
 SCALE_LINES_SQL = """
 SELECT l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS time,
-       concat('A', CAST(l_suppkey % 8 AS STRING), ',',
+       concat('in', CAST(l_suppkey % 9 AS STRING), ',',
               CAST(CAST(floor(l_extendedprice) AS BIGINT) % 4096 AS STRING)) AS line
 FROM lineitem
 """
@@ -123,7 +123,7 @@ FROM orders
 SAMPLES_SQL = """
 SELECT event_id AS seq, date_trunc('millisecond', ts) AS time,
        concat('board-', CAST(event_id % 2 AS STRING)) AS source,
-       concat('A', CAST(CAST(floor(event_id / 12) AS BIGINT) % 4 AS STRING)) AS channel,
+       concat('in', CAST(CAST(floor(event_id / 12) AS BIGINT) % 4 AS STRING)) AS channel,
        CAST(floor(least(value, 100) * 40.95) AS DOUBLE) AS raw_count
 FROM events
 """
@@ -222,14 +222,16 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, LOGS_SQL)
 
 
-GATE_POWER = {
-    "below": 30.0, "below_unit": "mW", "resume_above": 0.06, "resume_above_unit": "W",
-    "dwell": 1.0, "dwell_unit": "h", "raw_voltage": False,
+# A rate may not stay high: one bound, taken back in another unit of the same kind.
+GATE_RATE = {
+    "above": 24.0, "above_unit": "Hz", "resume_below": 0.012, "resume_below_unit": "kHz",
+    "dwell": 50.0, "dwell_unit": "min", "raw_voltage": False,
 }
-GATE_RAIL = {
-    "below": 100.0, "below_unit": "mV", "above": 3.0, "above_unit": "V",
-    "resume_below": 2.9, "resume_below_unit": "V",
-    "dwell": 2.0, "dwell_unit": "h", "raw_voltage": True,
+# Two bounds on the voltage at the input, one of them with a margin for the way back.
+GATE_SUPPLY = {
+    "below": 150.0, "below_unit": "mV", "resume_above": 0.25, "resume_above_unit": "V",
+    "above": 2.8, "above_unit": "V",
+    "dwell": 1.5, "dwell_unit": "h", "raw_voltage": True,
 }
 
 
@@ -238,47 +240,29 @@ def points(*pairs: tuple[float, float]) -> list[dict]:
 
 
 def demo_rows() -> list[dict]:
-    """Seven calibrated channels, one or more per mode; A7 has none."""
-    base = {"revision": 1, "effective_from": None}
-    by = {"operator": "bench", "date": "2025-03-02"}
+    """A fermenter's sensors: eight calibrated channels, two or so per mode; in8 has none.
+
+    The measured points of the spline lie on a cubic, which the spline then is.
+    """
+    def channel(n: int, sensor_id: str, measurement: str, **conversion) -> dict:
+        known = {"revision": 1, "effective_from": None, "provenance": {"by": "plant", "rig": str(n % 3)}}
+        return known | {"channel": f"in{n}", "sensor_id": sensor_id, "measurement": measurement} | conversion
+
+    cubic = [(v, 2 * v**3 - v**2 + 5 * v + 1) for v in (0.25, 0.75, 1.5, 2.25, 3.0)]
     return [
-        base | {
-            "channel": "A0", "sensor_id": "stage-thermometer", "measurement": "temperature",
-            "mode": "piecewise_linear", "value_unit": "kelvin", "provenance": by,
-            "points": points((0.4, 310.0), (0.9, 120.0), (1.2, 45.0), (1.6, 4.0)),
-        },
-        base | {
-            "channel": "A1", "sensor_id": "rail-monitor", "measurement": "voltage",
-            "mode": "affine", "factor": 8.25, "offset": -12.0, "offset_unit": "V",
-            "provenance": by, "gate": GATE_RAIL,
-        },
-        base | {
-            "channel": "A2", "sensor_id": "ion-gauge", "measurement": "pressure",
-            "mode": "expression", "formula": "10**(1.25*v - 8.5)", "value_unit": "mbar",
-            "provenance": by,
-        },
-        base | {
-            "channel": "A3", "sensor_id": "diode-power", "measurement": "power",
-            "factor": 40.0, "factor_unit": "mW / volt", "gate": GATE_POWER, "provenance": by,
-        },
-        base | {
-            "channel": "A4", "sensor_id": "stage-x", "measurement": "position", "mode": "affine",
-            "factor": 80.0, "factor_unit": "micrometer / volt",
-            "offset": -130.0, "offset_unit": "micrometer", "store_input": False,
-        },
-        base | {
-            "channel": "A5", "sensor_id": "stage-y", "measurement": "position", "mode": "affine",
-            "factor": 80.0, "factor_unit": "µm/V", "offset": -130.0, "offset_unit": "um",
-        },
-        base | {
-            "channel": "A6", "sensor_id": "thermistor", "measurement": "temperature",
-            "mode": "spline", "value_unit": "K",
-            "points": points(
-                (3.1, 268.15), (2.6, 280.15), (1.9, 294.15),
-                (1.3, 309.15), (0.8, 325.15), (0.25, 349.15),
-            ),
-        },
-    ]
+        channel(0, "head-space", "pressure", mode="piecewise_linear", value_unit="kPa",
+                points=points((0.3, 90.0), (1.1, 130.0), (2.4, 260.0))),
+        channel(1, "vessel-weight", "force", mode="spline", value_unit="newton", points=points(*cubic)),
+        channel(2, "stirrer", "rate", factor=12.5, factor_unit="Hz / volt", gate=GATE_RATE),
+        channel(3, "stirrer-magnet", "field", mode="affine", factor=0.8, factor_unit="tesla / volt",
+                offset=-1300.0, offset_unit="mT", store_input=False),
+        channel(4, "electrode", "current", mode="expression", formula="2.5e-9 * exp(3*v)", value_unit="ampere"),
+        channel(5, "broth", "temperature", mode="affine", factor=20.0, factor_unit="K/V", offset=268.0,
+                offset_unit="kelvin"),
+        channel(6, "jacket", "temperature", mode="piecewise_linear", value_unit="K",
+                points=points((2.8, 270.0), (0.6, 330.0))),
+        channel(7, "supply", "voltage", factor=7.5, gate=GATE_SUPPLY),
+    ]
 
 
 def calibrations(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -291,13 +275,13 @@ def demo_calibrations(spark: SparkSession) -> DataFrame:
 
 
 def revised_calibrations(spark: SparkSession) -> DataFrame:
-    """The demo channels, the photodiode and the beam monitor corrected mid-month."""
+    """The demo channels, the stirrer's speed and magnet corrected mid-month."""
     rows = demo_rows()
     later = {"revision": 2, "effective_from": datetime(2024, 1, 16)}
     extra = [
         row | later | {"factor": row["factor"] * 1.1}
         for row in rows
-        if row["channel"] in ("A3", "A4")
+        if row["channel"] in ("in2", "in3")
     ]
     return calibrations(spark, rows + extra)
 

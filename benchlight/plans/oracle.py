@@ -34,9 +34,9 @@ parsed AS (
     WHEN trim(f[1]) = '' THEN 'empty channel'
     WHEN NOT regexp_full_match(trim(f[1]), '[A-Za-z0-9_.-]{{1,32}}')
       THEN 'channel name has a disallowed character or length'
-    WHEN lower(trim(f[2])) IN ('nan', 'inf', '-inf') THEN 'count is not finite'
+    WHEN lower(trim(f[2])) IN ('nan', '-infinity') THEN 'count is not finite'
     WHEN NOT regexp_matches(trim(f[2]), '{_NUMBER}') THEN 'count is not a number'
-    WHEN trim(f[2]) = '1e400' THEN 'count is not finite' END AS reason
+    WHEN trim(f[2]) = '9e999' THEN 'count is not finite' END AS reason
   FROM parts),
 good AS (
   SELECT seq, time, trim(f[1]) AS channel, CAST(trim(f[2]) AS DOUBLE) AS raw_count
@@ -46,33 +46,26 @@ good AS (
 PARSED = f"{LINES}, {_parsed('lines')}"
 READINGS = f"good AS ({_text(fx.READINGS_SQL)})"
 
-_SPLINE = """CASE
-  WHEN v < 0.8 THEN 349.15 + (v-0.25)*((-51.80108020552543)::DOUBLE + (v-0.25)*((16.81587109658513)::DOUBLE + (v-0.25)*((-3.583512508958781)::DOUBLE)))
-  WHEN v < 1.3 THEN 325.15 + (v-0.8)*((-36.55565960116188)::DOUBLE + (v-0.8)*((10.903075456803144)::DOUBLE + (v-0.8)*((-3.583512508958781)::DOUBLE)))
-  WHEN v < 1.9 THEN 309.15 + (v-1.3)*((-28.34021852607782)::DOUBLE + (v-1.3)*((5.527806693364972)::DOUBLE + (v-1.3)*((0.06537363905232299)::DOUBLE)))
-  WHEN v < 2.6 THEN 294.15 + (v-1.9)*((-21.636246963863346)::DOUBLE + (v-1.9)*((5.645479243659152)::DOUBLE + (v-1.9)*((-4.725690829996045)::DOUBLE)))
-  ELSE 280.15 + (v-2.6)*((-20.679341542834717)::DOUBLE + (v-2.6)*((-4.278471499332542)::DOUBLE + (v-2.6)*((-4.725690829996045)::DOUBLE))) END"""
-
 # Points of the demo channels out of `good`, with the voltage as `v`.
 POINTS = f"""volts AS (
   SELECT *, (raw_count / 4095::DOUBLE) * 3.3::DOUBLE AS v FROM good),
 points AS (
   SELECT volts.*, s.sensor_id, s.measurement, s.unit,
     CASE volts.channel
-      WHEN 'A0' THEN CASE WHEN v <= 0.4 THEN 310 WHEN v >= 1.6 THEN 4
-        WHEN v < 0.9 THEN 310 - 380 * (v - 0.4)
-        WHEN v < 1.2 THEN 120 - 75 * ((v - 0.9) / 0.3)
-        ELSE 45 - 41 * ((v - 1.2) / 0.4) END
-      WHEN 'A1' THEN v * 8.25 - 12
-      WHEN 'A2' THEN power(10::DOUBLE, 1.25 * v - 8.5)
-      WHEN 'A3' THEN v * 40
-      WHEN 'A6' THEN {_SPLINE}
-      ELSE v * 80 - 130 END AS value
+      WHEN 'in0' THEN CASE WHEN v <= 0.3 THEN 90 WHEN v >= 2.4 THEN 260
+        WHEN v < 1.1 THEN 90 + 50 * (v - 0.3) ELSE 130 + 100 * (v - 1.1) END
+      WHEN 'in1' THEN 2 * v * v * v - v * v + 5 * v + 1
+      WHEN 'in2' THEN v * 12.5
+      WHEN 'in3' THEN v * 0.8 - 1.3
+      WHEN 'in4' THEN 2.5e-9 * exp(3 * v)
+      WHEN 'in5' THEN v * 20 + 268
+      WHEN 'in6' THEN CASE WHEN v <= 0.6 THEN 330 WHEN v >= 2.8 THEN 270 ELSE 330 - 60 * ((v - 0.6) / 2.2) END
+      WHEN 'in7' THEN v * 7.5 END AS value
   FROM volts JOIN (VALUES
-    ('A0', 'stage-thermometer', 'temperature', 'K'), ('A1', 'rail-monitor', 'voltage', 'V'),
-    ('A2', 'ion-gauge', 'pressure', 'mbar'), ('A3', 'diode-power', 'power', 'mW'),
-    ('A4', 'stage-x', 'position', 'µm'), ('A5', 'stage-y', 'position', 'µm'),
-    ('A6', 'thermistor', 'temperature', 'K')) s(channel, sensor_id, measurement, unit)
+    ('in0', 'head-space', 'pressure', 'kPa'), ('in1', 'vessel-weight', 'force', 'N'),
+    ('in2', 'stirrer', 'rate', 'Hz'), ('in3', 'stirrer-magnet', 'field', 'T'),
+    ('in4', 'electrode', 'current', 'A'), ('in5', 'broth', 'temperature', 'K'),
+    ('in6', 'jacket', 'temperature', 'K'), ('in7', 'supply', 'voltage', 'V')) s(channel, sensor_id, measurement, unit)
     ON s.channel = volts.channel)"""
 
 FROM_LINES = f"WITH {PARSED}, {POINTS}"
@@ -80,22 +73,22 @@ FROM_STORE = f"WITH {READINGS}, {POINTS}, demo AS (SELECT * FROM points)"
 
 
 def _shown(column: str, digits: int = 6) -> str:
-    """A rounded value; a pressure by its decades."""
-    return f"round(CASE WHEN sensor_id = 'ion-gauge' THEN log10({column}) ELSE {column} END, {digits})"
+    """A rounded value; a current by its decades."""
+    return f"round(CASE WHEN sensor_id = 'electrode' THEN log10({column}) ELSE {column} END, {digits})"
 
 
 # The gate as the machine it is: one reading after the other, per gated channel.
 WALK = f"""WITH RECURSIVE {PARSED}, {POINTS},
 gated AS (
   SELECT channel, sensor_id, time, seq, row_number() OVER (PARTITION BY channel ORDER BY time, seq) AS rn,
-    CASE channel WHEN 'A1' THEN v ELSE value END AS x,
-    CASE channel WHEN 'A1' THEN (v < 0.1 OR v > 3.0) ELSE value < 30 END AS out,
-    CASE channel WHEN 'A1' THEN (v > 0.1 AND v < 2.9) ELSE value > 60 END AS back,
-    CASE channel WHEN 'A1' THEN 7200 ELSE 3600 END::BIGINT AS dwell
-  FROM points WHERE channel IN ('A1', 'A3')),
+    CASE channel WHEN 'in7' THEN v ELSE value END AS x,
+    CASE channel WHEN 'in7' THEN (v < 0.15 OR v > 2.8) ELSE value > 24 END AS out,
+    CASE channel WHEN 'in7' THEN (v > 0.25 AND v < 2.8) ELSE value < 12 END AS back,
+    CASE channel WHEN 'in7' THEN 5400 ELSE 3000 END::BIGINT AS dwell
+  FROM points WHERE channel IN ('in2', 'in7')),
 walk(channel, rn, since, state, before) AS (
   SELECT channel, CAST(0 AS BIGINT), NULL::TIMESTAMP, true, true
-  FROM (VALUES ('A1'), ('A3')) c(channel)
+  FROM (VALUES ('in2'), ('in7')) c(channel)
   UNION ALL
   SELECT g.channel, g.rn,
     CASE WHEN w.state AND g.out THEN coalesce(w.since, g.time) END,
@@ -110,17 +103,17 @@ verdict AS (
 changes AS (
   SELECT channel, sensor_id, time, seq, x, admitted,
     CASE WHEN was_recording THEN 'recording stopped' ELSE 'recording resumed' END AS message,
-    CASE WHEN channel = 'A3' THEN
-      CASE WHEN was_recording THEN 'below 30 mW' ELSE 'above 0.06 W' END
-    WHEN NOT was_recording THEN 'above 100 mV and below 2.9 V'
-    WHEN x < 0.1 THEN 'below 100 mV' ELSE 'above 3 V' END AS "limit"
+    CASE WHEN channel = 'in2' THEN
+      CASE WHEN was_recording THEN 'above 24 Hz' ELSE 'below 0.012 kHz' END
+    WHEN NOT was_recording THEN 'above 0.25 V and below 2.8 V'
+    WHEN x < 0.15 THEN 'below 150 mV' ELSE 'above 2.8 V' END AS "limit"
   FROM verdict WHERE was_recording <> admitted)"""
 
 # The same walk under the revisions that change the dwells from the eleventh on.
 WALK_REVISED = WALK.replace(
-    "CASE channel WHEN 'A1' THEN 7200 ELSE 3600 END::BIGINT AS dwell",
-    "CASE WHEN time < TIMESTAMP '2024-01-11' THEN CASE channel WHEN 'A1' THEN 7200 ELSE 3600 END"
-    " ELSE CASE channel WHEN 'A1' THEN 1800 ELSE 36000 END END::BIGINT AS dwell",
+    "CASE channel WHEN 'in7' THEN 5400 ELSE 3000 END::BIGINT AS dwell",
+    "CASE WHEN time < TIMESTAMP '2024-01-11' THEN CASE channel WHEN 'in7' THEN 5400 ELSE 3000 END"
+    " ELSE CASE channel WHEN 'in7' THEN 1200 ELSE 25200 END END::BIGINT AS dwell",
 )
 
 SUMMARY = f"""{WALK},
@@ -131,15 +124,15 @@ ticks AS (
 written AS (
   SELECT sensor_id, {_slot("time", 21600)} AS window_start FROM verdict WHERE admitted
   UNION ALL
-  SELECT sensor_id, {_slot("time", 21600)} FROM points WHERE channel NOT IN ('A1', 'A3')),
+  SELECT sensor_id, {_slot("time", 21600)} FROM points WHERE channel NOT IN ('in2', 'in7')),
 summary AS (
   SELECT t.window_start, d.sensor_id,
     (SELECT count(*) FROM written w
      WHERE w.window_start = t.window_start AND w.sensor_id = d.sensor_id) AS readings,
     CAST(0 AS BIGINT) AS skipped, 21600 AS window_s
   FROM ticks t, (SELECT DISTINCT sensor_id FROM points UNION
-                 VALUES ('stage-thermometer'), ('rail-monitor'), ('ion-gauge'), ('diode-power'),
-                        ('stage-x'), ('stage-y'), ('thermistor')) d(sensor_id))"""
+                 VALUES ('head-space'), ('vessel-weight'), ('stirrer'), ('stirrer-magnet'),
+                        ('electrode'), ('broth'), ('jacket'), ('supply')) d(sensor_id))"""
 
 
 def _values(channels: str) -> str:
@@ -161,33 +154,33 @@ ORACLES |= {
 FROM points WHERE measurement = 'temperature' AND time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-13'""",
     "raw_to_voltage": f"WITH r AS ({_text(fx.SCALE_SQL)}) SELECT seq, channel,"
     " round(raw_count * 3.3::DOUBLE / 4095::DOUBLE, 6) AS volts FROM r",
-    "calibrate_linear": _values("'A3'"),
-    "calibrate_affine": _values("'A1', 'A4', 'A5'"),
-    "calibrate_piecewise": _values("'A0'"),
-    "calibrate_spline": _values("'A6'"),
-    "calibrate_expression": f"{FROM_LINES} SELECT seq, unit, round(1.25 * v - 8.5, 6) AS log_value"
-    " FROM points WHERE channel = 'A2'",
+    "calibrate_linear": _values("'in2', 'in7'"),
+    "calibrate_affine": _values("'in3', 'in5'"),
+    "calibrate_piecewise": _values("'in0', 'in6'"),
+    "calibrate_spline": _values("'in1'"),
+    "calibrate_expression": f"{FROM_LINES} SELECT seq, unit, round(log10(value), 6) AS log_value"
+    " FROM points WHERE channel = 'in4'",
     "uncalibrated_channels": """
 WITH r AS (SELECT event_id AS seq, date_trunc('millisecond', ts) AS time,
-                  concat('A', CAST(user_id AS VARCHAR)) AS channel FROM events),
+                  concat('in', CAST(user_id AS VARCHAR)) AS channel FROM events),
 s AS (SELECT channel, min(time) AS first_time, count(*) AS readings FROM r
-      WHERE channel NOT IN ('A0', 'A1', 'A2', 'A3', 'A4', 'A5', 'A6') GROUP BY channel),
+      WHERE channel NOT IN ('in0', 'in1', 'in2', 'in3', 'in4', 'in5', 'in6', 'in7') GROUP BY channel),
 f AS (SELECT s.channel, s.first_time, min(r.seq) AS first_seq, s.readings
       FROM s JOIN r ON r.channel = s.channel AND r.time = s.first_time GROUP BY ALL)
 SELECT *, row_number() OVER (ORDER BY first_time, first_seq, channel) AS place FROM f""",
     "calibrated_points": f"""{FROM_LINES} SELECT measurement, time, sensor_id, unit,
  {_shown("value")} AS value,
- CASE WHEN channel <> 'A4' THEN round(v, 6) END AS input_volts, seq
+ CASE WHEN channel <> 'in3' THEN round(v, 6) END AS input_volts, seq
 FROM points""",
     "store_input_override": f"""{FROM_STORE} SELECT sensor_id,
- count(CASE WHEN channel <> 'A4' THEN v END) AS kept, count(*) AS points FROM points GROUP BY 1""",
+ count(CASE WHEN channel <> 'in3' THEN v END) AS kept, count(*) AS points FROM points GROUP BY 1""",
 }
 
 _AWKWARD = f"""WITH {READINGS}, v AS (
-  SELECT seq, time, concat('probe-', channel[2:2]) AS sensor_id,
-    (raw_count / 4095::DOUBLE) * 3.3::DOUBLE AS v, channel FROM good WHERE channel <= 'A4'),
-k AS (SELECT *, CASE channel WHEN 'A0' THEN v > 1.0 WHEN 'A1' THEN false
-  WHEN 'A2' THEN v >= 2 WHEN 'A3' THEN 900 * v < 308.2547155599167 ELSE true END AS fine FROM v)"""
+  SELECT seq, time, concat('probe-', channel[3:3]) AS sensor_id,
+    (raw_count / 4095::DOUBLE) * 3.3::DOUBLE AS v, channel FROM good WHERE channel <= 'in4'),
+k AS (SELECT *, CASE channel WHEN 'in0' THEN v > 1.0 WHEN 'in1' THEN false
+  WHEN 'in2' THEN v >= 2 WHEN 'in3' THEN 900 * v < 308.2547155599167 ELSE true END AS fine FROM v)"""
 
 ORACLES |= {
     "skipped_non_finite": f"""{_AWKWARD} SELECT sensor_id,
@@ -211,32 +204,53 @@ CALIBRATIONS = f"""c AS (SELECT *, CASE
    ELSE list_transform(range(1, 6), lambda i: {{'x': 3::DOUBLE - 0.5::DOUBLE * (6 - i), 'y': top + (6 - i) * (6 - i)}})
    END AS pts, coalesce(mode, 'linear') AS kind FROM ({_text(fx.CALIBRATIONS_SQL)}))"""
 
+# What each row's id is the hash of; a row without its factor or with an unknown mode has none.
+PART_IDS = """k AS (SELECT *, factor_unit = 'degC / V' AS warm,
+   CASE WHEN factor_unit IN ('W/V', 'degC / V') THEN 1 ELSE 0.001 END * factor AS base,
+   CASE WHEN value_unit IS NULL THEN '1.00000000000e+00 0,0,0,0,0' ELSE '1.00000000000e+00 0,0,0,0,1' END AS whole,
+   list_aggregate(list_transform(pts, lambda p: printf('%.11e:%.11e', p.x, p.y)), 'string_agg', ',') AS trace
+ FROM c),
+t AS (SELECT *, printf('%.11e', base) || CASE WHEN warm THEN ' -2,-1,3,1,1' ELSE ' 0,0,0,1,0' END AS slope FROM k),
+ids AS (SELECT *, substr(sha256(CASE kind
+     WHEN 'linear' THEN 'linear|' || slope
+     WHEN 'affine' THEN 'affine|' || slope || '|' || printf('%.11e', "offset")
+       || CASE WHEN offset_unit = 'K' THEN ' 0,0,0,0,1' ELSE ' 2,1,-3,0,0' END
+     WHEN 'expression' THEN 'expression|' || whole || '|' || formula
+     WHEN 'cubic' THEN NULL
+     ELSE kind || '|' || whole || '|' || trace END), 1, 8) AS calibration_id,
+   CASE WHEN kind NOT IN ('linear', 'affine') THEN CASE WHEN value_unit IS NOT NULL THEN 'K' END
+     WHEN warm THEN '°C' WHEN factor_unit = 'W/V' THEN 'W' ELSE 'mW' END AS unit FROM t)"""
+
+
+def _trace(*pairs: tuple[float, float]) -> str:
+    return ",".join(f"{v:.11e}:{y:.11e}" for v, y in pairs)
+
+
+# The same for the demo channels, by revision.
+DEMO_IDS = "ids AS (SELECT channel, revision, substr(sha256(text), 1, 8) AS calibration_id FROM (VALUES " + ", ".join(
+    f"('{channel}', {revision}, '{text}')"
+    for channel, revision, text in (
+        ("in0", 1, "piecewise_linear|1.00000000000e+03 -1,1,-2,0,0|" + _trace((0.3, 90), (1.1, 130), (2.4, 260))),
+        ("in1", 1, "spline|1.00000000000e+00 1,1,-2,0,0|"
+         + _trace((0.25, 2.21875), (0.75, 5.03125), (1.5, 13.0), (2.25, 29.96875), (3.0, 61.0))),
+        ("in2", 1, "linear|1.25000000000e+01 -2,-1,2,1,0"),
+        ("in2", 2, "linear|1.37500000000e+01 -2,-1,2,1,0"),
+        ("in3", 1, "affine|8.00000000000e-01 -2,0,1,0,0|-1.30000000000e+00 0,1,-2,-1,0"),
+        ("in3", 2, "affine|8.80000000000e-01 -2,0,1,0,0|-1.30000000000e+00 0,1,-2,-1,0"),
+        ("in4", 1, "expression|1.00000000000e+00 0,0,0,1,0|2.5e-9 * exp(3*v)"),
+        ("in5", 1, "affine|2.00000000000e+01 -2,-1,3,1,1|2.68000000000e+02 0,0,0,0,1"),
+        ("in6", 1, "piecewise_linear|1.00000000000e+00 0,0,0,0,1|" + _trace((0.6, 330), (2.8, 270))),
+        ("in7", 1, "linear|7.50000000000e+00 0,0,0,0,0"),
+    )
+) + ") x(channel, revision, text))"
+
 ORACLES |= {
-    "calibration_ids": f"""WITH {CALIBRATIONS},
-k AS (SELECT *, CASE WHEN factor_unit = 'W/V' THEN 1 ELSE 0.001 END * factor AS base,
-        '1.00000000000e+00 0,0,0,0,1' AS kelvin,
-        list_aggregate(list_transform(pts, lambda p: printf('%.11e:%.11e', p.x, p.y)), 'string_agg', ',') AS trace
-      FROM c WHERE factor IS NOT NULL AND kind <> 'cubic' AND factor_unit <> 'degC / V'),
-t AS (SELECT *, CASE kind
-   WHEN 'linear' THEN concat('linear|', printf('%.11e', base), ' 0,0,0,1,0')
-   WHEN 'affine' THEN concat('affine|', printf('%.11e', base), ' 0,0,0,1,0|', printf('%.11e', "offset"),
-     CASE WHEN offset_unit = 'K' THEN ' 0,0,0,0,1' ELSE ' 2,1,-3,0,0' END)
-   WHEN 'expression' THEN concat_ws('|', 'expression',
-     CASE WHEN value_unit IS NULL THEN '1.00000000000e+00 0,0,0,0,0' ELSE kelvin END, formula)
-   ELSE concat_ws('|', kind,
-     CASE WHEN value_unit IS NULL THEN '1.00000000000e+00 0,0,0,0,0' ELSE kelvin END, trace) END AS text FROM k)
-SELECT channel, CASE WHEN kind NOT IN ('linear', 'affine')
-    THEN CASE WHEN value_unit IS NOT NULL THEN 'K' END
-    WHEN factor_unit = 'W/V' THEN 'W' ELSE 'mW' END AS unit,
-  substr(sha256(text), 1, 8) AS calibration_id FROM t""",
-    "calibrations_report": f"""WITH {CALIBRATIONS}
-SELECT channel, revision, sensor_id,
-  substr(sha256(concat('linear|', printf('%.11e',
-    CASE WHEN factor_unit IN ('W/V', 'degC / V') THEN 1 ELSE 0.001 END * factor),
-    CASE WHEN factor_unit = 'degC / V' THEN ' -2,-1,3,1,1' ELSE ' 0,0,0,1,0' END)), 1, 8) AS calibration_id,
+    "calibration_ids": f"WITH {CALIBRATIONS}, {PART_IDS} SELECT channel, unit, calibration_id FROM ids",
+    "calibrations_report": f"""WITH {CALIBRATIONS}, {PART_IDS}
+SELECT channel, revision, sensor_id, calibration_id,
   CASE WHEN steps % 4 = 0 THEN '-'
-    ELSE concat('operator=''lab'', reference=''', brand, '''') END AS provenance
-FROM c WHERE mode IS NULL AND factor IS NOT NULL""",
+    ELSE concat('operator=''lab'', reference=', chr(39), brand, chr(39)) END AS provenance
+FROM ids""",
     # The points lie on value = top + (2 v)^2 or top + (6 - 2 v)^2, which a cubic
     # spline through five of them reproduces; straight pieces have constant slopes.
     "fit_segments": f"""WITH {CALIBRATIONS},
@@ -286,19 +300,19 @@ v(channel, revision, rule, detail, broken) AS (
    'dwell must be a duration; ''m'' is metres, minutes are ''min''', defect = 19 FROM k)
 SELECT channel, revision, rule, detail FROM v WHERE broken""",
     "recalibrate": f"""{FROM_STORE} SELECT sensor_id, seq, {_shown("value")} AS old_value,
- channel = 'A3' AS correctable,
- {_shown("CASE WHEN channel = 'A3' THEN v * 44::DOUBLE ELSE value END")} AS value, unit
+ channel = 'in2' AS correctable,
+ {_shown("CASE WHEN channel = 'in2' THEN v * 13.75::DOUBLE ELSE value END")} AS value, unit
 FROM points""",
     "calibration_in_force": f"""{FROM_STORE}, p AS (
- SELECT sensor_id, time, seq, CASE WHEN channel IN ('A3', 'A4') AND time >= TIMESTAMP '2024-01-16'
+ SELECT sensor_id, time, seq, CASE WHEN channel IN ('in2', 'in3') AND time >= TIMESTAMP '2024-01-16'
    THEN 2 ELSE 1 END AS revision_in_force FROM points)
 SELECT sensor_id, revision_in_force, revision_in_force = 1 AS current,
  count(*) AS points, min(time) AS first_time FROM p GROUP BY ALL""",
-    "calibration_usage": f"""{FROM_STORE}, p AS (
- SELECT sensor_id, time, CASE WHEN channel IN ('A3', 'A4') AND time >= TIMESTAMP '2024-01-16'
-   THEN 2 ELSE 1 END AS id FROM points)
-SELECT sensor_id, min(time) AS first_time, max(time) AS last_time, count(*) AS readings
-FROM p GROUP BY sensor_id, id""",
+    "calibration_usage": f"""{FROM_STORE}, {DEMO_IDS}, p AS (
+ SELECT channel, sensor_id, time, CASE WHEN channel IN ('in2', 'in3') AND time >= TIMESTAMP '2024-01-16'
+   THEN 2 ELSE 1 END AS revision FROM points)
+SELECT sensor_id, calibration_id, min(time) AS first_time, max(time) AS last_time, count(*) AS readings
+FROM p JOIN ids USING (channel, revision) GROUP BY sensor_id, calibration_id""",
     "convert_to_watts": f"""WITH r AS ({_text(fx.PHYSICAL_SQL)})
 SELECT seq, sensor_id, CASE WHEN unit = 'mW' THEN round(value * 0.001, 6) END AS converted,
  'W' AS converted_unit, unit <> 'mW' AS violation
@@ -309,28 +323,30 @@ FROM r WHERE value IS NOT NULL AND NOT isnan(value)""",
 
 ORACLES |= {
     "recording_gate": f"""{WALK} SELECT channel, seq, was_recording, admitted FROM verdict
-UNION ALL SELECT channel, seq, true, true FROM points WHERE channel NOT IN ('A1', 'A3')""",
+UNION ALL SELECT channel, seq, true, true FROM points WHERE channel NOT IN ('in2', 'in7')""",
     "gated_points": f"""{WALK}, stored AS (
-  SELECT p.* FROM points p WHERE channel NOT IN ('A1', 'A3')
+  SELECT p.* FROM points p WHERE channel NOT IN ('in2', 'in7')
   UNION ALL SELECT p.* FROM points p JOIN verdict w ON w.seq = p.seq WHERE w.admitted)
 SELECT measurement, time, sensor_id, unit, {_shown("value")} AS value,
- CASE WHEN channel <> 'A4' THEN round(v, 6) END AS input_volts, seq FROM stored""",
+ CASE WHEN channel <> 'in3' THEN round(v, 6) END AS input_volts, seq FROM stored""",
     "gate_transitions": f"""{WALK} SELECT channel, sensor_id, time, seq, message,
  round(x, 6) AS value, "limit" FROM changes""",
     "transition_lines": f"""{WALK} SELECT seq, concat('level=info logger=gate msg="', message,
  '" limit="', "limit", '" sensor_id=', sensor_id, ' value="', format('{{:.4g}}', x),
- CASE channel WHEN 'A1' THEN ' V"' ELSE ' mW"' END) AS line FROM changes""",
+ CASE channel WHEN 'in7' THEN ' V"' ELSE ' Hz"' END) AS line FROM changes""",
     "recording_gaps": f"""{WALK}, n AS (SELECT *, lead(time) OVER (PARTITION BY channel ORDER BY time, seq) AS nxt
  FROM changes) SELECT channel, sensor_id, time AS stopped_at, nxt AS resumed_at,
  round((epoch_us(nxt) - epoch_us(time)) / 1e6, 3) AS duration_s, "limit" FROM n WHERE NOT admitted""",
-    "recording_gate_revised": f"{WALK_REVISED} SELECT channel, seq, was_recording, admitted FROM verdict",
+    "recording_gate_revised": f"""{WALK_REVISED} SELECT channel, seq, was_recording, admitted FROM verdict
+UNION ALL SELECT channel, seq, true, true FROM good WHERE (channel IN ('in0', 'in1') AND time < TIMESTAMP '2024-01-11')
+  OR (channel = 'in8' AND time >= TIMESTAMP '2024-01-16') OR channel IN ('in3', 'in4', 'in5', 'in6')""",
     "reading_outcomes": f"""{WALK_REVISED}
 SELECT channel, outcome, count(*) AS readings FROM (
   SELECT channel, CASE WHEN admitted THEN 'written' ELSE 'gated out' END AS outcome FROM verdict
   UNION ALL SELECT channel, CASE
-    WHEN channel = 'A7' AND time < TIMESTAMP '2024-01-16' THEN 'uncalibrated'
-    WHEN channel IN ('A0', 'A6') AND time >= TIMESTAMP '2024-01-11' THEN 'skipped' ELSE 'written' END
-  FROM good WHERE channel NOT IN ('A1', 'A3')) GROUP BY ALL""",
+    WHEN channel = 'in8' AND time < TIMESTAMP '2024-01-16' THEN 'uncalibrated'
+    WHEN channel IN ('in0', 'in1') AND time >= TIMESTAMP '2024-01-11' THEN 'skipped' ELSE 'written' END
+  FROM good WHERE channel NOT IN ('in2', 'in7')) GROUP BY ALL""",
     "sensor_summary": f"{SUMMARY} SELECT * FROM summary",
     "silent_sensors": f"{SUMMARY} SELECT *, 'silent' AS state FROM summary WHERE readings = 0",
     "failure_report": f"""WITH lines AS ({_text(fx.BOARD_LINES_SQL)}), {_parsed('lines')}
@@ -345,11 +361,11 @@ _LONG = f"time, seq, sensor_id, {_shown('value')} AS value"
 ORACLES |= {
     "time_range": f"""{FROM_STORE} SELECT {_LONG} FROM demo
 WHERE time >= TIMESTAMP '2024-01-10' AND time <= TIMESTAMP '2024-01-12'""",
-    "sensors_in": f"{FROM_STORE} SELECT {_LONG} FROM demo WHERE sensor_id IN ('stage-x', 'diode-power')",
-    "sql_over_measurements": f"""{FROM_STORE} SELECT sensor_id, count(*) AS warm FROM demo
-WHERE measurement IN ('temperature', 'power') AND value > 100 GROUP BY 1""",
-    "latest_value": f"""{FROM_STORE} SELECT time, seq, round(1.25 * v - 8.5, 6) AS log_value
-FROM points WHERE channel = 'A2' ORDER BY time DESC, seq DESC LIMIT 1""",
+    "sensors_in": f"{FROM_STORE} SELECT {_LONG} FROM demo WHERE sensor_id IN ('broth', 'stirrer')",
+    "sql_over_measurements": f"""{FROM_STORE} SELECT sensor_id, count(*) AS high FROM demo
+WHERE measurement IN ('temperature', 'pressure') AND value > 200 GROUP BY 1""",
+    "latest_value": f"""{FROM_STORE} SELECT time, seq, round(log10(value), 6) AS log_value
+FROM points WHERE channel = 'in4' ORDER BY time DESC, seq DESC LIMIT 1""",
     "newest_rows": f"{FROM_STORE} SELECT {_LONG} FROM demo ORDER BY time DESC, seq DESC LIMIT 20",
     "latest_per_sensor": f"""{FROM_STORE} SELECT sensor_id, time, {_shown("value")} AS value, unit FROM demo
 QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY time DESC, seq DESC) = 1""",
@@ -360,7 +376,7 @@ QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY time DESC, seq DESC)
 SELECT sensor_id, string_agg(CAST(CAST(round(a) AS BIGINT) AS VARCHAR), ' ' ORDER BY step) AS trace,
  {_shown("arg_max(l, step)")} AS last_value FROM s GROUP BY 1""",
     "inventory": f"""{FROM_STORE}, w AS ({_text(fx.PHYSICAL_SQL)}),
-u AS (SELECT measurement, sensor_id, time, seq, value, unit, CASE WHEN channel <> 'A4' THEN v END AS input_volts,
+u AS (SELECT measurement, sensor_id, time, seq, value, unit, CASE WHEN channel <> 'in3' THEN v END AS input_volts,
         true AS calibrated FROM demo
       UNION ALL SELECT 'frequency', 'mock-wavemeter', time, seq, value + 276.5613e12, 'Hz', NULL, false
       FROM w WHERE value IS NOT NULL AND NOT isnan(value))
@@ -373,14 +389,14 @@ QUALIFY row_number() OVER (PARTITION BY measurement, sensor_id ORDER BY time DES
     "detuning": """SELECT o_orderkey AS seq,
  round((276561300000000::DOUBLE + o_totalprice) - 276561300000000::DOUBLE, 1) AS detuning FROM orders""",
     "calibration_layer": f"""{FROM_STORE} SELECT time, seq, round(v, 6) AS input_volts,
- round(value, 6) AS value, unit, 'kelvin' AS panel_unit FROM points WHERE channel = 'A0'""",
+ round(value, 6) AS value, unit, 'suffix:kPa' AS panel_unit FROM points WHERE channel = 'in0'""",
     "panel_units": f"""{FROM_STORE} SELECT unit, CASE unit WHEN 'K' THEN 'kelvin' WHEN 'V' THEN 'volt'
- WHEN 'mW' THEN 'mwatt' WHEN 'mbar' THEN 'pressurembar' ELSE concat('suffix:', unit) END AS panel_unit,
+ WHEN 'Hz' THEN 'hertz' ELSE concat('suffix:', unit) END AS panel_unit,
  count(*) AS points FROM points GROUP BY ALL""",
     "series_wide": f"""{FROM_STORE} SELECT time,
- round(max(value) FILTER (sensor_id = 'stage-x'), 6) AS beam_x,
- round(max(value) FILTER (sensor_id = 'stage-y'), 6) AS beam_y,
- round(max(value) FILTER (sensor_id = 'diode-power'), 6) AS laser FROM demo GROUP BY time""",
+ round(max(value) FILTER (sensor_id = 'broth'), 6) AS inside,
+ round(max(value) FILTER (sensor_id = 'jacket'), 6) AS outside,
+ round(max(value) FILTER (sensor_id = 'stirrer'), 6) AS speed FROM demo GROUP BY time""",
     "last_write_wins": f"""WITH good AS ({_text(fx.REWRITTEN_SQL)}), {POINTS}
 SELECT measurement, time, sensor_id, {_shown("value")} AS value, seq FROM points
 QUALIFY row_number() OVER (PARTITION BY measurement, sensor_id, time ORDER BY seq DESC) = 1""",
@@ -419,9 +435,9 @@ for name, step, source in (
  count(*) AS readings, {_shown("arg_max(value, (time, seq))")} AS last_value FROM src GROUP BY 1, 2"""
 
 _PAIRS = f"""{FROM_STORE}, pairs AS (SELECT {_slot("time", 7200)} AS step,
-   arg_max(value, (time, seq)) FILTER (sensor_id = 'stage-x') AS x,
-   arg_max(value, (time, seq)) FILTER (sensor_id = 'stage-y') AS y
- FROM demo WHERE sensor_id IN ('stage-x', 'stage-y') GROUP BY 1)"""
+   arg_max(value, (time, seq)) FILTER (sensor_id = 'broth') AS x,
+   arg_max(value, (time, seq)) FILTER (sensor_id = 'jacket') AS y
+ FROM demo WHERE sensor_id IN ('broth', 'jacket') GROUP BY 1)"""
 ORACLES |= {
     "xy_pairs": f"{_PAIRS} SELECT step, round(x, 6) AS x, round(y, 6) AS y FROM pairs"
     " WHERE x IS NOT NULL AND y IS NOT NULL",
@@ -491,7 +507,7 @@ SELECT logger, severity, count(*) AS lines FROM k WHERE r IS NULL OR r >= floor
 WHERE severity IS DISTINCT FROM 'debug' GROUP BY ALL""",
     "retention": f"{LOGS} SELECT seq, ts FROM sev WHERE ts >= TIMESTAMP '2024-01-21'",
     "gap_context": f"""{LOGS}, r AS ({_text(fx.READINGS_SQL)}),
-g AS (SELECT concat('s', channel[2:2]) AS sensor_id, time AS gap_end,
+g AS (SELECT concat('s', channel[3:3]) AS sensor_id, time AS gap_end,
         lag(time) OVER (PARTITION BY channel ORDER BY time, seq) AS gap_start FROM r)
 SELECT g.sensor_id, g.gap_start, l.seq, l.level FROM g JOIN sev l
  ON l.sensor_id = g.sensor_id AND l.ts >= g.gap_start AND l.ts <= g.gap_end
@@ -507,7 +523,7 @@ ORACLES |= {
     "recording_gate_stream": ORACLES["recording_gate"],
     "sensor_summary_stream": ORACLES["sensor_summary"],
     "uncalibrated_channels_stream": f"""WITH {PARSED} SELECT channel, min(time) AS first_time,
- arg_min(seq, (time, seq)) AS first_seq FROM good WHERE channel > 'A6' GROUP BY channel""",
+ arg_min(seq, (time, seq)) AS first_seq FROM good WHERE channel > 'in7' GROUP BY channel""",
     "log_volume_stream": ORACLES["log_volume"],
     "skipped_by_sensor_stream": ORACLES["skipped_by_sensor"],
 }

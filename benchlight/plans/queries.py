@@ -37,8 +37,8 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def _shown(df: DataFrame, **digits: int) -> DataFrame:
-    """Values rounded; those of the gauge span decades and are given as such."""
-    pressure = F.col("sensor_id") == "ion-gauge"
+    """Values rounded; those of the electrode span decades and are given as such."""
+    pressure = F.col("sensor_id") == "electrode"
     return df.withColumns(
         {c: F.round(F.when(pressure, F.log10(c)).otherwise(F.col(c)), n) for c, n in digits.items()}
     )
@@ -133,29 +133,29 @@ def _channel_values(spark, sf, *channels: str) -> DataFrame:
 
 @query
 def calibrate_linear(spark, sf):
-    return _channel_values(spark, sf, "A3")
+    return _channel_values(spark, sf, "in2", "in7")
 
 
 @query
 def calibrate_affine(spark, sf):
-    return _channel_values(spark, sf, "A1", "A4", "A5")
+    return _channel_values(spark, sf, "in3", "in5")
 
 
 @query
 def calibrate_piecewise(spark, sf):
-    return _channel_values(spark, sf, "A0")
+    return _channel_values(spark, sf, "in0", "in6")
 
 
 @query
 def calibrate_spline(spark, sf):
-    return _channel_values(spark, sf, "A6")
+    return _channel_values(spark, sf, "in1")
 
 
 @query
 def calibrate_expression(spark, sf):
     readings = wire.readings(wire.parse_wire(fx.wire_lines(spark, sf)))
     valued = _calibrate(
-        readings.filter(F.col("channel") == "A2"), fx.demo_calibrations(spark)
+        readings.filter(F.col("channel") == "in4"), fx.demo_calibrations(spark)
     )
     return valued.select("seq", "unit", F.round(F.log10("value"), 6).alias("log_value"))
 
@@ -165,7 +165,7 @@ def uncalibrated_channels(spark, sf):
     fx.load(spark, sf, "events")
     readings = spark.sql(
         "SELECT event_id AS seq, date_trunc('millisecond', ts) AS time,"
-        " concat('A', CAST(user_id AS STRING)) AS channel, value AS raw_count FROM events"
+        " concat('in', CAST(user_id AS STRING)) AS channel, value AS raw_count FROM events"
     )
     return cal.uncalibrated_channels(readings, fx.demo_calibrations(spark))
 
@@ -191,7 +191,7 @@ def _awkward_values(spark, sf) -> DataFrame:
     """A channel whose formula is undefined over part of its range."""
     rows = [
         {
-            "channel": f"A{i}", "revision": 1, "sensor_id": f"probe-{i}", "mode": "expression",
+            "channel": f"in{i}", "revision": 1, "sensor_id": f"probe-{i}", "mode": "expression",
             "measurement": "level", "formula": text, "value_unit": "K",
         }
         for i, text in enumerate(["log(v - 1.0)", "1/(v - v)", "sqrt(v - 2)", "10**(900*v)", "v"])
@@ -216,18 +216,14 @@ def first_non_finite(spark, sf):
 
 @query
 def calibration_ids(spark, sf):
+    """Every row's id, NULL where the row is broken."""
     resolved = cal.resolve(fx.part_calibrations(spark, sf))
-    usable = "coalesce(factor, 0) > 0 AND mode <> 'cubic'"
-    return resolved.filter(f"{usable} AND factor_unit <> 'degC / V'").select(
-        "channel", "unit", F.expr(cal.calibration_id()).alias("calibration_id")
-    )
+    return resolved.select("channel", "unit", F.expr(cal.calibration_id()).alias("calibration_id"))
 
 
 @query
 def calibrations_report(spark, sf):
-    return cal.calibrations_report(
-        fx.part_calibrations(spark, sf).filter("mode IS NULL AND factor IS NOT NULL")
-    )
+    return cal.calibrations_report(fx.part_calibrations(spark, sf))
 
 
 @query
@@ -258,11 +254,11 @@ def _revised_points(spark, sf) -> DataFrame:
 
 @query
 def recalibrate(spark, sf):
-    """Stored points under the corrected photodiode and beam calibrations."""
+    """Stored points under the corrected calibrations of the stirrer."""
     rows = [
         row | {"factor": row["factor"] * 1.1}
         for row in fx.demo_rows()
-        if row["channel"] in ("A3", "A4")
+        if row["channel"] in ("in2", "in3")
     ]
     points = cal.recalibrate(fx.event_points(spark, sf), fx.calibrations(spark, rows))
     return _shown(
@@ -286,8 +282,7 @@ def calibration_in_force(spark, sf):
 
 @query
 def calibration_usage(spark, sf):
-    usage = cal.calibration_usage(_revised_points(spark, sf))
-    return usage.drop("calibration_id")
+    return cal.calibration_usage(_revised_points(spark, sf))
 
 
 @query
@@ -359,18 +354,17 @@ def _rowdy_calibrations(spark) -> DataFrame:
     """The demo channels with broken, rival and late revisions, and dwells that change."""
     rows = fx.demo_rows()
     late = {"effective_from": datetime(2024, 1, 11)}
-    power = next(r for r in rows if r["channel"] == "A3")
-    rail = next(r for r in rows if r["channel"] == "A1")
+    of = {r["channel"]: r for r in rows}
     extra = [
         # Two rows for one time: the higher revision stands. One number twice.
-        power | {"revision": 0, "factor": 1.0},
-        power | late | {"gate": fx.GATE_POWER | {"dwell": 10.0, "dwell_unit": "h"}},
-        rail | late | {"revision": 2, "gate": fx.GATE_RAIL | {"dwell": 30.0, "dwell_unit": "min"}},
+        of["in2"] | {"revision": 0, "factor": 1.0},
+        of["in2"] | late | {"gate": fx.GATE_RATE | {"dwell": 7.0, "dwell_unit": "h"}},
+        of["in7"] | late | {"revision": 2, "gate": fx.GATE_SUPPLY | {"dwell": 20.0, "dwell_unit": "min"}},
         # A spline through one point, and a mode nobody knows.
-        next(r for r in rows if r["channel"] == "A6") | late | {"points": fx.points((1.0, 300.0))},
-        next(r for r in rows if r["channel"] == "A0") | late | {"mode": "cubic"},
+        of["in1"] | late | {"points": fx.points((1.0, 300.0))},
+        of["in0"] | late | {"mode": "cubic"},
         # In force from mid-month on only.
-        {"channel": "A7", "revision": 1, "sensor_id": "late", "measurement": "level", "factor": 1.0,
+        {"channel": "in8", "revision": 1, "sensor_id": "late", "measurement": "level", "factor": 1.0,
          "factor_unit": "K/V", "effective_from": datetime(2024, 1, 16)},
     ]
     return fx.calibrations(spark, rows + extra)
@@ -388,7 +382,7 @@ def recording_gate_revised(spark, sf):
     calibrations = _rowdy_calibrations(spark)
     conv = cal.conversions(calibrations)
     gated = chain.gated_readings(fx.wire_lines(spark, sf), conv, cal.formula_texts(calibrations))
-    return gated.filter("channel IN ('A1', 'A3')").select("channel", "seq", "was_recording", "admitted")
+    return gated.select("channel", "seq", "was_recording", "admitted")
 
 
 @query
@@ -440,7 +434,7 @@ def time_range(spark, sf):
 
 @query
 def sensors_in(spark, sf):
-    chosen = measure.sensors_in(_demo_points(spark, sf), ["stage-x", "diode-power"])
+    chosen = measure.sensors_in(_demo_points(spark, sf), ["broth", "stirrer"])
     return _rounded(chosen.select("time", "seq", "sensor_id", "value"), value=6)
 
 
@@ -448,19 +442,19 @@ def sensors_in(spark, sf):
 def sql_over_measurements(spark, sf):
     answer = measure.query_measurements(
         _demo_points(spark, sf),
-        ["temperature", "power"],
-        "SELECT t.sensor_id, count(*) AS warm FROM temperature t"
+        ["temperature", "pressure"],
+        "SELECT t.sensor_id, count(*) AS high FROM {temperature} t"
         " WHERE t.value > :limit GROUP BY t.sensor_id"
-        " UNION ALL SELECT p.sensor_id, count(*) FROM power p"
+        " UNION ALL SELECT p.sensor_id, count(*) FROM {pressure} p"
         " WHERE p.value > :limit GROUP BY p.sensor_id",
-        limit=100.0,
+        limit=200.0,
     )
     return answer
 
 
 @query
 def latest_value(spark, sf):
-    newest = measure.latest_value(fx.event_points(spark, sf), "ion-gauge")
+    newest = measure.latest_value(fx.event_points(spark, sf), "electrode")
     return newest.select("time", "seq", F.round(F.log10("value"), 6).alias("log_value"))
 
 
@@ -541,13 +535,13 @@ def list_measurements(spark, sf):
 @query
 def xy_pairs(spark, sf):
     return _rounded(
-        measure.xy_pairs(_demo_points(spark, sf), "stage-x", "stage-y", "2 hours"), x=6, y=6
+        measure.xy_pairs(_demo_points(spark, sf), "broth", "jacket", "2 hours"), x=6, y=6
     )
 
 
 @query
 def latest_pair(spark, sf):
-    pairs = measure.xy_pairs(_demo_points(spark, sf), "stage-x", "stage-y", "2 hours")
+    pairs = measure.xy_pairs(_demo_points(spark, sf), "broth", "jacket", "2 hours")
     return _rounded(measure.latest_pair(pairs), now_x=6, now_y=6)
 
 
@@ -562,7 +556,7 @@ def detuning(spark, sf):
 
 @query
 def calibration_layer(spark, sf):
-    layer = measure.calibration_layer(fx.event_points(spark, sf), "stage-thermometer")
+    layer = measure.calibration_layer(fx.event_points(spark, sf), "head-space")
     return _rounded(layer, value=6, input_volts=6)
 
 
@@ -576,14 +570,14 @@ def panel_units(spark, sf):
 
 @query
 def series_wide(spark, sf):
-    wide = measure.series_wide(_demo_points(spark, sf), ["stage-x", "stage-y", "diode-power"])
+    wide = measure.series_wide(_demo_points(spark, sf), ["broth", "jacket", "stirrer"])
     named = wide.select(
         "time",
-        F.col("stage-x").alias("beam_x"),
-        F.col("stage-y").alias("beam_y"),
-        F.col("diode-power").alias("laser"),
+        F.col("broth").alias("inside"),
+        F.col("jacket").alias("outside"),
+        F.col("stirrer").alias("speed"),
     )
-    return _rounded(named, beam_x=6, beam_y=6, laser=6)
+    return _rounded(named, inside=6, outside=6, speed=6)
 
 
 @query
@@ -740,7 +734,7 @@ def retention(spark, sf):
 def gap_context(spark, sf):
     """Warnings and errors about a sensor while its series was silent."""
     named = fx.event_readings(spark, sf).withColumn(
-        "sensor_id", F.concat(F.lit("s"), F.substring("channel", 2, 1))
+        "sensor_id", F.concat(F.lit("s"), F.substring("channel", 3, 1))
     )
     gaps = measure.data_gaps(named, 7200.0)
     about = fx.demo_logs(spark, sf).filter(loglines.warnings() | loglines.errors())
@@ -823,7 +817,7 @@ def sensor_summary_stream(spark, sf):
 @query
 def uncalibrated_channels_stream(spark, sf):
     folder = shared_folder(spark)
-    readings = wire.readings(wire.parse_wire(_stream_lines(spark, sf)))
+    readings = wire.readings(wire.parse_wire(_stream_lines(spark, sf, ordered=True)))
     strangers = cal.uncalibrated_readings(readings, fx.demo_calibrations(spark))
     stream.stream_warn_once(strangers, f"{folder}/warned", f"{folder}/log").awaitTermination()
     return stream.latest_version(spark, f"{folder}/warned")

@@ -92,8 +92,8 @@ def test_many_channels_keep_their_own_curve(spark):
     readings = spark.range(3000).select(
         F.col("id").alias("seq"),
         F.timestamp_seconds("id").alias("time"),
-        F.when(F.col("id") % 3 == 0, "A0")
-        .otherwise(F.concat(F.lit("A"), (F.col("id") % 7).cast("string")))
+        F.when(F.col("id") % 3 == 0, "in0")
+        .otherwise(F.concat(F.lit("in"), (F.col("id") % 7).cast("string")))
         .alias("channel"),
         (F.col("id") % 4096).cast("double").alias("raw_count"),
     )
@@ -170,8 +170,9 @@ def test_ids(spark):
     assert _id(spark, mode="spline", **points) != _id(spark, mode="piecewise_linear", **points)
     turned = {"points": fx.points((1, 1), (0, 0)), "value_unit": "K"}
     assert _id(spark, mode="spline", **points) == _id(spark, mode="spline", **turned)
-    demo = {r["channel"]: r["calibration_id"] for r in cal.conversions(fx.demo_calibrations(spark)).collect()}
-    assert demo["A4"] == demo["A5"]
+    axes = [{"factor_unit": "µm/V", "offset_unit": "um"}, {"factor_unit": "micrometer / volt", "offset_unit": "micrometer"}]
+    one, two = (_id(spark, mode="affine", factor=64.0, offset=-9.0, **spelled) for spelled in axes)
+    assert one == two
 
 
 def test_store_input(spark):
@@ -215,7 +216,7 @@ def test_points_without_input_are_not_correctable(spark):
 
 def test_uncalibrated_channels_are_named_in_order_and_counted(spark):
     df = spark.createDataFrame(
-        [(i, at(i // 2), f"X{(7 * (i // 2)) % 70}", 0.0) for i in range(140)] + [(999, at(0), "A0", 0.0)],
+        [(i, at(i // 2), f"X{(7 * (i // 2)) % 70}", 0.0) for i in range(140)] + [(999, at(0), "in0", 0.0)],
         "seq bigint, time timestamp, channel string, raw_count double",
     )
     got = cal.uncalibrated_channels(df, fx.demo_calibrations(spark), named=5).collect()
