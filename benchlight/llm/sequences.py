@@ -120,11 +120,15 @@ class Encoder:
         """Whether the tokenizer's splitting keeps a word together, and apart from a mark after it."""
         if stem.isascii():
             return stem.isalpha()
-        return all(map(self._is_letter, set(self.tokenizer.normalizer.normalize_str(stem.decode()))))
+        text = stem.decode()
+        # Letters compose into letters, so one is asked for at a time.
+        return text.isalpha() and all(map(self._is_letter, set(text)))
 
     def _is_letter(self, c: str) -> bool:
         if c not in self.letters:
-            self.letters[c] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}")) == 1
+            lowered = self.tokenizer.normalizer.normalize_str(c)
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters[c] = all(len(pieces(f"a{x}")) == 1 for x in lowered)
         return self.letters[c]
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
