@@ -22,7 +22,7 @@ from benchlight.functions import units
 from benchlight.functions.formulas import apply_shapes, numbers_of, shape_of
 from benchlight.functions.staged import staged
 from benchlight.functions.text import quantity_text
-from benchlight.operators.ordered import key_seq, key_time, last_key
+from benchlight.operators.ordered import key_seq, key_time, last_key, ranked
 from benchlight.schema import (
     ADC_BITS,
     ADC_VREF,
@@ -430,7 +430,8 @@ def uncalibrated_channels(
     """Channels with readings no calibration is in force for, once each.
 
     ``place`` counts them in the order first seen; ``named`` limits the list. The first
-    reading's key is combined by hash, so only one row per channel is ordered.
+    reading's key is combined by hash, so only one row per channel is ordered, by ranges:
+    names come off the wire, so there may be any number of them.
     """
     strangers = (
         uncalibrated_readings(readings, calibrations)
@@ -442,10 +443,8 @@ def uncalibrated_channels(
         key_time("_first").alias("first_time"),
         key_seq("_first").alias("first_seq"),
         "readings",
-    ).withColumn(
-        "place",
-        F.row_number().over(Window.orderBy("first_time", "first_seq", "channel")).cast("bigint"),
     )
+    listed = ranked(listed, ["first_time", "first_seq", "channel"])
     return listed if named is None else listed.filter(F.col("place") <= named)
 
 

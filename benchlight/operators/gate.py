@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from benchlight.functions.text import quantity_text
 from benchlight.operators.ordered import (
     SPLIT_ROWS,
+    Chunks,
     before,
     in_chunk,
+    last_before,
     order_key,
-    over_chunks,
     so_far,
     with_chunks,
     with_previous,
@@ -38,8 +39,6 @@ from benchlight.operators.ordered import (
 from benchlight.session import settle
 
 
-
-
 def subject() -> Column:
     """What the gate looks at: the voltage at the input, or the value."""
     return F.when(F.col("gate.raw_voltage"), F.col("input_volts")).otherwise(F.col("value"))
@@ -118,6 +117,14 @@ def _gated(
     df: DataFrame, state: DataFrame | None, keys: list[str], split_rows: int
 ) -> tuple[DataFrame, DataFrame]:
     rows, chunk = with_chunks(df, keys, split_rows)
+    # Shuffled and windowed once; the chunk table and the verdicts both read the result.
+    rows = settle(run_events(rows, keys, chunk))
+    chunks = settle(carried(chunk_ends(rows, keys, chunk), state, keys, chunk))
+    return verdicts(rows, chunks, keys, chunk), _state_left(chunks, state, keys, chunk)
+
+
+def run_events(rows: DataFrame, keys: list[str], chunk: Chunks) -> DataFrame:
+    """What each reading does, and what state it leaves, as far as its own chunk tells."""
     window = in_chunk(keys, chunk)
     out, t = F.col("gate_out"), F.col("_t")
     rows = rows.withColumn("_t", F.unix_micros("time")).withColumn(
@@ -133,7 +140,7 @@ def _gated(
     rows = rows.withColumns({"_head": out & F.col("_start").isNull(), "_event": event})
     last_event = F.last("_event", ignorenulls=True)
     due = F.when(F.col("_head"), t - F.col("gate_dwell_us"))
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "_state": last_event.over(so_far(window)),
             "_state_before": last_event.over(before(window)),
@@ -143,31 +150,27 @@ def _gated(
             "_due_before": F.max(due).over(before(window)),
         }
     )
-    # Shuffled and windowed once; the chunk table and the verdicts both read the result.
-    rows = settle(rows)
-    chunks = _chunk_table(rows, state, keys, chunk)
+
+
+def verdicts(rows: DataFrame, chunks: DataFrame, keys: list[str], chunk: Chunks) -> DataFrame:
+    """Each reading's state before and after, from its chunk and what that was carried."""
 
     def verdict(known: str, due: str) -> Column:
         timed_out = F.col(due) >= F.col("_clock")
         return F.coalesce(F.col(known), F.when(timed_out, False), F.col("_came"))
 
-    carried = chunks.select(*keys, *chunk, "_clock", "_came")
-    gated = rows.join(carried, [*keys, *chunk]).withColumns(
+    came = chunks.select(*keys, *chunk, "_clock", "_came")
+    return rows.join(came, [*keys, *chunk]).withColumns(
         {
             "was_recording": verdict("_state_before", "_due_before"),
             "admitted": verdict("_state", "_due"),
         }
     )
-    return gated, _state_left(chunks, state, keys, chunk)
 
 
-def _chunk_table(
-    rows: DataFrame, state: DataFrame | None, keys: list[str], chunk: list[str]
-) -> DataFrame:
-    """Per chunk: when the clock of its head run started, and the state it begins in."""
-    window = over_chunks(keys, chunk)
-    earlier = before(window)
-    chunks = rows.groupBy(*keys, *chunk).agg(
+def chunk_ends(rows: DataFrame, keys: list[str], chunk: Chunks) -> DataFrame:
+    """What a chunk does to whatever state comes into it: one row per chunk."""
+    return rows.groupBy(*keys, *chunk).agg(
         F.max_by("gate_out", order_key()).alias("_ends_out"),
         F.bool_and("gate_out").alias("_all_out"),
         F.max_by("_start", order_key()).alias("_end_start"),
@@ -175,32 +178,41 @@ def _chunk_table(
         F.max("_due").alias("_head_due"),
         F.max_by("_state", order_key()).alias("_end_state"),
     )
+
+
+CHUNK_ENDS = (
+    "_ends_out boolean, _all_out boolean, _end_start bigint, _first_t bigint,"
+    " _head_due bigint, _end_state boolean"
+)
+
+
+def carried(chunks: DataFrame, state: DataFrame | None, keys: list[str], chunk: Chunks) -> DataFrame:
+    """Per chunk: when the clock of its head run started, and the state it begins in."""
     if state is None:
         chunks = chunks.withColumns(
             {"recording": F.lit(True), "clock": F.lit(None).cast("bigint")}
         )
     else:
         chunks = chunks.join(state, keys, "left")
-    open_before = F.coalesce(F.lag("_ends_out").over(window), F.col("clock").isNotNull())
-    chunks = chunks.withColumn("_open", open_before)
+    # Every chunk ends in or out, so the last value before is that of the chunk before.
+    chunks = last_before(chunks, keys, chunk, ["_ends_out"])
+    chunks = chunks.withColumn("_open", F.coalesce("_before__ends_out", F.col("clock").isNotNull()))
     run_start = F.when(F.col("_all_out") & ~F.col("_open"), F.col("_first_t")).when(
         ~F.col("_all_out") & F.col("_ends_out"), F.col("_end_start")
     )
-    chunks = chunks.withColumn("_run_start", run_start)
-    open_since = F.coalesce(F.last("_run_start", ignorenulls=True).over(earlier), F.col("clock"))
+    chunks = last_before(chunks.withColumn("_run_start", run_start), keys, chunk, ["_run_start"])
+    open_since = F.coalesce("_before__run_start", "clock")
     chunks = chunks.withColumn(
         "_clock", F.coalesce(F.when(F.col("_open"), open_since), F.col("_first_t"))
     )
     stopped_at_head = F.when(F.col("_head_due") >= F.col("_clock"), False)
     chunks = chunks.withColumn("_left", F.coalesce("_end_state", stopped_at_head))
-    came = F.coalesce(
-        F.last("_left", ignorenulls=True).over(earlier), F.col("recording"), F.lit(True)
-    )
-    return chunks.withColumn("_came", came)
+    chunks = last_before(chunks, keys, chunk, ["_left"])
+    return chunks.withColumn("_came", F.coalesce("_before__left", "recording", F.lit(True)))
 
 
 def _state_left(
-    chunks: DataFrame, state: DataFrame | None, keys: list[str], chunk: list[str]
+    chunks: DataFrame, state: DataFrame | None, keys: list[str], chunk: Chunks
 ) -> DataFrame:
     """The state after the last chunk of each key; keys without rows keep theirs."""
     clock = F.when(

@@ -11,12 +11,11 @@ from benchlight.functions.text import format_reading, panel_unit
 from benchlight.operators.health import window_start
 from benchlight.operators.ordered import (
     SPLIT_ROWS,
-    before,
     chunked_previous,
     in_chunk,
+    last_before,
     last_key,
     order_key,
-    over_chunks,
     so_far,
     with_chunks,
     with_previous,
@@ -280,11 +279,9 @@ def burst_average(
     switched = F.col("_before").isNull() | (F.col("_before.channel") != F.col("channel"))
     rows = rows.withColumn("_switch", F.when(switched, order_key()))
     latest = F.last("_switch", ignorenulls=True)
-    carried = (
-        rows.groupBy(*keys, *chunk)
-        .agg(F.max("_switch").alias("_last"))
-        .withColumn("_open", F.last("_last", ignorenulls=True).over(before(over_chunks(keys, chunk))))
-        .drop("_last")
+    switches = rows.groupBy(*keys, *chunk).agg(F.max("_switch").alias("_last"))
+    carried = last_before(switches, keys, chunk, ["_last"]).select(
+        *keys, *chunk, F.col("_before__last").alias("_open")
     )
     began = F.coalesce(latest.over(so_far(in_chunk(keys, chunk))), F.col("_open"))
     elapsed = F.unix_micros("time") - F.unix_micros("_began.time")

@@ -154,6 +154,9 @@ FROM part
 """
 
 
+STREAM_FILES = 4
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register the named tables as temporary views, times read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -169,10 +172,10 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def derive_stream(
     spark: SparkSession, sf_dir: str, sql: str, time: str = "time", ordered: bool = False
 ) -> DataFrame:
-    """The same derivation as a stream of files, one file a batch.
+    """The same derivation as a stream of files, a third of the rows a batch.
 
-    The files are thirds of the rows by ``seq``, none in order of time, or with
-    ``ordered`` thirds of the time one after the other.
+    The thirds are by ``seq``, none in order of time, or with ``ordered`` thirds of the time
+    one after the other. Each is ``STREAM_FILES`` files, written by as many tasks.
     """
     rows = settle(derive(spark, sf_dir, sql))
     folder = shared_folder(spark)
@@ -180,8 +183,12 @@ def derive_stream(
     first, last = rows.agg(F.min(at), F.max(at)).first()
     third = F.floor((at - F.lit(first)) * 3 / F.lit(last - first + 1)) if ordered else F.col("seq") % 3
     for i in range(3):
-        rows.filter(third == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        # By key, so that a task has no rows of its own to deal out again if it is lost.
+        part = rows.filter(third == i).repartition(STREAM_FILES, "seq")
+        part.write.option("maxRecordsPerFile", 0).mode("append").parquet(f"{folder}/part={i}")
+    files = [len(spark.read.parquet(f"{folder}/part={i}").inputFiles()) for i in range(3)]
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(files))
+    return reader.parquet(f"{folder}/part=*")
 
 
 def _in_utc(df: DataFrame) -> DataFrame:

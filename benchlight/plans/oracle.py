@@ -522,6 +522,13 @@ ORACLES |= {
     "calibrated_points_stream": ORACLES["calibrated_points"],
     "recording_gate_stream": ORACLES["recording_gate"],
     "sensor_summary_stream": ORACLES["sensor_summary"],
+    "recording_gate_late_stream": ORACLES["recording_gate"],
+    # The walk up to the 20th, windows up to the last tick.
+    "heartbeat_stream": SUMMARY.replace(
+        "FROM points WHERE channel IN ('in2', 'in7'))",
+        "FROM points WHERE channel IN ('in2', 'in7') AND time < TIMESTAMP '2024-01-20')",
+    ).replace("FROM points WHERE channel NOT IN", "FROM points WHERE time < TIMESTAMP '2024-01-20' AND channel NOT IN")
+    + " SELECT * FROM summary",
     "uncalibrated_channels_stream": f"""WITH {PARSED} SELECT channel, min(time) AS first_time,
  arg_min(seq, (time, seq)) AS first_seq FROM good WHERE channel > 'in7' GROUP BY channel""",
     "log_volume_stream": ORACLES["log_volume"],

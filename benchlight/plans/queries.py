@@ -814,6 +814,35 @@ def sensor_summary_stream(spark, sf):
     return stream.current_summary(spark, f"{folder}/counts", conv, SUMMARY)
 
 
+@query
+def recording_gate_late_stream(spark, sf):
+    """Batches in no order of time: verdicts are repaired as earlier readings come in."""
+    folder = shared_folder(spark)
+    valued = _stream_valued(spark, sf, "gate")
+    stream.stream_gate_late(valued, f"{folder}/gated", f"{folder}/log").awaitTermination()
+    gated = stream.current_gate(spark, f"{folder}/gated")
+    return gated.select("channel", "seq", "was_recording", "admitted")
+
+
+@query
+def heartbeat_stream(spark, sf):
+    """The summary of an outage: lines stop on the 20th while a clock ticks on."""
+    folder = shared_folder(spark)
+    calibrations = fx.demo_calibrations(spark)
+    conv = cal.conversions(calibrations)
+    stream.stream_summary(
+        _stream_lines(spark, sf, ordered=True).filter("time < '2024-01-20'"),
+        conv,
+        cal.formula_texts(calibrations),
+        f"{folder}/counts",
+        f"{folder}/log",
+        SUMMARY,
+    ).awaitTermination()
+    clock = _stream_lines(spark, sf).select("time")
+    stream.stream_heartbeat(clock, conv, f"{folder}/beats", f"{folder}/clock", SUMMARY).awaitTermination()
+    return stream.current_summary(spark, f"{folder}/counts", conv, SUMMARY, f"{folder}/beats")
+
+
 @query
 def uncalibrated_channels_stream(spark, sf):
     folder = shared_folder(spark)

@@ -60,6 +60,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold_splits(spark: SparkSession) -> None:
+    """Has files cut alike by every later read of the session.
+
+    Spark cuts files into splits by the cores it finds, which changes as executors come and
+    go; the number it finds first is kept, where the session doesn't set one.
+    """
+    held = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(held, None) is None:
+        spark.conf.set(held, str(spark.sparkContext.defaultParallelism))
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A handful of configuration rows as a constant of the plan; keys left out are NULL."""
     text = json.dumps(rows, default=str)

@@ -5,11 +5,12 @@ All of it is column expressions, so it serves a static or a streaming frame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from benchlight.functions.staged import staged
 from benchlight.schema import REASONS
+from benchlight.session import hold_splits
 
 # --- fixed values -----------------------------------------------------------
 _NAME = r"[A-Za-z0-9_.-]{1,32}"
@@ -28,45 +29,80 @@ _PLAIN = rf"^{_NAME},([0-9]++(?:[.][0-9]++)?+)\r?\z"
 _READING = rf"^{_SPACE}{_NAME}{_SPACE},{_SPACE}({NUMBER}){_SPACE}\z"
 
 
+# Of a line's ``seq``: bits of its place in its file, and of a hash of the file's path.
+PLACE_BITS = 34
+FILE_BITS = 29
+
+
 def read_wire(
     spark: SparkSession, path: str, streaming: bool = False, stamped: bool = False
 ) -> DataFrame:
     """``time``, ``seq`` and ``line`` of text files, as a table or as a stream.
 
     A file is what arrived at once: its lines bear the time it was written, a
-    millisecond further from line to line, as one channel can't be read faster. ``seq``
-    is made of the file's name and the line's place in it. A second read gives the same.
-    With ``stamped`` every line begins with its own time, ISO 8601, and a tab; such files
-    may be as large as they like, while others are taken whole by a task.
+    millisecond further from line to line, as one channel can't be read faster. With
+    ``stamped`` every line begins with its own time, ISO 8601, and a tab. ``seq`` is a hash
+    of the file's path and the line's place in the file, so it follows the order of lines;
+    two files of one hash matter only if their lines bear the same times too. A second read
+    gives the same.
+
+    As a table, files may be of any size: tasks read splits of them, lines are counted by
+    split, and sums of these counts tell each split's lines their places. In a stream a
+    file is one arrival and taken whole by a task.
 
     Only LF ends a line: a lone CR stays inside its (malformed) line. Bytes that are no
     UTF-8 stay as they are, for ``parse_wire`` to refuse.
     """
-    reader = spark.readStream if streaming else spark.read
+    lines = _arrivals(spark, path) if streaming else _placed(spark, path)
+    file = F.xxhash64("file").bitwiseAND(F.lit((1 << FILE_BITS) - 1))
+    seq = (F.shiftleft(file, PLACE_BITS) + F.col("place")).alias("seq")
     if stamped:
-        rest = F.expr("substring(value, locate('\t', value) + 1)")
-        return reader.option("lineSep", "\n").text(path).select(
-            F.date_trunc("millisecond", F.substring_index("value", "\t", 1).try_cast("timestamp")).alias("time"),
-            F.xxhash64("value").bitwiseAND(F.lit(2**62 - 1)).alias("seq"),
-            rest.alias("line"),
-        )
-    # One character per byte while lines are cut apart, whatever the bytes are.
-    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    files = (
-        reader.text(path, wholetext=True)
+        time = F.date_trunc("millisecond", F.substring_index("value", "\t", 1).try_cast("timestamp"))
+        return lines.select(time.alias("time"), seq, F.expr("substring(value, locate('\t', value) + 1)").alias("line"))
+    millisecond = F.floor(F.unix_micros("written") / 1000) + F.col("place")
+    return lines.select(F.timestamp_millis(millisecond).alias("time"), seq, F.col("value").alias("line"))
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``written``, ``place`` and ``value`` of the lines of files, read by splits.
+
+    Numbers ascend along a split, wherever it is read, so a line's number less that of its
+    split's first line is its place there.
+    """
+    hold_splits(spark)
+    lines = (
+        spark.read.option("lineSep", "\n")
+        .text(path)
         .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
             F.col("_metadata.file_modification_time").alias("written"),
-            F.crc32(F.col("_metadata.file_path").cast("binary")).alias("file"),
-            F.split(text, "\n", -1).alias("lines"),
         )
+        .withColumn("at", F.monotonically_increasing_id())
     )
-    lines = files.select("written", "file", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "text"))
-    millisecond = F.floor(F.unix_micros("written") / 1000) + F.col("at")
-    return lines.filter("at < n - 1 OR text <> ''").select(
-        F.timestamp_millis(millisecond).alias("time"),
-        (F.shiftleft(F.col("file").cast("bigint"), 30) + F.col("at")).alias("seq"),
-        F.encode("text", "ISO-8859-1").cast("string").alias("line"),
+    # One row per split; a file's are few.
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
+    shifts = splits.select("file", "block", shift.alias("shift"))
+    return lines.join(shifts, ["file", "block"]).withColumn("place", F.col("at") + F.col("shift"))
+
+
+def _arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a stream of files, each taken whole."""
+    # One character per byte while lines are cut apart, whatever the bytes are.
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    files = spark.readStream.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("written"),
+        F.split(text, "\n", -1).alias("lines"),
     )
+    lines = files.select("file", "written", F.size("lines").alias("n"), F.posexplode("lines").alias("place", "text"))
+    return lines.filter("place < n - 1 OR text <> ''").select(
+        "file", "written", F.col("place").cast("bigint").alias("place"),
+        F.encode("text", "ISO-8859-1").cast("string").alias("value"),
+    )
 
 
 def parse_wire(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -5,9 +5,16 @@ so they take a stream as they are. The gate and the warn-once lists keep their s
 small tables, one version per batch, read by the next batch; a few versions are kept. A
 repeated batch reads the same version and writes the same result again.
 
+A gate that must give the answer of the whole table however late readings come keeps its
+events and one row per chunk of history instead (``stream_gate_late``): a late reading has
+its chunk judged again, and those whose carried state it changes.
+
 Windowed counts need no state: every batch writes what it adds, and readers sum it up.
 So there is no watermark, and nothing is lost however late it comes; what earlier
 batches added is folded into one table now and then. Stored points are only appended.
+
+Without a ``trigger`` a stream takes what is there and ends; with one, such as
+``10 seconds``, it goes on.
 """
 
 from __future__ import annotations
@@ -19,9 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from benchlight.operators.calibrate import calibrate
-from benchlight.operators.gate import gate_events, gate_step
+from benchlight.operators.gate import (
+    CHUNK_ENDS,
+    carried,
+    chunk_ends,
+    gate_events,
+    gate_step,
+    run_events,
+    verdicts,
+)
 from benchlight.operators.health import seconds, window_start, windows
-from benchlight.operators.ordered import SPLIT_ROWS, key_seq, key_time, last_key
+from benchlight.operators.ordered import CHUNKS_PER_TASK, SPLIT_ROWS, Chunks, key_seq, key_time, last_key
 from benchlight.schema import SUMMARY_WINDOW
 from benchlight.session import settle
 from benchlight.sources.store import write_points
@@ -78,19 +93,16 @@ def _fields(schema: str) -> list[list[str]]:
     return [part.split() for part in schema.split(", ")]
 
 
-def _writer(df: DataFrame, checkpoint: str, mode: str = "append") -> DataStreamWriter:
-    return (
-        df.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-    )
+def _writer(df: DataFrame, checkpoint: str, trigger: str | None = None) -> DataStreamWriter:
+    when = {"availableNow": True} if trigger is None else {"processingTime": trigger}
+    return df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**when)
 
 
 # --- the gate -------------------------------------------------------------------
 
 
 def stream_gate(
-    valued: DataFrame, path: str, checkpoint: str, split_rows: int = SPLIT_ROWS
+    valued: DataFrame, path: str, checkpoint: str, split_rows: int = SPLIT_ROWS, trigger: str | None = None
 ) -> StreamingQuery:
     """The recording gate across batches; verdicts land under ``path/batch=…``.
 
@@ -111,23 +123,108 @@ def stream_gate(
         _forget(spark, states, batch)
 
     events = gate_events(valued.filter("finite").drop("finite"))
-    return _writer(events, checkpoint).foreachBatch(step).start()
+    return _writer(events, checkpoint, trigger).foreachBatch(step).start()
+
+
+_EVENTS = "channel string, time timestamp, seq bigint, gate_out boolean, gate_back boolean, gate_dwell_us bigint"
+_CHUNK = Chunks(["_chunk_time"])
+
+
+def stream_gate_late(
+    valued: DataFrame, path: str, checkpoint: str, trigger: str | None = None
+) -> StreamingQuery:
+    """The recording gate of the whole table, in whatever order readings come.
+
+    The events of gated channels are kept by day, and of every chunk, an hour of a channel,
+    what it does to a state and what state was carried into it: one row. A batch has the
+    chunks its readings fall into judged again, from all their events, and carries states
+    over the rows of chunks; where another state comes into a chunk than did before, that
+    chunk is judged again too. Verdicts are written chunk by chunk under ``path/batch=…``;
+    ``current_gate`` reads the last ones. A repeated batch writes the same again.
+    """
+    spark = valued.sparkSession
+    events_path, ends_path = f"{checkpoint}-events", f"{checkpoint}-chunks"
+    keys, on = ["channel"], ["channel", *_CHUNK]
+    hour = F.date_trunc("hour", "time")
+    ends_schema = f"channel string, _chunk_time timestamp, {CHUNK_ENDS}, _clock bigint, _came boolean"
+
+    def events_of(chunks: DataFrame, batch: int) -> DataFrame:
+        """All events so far of some chunks; only their days are read."""
+        days = [r[0] for r in chunks.select(F.to_date("_chunk_time")).distinct().collect()]
+        kept = spark.read.schema(f"{_EVENTS}, batch int, day date").parquet(events_path)
+        chosen = kept.filter(F.col("day").isin(days) & (F.col("batch") <= batch)).drop("batch", "day")
+        return chosen.withColumn("_chunk_time", hour).join(chunks.select(*on), on, "left_semi")
+
+    def step(rows: DataFrame, batch: int) -> None:
+        rows = settle(rows)
+        gated = rows.filter(F.col("gate_dwell_us").isNotNull()).withColumn("day", F.to_date("time"))
+        gated.write.mode("overwrite").partitionBy("day").parquet(f"{events_path}/batch={batch}")
+        before = _previous(spark, ends_path, batch, ends_schema)
+        touched = settle(gated.select("channel", hour.alias("_chunk_time")).distinct())
+        known = before.drop("_clock", "_came")
+        if touched.isEmpty():
+            ends = known
+        else:
+            again = chunk_ends(run_events(events_of(touched, batch), keys, _CHUNK), keys, _CHUNK)
+            ends = known.join(touched, on, "left_anti").unionByName(again)
+        now = settle(_carried_over(ends, keys))
+        now.select(*[name for name, _ in _fields(ends_schema)]).write.mode("overwrite").parquet(
+            _version(ends_path, batch)
+        )
+        came = before.select(*on, F.col("_clock").alias("_clock_then"), F.col("_came").alias("_came_then"))
+        same = F.col("_clock").eqNullSafe(F.col("_clock_then")) & F.col("_came").eqNullSafe(F.col("_came_then"))
+        moved = now.join(came, on, "left").filter(~same).select(*on).unionByName(touched).distinct()
+        moved = settle(moved)
+        free = rows.filter(F.col("gate_dwell_us").isNull()).select(
+            "channel", F.lit(None).cast("timestamp").alias("_chunk_time"), "time", "seq",
+            F.lit(True).alias("was_recording"), F.lit(True).alias("admitted"),
+        )
+        judged = free
+        if not moved.isEmpty():
+            judged = free.unionByName(
+                verdicts(run_events(events_of(moved, batch), keys, _CHUNK), now, keys, _CHUNK).select(free.columns)
+            )
+        judged.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        _forget(spark, ends_path, batch)
+
+    needed = [name for name, _ in _fields(_EVENTS)]
+    events = gate_events(valued.filter("finite")).select(*needed)
+    return _writer(events, checkpoint, trigger).foreachBatch(step).start()
+
+
+def _carried_over(ends: DataFrame, keys: list[str]) -> DataFrame:
+    ends = settle(ends)
+    most = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return carried(ends, None, keys, Chunks(_CHUNK, most > CHUNKS_PER_TASK))
+
+
+def current_gate(spark: SparkSession, path: str) -> DataFrame:
+    """The verdicts as they stand: of each chunk those written last."""
+    written = spark.read.parquet(path)
+    last = written.groupBy("channel", "_chunk_time").agg(F.max("batch").alias("batch"))
+    on = F.col("w._chunk_time") == F.col("l._chunk_time")
+    on = on & (F.col("w.channel") == F.col("l.channel")) & (F.col("w.batch") == F.col("l.batch"))
+    judged = written.filter(F.col("_chunk_time").isNotNull()).alias("w").join(last.alias("l"), on, "left_semi")
+    free = written.filter(F.col("_chunk_time").isNull())
+    return judged.unionByName(free).drop("_chunk_time", "batch")
 
 
 # --- sinks ----------------------------------------------------------------------
 
 
-def stream_points_sink(points: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_points_sink(
+    points: DataFrame, path: str, checkpoint: str, trigger: str | None = None
+) -> StreamingQuery:
     """Append points batch by batch; readers of the store see the last write only."""
 
     def step(rows: DataFrame, batch: int) -> None:
         write_points(rows, path)
 
-    return _writer(points, checkpoint).foreachBatch(step).start()
+    return _writer(points, checkpoint, trigger).foreachBatch(step).start()
 
 
 def stream_warn_once(
-    strangers: DataFrame, path: str, checkpoint: str, key: str = "channel"
+    strangers: DataFrame, path: str, checkpoint: str, key: str = "channel", trigger: str | None = None
 ) -> StreamingQuery:
     """Name each ``key`` of ``strangers`` once, with when it was first seen.
 
@@ -148,7 +245,7 @@ def stream_warn_once(
         warned.unionByName(fresh).write.mode("overwrite").parquet(_version(path, batch))
         _forget(spark, path, batch)
 
-    return _writer(strangers, checkpoint).foreachBatch(step).start()
+    return _writer(strangers, checkpoint, trigger).foreachBatch(step).start()
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
@@ -167,6 +264,7 @@ def stream_counts(
     keys: Sequence[str],
     path: str,
     checkpoint: str,
+    trigger: str | None = None,
 ) -> StreamingQuery:
     """Windowed counts of a stream, without a state: each batch writes what it adds.
 
@@ -177,7 +275,7 @@ def stream_counts(
     def step(batch_rows: DataFrame, batch: int) -> None:
         _add(count(batch_rows), keys, path, batch)
 
-    return _writer(rows, checkpoint).foreachBatch(step).start()
+    return _writer(rows, checkpoint, trigger).foreachBatch(step).start()
 
 
 def _add(counts: DataFrame, keys: Sequence[str], path: str, batch: int) -> None:
@@ -230,6 +328,7 @@ def stream_summary(
     checkpoint: str,
     every: str | None = SUMMARY_WINDOW,
     split_rows: int = SPLIT_ROWS,
+    trigger: str | None = None,
 ) -> StreamingQuery | None:
     """Readings written and skipped per sensor and window, after the gate.
 
@@ -271,17 +370,56 @@ def stream_summary(
         left.write.mode("overwrite").parquet(_version(states, batch))
         _forget(spark, states, batch)
 
-    return _writer(lines, checkpoint).foreachBatch(step).start()
+    return _writer(lines, checkpoint, trigger).foreachBatch(step).start()
+
+
+def ticks(spark: SparkSession) -> DataFrame:
+    """A clock: one ``time`` a second for as long as the process lives."""
+    return spark.readStream.format("rate").load().select(F.col("timestamp").alias("time"))
+
+
+def stream_heartbeat(
+    clock: DataFrame,
+    declared: DataFrame,
+    path: str,
+    checkpoint: str,
+    every: str = SUMMARY_WINDOW,
+    trigger: str | None = None,
+) -> StreamingQuery:
+    """Zero rows for every declared sensor and window in which the clock ticked.
+
+    So an outage of all sensors, when no line comes at all, still has its rows. ``clock``
+    is a stream with a ``time``, such as ``ticks``. Counts of nothing are added under
+    ``path`` as ``stream_summary`` adds its own; ``current_summary`` takes both.
+    """
+
+    def step(rows: DataFrame, batch: int) -> None:
+        zeros = windows(declared, rows, every).select(
+            "window_start", "sensor_id", F.lit(0).cast("bigint").alias("readings"), F.lit(0).cast("bigint").alias("skipped")
+        )
+        _add(zeros, SUMMARY_KEYS, path, batch)
+
+    return _writer(clock.select("time"), checkpoint, trigger).foreachBatch(step).start()
 
 
 def current_summary(
-    spark: SparkSession, path: str, declared: DataFrame, every: str = SUMMARY_WINDOW
+    spark: SparkSession,
+    path: str,
+    declared: DataFrame,
+    every: str = SUMMARY_WINDOW,
+    heartbeat: str | None = None,
 ) -> DataFrame:
-    """The summary of all batches so far, with a row for every window of every sensor."""
+    """The summary of all batches so far, with a row for every window of every sensor.
+
+    Windows go from the first line to the last, and with ``heartbeat``, the path of
+    ``stream_heartbeat``, as far as the clock ticked.
+    """
     counts = current_counts(spark, path, SUMMARY_KEYS)
     zeros = windows(declared, counts.select(F.col("window_start").alias("time")), every)
     zeros = zeros.withColumns({"readings": F.lit(0).cast("bigint"), "skipped": F.lit(0).cast("bigint")})
     every_row = counts.filter("sensor_id IS NOT NULL").unionByName(zeros)
+    if heartbeat is not None:
+        every_row = every_row.unionByName(current_counts(spark, heartbeat, SUMMARY_KEYS))
     return _summed(every_row, SUMMARY_KEYS).withColumn("window_s", F.lit(seconds(every)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from benchlight.functions.text import quantity_text, significant
 from benchlight.operators import calibrate as cal
+from benchlight.operators import ordered
 from benchlight.operators.gate import (
     gate_step,
     gate_transitions,
@@ -184,8 +185,10 @@ def _with_events(df):
     )
 
 
-@pytest.mark.parametrize(("seed", "split_rows"), [(1, 10**6), (2, 12), (3, 4), (4, 1)])
-def test_random_series_match_the_loop(spark, seed, split_rows):
+@pytest.mark.parametrize(("seed", "split_rows", "per_task"), [(1, 10**6, 10**6), (2, 12, 2), (3, 4, 3), (4, 1, 1)])
+def test_random_series_match_the_loop(spark, monkeypatch, seed, split_rows, per_task):
+    """However a history is cut, and whether its chunks are carried at once or up a ladder."""
+    monkeypatch.setattr(ordered, "CHUNKS_PER_TASK", per_task)
     rows, expected = _random_series(seed)
     gated = recording_gate(_with_events(_readings(spark, rows)), split_rows=split_rows)
     got = {(r["channel"], r["seq"]): r["admitted"] for r in gated.collect()}

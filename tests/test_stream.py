@@ -137,3 +137,46 @@ def test_gaps_meet_the_lines_about_them(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.schema("sensor_id string, seq int").parquet(f"{tmp_path}/out").collect()
     assert sorted((r["sensor_id"], r["seq"]) for r in got) == [("s0", 40), ("s1", 15), ("s1", 25)]
+
+
+@pytest.mark.parametrize("per_task", [10**6, 2])
+def test_late_readings_are_judged_as_if_in_time(spark, small, tmp_path, monkeypatch, per_task):
+    """Batches by hash, each spread over the whole month; a repeated batch changes nothing."""
+    monkeypatch.setattr(stream, "CHUNKS_PER_TASK", per_task)
+    table = fx.demo_calibrations(spark)
+    conv, formulas = cal.conversions(table), cal.formula_texts(table)
+    lines = fx.wire_lines(spark, small)
+    for i in range(3):
+        lines.filter(F.abs(F.xxhash64("seq")) % 3 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    valued = stream.stream_calibrate(source, conv, formulas, carry=["gate"])
+    stream.stream_gate_late(valued, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    columns = ["channel", "seq", "was_recording", "admitted"]
+    whole = _key(chain.gated_readings(lines, conv, formulas).select(columns).collect())
+    assert _key(stream.current_gate(spark, f"{tmp_path}/out").select(columns).collect()) == whole
+    written = spark.read.parquet(f"{tmp_path}/out")
+    assert written.select("batch").distinct().count() == 3 and written.count() > len(whole)
+    # The commit of the last batch is lost: it comes once more.
+    for name in ("2", ".2.crc"):
+        (tmp_path / "log" / "commits" / name).unlink()
+    stream.stream_gate_late(valued, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    assert _key(stream.current_gate(spark, f"{tmp_path}/out").select(columns).collect()) == whole
+
+
+def test_heartbeat_of_silent_sensors(spark, tmp_path):
+    """A clock that ticks while nothing else comes, running until it is stopped."""
+    declared = spark.createDataFrame([("s1",), ("s2",), ("s1",)], "sensor_id string")
+    query = stream.stream_heartbeat(
+        stream.ticks(spark), declared, f"{tmp_path}/beats", f"{tmp_path}/log", "1 second", trigger="1 second"
+    )
+    query.processAllAvailable()
+    deadline = 60
+    while deadline and len(query.recentProgress) < 4:
+        query.awaitTermination(1)
+        deadline -= 1
+    assert query.isActive
+    query.stop()
+    got = stream.current_counts(spark, f"{tmp_path}/beats", stream.SUMMARY_KEYS)
+    rows = got.groupBy("sensor_id").agg(F.count("window_start").alias("n"), F.max("readings").alias("most")).collect()
+    assert {r["sensor_id"] for r in rows} == {"s1", "s2"}
+    assert len({r["n"] for r in rows}) == 1 and all(r["n"] > 0 and r["most"] == 0 for r in rows)

@@ -55,3 +55,29 @@ def test_files_keep_bytes_and_lone_returns(spark, tmp_path):
     assert all(r["time"].microsecond % 1000 == 0 for r in good)
     bad = quarantine(parsed).orderBy("seq").collect()
     assert [r["reason"] for r in bad] == [UTF8, SHAPE]
+
+
+def test_files_are_numbered_over_their_splits(spark, tmp_path):
+    """A file of many splits, and small ones: places follow the lines, stamped or not."""
+    lines = [f"in{i % 3},{i}" for i in range(20_000)]
+    (tmp_path / "big.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "small.txt").write_text("in0,1\n\nin0,2")
+    held = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        for stamped in (False, True):
+            read = read_wire(spark, str(tmp_path), stamped=stamped).orderBy("seq")
+            rows = [(r["seq"], r["line"]) for r in read.collect()]  # without a tab nothing is cut off
+            assert rows == [(r["seq"], r["line"]) for r in read_wire(spark, str(tmp_path), stamped=stamped).orderBy("seq").collect()]
+            files = {}
+            for seq, line in rows:
+                files.setdefault(seq >> 34, []).append((seq & (2**34 - 1), line))
+            assert sorted(files.values(), key=len) == [
+                list(enumerate(["in0,1", "", "in0,2"])), list(enumerate(lines))
+            ]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
