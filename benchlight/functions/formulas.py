@@ -182,6 +182,15 @@ def shape_column(shape: str, v: Column, numbers: Column) -> Column:
     return _number(body, v, names).cast("double")
 
 
+def shape_error(shape: str) -> str | None:
+    """Why no formula of a shape can be used, or None."""
+    try:
+        shape_column(shape, F.lit(1.0), F.array().cast("array<double>"))
+    except FormulaError as error:
+        return str(error)
+    return None
+
+
 def apply_shapes(shape: Column, numbers: Column, v: Column, shapes: Iterable[str]) -> Column:
     """Evaluate, per row, the formula whose shape and numbers it bears.
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchlight.functions import units
-from benchlight.functions.formulas import apply_formulas, formula_error
-from benchlight.operators.calibrate import BOUNDS, fit_segments, resolve
+from benchlight.functions.formulas import apply_shapes, numbers_of, shape_error, shape_of
+from benchlight.operators.calibrate import BOUNDS, fit_segments, formula_texts, resolve
 from benchlight.schema import MODES, PROBE_VOLTS
 
 # --- fixed values -----------------------------------------------------------
@@ -28,14 +28,14 @@ def validate_calibrations(calibrations: DataFrame) -> DataFrame:
     some probe voltage, V6 gate bounds present, V7 their order, V8 their units,
     V9 one row per channel and effective time.
     """
-    formulas = _formulas(calibrations)
+    shapes = formula_texts(calibrations)
     rows = fit_segments(resolve(calibrations))
     checks = (
         _required()
         + [_mode()]
         + _points()
         + _units()
-        + [_usable(formulas)]
+        + [_usable(shapes)]
         + _gate_keys()
         + _gate_order()
         + _gate_units()
@@ -117,13 +117,7 @@ def _units() -> list[Column]:
     ]
 
 
-def _formulas(calibrations: DataFrame) -> list[str]:
-    """The distinct formulas of a table: what people wrote, not data."""
-    written = calibrations.filter((F.col("mode") == "expression") & F.col("formula").isNotNull())
-    return [row[0] for row in written.select("formula").distinct().collect()]
-
-
-def _usable(formulas: list[str]) -> Column:
+def _usable(shapes: list[str]) -> Column:
     def at(volts: float) -> Column:
         v = F.lit(volts)
         piece = F.get(
@@ -132,7 +126,8 @@ def _usable(formulas: list[str]) -> Column:
         d = v - piece["v0"]
         value = piece["c0"] + d * (piece["c1"] + d * (piece["c2"] + d * piece["c3"]))
         return F.when(
-            F.col("mode") == "expression", apply_formulas(F.col("formula"), v, formulas)
+            F.col("mode") == "expression",
+            apply_shapes(shape_of(F.col("formula")), numbers_of(F.col("formula")), v, shapes),
         ).otherwise(value)
 
     # Only where the parts are there; a missing part is V1's to report.
@@ -143,10 +138,10 @@ def _usable(formulas: list[str]) -> Column:
             present = present & F.col(key).isNotNull()
         complete = complete | present
     reason = F.lit("cannot be applied at any probe voltage")
-    for text in formulas:
-        error = formula_error(text)
+    for shape in shapes:
+        error = shape_error(shape)
         if error is not None:
-            reason = F.when(F.col("formula") == text, error).otherwise(reason)
+            reason = F.when(shape_of(F.col("formula")) == shape, error).otherwise(reason)
     return _violation(
         complete & F.coalesce(*[at(v) for v in PROBE_VOLTS]).isNull(), "V5", reason
     )

@@ -64,6 +64,37 @@ def module_level_filter(
     return logs.filter(rank.isNull() | (rank >= floor))
 
 
+def module_levels(logs: DataFrame, logger: str = "logger") -> DataFrame:
+    """Every name a line's logger begins with, as ``_prefix``, once per distinct ``_logger``."""
+    names = logs.select(F.coalesce(F.col(logger), F.lit("")).alias("_logger")).distinct()
+    ends = F.sequence(F.lit(0), F.char_length("_logger"))
+    return names.select("_logger", F.explode(ends).alias("_n")).withColumn(
+        "_prefix", F.expr("substring(_logger, 1, _n)")
+    )
+
+
+def module_rules_filter(
+    logs: DataFrame, rules: DataFrame, default: str = "info", logger: str = "logger"
+) -> DataFrame:
+    """``module_level_filter`` by a table of rules (``prefix``, ``level``), however many.
+
+    Distinct loggers, not lines, meet the rules, by hash on all they begin with; the
+    longest decides, and of rules for one prefix the strictest. Lines then meet their
+    logger's level in one join.
+    """
+    wanted = rules.select(F.col("prefix").alias("_prefix"), _rank(F.col("level")).alias("_rank"))
+    levels = (
+        module_levels(logs, logger)
+        .join(wanted.filter("_prefix IS NOT NULL AND _rank IS NOT NULL"), "_prefix")
+        .groupBy("_logger")
+        .agg(F.max_by("_rank", F.col("_n") * 100 + F.col("_rank")).alias("_floor"))
+    )
+    rank = _rank(F.col("severity"))
+    floor = F.coalesce(F.col("_floor"), F.lit(LEVEL_ORDER[default]))
+    named = logs.withColumn("_logger", F.coalesce(F.col(logger), F.lit("")))
+    return named.join(levels, "_logger", "left").filter(rank.isNull() | (rank >= floor)).select(logs.columns)
+
+
 def at_least(logs: DataFrame, level: str = "info") -> DataFrame:
     """Without the lines below a severity: reading-level noise is debug."""
     return module_level_filter(logs, {}, level, logger="line")

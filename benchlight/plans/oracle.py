@@ -516,6 +516,9 @@ WHERE epoch_us(gap_end) - epoch_us(gap_start) > 7200000000 AND ({_WARN} OR {_ERR
  text = '' OR regexp_matches(text, '[ "=]|[\p{C}\p{Z}]') AS quoted, false AS broken FROM documents""",
 }
 
+ORACLES["module_rules"] = ORACLES["module_levels"]
+ORACLES["downsample_rollup"] = ORACLES["downsample"]
+
 # --- streams ---------------------------------------------------------------------------
 
 ORACLES |= {

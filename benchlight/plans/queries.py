@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from benchlight.functions.text import logfmt_fields, logfmt_token, panel_unit, to_logfmt
 from benchlight.functions.units import convert_units
 from benchlight.operators import calibrate as cal
-from benchlight.operators import gate, health, loglines, measure
+from benchlight.operators import gate, health, loglines, measure, rollup
 from benchlight.operators.checks import validate_calibrations
 from benchlight.plans import fixtures as fx
 from benchlight.plans import chain
@@ -117,6 +117,7 @@ def scan_measurement(spark, sf):
     folder = shared_folder(spark)
     for _ in range(2):
         store.write_points(fx.event_points(spark, sf), folder)
+    store.compact_in_place(spark, folder, max_files=1)
     found = store.scan_measurement(spark, folder, "temperature", "2024-01-10", "2024-01-12")
     return _rounded(found.select("sensor_id", "time", "seq", "value", "input_volts"), value=6, input_volts=6)
 
@@ -497,6 +498,23 @@ def downsample_scale(spark, sf):
     )
 
 
+@query
+def downsample_rollup(spark, sf):
+    """The same by hours, of parts that a stream of points added in no order of time."""
+    folder = shared_folder(spark)
+    points = cal.as_points(cal.drop_non_finite(_calibrate(
+        fx.derive_stream(spark, sf, fx.READINGS_SQL), fx.demo_calibrations(spark)
+    )))
+    rollup.stream_rollup(points, f"{folder}/parts", f"{folder}/log").awaitTermination()
+    return _shown(
+        rollup.downsample_rollup(spark, f"{folder}/parts", "1 hour"),
+        avg_value=4,
+        min_value=6,
+        max_value=6,
+        last_value=6,
+    )
+
+
 @query
 def sparkline(spark, sf):
     traces = measure.sparkline(
@@ -715,6 +733,21 @@ def module_levels(spark, sf):
     return kept.groupBy("logger", "severity").agg(F.count("seq").alias("lines"))
 
 
+@query
+def module_rules(spark, sf):
+    """The same by a table of rules, one for each of many modules."""
+    found = fx.demo_logs(spark, sf).withColumn("logger", F.col("fields")["logger"])
+    fx.load(spark, sf, "part")
+    many = spark.sql("SELECT concat('module.', p_partkey) AS prefix, 'error' AS level FROM part")
+    named = literal_rows(
+        spark,
+        [{"prefix": "store", "level": "error"}, {"prefix": "store.wal", "level": "warning"}, {"prefix": "sto", "level": "debug"}],
+        "prefix string, level string",
+    )
+    kept = loglines.module_rules_filter(found, many.unionByName(named))
+    return kept.groupBy("logger", "severity").agg(F.count("seq").alias("lines"))
+
+
 @query
 def without_readings(spark, sf):
     """Lines at info and above: reading-level noise is debug."""

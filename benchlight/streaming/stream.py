@@ -38,7 +38,7 @@ from benchlight.operators.gate import (
 from benchlight.operators.health import seconds, window_start, windows
 from benchlight.operators.ordered import CHUNKS_PER_TASK, SPLIT_ROWS, Chunks, key_seq, key_time, last_key
 from benchlight.schema import SUMMARY_WINDOW
-from benchlight.session import settle
+from benchlight.session import exists, remove, settle
 from benchlight.sources.store import write_points
 from benchlight.sources.wire import parse_wire, readings
 
@@ -75,18 +75,7 @@ def _previous(spark: SparkSession, path: str, batch: int, schema: str) -> DataFr
 
 def _forget(spark: SparkSession, path: str, batch: int) -> None:
     """Removes the version that no repeated batch can ask for any more."""
-    _remove(spark, [_version(path, batch - KEPT_VERSIONS)])
-
-
-def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    remove(spark, [_version(path, batch - KEPT_VERSIONS)])
 
 
 def _fields(schema: str) -> list[list[str]]:
@@ -289,16 +278,16 @@ def _add(counts: DataFrame, keys: Sequence[str], path: str, batch: int) -> None:
     if batch % FOLD == FOLD - 1:
         folded = _summed(_parts(spark, path, batch), keys)
         folded.write.mode("overwrite").parquet(f"{path}/fold={batch}")
-        _remove(spark, [f"{path}/fold={batch - 2 * FOLD}"])
-        _remove(spark, [f"{path}/batch={b}" for b in range(batch - 2 * FOLD + 1, batch - FOLD + 1)])
+        remove(spark, [f"{path}/fold={batch - 2 * FOLD}"])
+        remove(spark, [f"{path}/batch={b}" for b in range(batch - 2 * FOLD + 1, batch - FOLD + 1)])
 
 
 def _parts(spark: SparkSession, path: str, last: int) -> DataFrame:
     """The newest complete fold before batch ``last``, and the batches after it."""
-    folds = [f for f in range(FOLD - 1, last, FOLD) if _exists(spark, f"{path}/fold={f}/_SUCCESS")]
+    folds = [f for f in range(FOLD - 1, last, FOLD) if exists(spark, f"{path}/fold={f}/_SUCCESS")]
     after = max(folds, default=-1)
     names = [f"{path}/fold={after}"] * (after >= 0) + [
-        f"{path}/batch={b}" for b in range(after + 1, last + 1) if _exists(spark, f"{path}/batch={b}")
+        f"{path}/batch={b}" for b in range(after + 1, last + 1) if exists(spark, f"{path}/batch={b}")
     ]
     return spark.read.parquet(*names)
 

@@ -172,3 +172,18 @@ def test_display(spark):
     assert [tuple(r) for r in got] == [
         ("276.561300 THz", "hertz"), ("9.91e-10", "pressurembar"), ("1.5000", "suffix:furlong"),
     ]
+
+
+def test_rules_of_a_table_are_those_of_a_mapping(spark):
+    """Ten thousand rules meet the lines in one join; the longest prefix decides."""
+    names = [None, "", "a", "ab", "ab.c", "abc", "b.x", "module.77", "module.778", "zz"]
+    lines = [(n, s, i) for i, (n, s) in enumerate((n, s) for n in names for s in ("debug", "info", "warning", "error", None))]
+    logs = spark.createDataFrame(lines, "logger string, severity string, seq int")
+    few = {"a": "debug", "ab": "error", "ab.": "warning", "z": "error"}
+    many = {f"module.{i}": "warning" for i in range(10_000)}
+    rules = spark.createDataFrame(list((few | many).items()), "prefix string, level string")
+    kept = loglines.module_rules_filter(logs, rules)
+    assert kept.columns == logs.columns
+    wanted = loglines.module_level_filter(logs, few | {"module.77": "warning", "module.778": "warning"})
+    assert sorted(r["seq"] for r in kept.collect()) == sorted(r["seq"] for r in wanted.collect())
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1

@@ -5,7 +5,7 @@ from helpers import at
 from pyspark.sql import functions as F
 
 from benchlight.functions.units import convert_units
-from benchlight.operators import health, measure
+from benchlight.operators import health, measure, rollup
 from benchlight.operators.ordered import with_previous
 from benchlight.schema import POINTS
 from benchlight.sources import store
@@ -204,3 +204,85 @@ def test_union_fills_missing_columns(spark):
     assert sorted(str(r["calibration_id"]) for r in both.collect()) == ["None", "id"]
     wide = measure.series_wide(_points(spark, [("a", 0, 1.0, 1), ("b", 0, 2.0, 2)]), ["a", "b"])
     assert [(r["a"], r["b"]) for r in wide.collect()] == [(1.0, 2.0)]
+
+
+def _files(path):
+    return len(list(path.rglob("*.parquet")))
+
+
+def test_compaction_in_place(spark, tmp_path):
+    """Many small batches end in few files, with the same answer, whatever breaks off."""
+    path = tmp_path / "points"
+    for i in range(12):
+        store.write_points(_points(spark, [("a", 0, float(i), i), ("b", i, float(i), i), ("a", i - 86400, 1.0, i)]), str(path))
+    store.write_points(_points(spark, [("c", 5 * 86400, 7.0, 1)]).withColumn("note", F.lit("x")), str(path))
+    key = lambda df: sorted(map(str, df.collect()))
+    before = key(store.scan_points(spark, str(path)))
+    kept = {f: f.read_bytes() for f in path.rglob("*.parquet")}
+    assert _files(path) > 20
+    assert store.compact_in_place(spark, str(path)) == 2
+    assert _files(path) == 3 and key(store.scan_points(spark, str(path))) == before
+    # The files read had not been deleted when it broke off: it is called again.
+    for f, content in kept.items():
+        f.write_bytes(content)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert key(store.scan_points(spark, str(path))) == before
+    assert store.compact_in_place(spark, str(path)) == 2
+    assert _files(path) == 3 and key(store.scan_points(spark, str(path))) == before
+    assert store.compact_in_place(spark, str(path)) == 0
+    assert {r["note"] for r in store.scan_points(spark, str(path)).collect()} == {None, "x"}
+
+
+def test_a_sensor_is_few_row_groups(spark, tmp_path):
+    path = str(tmp_path / "points")
+    many = spark.range(40_000).select(
+        F.concat(F.lit("m"), F.col("id") % 1).alias("measurement"), F.timestamp_seconds(F.col("id") % 1000).alias("time"),
+        F.concat(F.lit("s"), F.col("id") % 97).alias("sensor_id"), F.lit("K").alias("unit"),
+        F.lit("id").alias("calibration_id"), F.rand(1).alias("value"), F.lit(1.0).alias("input_volts"),
+        F.create_map().cast("map<string,string>").alias("tags"), F.col("id").alias("seq"),
+    )
+    store.write_points(many, path, **{"parquet.block.size": "65536"})
+    import pyarrow.parquet as pq
+
+    file = next((tmp_path / "points").rglob("*.parquet"))
+    groups = pq.ParquetFile(file).metadata
+    held = 0
+    for i in range(groups.num_row_groups):
+        of = next(c for c in map(groups.row_group(i).column, range(groups.num_columns)) if c.path_in_schema == "sensor_id")
+        held += of.statistics.min <= "s50" <= of.statistics.max
+    assert groups.num_row_groups > 8 and held <= 2
+    one = store.scan_points(spark, path, resolve=False).filter("sensor_id = 's50'")
+    assert "PushedFilters: [IsNotNull(sensor_id), EqualTo(sensor_id,s50)]" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == many.filter("sensor_id = 's50'").count()
+
+
+def test_columns_of_two_kinds_are_refused(spark, tmp_path):
+    path = str(tmp_path / "points")
+    for value in (F.lit("x"), F.lit(1)):
+        store.write_points(_points(spark, [("a", 0, 1.0, 1)]).withColumn("note", value), path)
+    with pytest.raises(ValueError, match="note was written as"):
+        store.scan_points(spark, path)
+
+
+@pytest.mark.parametrize("step", ["1 minute", "30 minutes", "6 hours", "2 days"])
+def test_rollups_say_what_points_say(spark, tmp_path, step):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randint(0, 5 * 86400), rng.random() * 100, i) for i in range(600)]
+    path = str(tmp_path / "parts")
+    for batch in (0, 1, 2, 1):  # one comes twice
+        rollup.add_points(_points(spark, rows[batch::3]), path, batch)
+    whole = measure.downsample(_points(spark, rows), step)
+    start, end = at(86400), at(4 * 86400)
+    for found, expected in (
+        (rollup.downsample_rollup(spark, path, step), whole),
+        (rollup.downsample_rollup(spark, path, step, start, end), whole.filter(F.col("step").between(start, end) & (F.col("step") < end))),
+    ):
+        got, wanted = ({(r["sensor_id"], r["step"]): r for r in x.collect()} for x in (found, expected))
+        assert got.keys() == wanted.keys() and len(got) > 0
+        for k, r in wanted.items():
+            assert got[k]["avg_value"] == pytest.approx(r["avg_value"])
+            assert all(got[k][c] == r[c] for c in ("min_value", "max_value", "readings", "last_value"))
+    files = rollup.downsample_rollup(spark, path, step).inputFiles()
+    assert {f"level={rollup.level_for(step)}" in f for f in files} == {True}
+    with pytest.raises(ValueError, match="whole minutes"):
+        rollup.level_for("90 seconds")
