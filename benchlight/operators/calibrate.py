@@ -4,7 +4,9 @@ A calibration row is resolved once into a conversion: its unit, its id, and what
 turns a voltage into a value - polynomial segments, or a formula. Readings then
 meet the conversions in one equi-join on the channel, with the revision's time
 interval and the segment's voltage interval as residual conditions. Each reading
-satisfies them for exactly one segment, so rows do not multiply.
+satisfies them for exactly one segment, so rows do not multiply. A channel with many
+revisions is a tree of intervals over its history: readings go down it level by level, a
+join each, and compare themselves with at most ``FANOUT`` intervals on each.
 
 No broadcast hint is given: Spark broadcasts the conversions while their size is
 under its threshold and shuffles, splitting hot channels, above it.
@@ -31,6 +33,9 @@ from benchlight.schema import (
 from benchlight.session import settle
 from benchlight.sources.physical import is_finite
 
+# Revisions under one node of the tree of a channel's history.
+FANOUT = 16
+
 BOUNDS = ("below", "above", "resume_above", "resume_below")
 
 
@@ -142,7 +147,7 @@ def conversions(calibrations: DataFrame, store_input: bool = True) -> DataFrame:
     ``effective_to`` (NULL: still is). Of rows for one channel and time the highest
     revision stands, and of those one; the others are never in force, so a reading
     meets one conversion at most. ``conversion`` numbers the rows, as revisions may
-    repeat. A conversion that can't be applied (too few points, an unknown mode, no
+    repeat, and ``place`` those of a channel in order of time. A conversion that can't be applied (too few points, an unknown mode, no
     factor) has one segment without a value: its readings count as skipped. Written
     once, as every reading of every pass meets it.
     """
@@ -162,9 +167,16 @@ def conversions(calibrations: DataFrame, store_input: bool = True) -> DataFrame:
         },
     )
     standing = ready.withColumn("_place", F.row_number().over(rivals)).filter("_place = 1")
+    placed = standing.withColumns(
+        {
+            "effective_to": F.lead("effective_from").over(in_order),
+            "place": F.row_number().over(in_order) - 1,
+        }
+    )
     return settle(
-        standing.withColumn("effective_to", F.lead("effective_from").over(in_order)).select(
+        placed.select(
             F.monotonically_increasing_id().alias("conversion"),
+            "place",
             *["channel", "revision", "effective_from", "effective_to", "sensor_id"],
             *["measurement", "mode", "unit", "calibration_id", "whole_id", "store_input"],
             *["provenance", "formula", "gate", "segments"],
@@ -316,6 +328,33 @@ def _in_force() -> Column:
     return began & (F.col("_to").isNull() | (F.col("time") < F.col("_to")))
 
 
+def _located(df: DataFrame, conv: DataFrame, channel: str = "channel", how: str = "inner") -> DataFrame:
+    """Adds ``_node``: the group of ``FANOUT`` revisions of its channel that a row's time falls into.
+
+    Groups of groups are gone through from the top, so a row meets ``FANOUT`` of them at
+    each level. Where no channel has more revisions than that, there is one group and no join.
+    """
+    most = conv.agg(F.max("place")).first()[0] or 0
+    levels = 0
+    while most >= FANOUT ** (levels + 1):
+        levels += 1
+    located = df.withColumn("_node", F.lit(0).cast("bigint"))
+    for level in range(levels, 0, -1):
+        size = FANOUT**level
+        nodes = conv.groupBy(
+            F.col("channel").alias("_channel_of"),
+            F.floor(F.col("place") / (size * FANOUT)).alias("_parent"),
+            F.floor(F.col("place") / size).alias("_child"),
+        ).agg(
+            # NULL is before all, and after all.
+            F.min_by("effective_from", "place").alias("_from"),
+            F.max_by("effective_to", "place").alias("_to"),
+        )
+        inside = (F.col(channel) == F.col("_channel_of")) & (F.col("_node") == F.col("_parent")) & _in_force()
+        located = located.join(nodes, inside, how).select(*df.columns, F.col("_child").alias("_node"))
+    return located
+
+
 def _evaluate(
     df: DataFrame,
     conv: DataFrame,
@@ -332,12 +371,13 @@ def _evaluate(
         *[F.col(c).alias(f"_c_{c}") for c in carry],
         F.col("effective_from").alias("_from"),
         F.col("effective_to").alias("_to"),
+        F.floor(F.col("place") / FANOUT).alias("_group"),
         shape_of(F.col("formula")).alias("_shape"),
         numbers_of(F.col("formula")).alias("_numbers"),
         F.inline("segments"),
     )
     match = (F.col(volts) >= F.col("v_lo")) & (F.col(volts) < F.col("v_hi"))
-    match = match & _in_force()
+    match = match & _in_force() & (F.col("_node") == F.col("_group"))
     for c in on:
         match = match & (F.col(c) == F.col(f"_on_{c}"))
     d = F.col(volts) - F.col("v0")
@@ -347,7 +387,7 @@ def _evaluate(
             F.col("_shape").isNotNull(),
             apply_shapes(F.col("_shape"), F.col("_numbers"), F.col(volts), formulas),
         ).otherwise(value)
-    return df.join(pieces, match, how).select(
+    return _located(df, conv, how=how).join(pieces, match, how).select(
         *df.columns, *[F.col(f"_c_{c}").alias(c) for c in carry], value.alias(output)
     )
 
@@ -552,18 +592,20 @@ def calibration_in_force(points: DataFrame, calibrations: DataFrame) -> DataFram
         F.col("effective_to").alias("_to"),
         F.col("revision").alias("revision_in_force"),
         F.col("calibration_id").alias("id_in_force"),
+        F.floor(F.col("place") / FANOUT).alias("_group"),
     )
     match = (
         (F.col("_channel") == F.col("_on"))
+        & (F.col("_node") == F.col("_group"))
         & (F.col("sensor_id") == F.col("_sensor"))
         & (F.col("measurement") == F.col("_measurement"))
         & _in_force()
     )
     return (
-        _with_channel(points, found, found)
+        _located(_with_channel(points, found, found), found, "_channel", "left")
         .join(conv, match, "left")
         .withColumn("current", F.col("calibration_id").eqNullSafe(F.col("id_in_force")))
-        .drop("_channel", "_on", "_sensor", "_measurement", "_from", "_to")
+        .drop("_channel", "_node", "_group", "_on", "_sensor", "_measurement", "_from", "_to")
     )
 
 

@@ -319,6 +319,12 @@ SELECT seq, sensor_id, CASE WHEN unit = 'mW' THEN round(value * 0.001, 6) END AS
 FROM r WHERE value IS NOT NULL AND NOT isnan(value)""",
 }
 
+_BROKEN, _, _ALL = ORACLES["validate_calibration_table"].rpartition("SELECT channel, revision, rule, detail FROM v")
+ORACLES["validate_repeated_calibrations"] = f"""{_BROKEN}, b AS (SELECT channel, revision, rule, detail FROM v {_ALL})
+SELECT * FROM b UNION ALL SELECT * FROM b WHERE revision % 4 = 0
+UNION ALL SELECT channel, revision, 'V9', 'appears 2 times for one time' FROM c WHERE revision % 4 = 0
+UNION ALL SELECT channel, revision, 'V9', 'appears 2 times as one revision' FROM c WHERE revision % 4 = 0"""
+
 # --- gate and health ----------------------------------------------------------------
 
 ORACLES |= {

@@ -248,6 +248,13 @@ def validate_calibration_table(spark, sf):
     return validate_calibrations(fx.part_calibrations(spark, sf))
 
 
+@query
+def validate_repeated_calibrations(spark, sf):
+    """The same where a part of the table was pasted in twice."""
+    table = fx.part_calibrations(spark, sf)
+    return validate_calibrations(table.unionByName(table.filter("revision % 4 = 0")))
+
+
 def _revised_points(spark, sf) -> DataFrame:
     valued = _calibrate(fx.event_readings(spark, sf), fx.revised_calibrations(spark))
     return cal.as_points(cal.drop_non_finite(valued))

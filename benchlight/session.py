@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,15 +50,37 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``settle`` wrote inside it, in this thread.
+
+    For work whose result is written or collected inside, such as a batch of a stream. A
+    frame that is handed on reads its settled tables when it is used, so whoever uses it
+    opens the scope. Scopes may be nested; each deletes its own.
+    """
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scopes.paths = _scopes.paths, outer
+        remove(spark, paths)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The frame as a written table: computed once, read by column from then on.
 
     For a result several later passes read. It lives in the shared folder, so a lost
     executor costs a re-read and no recomputation, and its size is known to the
-    planner, which decides by it what to broadcast.
+    planner, which decides by it what to broadcast. It stays until the scope it was made in
+    ends (``intermediates``), and outside of one until the folder is cleared.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

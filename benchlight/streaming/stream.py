@@ -38,7 +38,7 @@ from benchlight.operators.gate import (
 from benchlight.operators.health import seconds, window_start, windows
 from benchlight.operators.ordered import CHUNKS_PER_TASK, SPLIT_ROWS, Chunks, key_seq, key_time, last_key
 from benchlight.schema import SUMMARY_WINDOW
-from benchlight.session import exists, remove, settle
+from benchlight.session import exists, intermediates, remove, settle
 from benchlight.sources.store import write_points
 from benchlight.sources.wire import parse_wire, readings
 
@@ -87,6 +87,19 @@ def _writer(df: DataFrame, checkpoint: str, trigger: str | None = None) -> DataS
     return df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**when)
 
 
+def _started(
+    df: DataFrame, checkpoint: str, trigger: str | None, step: Callable[[DataFrame, int], None]
+) -> StreamingQuery:
+    """Starts ``step`` on every batch; what a batch settles is deleted when it is done."""
+    spark = df.sparkSession
+
+    def scoped(rows: DataFrame, batch: int) -> None:
+        with intermediates(spark):
+            step(rows, batch)
+
+    return _writer(df, checkpoint, trigger).foreachBatch(scoped).start()
+
+
 # --- the gate -------------------------------------------------------------------
 
 
@@ -112,7 +125,7 @@ def stream_gate(
         _forget(spark, states, batch)
 
     events = gate_events(valued.filter("finite").drop("finite"))
-    return _writer(events, checkpoint, trigger).foreachBatch(step).start()
+    return _started(events, checkpoint, trigger, step)
 
 
 _EVENTS = "channel string, time timestamp, seq bigint, gate_out boolean, gate_back boolean, gate_dwell_us bigint"
@@ -178,7 +191,7 @@ def stream_gate_late(
 
     needed = [name for name, _ in _fields(_EVENTS)]
     events = gate_events(valued.filter("finite")).select(*needed)
-    return _writer(events, checkpoint, trigger).foreachBatch(step).start()
+    return _started(events, checkpoint, trigger, step)
 
 
 def _carried_over(ends: DataFrame, keys: list[str]) -> DataFrame:
@@ -209,7 +222,7 @@ def stream_points_sink(
     def step(rows: DataFrame, batch: int) -> None:
         write_points(rows, path)
 
-    return _writer(points, checkpoint, trigger).foreachBatch(step).start()
+    return _started(points, checkpoint, trigger, step)
 
 
 def stream_warn_once(
@@ -234,7 +247,7 @@ def stream_warn_once(
         warned.unionByName(fresh).write.mode("overwrite").parquet(_version(path, batch))
         _forget(spark, path, batch)
 
-    return _writer(strangers, checkpoint, trigger).foreachBatch(step).start()
+    return _started(strangers, checkpoint, trigger, step)
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
@@ -264,7 +277,7 @@ def stream_counts(
     def step(batch_rows: DataFrame, batch: int) -> None:
         _add(count(batch_rows), keys, path, batch)
 
-    return _writer(rows, checkpoint, trigger).foreachBatch(step).start()
+    return _started(rows, checkpoint, trigger, step)
 
 
 def _add(counts: DataFrame, keys: Sequence[str], path: str, batch: int) -> None:
@@ -359,7 +372,7 @@ def stream_summary(
         left.write.mode("overwrite").parquet(_version(states, batch))
         _forget(spark, states, batch)
 
-    return _writer(lines, checkpoint, trigger).foreachBatch(step).start()
+    return _started(lines, checkpoint, trigger, step)
 
 
 def ticks(spark: SparkSession) -> DataFrame:
@@ -388,7 +401,7 @@ def stream_heartbeat(
         )
         _add(zeros, SUMMARY_KEYS, path, batch)
 
-    return _writer(clock.select("time"), checkpoint, trigger).foreachBatch(step).start()
+    return _started(clock.select("time"), checkpoint, trigger, step)
 
 
 def current_summary(

@@ -1,4 +1,6 @@
+import bisect
 import math
+import random
 
 import pytest
 from helpers import at, one_channel, values_at
@@ -325,3 +327,32 @@ def test_report(spark):
     ]
     got = cal.calibrations_report(fx.calibrations(spark, rows)).collect()
     assert [(r["channel"], r["provenance"]) for r in got] == [("A", "by='lab', note=\"it's\""), ("B", "-")]
+
+
+@pytest.mark.parametrize("revisions", [1, 16, 17, 700])
+def test_many_revisions_are_found_by_time(spark, revisions):
+    """The last revision that began, whatever their number; levels, not candidates, grow."""
+    rng = random.Random(revisions)
+    base = {"sensor_id": "s", "measurement": "m", "factor_unit": "K/V"}
+    starts = sorted(rng.sample(range(10, 100_000), revisions))
+    rows = [base | {"channel": "A0", "revision": i, "effective_from": at(t), "factor": float(i + 1)} for i, t in enumerate(starts)]
+    rows.append(base | {"channel": "A1", "revision": 1, "factor": -1.0})
+    table = fx.calibrations(spark, rows)
+    times = [0, *starts[:50], *[t - 1 for t in starts[-50:]], *rng.sample(range(100_100), 200)]
+    counts = [(i, at(t), c, 4095.0) for i, t in enumerate(times) for c in ("A0", "A1", "A2")]
+    readings = spark.createDataFrame(counts, "seq bigint, time timestamp, channel string, raw_count double")
+    conv = cal.conversions(table)
+    valued = cal.calibrate(readings, conv, [])
+    got = {(r["channel"], r["seq"]): r["revision"] for r in valued.collect()}
+    expected = {("A1", i): 1 for i in range(len(times))}
+    for i, t in enumerate(times):
+        if began := bisect.bisect_right(starts, t):
+            expected["A0", i] = began - 1
+    assert got == expected and valued.count() == len(expected)
+    points = cal.as_points(cal.drop_non_finite(valued))
+    in_force = cal.calibration_in_force(points, table)
+    assert {(r["sensor_id"], r["seq"], r["current"]) for r in in_force.filter("value > 0").collect()} == {
+        ("s", i, True) for c, i in expected if c == "A0"
+    }
+    levels = 0 if revisions <= 16 else 1 if revisions <= 256 else 2
+    assert valued._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1 + levels

@@ -1,9 +1,12 @@
 """A stream of several batches must leave what one table would."""
 
+import uuid
+
 import pytest
 from helpers import at
 from pyspark.sql import functions as F
 
+from benchlight import session
 from benchlight.operators import calibrate as cal
 from benchlight.operators import loglines
 from benchlight.plans import fixtures as fx
@@ -180,3 +183,26 @@ def test_heartbeat_of_silent_sensors(spark, tmp_path):
     rows = got.groupBy("sensor_id").agg(F.count("window_start").alias("n"), F.max("readings").alias("most")).collect()
     assert {r["sensor_id"] for r in rows} == {"s1", "s2"}
     assert len({r["n"] for r in rows}) == 1 and all(r["n"] > 0 and r["most"] == 0 for r in rows)
+
+
+def test_batches_leave_no_intermediates(spark, small, tmp_path, monkeypatch):
+    """Ten batches of each stream that settles tables: nothing stays but states and results."""
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"{tmp_path}/scratch/{uuid.uuid4().hex}")
+    table = fx.demo_calibrations(spark)
+    with session.intermediates(spark):
+        conv, formulas = cal.conversions(table), cal.formula_texts(table)
+        kept = set((tmp_path / "scratch").iterdir())
+        assert kept
+        lines = fx.wire_lines(spark, small).limit(300).repartition(10, "seq")
+        lines.write.parquet(f"{tmp_path}/in")
+        for name, start in (
+            ("gate", lambda v, *paths: stream.stream_gate(v, *paths)),
+            ("late", lambda v, *paths: stream.stream_gate_late(v, *paths)),
+        ):
+            source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            valued = stream.stream_calibrate(source, conv, formulas, carry=["gate"])
+            query = start(valued, f"{tmp_path}/{name}", f"{tmp_path}/{name}-log")
+            query.awaitTermination()
+            assert len(list((tmp_path / name).glob("batch=*"))) == 10
+            assert set((tmp_path / "scratch").iterdir()) == kept
+    assert not list((tmp_path / "scratch").iterdir())
