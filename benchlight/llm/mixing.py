@@ -5,8 +5,10 @@ every document is emitted ``floor(rate)`` times plus once more with the probabil
 the remaining fraction, drawn from a keyed hash of its id. Reruns agree.
 
 NULL text: size 0. A NULL source is a source of its own, ordered last. Sources without
-a word get target 0 and rate 0. Rows that repeat draw alike. An empty table gives an
-empty mix.
+a word get target 0 and rate 0. Rows that repeat draw alike, and so do all rows without an
+id: of a source of such rows all are taken once more or none, which by a count of copies may
+be off its target by one. A very long text is one document. An empty table gives an empty
+mix. Other columns pass through ``mix`` untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ that costs least per word it can expect to hold, given the items that are still
 come. At the end every sequence shrinks to the least capacity that holds its contents.
 
 Rows that repeat are packed each; a NULL id is kept. A length of NULL or below one has
-no pieces. An empty table gives no pieces.
+no pieces. A very long text fills many whole sequences. An empty table gives no pieces.
+Other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ to its depth, so that the model is three arrays and a batch of rows walks a tree
 one comparison per level.
 
 Only statistics of the text are inputs. NULL counts as the empty text, which has a
-score like any other. Of several labels of one id the least counts. Without labelled
+score like any other, a very long one is measured whole. Other columns are not read. Of several labels of one id the least counts. Without labelled
 rows of both classes every score is the share of the label there is, or 0.5. Rows that
 repeat score alike. An empty table gives an empty result.
 """

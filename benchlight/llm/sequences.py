@@ -14,8 +14,9 @@ A task writes under a name of its own attempt and renames the file when it is co
 a repeated task puts the same contents in the same place. The manifest is a table with
 one row per file.
 
-NULL and empty texts have the end id alone. NULL ids come first; rows of one id come in
-the table's order. An empty table gives no files and no rows.
+NULL and empty texts have the end id alone; a very long text is encoded whole. Ids are whole
+numbers; NULL ids come first, rows of one id in the table's order. An empty table gives no
+files and no rows. Other columns are not read.
 """
 
 from __future__ import annotations

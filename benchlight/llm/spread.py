@@ -6,7 +6,7 @@ far from the threshold are settled by it; those near it get an exact distinct co
 their sites. Lines at or above the threshold are removed from every document.
 
 A line is compared without the white space at its ends; lines without a word are never
-removed, they keep their place. NULL text has no lines and stays NULL. A NULL site is a
+removed, they keep their place. A very long text is split whole, in its row's memory. NULL text has no lines and stays NULL. A NULL site is a
 site of its own. A line that repeats in one document counts its site once. Rows are
 numbered by position, so ``clean`` needs a table's rows. An empty table gives an empty
 result. Other columns pass through untouched, whatever their names.

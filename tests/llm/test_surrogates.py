@@ -45,15 +45,61 @@ def test_clean_text_stays():
         assert s.replaced(text, {})[0] == text
 
 
-@pytest.fixture
-def narrow(monkeypatch):
-    """Draws of two digits, so that surrogates clash."""
-    real = s.surrogate
+def test_one_person_in_a_text():
+    """A bare name later, a given name on its own, a name in capitals: one surrogate each."""
+    for text, name, times in (
+        ("Dr Anna Smith called. Smith agreed. SMITH paid; Anna left.", "smith", 3),
+        ("Mr John left. John Smith paid.", "john", 2),
+        ("Emma Wilson wrote to Emma Wilson.", "wilson", 2),
+        ("Señora García y García estaban.", "garcía", 2),
+        ("Mr 王伟 met 王伟.", "王伟", 2),
+    ):
+        new = s.replaced(text, {})[0]
+        at = [m.start() for m in re.finditer(name, text.lower())]
+        assert name not in new.lower() and len(at) == times, new
+        value = next(v for b, _, _, v in s.find(text) if b == at[0])
+        assert [v for b, _, _, v in s.find(text) if b in at] == [value] * times
+        assert len({s.surrogate(k, v) for b, _, k, v in s.find(text) if b in at}) == 1
+    assert s.replaced("The smith forged. Smithson sang.", {})[0] == "The smith forged. Smithson sang."
 
-    def drawn(kind, value, key=s.KEY, attempt=0):
-        return value[:-1] + real(kind, value, key, attempt)[-1] if kind == "ip" else real(kind, value, key, attempt)
 
-    monkeypatch.setattr(s, "surrogate", drawn)
+def test_gender_and_script_of_surnames():
+    assert re.search(r"[Ѐ-ӿ]+ова пришла", s.replaced("Госпожа Иванова пришла", {})[0])
+    assert re.search(r"[Ѐ-ӿ]+ов пришёл", s.replaced("Господин Иванов пришёл", {})[0])
+    assert re.search(r"[Ͱ-Ͽ]+ιδου ", s.replaced("Κυρία Παπαδοπούλου ήρθε", {})[0])
+    assert re.search("Mr [\u4e00-\u9fff]{2} ", s.replaced("Mr 王伟 left", {})[0])
+    assert re.search("Mr [\uac00-\ud7af]{3} ", s.replaced("Mr 김철수 left", {})[0])
+
+
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [("3782 822463 10005", r"3\d{3} \d{6} \d{5}"), ("2221 0000 0000 0009", r"2\d{3} \d{4} \d{4} \d{4}"),
+     ("172.16.4.9", r"172\.(1[6-9]|2\d|3[01])\.\d+\.\d+"), ("192.168.1.7", r"192\.168\.\d+\.\d+"),
+     ("2001:db8::8a2e:370:7334", r"2001:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}"),
+     ("FE80::0202:B3FF:FE1E:8329", r"FE80::0[0-9A-F]{3}:[0-9A-F]{4}:[0-9A-F]{4}:[0-9A-F]{4}")],
+)
+def test_forms_of_numbers(text, form):
+    new = s.replaced(f"See {text}.", {})[0]
+    assert re.fullmatch(f"See {form}\\.", new) and text not in new
+
+
+def test_one_address_in_two_spellings():
+    ids = {s.find(t)[0][2:] for t in ("2001:db8:0:0:0:0:0:a1", "2001:DB8::A1", "2001:0db8::00a1")}
+    assert len(ids) == 1
+    for plain in ("::1", "at 10:45:30 today", "std::vector", "a::b", "ratio 1:2:3"):
+        assert s.replaced(plain, {})[0] == plain
+
+
+def test_a_full_space_gives_way(spark):
+    """All one-letter addresses of one ending: none is left, so all grow, and all differ."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [("email", f"{x}@{y}.cc") for x in letters for y in letters]
+    found = spark.createDataFrame(values, "kind string, value string")
+    again = {(r["kind"], r["value"]): r["attempt"] for r in s.redrawn(found).collect()}
+    new = [s.surrogate(k, v, attempt=again.get((k, v), 0)) for k, v in values]
+    assert len(set(new)) == len(new) and not set(new) & {v for _, v in values}
+    assert all(re.fullmatch(r"[a-z]{2,}@[a-z]\.cc", x) for x in new)
+    assert s.written("email", "A@b.cc", "xyz@q.cc") == "Xyz@q.cc"
 
 
 def test_distinct(spark):
