@@ -54,10 +54,10 @@ class Encoder:
     """Ids of whole texts, word by word.
 
     White space separates what the tokenizer's own splitting never joins again, so a
-    text's ids are those of its words in a row, and words come again and again. Only
-    words in ASCII are lowered beforehand, which the tokenizer does too, and not where a
-    special token might stand: it composes letters with their marks before it lowers them,
-    and some compose in small letters alone. Marks in ASCII after letters alone are a word of
+    text's ids are those of its words in a row, and words come again and again. A-Z are
+    lowered beforehand, which the tokenizer does too, but not in words other than ASCII of a
+    text with marks that compose with them, nor where a special token might stand: it composes
+    letters with their marks before it lowers them, and some compose in small letters alone. Marks in ASCII after letters alone are a word of
     their own; what a letter is, is asked of the tokenizer, of the word as it has composed and
     lowered it, since lowering can leave a letter with a mark that the next mark joins.
     """
@@ -85,15 +85,14 @@ class Encoder:
             new.update(words)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, self.older = {}, self.known  # what is used goes on being known
-        new.difference_update(self.known)
-        self._learn(new)
+        self._learn(new.difference(self.known))
         find, last = self.known.__getitem__, self.kind.type(end).tobytes()
         return [b"".join(map(find, words)) + last for words in split]
 
     def _split(self, text: bytes) -> list[bytes]:
         if not self.lowers or b"<|" in text:
             return text.split()
-        if text.isascii():
+        if b"\xcc" not in text and b"\xcd" not in text:  # the first bytes of marks that compose with A-Z
             return text.lower().split()
         return [w.lower() if w.isascii() else w for w in text.split()]
 
@@ -104,7 +103,7 @@ class Encoder:
         stems = {w: w.rstrip(_MARKS) for w in words}
         cut = {w: (s, w[len(s) :]) for w, s in stems.items() if len(s) < len(w) and self._all_letters(s)}
         single = (words - cut.keys()).union(*cut.values())
-        single.difference_update(self.known)
+        single = single.difference(self.known)
         plain = [w for w in single if w.decode().isalpha()] if self.ends.any() else []
         lines = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for line, ids in zip(lines, self._ids([b" ".join(x) for x in lines]), strict=True):
