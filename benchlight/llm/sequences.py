@@ -72,22 +72,27 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
+        self.kept: set[str] = set()
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.in_lines = bool(self.ends.any())
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
         """The ids of each text with the end id, as bytes of ``kind``."""
         split = [self._split(t or b"") for t in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, ids in enumerate(some) if ids is None] for some in found]
+        new = {words[i] for words, where in zip(split, gaps, strict=True) for i in where}
         if len(self.known) + len(new) > REMEMBERED:
             self.known, self.older = {}, self.known  # what is used goes on being known
-        self._learn(new.difference(self.known))
-        find, last = self.known.__getitem__, self.kind.type(end).tobytes()
-        return [b"".join(map(find, words)) + last for words in split]
+        self._learn(new)
+        for words, some, where in zip(split, found, gaps, strict=True):
+            for i in where:
+                some[i] = self.known[words[i]]
+        last = self.kind.type(end).tobytes()
+        return [b"".join(some) + last for some in found]
 
     def _split(self, text: bytes) -> list[bytes]:
         if not self.lowers or b"<|" in text:
@@ -97,38 +102,47 @@ class Encoder:
         return [w.lower() if w.isascii() else w for w in text.split()]
 
     def _learn(self, words: set[bytes]) -> None:
-        again = self.older.keys() & words
-        self.known.update((w, self.older[w]) for w in again)
-        words = words - again
-        stems = {w: w.rstrip(_MARKS) for w in words}
-        cut = {w: (s, w[len(s) :]) for w, s in stems.items() if len(s) < len(w) and self._all_letters(s)}
-        single = (words - cut.keys()).union(*cut.values())
-        single = single.difference(self.known)
-        plain = [w for w in single if w.decode().isalpha()] if self.ends.any() else []
+        words = words - self._again(words)
+        stems = {w: s for w in words if w[-1] in _MARKS and self._all_letters(s := w.rstrip(_MARKS))}
+        marks = [w[len(s) :] for w, s in stems.items()]
+        single = words - stems.keys()
+        single.update(stems.values(), marks)
+        single.difference_update(self.known)
+        single -= self._again(single)
+        plain = [w for w in single if w.isalpha() or not w.isascii() and w.decode().isalpha()] if self.in_lines else []
+        rest = list(single.difference(plain))
         lines = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for line, ids in zip(lines, self._ids([b" ".join(x) for x in lines]), strict=True):
-            edges = np.flatnonzero(self.ends[ids]) + 1
+            edges = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(edges) == len(line):
-                single.difference_update(line)
-                self.known.update(zip(line, (x.tobytes() for x in np.split(ids, edges[:-1])), strict=True))
-        rest = list(single)
+                self.known.update(zip(line, map(ids.tobytes().__getitem__, map(slice, [0, *edges[:-1]], edges)), strict=True))
+            else:
+                rest += line
         self.known.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
-        for word, (stem, mark) in cut.items():
+        for (word, stem), mark in zip(stems.items(), marks, strict=True):
             self.known[word] = self.known[stem] + self.known[mark]
 
+    def _again(self, words: set[bytes]) -> set[bytes]:
+        """Those of the words that were known before, and now are again."""
+        again = self.older.keys() & words
+        self.known.update((w, self.older[w]) for w in again)
+        return again
+
     def _all_letters(self, stem: bytes) -> bool:
         """Whether the tokenizer's splitting keeps a word together, and apart from a mark after it."""
         if stem.isascii():
             return stem.isalpha()
         text = stem.decode()
         # Letters compose into letters, so one is asked for at a time.
-        return text.isalpha() and all(map(self._is_letter, set(text)))
+        return text.isalpha() and (self.kept.issuperset(text) or all(map(self._is_letter, set(text))))
 
     def _is_letter(self, c: str) -> bool:
         if c not in self.letters:
             lowered = self.tokenizer.normalizer.normalize_str(c)
             pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
             self.letters[c] = all(len(pieces(f"a{x}")) == 1 for x in lowered)
+            if self.letters[c]:
+                self.kept.add(c)
         return self.letters[c]
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:

@@ -109,3 +109,15 @@ def test_random_words():
     whole = tokenizer.encode_batch(texts, add_special_tokens=False)
     for text, got, ids in zip(texts, encode.encode([t.encode() for t in texts], 1), whole, strict=True):
         assert np.frombuffer(got, encode.kind).tolist() == [*ids.ids, 1], ascii(text)
+
+
+def test_words_in_use_are_not_forgotten_early(monkeypatch):
+    """Only words that are new count towards those a worker remembers; forgotten ones get their ids again."""
+    monkeypatch.setattr(sequences, "REMEMBERED", 300)
+    encode, tokenizer = sequences.Encoder(PATH, True), Tokenizer.from_file(PATH)
+    first = " ".join(f"{a}{b}{a}" for a in "abcdefghij" for b in "klmnopqrstuvwxyzàéö")
+    texts = [first, first, first.replace("a", "e") + " ab, Ab. é!", first + " ab, ab; é?", first]
+    for i, text in enumerate(texts):
+        got = np.frombuffer(encode.encode([text.encode()], 1)[0], encode.kind)
+        assert got.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert i > 1 or not encode.older
