@@ -287,7 +287,9 @@ def write(
         row_number(docs).alias("row"),
     )
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-    return settle(ordered.drop("row").mapInArrow(_write(folder, tokenizer, end, lowers, sequence), _MANIFEST))
+    written = ordered.drop("row").mapInArrow(_write(folder, tokenizer, end, lowers, sequence), _MANIFEST)
+    # A row per file, which one task writes: else every task would write a table file of one row.
+    return settle(written.repartition(1))
 
 
 def open_file(folder: str, file: str) -> pa.ipc.RecordBatchStreamReader:

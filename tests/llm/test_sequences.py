@@ -121,3 +121,14 @@ def test_words_in_use_are_not_forgotten_early(monkeypatch):
         got = np.frombuffer(encode.encode([text.encode()], 1)[0], encode.kind)
         assert got.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
         assert i > 1 or not encode.older
+
+
+def test_the_manifest_is_one_file(spark, texts):
+    """However many tasks write sequences, and however few rows each adds to the manifest."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = sequences.write(texts, shared_folder(spark), PATH, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1
+    assert len(manifest.inputFiles()) == 1
