@@ -28,9 +28,11 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -41,7 +43,9 @@ from benchlight.session import settle, shared_folder
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
-# Words whose ids a worker remembers, twice; words encoded as one text.
+# Bytes of whole texts whose words are looked up at once; words whose ids a worker remembers, twice;
+# words encoded as one text.
+ENCODED_BYTES = 1 << 21
 REMEMBERED = 400_000
 JOINED = 256
 
@@ -69,7 +73,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.lowers = lowers
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}  # what splitting finds before a blank, or after
         self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
         self.kept: set[str] = set()
@@ -81,25 +85,43 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
         """The ids of each text with the end id, as bytes of ``kind``."""
-        split = [self._split(t or b"") for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        gaps = [[i for i, ids in enumerate(some) if ids is None] for some in found]
-        new = {words[i] for words, where in zip(split, gaps, strict=True) for i in where}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.older = {}, self.known  # what is used goes on being known
-        self._learn(new)
-        for words, some, where in zip(split, found, gaps, strict=True):
-            for i in where:
-                some[i] = self.known[words[i]]
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(self._lowered(text or b""))
+            size += len(some[-1])
+            if size > ENCODED_BYTES:
+                out += self._encode(some, end)
+                some, size = [], 0
+        return out + self._encode(some, end) if some else out
+
+    def _encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """Different words are looked up once, and their ids are put where the words stand."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.binary()).to_pylist()
+        ids = list(map(self.known.get, words))
+        gaps = [i for i, found in enumerate(ids) if found is None]
+        if len(self.known) + len(gaps) > REMEMBERED:
+            self.known, self.older = {b"": b""}, self.known  # what is used goes on being known
+        self._learn({words[i] for i in gaps})
+        for i in gaps:
+            ids[i] = self.known[words[i]]
+        which = numbered.indices.to_numpy()
+        n_of = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        n = n_of[which]
+        ends = np.concatenate([[0], n.cumsum()])
+        place = np.arange(ends[-1]) + np.repeat((n_of.cumsum() - n_of)[which] - ends[:-1], n)
+        placed = np.frombuffer(b"".join(ids), self.kind)[place]
         last = self.kind.type(end).tobytes()
-        return [b"".join(some) + last for some in found]
+        edges = ends[split.offsets.to_numpy()].tolist()
+        return [placed[b:e].tobytes() + last for b, e in zip(edges[:-1], edges[1:], strict=True)]
 
-    def _split(self, text: bytes) -> list[bytes]:
+    def _lowered(self, text: bytes) -> bytes:
         if not self.lowers or b"<|" in text:
-            return text.split()
+            return text
         if b"\xcc" not in text and b"\xcd" not in text:  # the first bytes of marks that compose with A-Z
-            return text.lower().split()
-        return [w.lower() if w.isascii() else w for w in text.split()]
+            return text.lower()
+        return b" ".join([w.lower() if w.isascii() else w for w in text.split()])
 
     def _learn(self, words: set[bytes]) -> None:
         words = words - self._again(words)
@@ -107,7 +129,7 @@ class Encoder:
         marks = [w[len(s) :] for w, s in stems.items()]
         single = words - stems.keys()
         single.update(stems.values(), marks)
-        single.difference_update(self.known)
+        single = set(filterfalse(self.known.__contains__, single))  # looks up these, not all that are known
         single -= self._again(single)
         plain = [w for w in single if w.isalpha() or not w.isascii() and w.decode().isalpha()] if self.in_lines else []
         rest = list(single.difference(plain))

@@ -132,3 +132,37 @@ def test_the_manifest_is_one_file(spark, texts):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() > 1
     assert len(manifest.inputFiles()) == 1
+
+
+def test_words_known_are_not_gone_through(monkeypatch):
+    """A text with a new word looks up its own words, each once, and not all that a worker remembers."""
+    encode = sequences.Encoder(PATH, True)
+    encode.encode([" ".join(f"{a}{b}{c}{d}" for a in "abcdefgh" for b in "klmnopqr" for c in "aeiouy" for d in "stvwz").encode()], 1)
+    looked_up = []
+
+    class Known(dict):
+        def __iter__(self):
+            raise AssertionError("all known words are gone through")
+
+        def get(self, word, *other):
+            looked_up.append(word)
+            return super().get(word, *other)
+
+    encode.known = Known(encode.known)
+    text = " akas, Quixotic! akas\n\tquixotic zebra " + "akas " * 1000
+    for _ in range(2):
+        got = np.frombuffer(encode.encode([text.encode()], 1)[0], encode.kind)
+        assert got.tolist() == [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 1]
+    assert len(looked_up) == 2 * len({b"", *text.lower().encode().split()})
+
+
+def test_texts_are_encoded_some_at_a_time(monkeypatch):
+    """However few bytes are taken at once, a text's ids are those of the whole text."""
+    texts = [None, "", " \t", " a  b ", "Ab. é! İ, BELKİ!", "x" * 100, "<|endoftext|> A", "H\u0331ASAN said"] * 3
+    tokenizer = Tokenizer.from_file(PATH)
+    for size in (0, 10, 1 << 20):
+        monkeypatch.setattr(sequences, "ENCODED_BYTES", size)
+        encode = sequences.Encoder(PATH, True)
+        for text, got in zip(texts, encode.encode([t and t.encode() for t in texts], 1), strict=True):
+            ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert np.frombuffer(got, encode.kind).tolist() == [*ids, 1]
